@@ -1,0 +1,4 @@
+"""Queries over the raster operators."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
