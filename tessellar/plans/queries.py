@@ -1,4 +1,413 @@
-"""Queries over the raster operators."""
+"""Queries over the raster operators, and the SQL that says the same on the same tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import colour as C
+from ..operators import cleanup as K
+from ..operators import outline as O
+from ..operators import palette as P
+from ..operators import regions as R
+from ..sources import raster as S
+from ..streaming import progress as T
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+MIN_AREA = 6
+
+# Shared parts of the SQL
+_PX = """px AS (SELECT 'events' AS image_id, (event_id % 100)::INTEGER AS x, (event_id // 100)::INTEGER AS y, event_id AS pid,
+  (CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END)::INTEGER AS label,
+  (user_id % 256)::INTEGER AS r, ((event_id * 7) % 256)::INTEGER AS g, (floor(value)::BIGINT % 256)::INTEGER AS b FROM events)"""
+_PAL = "pal(label, r, g, b) AS (VALUES " + ", ".join(map(str, S.EVENT_PALETTE)) + ")"
+_LUM = "(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)"
+_PAINT = [f"(CASE WHEN {_LUM} > 244 AND greatest(r, g, b) - least(r, g, b) < 24 THEN {light} WHEN {_LUM} >= 42 THEN {c} ELSE greatest(24, least(255, round_even({c} * (42::DOUBLE / greatest({_LUM}, 1)), 0)))::INTEGER END)::INTEGER" for c, light in zip("rgb", (238, 232, 218))]
+_HSV = """CASE WHEN mx = mn THEN 0::DOUBLE WHEN mx = r THEN 60::DOUBLE * (g - b) / (mx - mn) WHEN mx = g THEN 120 + 60::DOUBLE * (b - r) / (mx - mn) ELSE 240 + 60::DOUBLE * (r - g) / (mx - mn) END"""
+_LAB = """lin AS (SELECT *, [CASE WHEN c / 255::DOUBLE > 0.04045 THEN pow((c / 255::DOUBLE + 0.055) / 1.055, 2.4) ELSE c / 255::DOUBLE / 12.92 END * 100 FOR c IN [r, g, b]] AS q FROM src),
+xyz AS (SELECT *, [CASE WHEN t > 0.008856 THEN pow(t, 1::DOUBLE / 3) ELSE 7.787 * t + 16::DOUBLE / 116 END FOR t IN [(q[1] * 0.4124::DOUBLE + q[2] * 0.3576::DOUBLE + q[3] * 0.1805::DOUBLE) / 95.047::DOUBLE, (q[1] * 0.2126::DOUBLE + q[2] * 0.7152::DOUBLE + q[3] * 0.0722::DOUBLE) / 100, (q[1] * 0.0193::DOUBLE + q[2] * 0.1192::DOUBLE + q[3] * 0.9505::DOUBLE) / 108.883::DOUBLE]] AS f FROM lin),
+lab AS (SELECT *, 116 * f[2] - 16 AS ll, 500 * (f[1] - f[2]) AS la, 200 * (f[2] - f[3]) AS lb FROM xyz)"""
+_EDGES = """nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)) o(dx, dy)),
+e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label)"""
+_REG = f"""{_PX}, {_EDGES}, reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p),
+top AS (SELECT p, min(root) AS root FROM reach GROUP BY p),
+reg AS (SELECT px.*, dense_rank() OVER (ORDER BY label, root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p),
+regions AS (SELECT image_id, region_id, min(label) AS color_index, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM reg GROUP BY ALL),
+pairs AS (SELECT a.region_id AS s, b.region_id AS d FROM reg a JOIN reg b ON a.y = b.y AND a.x + 1 = b.x WHERE a.region_id != b.region_id UNION ALL SELECT a.region_id, b.region_id FROM reg a JOIN reg b ON a.x = b.x AND a.y + 1 = b.y WHERE a.region_id != b.region_id),
+adj AS (SELECT s AS src, d AS dst, count(*) AS border_count FROM (SELECT s, d FROM pairs UNION ALL SELECT d, s FROM pairs) GROUP BY ALL)"""
+_PLAN = f"""{_REG}, {_PAL}, src AS (SELECT * FROM pal), {_LAB},
+l8 AS (SELECT label AS color_index, [round_even(ll * 2.55, 0), round_even(la + 128, 0), round_even(lb + 128, 0)] AS lab FROM lab),
+m AS (SELECT region_id, area, (area < {MIN_AREA} OR area <= {2 * MIN_AREA} AND area / greatest(x2 - x1, y2 - y1)::DOUBLE <= 5.5)::INTEGER AS c, lab FROM regions JOIN l8 USING (color_index)),
+opt AS (SELECT src, dst, n.c, border_count, n.area, round(list_distance(n.lab, s.lab), 6) AS far, s.area AS s_area FROM adj JOIN m s ON s.region_id = src AND s.c = 1 JOIN m n ON n.region_id = dst
+  WHERE (n.c = 0 OR n.area > s.area OR n.area = s.area AND dst > src)),
+plan AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY c, (area <= s_area)::INTEGER, -border_count, -area, far, dst) AS rn FROM opt WHERE far <= 26 OR s_area <= 8) WHERE rn = 1)"""
+_AROUND = f"""{_PX}, n AS (SELECT c.*, l.label AS l, r_.label AS rr, u.label AS u, d.label AS d, ul.label AS ul, ur.label AS ur, dl.label AS dl, dr.label AS dr FROM px c
+ LEFT JOIN px l ON l.y = c.y AND l.x = c.x - 1 LEFT JOIN px r_ ON r_.y = c.y AND r_.x = c.x + 1 LEFT JOIN px u ON u.y = c.y - 1 AND u.x = c.x LEFT JOIN px d ON d.y = c.y + 1 AND d.x = c.x
+ LEFT JOIN px ul ON ul.y = c.y - 1 AND ul.x = c.x - 1 LEFT JOIN px ur ON ur.y = c.y - 1 AND ur.x = c.x + 1 LEFT JOIN px dl ON dl.y = c.y + 1 AND dl.x = c.x - 1 LEFT JOIN px dr ON dr.y = c.y + 1 AND dr.x = c.x + 1)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def px(spark, sf_dir) -> DataFrame:
+    return S.raster_from_events(spark, sf_dir)
+
+
+def pal(spark) -> DataFrame:
+    return S.palette(spark)
+
+
+def _regions(spark, sf_dir):
+    from ..sources.store import materialize
+
+    return materialize(R.region_map(px(spark, sf_dir)))
+
+
+def _cast(df: DataFrame, **types: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+
+
+@query("palette_table", f"""WITH {_PX}, {_PAL}, c AS (SELECT image_id, label, count(*) AS n FROM px WHERE label >= 0 GROUP BY ALL), p AS (SELECT *, {_PAINT[0]} AS pr, {_PAINT[1]} AS pg, {_PAINT[2]} AS pb FROM c JOIN pal USING (label))
+SELECT image_id, (label + 1)::INTEGER AS number, printf('#%02X%02X%02X', r, g, b) AS hex, printf('#%02X%02X%02X', pr, pg, pb) AS paint_hex, n AS pixel_count, round_even(100::DOUBLE * n / sum(n) OVER (), 3) AS area_percent FROM p""")
+def palette_table(spark, sf_dir):
+    return P.palette_table(px(spark, sf_dir), pal(spark))
+
+
+@query("palette_json")
+def palette_json(spark, sf_dir):
+    return P.palette_json(palette_table(spark, sf_dir))
+
+
+@query("swatch_layout", f"WITH {_PAL} SELECT 'events' AS image_id, label + 1 AS number, 0 AS sheet_column, label AS sheet_row FROM pal")
+def swatch_layout(spark, sf_dir):
+    return P.swatches(palette_table(spark, sf_dir))
+
+
+@query("label_counts", f"WITH {_PX} SELECT image_id, label, count(*) AS pixel_count FROM px WHERE label >= 0 GROUP BY ALL")
+def label_counts(spark, sf_dir):
+    return P.label_counts(px(spark, sf_dir))
+
+
+@query("colour_functions", f"""WITH {_PX}, src AS (SELECT DISTINCT r, g, b FROM px), {_LAB}, h AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM lab), h2 AS (SELECT *, {_HSV} AS hue FROM h)
+SELECT r, g, b, printf('#%02X%02X%02X', r, g, b) AS hex, round({_LUM}, 6) AS luminance, {_PAINT[0]} AS paint_r, {_PAINT[1]} AS paint_g, {_PAINT[2]} AS paint_b, {_LUM} < 105 AS light_text, round_even(255 * (1 - 0.16::DOUBLE) + r * 0.16::DOUBLE, 0)::INTEGER AS tint_r,
+ (floor((CASE WHEN hue < 0 THEN hue + 360 ELSE hue END) / 2 + 0.5)::INTEGER % 180)::INTEGER AS hue, (CASE WHEN mx = 0 THEN 0 ELSE floor(255::DOUBLE * (mx - mn) / mx + 0.5) END)::INTEGER AS saturation, mx AS value, round(ll, 5) AS lab_l, round(la, 5) AS lab_a, round(lb, 5) AS lab_b, r // 4 * 4 AS coarse_r FROM h2""")
+def colour_functions(spark, sf_dir):
+    r, g, b = map(F.col, "rgb")
+    h, s, v = C.hsv8(r, g, b)
+    paint, lab = C.paint(r, g, b), C.rgb_to_lab(r, g, b)
+    return px(spark, sf_dir).select("r", "g", "b").distinct().select("r", "g", "b", C.hex_code(r, g, b).alias("hex"), F.round(C.luminance(r, g, b), 6).alias("luminance"), *[p.alias(f"paint_{c}") for p, c in zip(paint, "rgb")], C.needs_light_text(r, g, b).alias("light_text"), C.tint(r).alias("tint_r"), h.alias("hue"), s.alias("saturation"), v.alias("value"), *[F.round(x, 5).alias(f"lab_{c}") for x, c in zip(lab, "lab")], C.coarse(r).alias("coarse_r"))
+
+
+@query("colour_round_trips", f"WITH {_PX} SELECT DISTINCT r, g, b, r AS lab_r, g AS lab_g, b AS lab_b, r AS hsl_r, g AS hsl_g, b AS hsl_b FROM px")
+def colour_round_trips(spark, sf_dir):
+    r, g, b = map(F.col, "rgb")
+
+
+    def turn(there, back):
+        bound = F.struct(*[x.alias(n) for x, n in zip(there(r, g, b), "abc")])
+        return C.let(bound, lambda s: F.struct(*[x.alias(n) for x, n in zip(back(s.a, s.b, s.c), "rgb")]))
+
+    both = px(spark, sf_dir).select("r", "g", "b").distinct().select("r", "g", "b", turn(C.rgb_to_lab, C.lab_to_rgb).alias("lab"), turn(C.rgb_to_hsl, C.hsl_to_rgb).alias("hsl"))
+    return both.select("r", "g", "b", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in ("lab", "hsl") for c in "rgb"])
+
+
+@query("distinct_colours", f"WITH {_PX} SELECT image_id, count(DISTINCT (r, g, b)) AS colours FROM px GROUP BY ALL")
+def distinct_colours(spark, sf_dir):
+    return P.distinct_colours(px(spark, sf_dir))
+
+
+@query("colour_index", f"WITH {_PX}, f AS (SELECT image_id, r, g, b, min(pid) AS first_pid FROM px GROUP BY ALL) SELECT *, (row_number() OVER (ORDER BY first_pid) - 1)::INTEGER AS colour_index FROM f")
+def colour_index(spark, sf_dir):
+    return P.colour_index(px(spark, sf_dir))
+
+
+@query("coarse_histogram", f"WITH {_PX}, k AS (SELECT image_id, r // 4 * 4 AS r, g // 4 * 4 AS g, b // 4 * 4 AS b, count(*) AS n FROM px GROUP BY ALL) SELECT *, round(n / (sum(n) OVER ())::DOUBLE, 9) AS weight FROM k")
+def coarse_histogram(spark, sf_dir):
+    return P.coarse_histogram(px(spark, sf_dir))
+
+
+@query("compact_labels", f"""WITH {_PX}, {_PAL}, c AS (SELECT image_id, label, count(*) AS n FROM px GROUP BY ALL), h AS (SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM c JOIN pal USING (label)), h2 AS (SELECT *, {_HSV} AS hue FROM h)
+SELECT image_id, label, (row_number() OVER (ORDER BY n DESC, floor((CASE WHEN hue < 0 THEN hue + 360 ELSE hue END) / 2 + 0.5)::INTEGER % 180, CASE WHEN mx = 0 THEN 0 ELSE floor(255::DOUBLE * (mx - mn) / mx + 0.5) END, mx, label) - 1)::INTEGER AS new_label FROM h2""")
+def compact_labels(spark, sf_dir):
+    return P.compact_labels(px(spark, sf_dir), pal(spark))
+
+
+@query("recolour", f"WITH {_PX}, {_PAL} SELECT image_id, x, y, pal.r, pal.g, pal.b FROM px JOIN pal USING (label)")
+def recolour(spark, sf_dir):
+    return P.recolour(px(spark, sf_dir), pal(spark))
+
+
+@query("debug_colours", f"WITH {_PX} SELECT pid, ((pid * 37 + 73) % 255)::INTEGER AS r, ((pid * 67 + 31) % 255)::INTEGER AS g, ((pid * 97 + 151) % 255)::INTEGER AS b FROM px")
+def debug_colours(spark, sf_dir):
+    return px(spark, sf_dir).select("pid", *[x.alias(c) for x, c in zip(C.debug_colour(F.col("pid")), "rgb")])
+
+
+@query("colour_distances", f"WITH {_PAL} SELECT a.label AS label1, b.label AS label2, round(sqrt(((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2)::DOUBLE), 6) AS distance FROM pal a JOIN pal b ON a.label <= b.label")
+def colour_distances(spark, sf_dir):
+    return P.colour_distances(pal(spark))
+
+
+@query("snap_colours", f"""WITH {_PX}, {_PAL}, src AS (SELECT DISTINCT r, g, b, NULL AS label FROM px UNION ALL SELECT r, g, b, label FROM pal), {_LAB},
+d AS (SELECT c.r, c.g, c.b, p.label, round(sqrt((c.ll - p.ll) ** 2 + (c.la - p.la) ** 2 + (c.lb - p.lb) ** 2), 6) AS d FROM lab c JOIN lab p ON c.label IS NULL AND p.label IS NOT NULL)
+SELECT r, g, b, label FROM (SELECT *, row_number() OVER (PARTITION BY r, g, b ORDER BY d, label) AS rn FROM d) WHERE rn = 1""")
+def snap_colours(spark, sf_dir):
+    return P.snap(px(spark, sf_dir), pal(spark))
+
+
+@query("lloyd_step", f"""WITH {_PX}, {_PAL}, h AS (SELECT r // 4 * 4 AS r, g // 4 * 4 AS g, b // 4 * 4 AS b, count(*) AS n FROM px GROUP BY ALL), d AS (SELECT h.*, label AS k, row_number() OVER (PARTITION BY h.r, h.g, h.b ORDER BY sqrt(((h.r - pal.r) ** 2 + (h.g - pal.g) ** 2 + (h.b - pal.b) ** 2)::DOUBLE), label) AS rn FROM h, pal),
+m AS (SELECT k, sum(r::DOUBLE * n) / sum(n) AS m0, sum(g::DOUBLE * n) / sum(n) AS m1, sum(b::DOUBLE * n) / sum(n) AS m2 FROM d WHERE rn = 1 GROUP BY k) SELECT k, dim, round(mean, 6) AS mean FROM (SELECT k, unnest([0, 1, 2]) AS dim, unnest([m0, m1, m2]) AS mean FROM m)""")
+def lloyd_step(spark, sf_dir):
+    points = P.coarse_histogram(px(spark, sf_dir)).select(F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("v"), F.col("n").cast("double").alias("weight"))
+    return P.lloyd_step(points, pal(spark).select(F.col("label").alias("k"), F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("c")))
+
+
+@query("kmeans_labels")
+def kmeans_labels(spark, sf_dir):
+    return P.label_counts(P.kmeans_labels(px(spark, sf_dir), 8))
+
+
+_CL = f"WITH {_PX}, cl AS (SELECT image_id, min(pid) AS first_seen, count(*) AS n FROM px GROUP BY image_id, g // 4)"
+
+
+def _clusters(spark, sf_dir):
+    return px(spark, sf_dir).groupBy("image_id", F.floor(F.col("g") / 4)).agg(F.min("pid").alias("first_seen"), F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(k) for c, k in zip("rgb", "lab")]).select("image_id", "first_seen", "n", "l", "a", "b")
+
+
+@query("coverage_selection", _CL + """, o AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_seen)::INTEGER AS rn, coalesce(sum(n) OVER (ORDER BY n DESC, first_seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef, sum(n) OVER () AS total FROM cl)
+SELECT image_id, first_seen, n, rn FROM o WHERE rn = 1 OR (n >= greatest(8, round_even(total * 0.005::DOUBLE, 0)) AND bef < round_even(total * 0.97::DOUBLE, 0) AND rn <= 48)""")
+def coverage_selection(spark, sf_dir):
+    return P.coverage_selection(_clusters(spark, sf_dir), 48)
+
+
+@query("closest_pair", f"""WITH {_PX}, cl AS (SELECT image_id, min(pid) AS first_seen, round(avg(r), 6) AS l, round(avg(g), 6) AS a, round(avg(b), 6) AS b FROM px GROUP BY image_id, g // 4), d AS (SELECT p.image_id, p.first_seen AS first_seen1, q.first_seen AS first_seen2, round(sqrt((p.l - q.l) ** 2 + (p.a - q.a) ** 2 + (p.b - q.b) ** 2), 6) AS distance FROM cl p JOIN cl q ON p.first_seen < q.first_seen)
+SELECT * FROM d ORDER BY distance, first_seen1, first_seen2 LIMIT 1""")
+def closest_pair(spark, sf_dir):
+    return P.closest_pair(_clusters(spark, sf_dir))
+
+
+@query("regions", f"WITH RECURSIVE {_REG} SELECT * FROM regions")
+def regions(spark, sf_dir):
+    return R.region_table(_regions(spark, sf_dir))
+
+
+@query("region_map", f"WITH RECURSIVE {_REG} SELECT pid, region_id FROM reg")
+def region_map(spark, sf_dir):
+    return _regions(spark, sf_dir).select("pid", "region_id")
+
+
+@query("facets", f"""WITH RECURSIVE {_PX}, nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy)), e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label),
+reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p), top AS (SELECT p, min(root) AS root FROM reach GROUP BY p) SELECT pid, dense_rank() OVER (ORDER BY root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p""")
+def facets(spark, sf_dir):
+    return R.region_map(px(spark, sf_dir), 4).select("pid", "region_id")
+
+
+@query("adjacency", f"WITH RECURSIVE {_REG} SELECT 'events' AS image_id, * FROM adj")
+def adjacency(spark, sf_dir):
+    return R.adjacency(_regions(spark, sf_dir))
+
+
+@query("facet_neighbours", f"WITH {_PX}, p AS (SELECT a.label AS s, b.label AS d FROM px a JOIN px b ON a.y = b.y AND abs(a.x - b.x) = 1 UNION ALL SELECT a.label, b.label FROM px a JOIN px b ON a.x = b.x AND abs(a.y - b.y) = 1) SELECT s AS src, list_sort(list(DISTINCT d)) AS neighbours FROM p WHERE s != d GROUP BY s")
+def facet_neighbours(spark, sf_dir):
+    return R.adjacency(px(spark, sf_dir), "label").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("neighbours"))
+
+
+@query("boundary", _AROUND.join(["WITH ", " SELECT image_id, x, y, coalesce(rr != label, FALSE) OR coalesce(d != label, FALSE) AS boundary FROM n"]))
+def boundary(spark, sf_dir):
+    return R.boundary_mask(px(spark, sf_dir), "label")
+
+
+@query("border_points", _AROUND.join(["WITH ", " SELECT image_id, x, y, label FROM n WHERE NOT (coalesce(l = label, FALSE) AND coalesce(rr = label, FALSE) AND coalesce(u = label, FALSE) AND coalesce(d = label, FALSE))"]))
+def border_points(spark, sf_dir):
+    return R.border_points(px(spark, sf_dir))
+
+
+@query("merge_candidates", f"WITH RECURSIVE {_REG} SELECT region_id, area, round(area / greatest(x2 - x1, y2 - y1)::DOUBLE, 6) AS thickness FROM regions WHERE area < {MIN_AREA} OR area <= {2 * MIN_AREA} AND area / greatest(x2 - x1, y2 - y1)::DOUBLE <= 5.5")
+def merge_candidates(spark, sf_dir):
+    return R.merge_candidates(regions(spark, sf_dir), MIN_AREA).select("region_id", "area", F.round(R.thickness(), 6).alias("thickness"))
+
+
+def _plan(spark, sf_dir):
+    p = _regions(spark, sf_dir)
+    t = R.region_table(p)
+    return p, t, R.merge_plan(t, R.adjacency(p), pal(spark), MIN_AREA)
+
+
+@query("merge_plan", f"WITH RECURSIVE {_PLAN} SELECT src, dst FROM plan")
+def merge_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)[2].select("src", "dst")
+
+
+@query("merge_apply", f"""WITH RECURSIVE {_PLAN}, chase(src, cur) AS (SELECT src, dst FROM plan UNION ALL SELECT chase.src, plan.dst FROM chase JOIN plan ON chase.cur = plan.src), fin AS (SELECT src, cur FROM chase WHERE cur NOT IN (SELECT src FROM plan))
+SELECT pid, coalesce(t.color_index, reg.label)::INTEGER AS label FROM reg LEFT JOIN fin ON fin.src = reg.region_id LEFT JOIN regions t ON t.region_id = fin.cur""")
+def merge_apply(spark, sf_dir):
+    return R.apply_merges(*_plan(spark, sf_dir)).select("pid", "label")
+
+
+@query("merge_driver")
+def merge_driver(spark, sf_dir):
+    return P.label_counts(R.merge_small_regions(px(spark, sf_dir), pal(spark), MIN_AREA))
+
+
+@query("paintability", f"""WITH RECURSIVE {_REG} SELECT image_id, count(DISTINCT color_index) AS colors, count(*) AS regions_total, count(*) FILTER (area >= {MIN_AREA}) AS regions_numbered, count(*) FILTER (area < {MIN_AREA}) AS regions_too_small_for_label, {MIN_AREA}::BIGINT AS min_label_area, min(area) AS smallest_region, max(area) AS largest_region, round_even(median(area), 3) AS median_region_area,
+coalesce(min(area) FILTER (area >= {MIN_AREA}), 0) AS smallest_numbered_region, coalesce(max(area) FILTER (area < {MIN_AREA}), 0) AS largest_unnumbered_region FROM regions GROUP BY image_id""")
+def paintability(spark, sf_dir):
+    return R.paintability(regions(spark, sf_dir), MIN_AREA)
+
+
+@query("facet_palette_stats", f"WITH RECURSIVE {_REG}, g AS (SELECT image_id, color_index AS colour, sum(area)::BIGINT AS frequency FROM regions GROUP BY ALL) SELECT *, round(frequency / (sum(frequency) OVER ())::DOUBLE, 9) AS share, row_number() OVER (ORDER BY frequency DESC, colour)::INTEGER AS rank FROM g")
+def facet_palette_stats(spark, sf_dir):
+    return P.facet_palette_stats(regions(spark, sf_dir))
+
+
+@query("unnumbered_regions", f"WITH RECURSIVE {_REG} SELECT region_id, area FROM regions WHERE area < {MIN_AREA}")
+def unnumbered_regions(spark, sf_dir):
+    t = regions(spark, sf_dir)
+    return t.join(R.label_worthy(t, MIN_AREA).select("region_id"), "region_id", "left_anti").select("region_id", "area")
+
+
+@query("draw_order", f"WITH RECURSIVE {_REG} SELECT region_id, area, row_number() OVER (ORDER BY area DESC, region_id)::INTEGER AS place FROM regions WHERE area >= {MIN_AREA}")
+def draw_order(spark, sf_dir):
+    return R.label_worthy(regions(spark, sf_dir), MIN_AREA).select("region_id", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id")).alias("place"))
+
+
+@query("strip_cleanup", f"""WITH {_AROUND}, {_PAL}, src AS (SELECT * FROM pal), {_LAB}, l8 AS (SELECT label, [round_even(ll * 2.55, 0), round_even(la + 128, 0), round_even(lb + 128, 0)] AS lab FROM lab), near AS (SELECT a.label, b.label AS t FROM l8 a, l8 b WHERE list_distance(a.lab, b.lab) <= 26), cnt AS (SELECT label AS t, count(*) AS c FROM px GROUP BY ALL),
+inn AS (SELECT * FROM n WHERE l IS NOT NULL AND rr IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL),
+o AS (SELECT pid, label, 0 AS k, l AS t FROM inn WHERE l = rr UNION ALL SELECT pid, label, 1, u FROM inn WHERE u = d UNION ALL SELECT pid, label, 2, ul FROM inn WHERE ul = dr UNION ALL SELECT pid, label, 3, ur FROM inn WHERE ur = dl UNION ALL SELECT pid, label, 4, l FROM inn WHERE l = u AND l = d UNION ALL SELECT pid, label, 5, rr FROM inn WHERE rr = u AND rr = d UNION ALL SELECT pid, label, 6, u FROM inn WHERE u = l AND u = rr UNION ALL SELECT pid, label, 7, d FROM inn WHERE d = l AND d = rr),
+best AS (SELECT pid, arg_max(o.t, c * 10 - k) AS t FROM o JOIN near ON near.label = o.label AND near.t = o.t JOIN cnt ON cnt.t = o.t WHERE o.t != o.label GROUP BY pid) SELECT px.pid, coalesce(t, label)::INTEGER AS label FROM px LEFT JOIN best USING (pid)""")
+def strip_cleanup(spark, sf_dir):
+    return K.strip_once(px(spark, sf_dir), pal(spark)).select("pid", "label")
+
+
+@query("strip_cleanup_runs")
+def strip_cleanup_runs(spark, sf_dir):
+    return K.strip_cleanup(px(spark, sf_dir), pal(spark), 8).select("pid", "label")
+
+
+@query("strip_in_place")
+def strip_in_place(spark, sf_dir):
+    return K.strip_in_place(px(spark, sf_dir), pal(spark)).select("pid", "label")
+
+
+@query("opening", f"""WITH {_AROUND}, e AS (SELECT *, CASE WHEN coalesce(l = label, TRUE) AND coalesce(rr = label, TRUE) AND coalesce(u = label, TRUE) AND coalesce(d = label, TRUE) THEN label END AS core FROM n)
+SELECT c.pid, coalesce(c.core = c.label, FALSE) OR coalesce(l.core = c.label, FALSE) OR coalesce(r_.core = c.label, FALSE) OR coalesce(u.core = c.label, FALSE) OR coalesce(d.core = c.label, FALSE) AS opened FROM e c
+LEFT JOIN e l ON l.y = c.y AND l.x = c.x - 1 LEFT JOIN e r_ ON r_.y = c.y AND r_.x = c.x + 1 LEFT JOIN e u ON u.y = c.y - 1 AND u.x = c.x LEFT JOIN e d ON d.y = c.y + 1 AND d.x = c.x""")
+def opening(spark, sf_dir):
+    return K.opening(px(spark, sf_dir)).select("pid", "opened")
+
+
+@query("prune_protrusions")
+def prune_protrusions(spark, sf_dir):
+    return K.prune_protrusions(px(spark, sf_dir)).select("pid", "label")
+
+
+@query("expand_owner", _AROUND.join(["WITH ", " SELECT pid, coalesce(nullif(label, 4), nullif(u, 4), nullif(d, 4), nullif(l, 4), nullif(rr, 4), nullif(ul, 4), nullif(ur, 4), nullif(dl, 4), nullif(dr, 4)) AS region_id FROM n"]))
+def expand_owner(spark, sf_dir):
+    p = px(spark, sf_dir).select("image_id", "x", "y", "pid", F.when(F.col("label") != 4, F.col("label")).alias("region_id"))
+    return K.expand_owner(p, 1).select("pid", "region_id")
+
+
+@query("bilateral")
+def bilateral(spark, sf_dir):
+    return K.bilateral(px(spark, sf_dir))
+
+
+@query("label_points", f"""WITH RECURSIVE {_REG}, o AS (SELECT a.pid, a.region_id, a.x, a.y, unnest(range(-6, 7)) AS dx FROM reg a), w AS (SELECT o.*, unnest(range(-6, 7)) AS dy FROM o), q AS (SELECT pid, region_id, x, y, dx, dy, x + dx AS x2, y + dy AS y2 FROM w),
+d AS (SELECT q.region_id, q.x, q.y, min(CASE WHEN b.region_id = q.region_id THEN NULL ELSE dx * dx + dy * dy END) AS d2 FROM q LEFT JOIN reg b ON b.x = q.x2 AND b.y = q.y2 GROUP BY ALL)
+SELECT region_id, x, y, radius FROM (SELECT region_id, x, y, round(sqrt(d2::DOUBLE), 6) AS radius, row_number() OVER (PARTITION BY region_id ORDER BY d2 DESC, y, x) AS rn FROM d) WHERE rn = 1""")
+def label_points(spark, sf_dir):
+    return R.label_points(_regions(spark, sf_dir)).select("region_id", "x", "y", "radius")
+
+
+@query("area_resample", f"WITH {_PX} SELECT image_id, x // 4 AS x, y // 4 AS y, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b FROM px GROUP BY 1, 2, 3")
+def area_resample(spark, sf_dir):
+    return S.area_resample(px(spark, sf_dir), 4)
+
+
+@query("fit_sizes", "SELECT p_partkey, greatest(1, floor((p_size * 40) * least(1, 1024::DOUBLE / (p_size * 40), 1024::DOUBLE / (p_partkey + 1)) + 0.5))::INTEGER AS w, greatest(1, floor((p_partkey + 1) * least(1, 1024::DOUBLE / (p_size * 40), 1024::DOUBLE / (p_partkey + 1)) + 0.5))::INTEGER AS h FROM part")
+def fit_sizes(spark, sf_dir):
+    w, h = S.fit_inside(F.col("p_size") * 40, F.col("p_partkey") + 1, 1024, 1024)
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query("flatten_alpha", f"WITH {_PX} SELECT pid, floor(255 * (1 - b / 255::DOUBLE) + r * (b / 255::DOUBLE) + 0.5)::INTEGER AS flat, floor((r * 257) * 255::DOUBLE / 65535 + 0.5)::INTEGER AS narrow FROM px")
+def flatten_alpha(spark, sf_dir):
+    return px(spark, sf_dir).select("pid", S.flatten_alpha(F.col("r"), F.col("b")).alias("flat"), S.narrow_channel(F.col("r") * 257, 16).alias("narrow"))
+
+
+@query("png_sink")
+def png_sink(spark, sf_dir):
+    return S.write_png(px(spark, sf_dir))
+
+
+@query("base64_chunks", "WITH t AS (SELECT conv_id, turn, base64(encode(text)) AS b FROM conversations), n AS (SELECT *, unnest(range(0, greatest(1, ceil(length(b) / 100::DOUBLE))::BIGINT)) AS i FROM t) SELECT conv_id, turn, i::INTEGER AS chunk_index, substr(b, i * 100 + 1, 100) AS chunk FROM n")
+def base64_chunks(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    b = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")
+    return c.select("conv_id", "turn", F.posexplode(S.chunks(b, 100)).alias("chunk_index", "chunk"))
+
+
+@query("chunk_assembly", "SELECT conv_id AS request_id, count(DISTINCT turn) = max(turn) + 1 AS complete, CASE WHEN count(DISTINCT turn) = max(turn) + 1 THEN string_agg(text, '' ORDER BY turn) END AS text FROM conversations GROUP BY conv_id")
+def chunk_assembly(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    total = F.max("turn").over(Window.partitionBy("conv_id")) + 1
+    return T.assemble(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("chunk_index"), total.alias("total_chunks"), F.col("text").alias("chunk")))
+
+
+@query("progress_overall", "SELECT event_id, floor(100 * (0.06 + 0.24 * least(1, greatest(0, value / 500)))::DOUBLE + 0.5)::INTEGER AS progress FROM events")
+def progress_overall(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", T.overall(F.lit("kmeans"), F.col("value") / 500).alias("progress"))
+
+
+@query("progress_throttle")
+def progress_throttle(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return T.throttle(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("ts_ms"), (F.col("value") / 500).alias("local")))
+
+
+@query("message_routing", "SELECT event_type AS type, user_id::VARCHAR AS \"requestId\" FROM events WHERE event_type IN ('click', 'view')")
+def message_routing(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return T.route(e.select(F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("requestId"))).alias("message")), ["click", "view"]).select("type", "requestId")
+
+
+@query("recent_items", "SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 6")
+def recent_items(spark, sf_dir):
+    return T.recent(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")))
+
+
+@query("stage_timings", "SELECT event_type AS stage, round(sum(value), 4) AS ms FROM events GROUP BY 1")
+def stage_timings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return T.timings(e.select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))).select("stage", F.round("ms", 4).alias("ms"))
+
+
+def _paths(spark, sf_dir):
+    p = px(spark, sf_dir).where("x < 12").groupBy("y").agg(F.array_sort(F.collect_list(F.struct("pid", "r", "g"))).alias("ps"))
+    return p.select("y", F.transform("ps", lambda q: F.struct(q.r.cast("double").alias("x"), q.g.cast("double").alias("y"))).alias("points"))
+
+
+@query("shoelace", f"WITH {_PX}, p AS (SELECT *, lead(r) OVER w AS r2, lead(g) OVER w AS g2, first(r) OVER w AS r0, first(g) OVER w AS g0 FROM px WHERE x < 12 WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, abs(sum(r * coalesce(g2, g0) - coalesce(r2, r0) * g))::DOUBLE / 2 AS area FROM p GROUP BY y")
+def shoelace(spark, sf_dir):
+    return _paths(spark, sf_dir).select("y", O.shoelace(F.col("points")).alias("area"))
+
+
+@query("svg_document")
+def svg_document(spark, sf_dir):
+    rows = _paths(spark, sf_dir).select(F.lit("events").alias("image_id"), F.col("y").cast("long").alias("facet_id"), F.lit("#20FF00").alias("hex"), "points")
+    return O.svg(rows, 256, 256)
+
+
+@query("vector_distances", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 5) AS manhattan FROM embeddings")
+def vector_distances(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    zero = F.transform("v", lambda x: F.lit(0.0))
+    return e.select("vec_id", F.round(C.euclidean(F.col("v"), zero), 5).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("manhattan"))
