@@ -370,7 +370,7 @@ def progress_overall(spark, sf_dir):
 @query("progress_throttle")
 def progress_throttle(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return T.throttle(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), F.unix_millis("ts").alias("ts_ms"), (F.col("value") / 500).alias("local")))
+    return T.throttle(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("value") / 500).alias("local")))
 
 
 @query("message_routing", "SELECT event_type AS type, user_id::VARCHAR AS \"requestId\" FROM events WHERE event_type IN ('click', 'view')")
