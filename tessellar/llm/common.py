@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -30,13 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, partition_by: list[str] | None = None, **options) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, and frees the shuffle files behind it."""
     spark = df.sparkSession
     path = shared_dir(spark)
     writer = df.write.options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # the context's cleaner removes shuffles that nothing refers to any more
     return spark.read.schema(df.schema).parquet(path)
 
 

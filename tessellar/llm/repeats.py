@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, keyed, record_batch, ship, signed, spans, utf8
+from .common import U64, Hasher, keyed, materialize, record_batch, ship, signed, spans, utf8
 
 #: Classes of one name that one task compares; beyond it the name's windows are dealt out singly.
 HOT = 4096
@@ -80,8 +80,8 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
     long_enough = base.where(F.octet_length("text") >= size)
     many = long_enough.select("text").mapInArrow(names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
     found = long_enough.select("_k", "text").mapInArrow(blocks, "name long, ctx long, _k long, start int, nwin int")
-    members = found.join(many, "name", "left_semi")
-    classes = members.groupBy("name", "ctx", "nwin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "start")).alias("m"))
+    members = materialize(found.join(many, "name", "left_semi"))
+    classes = materialize(members.groupBy("name", "ctx", "nwin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "start")).alias("m")))
     per_name = classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"))
     mixed = classes.join(per_name.where("classes > 1"), "name")
     reps = mixed.groupBy(F.col("m._k").alias("_k")).agg(F.collect_list(F.struct("name", F.col("m.start").alias("start"), "nwin", (F.col("classes") > HOT).alias("hot"))).alias("reps"))
