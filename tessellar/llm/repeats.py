@@ -23,7 +23,7 @@ from .common import U64, Hasher, keyed, materialize, record_batch, ship, signed,
 #: Classes of one name that one task compares; beyond it the name's windows are dealt out singly.
 HOT = 4096
 #: Units compared at once by matcher.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _NAMES = pa.schema([("name", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("nwin", pa.int32())])
@@ -98,8 +98,13 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
                     k, f = key[r].as_py(), int(first[r - i])
                     flat = lists[r].values.flatten()
                     for name, s, n, hot in zip(*(x.to_pylist() for x in flat)):
-                        for name, s, n in ((name, s, n),) if not hot else ((int(signed(np.array([hash_one(values[f + s + w : f + s + w + size])], U64))[0]), s + w, 1) for w in range(n)):
-                            for column, v in zip(out, (name, k, s, values[f + s : f + s + n + size - 1].tobytes())):
+                        part = values[f + s : f + s + n + size - 1]
+                        if hot:
+                            rows = [(h, s + w, part[w : w + size]) for w, h in enumerate(signed(Hasher(part.astype(U64)).windows(size)).tolist())]
+                        else:
+                            rows = [(name, s, part)]
+                        for name, s, part in rows:
+                            for column, v in zip(out, (name, k, s, part.tobytes())):
                                 column.append(v)
                 if out[0]:
                     yield record_batch(_CONTENT, *out)
@@ -153,11 +158,6 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
     return texts, removed.groupBy("_k").agg(F.collect_list(F.struct("start", "nwin")).alias("removed"))
 
 
-def hash_one(values: np.ndarray) -> int:
-    h = Hasher(values.astype(U64))
-    return int(h.spans(np.array([0]), np.array([len(values)]))[0])
-
-
 def finished(texts: DataFrame, removed: DataFrame, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
     """finish(text bytes, starts, numbers of windows) -> tuple after doc_id, for every document."""
 

@@ -52,64 +52,61 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
 
 def bounded_suffix_ranks(text: np.ndarray, bound: int) -> np.ndarray:
     """Ranks of the suffixes of text by their first bound symbols or more, by doubling; equal ranks where those are equal."""
-    rank = text.astype(np.int64)
-    have = 1
+    n, base, have = len(text), int(text.max()) + 1, 1
+    key = text.astype(np.int64)
+    while base ** (have + 1) < 1 << 62 and have < bound:  # as many symbols as fit in one integer
+        key = key * base
+        key[: n - have] += text[have:]
+        have += 1
     while True:
-        nxt = np.zeros(len(rank), np.int64)
-        if have < len(rank):
-            nxt[:-have] = rank[have:] + 1
-        both = rank * (int(nxt.max()) + 1) + nxt
-        order = np.argsort(both, kind="stable")
-        step = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
-        rank = np.empty(len(order), np.int64)
+        order = np.argsort(key, kind="stable")
+        inside = key[order]
+        step = np.zeros(n, np.int64)
+        np.cumsum(inside[1:] != inside[:-1], out=step[1:])
+        rank = np.empty(n, np.int64)
         rank[order] = step
-        have *= 2
-        if have >= bound or step[-1] == len(order) - 1:
+        if have >= bound or step[-1] == n - 1:
             return rank
+        key = rank * (n + 1)
+        if have < n:
+            key[:-have] += rank[have:] + 1
+        have *= 2
 
 
 def repeated_intervals(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffixes in order, lower and upper ends of the intervals of strings of size symbols that occur more than once).
+    """(suffixes in order, rows in the intervals of strings of size symbols that occur more than once, the interval of each).
 
     text: symbols from 0, where 0 ends each content and is never part of a string.
     """
     n = len(text)
-    rank = bounded_suffix_ranks(text, size)
-    suffix = np.argsort(rank, kind="stable")
+    suffix = np.argsort(bounded_suffix_ranks(text, size), kind="stable")
     before = text[suffix - 1]  # the transform; the text is read as a circle and ends with 0
-    # LF: where the suffix longer by one symbol stands. Rows of one symbol keep their order, for strings as far as the bound.
+    first = text[suffix]
+    # where the suffix longer by the symbol before stands: rows of one symbol keep their order, for strings as far as the bound
     by_symbol = np.argsort(before, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_symbol] = np.arange(n)
-    lo, hi = np.array([0]), np.array([n])
+    longer = np.empty(n, np.int32)
+    longer[by_symbol] = np.arange(n, dtype=np.int32)
+    ends = before == 0
+    rows, group = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
+    marked, parent = np.zeros(n, bool), np.zeros(n, np.int32)
     for _ in range(size):
-        if not len(lo):
-            break
-        count = hi - lo
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        parent = np.repeat(np.arange(len(lo)), count)
-        use = before[rows] != 0
-        rows, parent = rows[use], parent[use]
-        of = np.full(n, -1, np.int64)
-        of[lf[rows]] = parent
-        first = text_first(text, suffix, lf[rows], of)
-        lo, hi = first
-    return suffix, lo, hi
-
-
-def text_first(text, suffix, rows, parent):
-    """Intervals of the extended rows: consecutive, of one parent and one first symbol, two rows or more."""
-    if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s, e = runs_of(parent >= 0)
-    at = np.flatnonzero(parent >= 0)
-    symbol = text[suffix[at]]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (parent[at[1:]] != parent[at[:-1]]) | (symbol[1:] != symbol[:-1])
-    lo = at[new]
-    count = np.diff(np.append(np.flatnonzero(new), len(at)))
-    keep = count > 1
-    return lo[keep], lo[keep] + count[keep]
+        use = ~ends[rows]
+        to = longer[rows[use]]
+        if not len(to):
+            return suffix, to, to
+        marked[to] = True
+        parent[to] = group[use]
+        at = np.flatnonzero(marked).astype(np.int32)
+        marked[to] = False
+        # an interval: consecutive rows of one parent and one first symbol
+        p, f = parent[at], first[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        rows = at[~alone]
+        group = np.cumsum(new[~alone], dtype=np.int32) - 1
+    return suffix, rows, group
 
 
 def _matches(values, off, size, order):
@@ -118,19 +115,17 @@ def _matches(values, off, size, order):
     place[order] = np.arange(len(order))
     lens = np.diff(off)
     at = np.arange(len(values)) + np.repeat(np.arange(len(lens)), lens)  # with an end after each content
-    text = np.zeros(len(values) + len(lens), np.int64)
-    text[at] = values.astype(np.int64) + 1
-    suffix, lo, hi = repeated_intervals(text, size)
+    text = np.zeros(len(values) + len(lens), np.int16)
+    text[at] = values.astype(np.int16) + 1
+    suffix, rows, group = repeated_intervals(text, size)
     flag = np.zeros(len(values), bool)
-    if len(lo):
+    if len(rows):
         ends = off[1:] + np.arange(len(lens))
-        count = hi - lo
-        group = np.repeat(np.arange(len(lo)), count)
-        rows = suffix[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))]
-        content = np.searchsorted(ends, rows)
-        first = np.full(len(lo), len(order), np.int64)
+        at = suffix[rows]
+        content = np.searchsorted(ends, at)
+        first = np.full(int(group[-1]) + 1, len(order), np.int64)
         np.minimum.at(first, group, place[content])
-        flag[(rows - content)[place[content] != first[group]]] = True
+        flag[(at - content)[place[content] != first[group]]] = True
     return flag
 
 
