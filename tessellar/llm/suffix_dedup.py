@@ -3,8 +3,8 @@
 Texts are brought together by content-chosen anchors (repeats.py): all equal strings of `size` bytes meet in one task,
 inside contents of at most 2 * size bytes, one for each distinct content. There the contents are sorted by suffix as far
 as the threshold, which gives their Burrows-Wheeler transform. From the interval of the empty string, breadth first, every
-interval is extended backwards by each byte that stands before it; level v has the intervals of the strings of v bytes, so
-common prefixes come in increasing order. Intervals of one suffix are left out and the expansion stops at the threshold:
+interval is extended backwards by the STRIDE bytes that stand before each of its rows; each level has the intervals of
+strings longer by as much, so common prefixes come in increasing order. Intervals of one suffix are left out and the expansion stops at the threshold:
 what is left are the repeated strings.
 
 Null counts as an empty text. Texts under `size` bytes lose nothing. Repeated rows are separate documents, in the order
@@ -23,6 +23,8 @@ from .common import U64, Hasher, byte_values
 from .repeats import blocks_from_anchors, cover, finished, removed_windows, runs_of
 
 SIZE, GRAM = 100, 32
+#: Symbols by which an interval is extended at once.
+STRIDE = 7
 _POSITION = 40
 
 
@@ -50,8 +52,8 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     return start, nwin, h[at[np.searchsorted(valid, start)]]
 
 
-def bounded_suffix_ranks(text: np.ndarray, bound: int) -> np.ndarray:
-    """Ranks of the suffixes of text by their first bound symbols or more, by doubling; equal ranks where those are equal."""
+def bounded_suffixes(text: np.ndarray, bound: int) -> np.ndarray:
+    """The suffixes of text ordered by their first bound symbols or more, by doubling; the order of equal ones doesn't matter."""
     n, base, have = len(text), int(text.max()) + 1, 1
     key = text.astype(np.int64)
     while base ** (have + 1) < 1 << 62 and have < bound:  # as many symbols as fit in one integer
@@ -59,14 +61,14 @@ def bounded_suffix_ranks(text: np.ndarray, bound: int) -> np.ndarray:
         key[: n - have] += text[have:]
         have += 1
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         inside = key[order]
         step = np.zeros(n, np.int64)
         np.cumsum(inside[1:] != inside[:-1], out=step[1:])
+        if have >= bound or step[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = step
-        if have >= bound or step[-1] == n - 1:
-            return rank
         key = rank * (n + 1)
         if have < n:
             key[:-have] += rank[have:] + 1
@@ -78,34 +80,50 @@ def repeated_intervals(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
 
     text: symbols from 0, where 0 ends each content and is never part of a string.
     """
-    n = len(text)
-    suffix = np.argsort(bounded_suffix_ranks(text, size), kind="stable")
+    n, base = len(text), int(text.max()) + 1
+    suffix = bounded_suffixes(text, size)
     before = text[suffix - 1]  # the transform; the text is read as a circle and ends with 0
-    first = text[suffix]
     # where the suffix longer by the symbol before stands: rows of one symbol keep their order, for strings as far as the bound
     by_symbol = np.argsort(before, kind="stable")
     longer = np.empty(n, np.int32)
     longer[by_symbol] = np.arange(n, dtype=np.int32)
-    ends = before == 0
+
+    def stride(q: int):
+        """Of each row: the row longer by q symbols, its own first q symbols in one integer, and whether they are free of ends."""
+        to, key, free = longer, text.astype(np.int64), text != 0
+        for k in range(1, q):
+            to = longer[to]
+            key = key * base
+            key[: n - k] += text[k:]
+            free[: n - k] &= text[k:] != 0
+            free[n - k :] = False
+        return to, key[suffix], free[suffix]
+
     rows, group = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     marked, parent = np.zeros(n, bool), np.zeros(n, np.int32)
-    for _ in range(size):
-        use = ~ends[rows]
-        to = longer[rows[use]]
-        if not len(to):
-            return suffix, to, to
-        marked[to] = True
-        parent[to] = group[use]
-        at = np.flatnonzero(marked).astype(np.int32)
-        marked[to] = False
-        # an interval: consecutive rows of one parent and one first symbol
-        p, f = parent[at], first[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        rows = at[~alone]
-        group = np.cumsum(new[~alone], dtype=np.int32) - 1
+    odd, steps = size % STRIDE, size // STRIDE
+    for q, times in ((odd, 1), (STRIDE, steps)):
+        if not q or not times:
+            continue
+        ahead, first, free = stride(q)
+        for _ in range(times):
+            to = ahead[rows]
+            use = free[to]
+            to = to[use]
+            if not len(to):
+                return suffix, to, to
+            marked[to] = True
+            parent[to] = group[use]
+            at = np.flatnonzero(marked).astype(np.int32)
+            marked[to] = False
+            # an interval: consecutive rows of one parent and equal first symbols
+            p, f = parent[at], first[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
+            alone = new.copy()
+            alone[:-1] &= new[1:]
+            rows = at[~alone]
+            group = np.cumsum(new[~alone], dtype=np.int32) - 1
     return suffix, rows, group
 
 
