@@ -17,43 +17,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, materialize
 
 EDITS, MIN_CHARS = 2, 20
 #: Letters whose counts are compared: the commonest of Latin-script languages, so that most edits change one.
 _LETTERS = "etanrisou"
 
 
-def segments(length: Column, k: int = EDITS) -> list[tuple[Column, Column]]:
-    """(start from 0, size) of the k + 1 segments of a line of this length; the last ones are the longer."""
-    size = F.floor(length / (k + 1)).cast("int")
-    longer = length - size * (k + 1)
-    out, start = [], F.lit(0)
-    for i in range(k + 1):
-        n = size + F.when(F.lit(i) >= F.lit(k + 1) - longer, 1).otherwise(0)
-        out.append((start, n))
-        start = start + n
-    return out
+def index_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of the k + 1 segments that a line puts into the index."""
+    return [(0, i, 0) for i in range(k + 1)]
 
 
-def keys(line: Column, length: Column, k: int = EDITS) -> tuple[Column, Column]:
-    """(index keys, probe keys) of a line as arrays of 64-bit hashes."""
-    index, probes = [], []
+def probe_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
+    """(less, segment, shift) of the substrings that can equal a segment of a line shorter by less.
+
+    i segments come before and k - i after: the shift is bounded by edits on the left and, through the difference in
+    length, by those on the right.
+    """
+    return [(less, i, d) for less in range(k + 1) for i in range(k + 1) for d in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
 
-    def key(start, n, of, i):
-        return F.xxhash64(line.substr(start + 1, n), of, F.lit(i))
 
-    for i, (start, n) in enumerate(segments(length, k)):
-        index.append(key(start, n, length, i))
-    for less in range(k + 1):
-        of = length - less
-        for i, (start, n) in enumerate(segments(of, k)):
-            # i segments before, k - i after: bounds by edits on the left, and on the right shifted by the difference in length
-            low, high = max(-i, less - (k - i)), min(i, less + (k - i))
-            for d in range(low, high + 1):
-                at = start + d
-                probes.append(F.when((at >= 0) & (at + n <= length), key(at, n, of, i)))
-    return F.array(*index), F.array(*probes)
+def keyed_segments(rows: DataFrame, specs: list[tuple[int, int, int]], k: int = EDITS) -> DataFrame:
+    """rows (line, len and others) once for each spec whose substring exists: the others and key, a 64-bit hash.
+
+    Of k + 1 segments the last ones are the longer. One small expression per exploded row: fifteen of them in one row make
+    a method too large to be compiled.
+    """
+    others = [c for c in rows.columns if c not in ("line", "len")]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("less", "i", "d"))]) for s in specs])
+    out = rows.select("*", F.inline(table))
+    of = F.col("len") - F.col("less")
+    out = out.withColumn("of", of).withColumn("longer", F.pmod("of", F.lit(k + 1))).withColumn("size", ((F.col("of") - F.col("longer")) / (k + 1)).cast("int"))
+    out = out.withColumn("over", F.col("i") - (k + 1) + F.col("longer"))
+    n, at = F.col("size") + F.when(F.col("over") >= 0, 1).otherwise(0), F.col("i") * F.col("size") + F.greatest(F.col("over"), F.lit(0)) + F.col("d")
+    out = out.withColumn("n", n).withColumn("at", at).where("of >= 0 AND at >= 0 AND at + n <= len")
+    return out.select(*others, F.xxhash64(F.substr("line", F.col("at") + 1, F.col("n")), "of", "i").alias("key"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -142,40 +141,48 @@ def _counts_within(x: Column, y: Column, k: int) -> Column:
 
 def similar_lines(lines: DataFrame, k: int = EDITS) -> DataFrame:
     """Candidate pairs of lines (_k, no, line): distinct (k1, n1) before (k2, n2) that share a segment and agree in letter counts."""
-    length = F.char_length("line")
-    index, probes = keys(F.col("line"), length, k)
-    rows = lines.select("_k", "no", _letter_counts(F.col("line")).alias("c"), index.alias("index"), probes.alias("probes"))
-    left = rows.select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("c").alias("c1"), F.explode("index").alias("key"))
-    right = rows.select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("c").alias("c2"), F.explode("probes").alias("key")).where("key is not null")
+    rows = lines.select("_k", "no", "line", F.char_length("line").alias("len"), _letter_counts(F.col("line")).alias("c"))
+    left = keyed_segments(rows, index_specs(k), k).select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("c").alias("c1"), "key")
+    right = keyed_segments(rows, probe_specs(k), k).select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("c").alias("c2"), "key")
     other = (F.col("k1") != F.col("k2")) | (F.col("n1") != F.col("n2"))
     met = left.join(right, (left["key"] == right["key"]) & other & _counts_within(F.col("c1"), F.col("c2"), k))
     one, two = F.struct(F.col("k1").alias("k"), F.col("n1").alias("n")), F.struct(F.col("k2").alias("k"), F.col("n2").alias("n"))
     return met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct().select(F.col("one.k").alias("k1"), F.col("one.n").alias("n1"), F.col("two.k").alias("k2"), F.col("two.n").alias("n2"))
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """parts without the positions in gone (ascending): the runs between them, in time linear in both."""
+    after = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda j: F.slice(parts, F.coalesce(F.get(gone, j - 1), F.lit(-1)) + 2, F.coalesce(F.get(gone, j), F.size(parts)) - F.coalesce(F.get(gone, j - 1), F.lit(-1)) - 1))
+    return F.when(F.size(gone) == 0, parts).otherwise(F.flatten(after))
+
+
 def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without the removed lines, n_lines, n_removed, _k and, with rest, a struct _rest of those columns of docs."""
     base = keyed(docs, rest=rest)
-    texts = base.select("_k", "doc_id", "text")
+    texts = base.select("_k", "text")
     lines = base.select("_k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.char_length("line") >= min_chars)
     first = lines.select("_k", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct("_k", "no")).alias("m")).select("m._k", "m.no")
+    first = materialize(first)
 
     def pick(wanted: DataFrame) -> DataFrame:
         """_k, no, line of wanted (_k, no)."""
         lists = wanted.groupBy("_k").agg(F.collect_list("no").alias("want"))
-        rows = texts.join(lists.hint("shuffle_hash"), "_k").select("_k", "want", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-        return rows.where(F.array_contains("want", F.col("no"))).select("_k", "no", "line")
+        at = let(F.split("text", "\n"), lambda parts: F.transform("want", lambda n: F.struct(n.alias("no"), F.get(parts, n).alias("line"))))
+        return texts.join(lists.hint("shuffle_hash"), "_k").select("_k", F.inline(at))
 
-    pairs = similar_lines(pick(first), k)
+    pairs = materialize(similar_lines(pick(first), k))
     both = pairs.select(F.col("k1").alias("_k"), F.col("n1").alias("no")).unionByName(pairs.select(F.col("k2").alias("_k"), F.col("n2").alias("no"))).distinct()
-    text = pick(both)
+    text = materialize(pick(both))
     one = text.select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("line").alias("a"))
     two = text.select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("line").alias("b"))
     met = pairs.join(one, ["k1", "n1"]).join(two, ["k2", "n2"])
     near = met.where(near_texts(F.col("a"), F.col("b"), k)).select(F.col("k2").alias("_k"), F.col("n2").alias("no")).distinct()
     stay = first.join(near, ["_k", "no"], "left_anti").groupBy("_k").agg(F.collect_list("no").alias("stay"))
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda x, i: (F.char_length(x) < min_chars) | F.coalesce(F.array_contains("stay", i), F.lit(False)))
-    out = texts.join(stay.hint("shuffle_hash"), "_k", "left").select("_k", "doc_id", "text", F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), kept.alias("kept"))
-    done = out.select("doc_id", F.array_join("kept", "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).alias("n_removed"), "_k")
-    return done.join(base.select("_k", "_rest"), "_k") if rest else done
+
+    def cut(parts):
+        long = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) >= min_chars, i)), lambda i: i.isNotNull())
+        return let(F.array_except(long, F.coalesce("stay", F.array().cast("array<int>"))), lambda gone: F.struct(F.size(parts).alias("n_lines"), F.size(gone).alias("n_removed"), F.array_join(_without(parts, gone), "\n").alias("text")))
+
+    out = base.join(stay.hint("shuffle_hash"), "_k", "left").withColumn("done", let(F.split("text", "\n"), cut))
+    n = {c: F.when(F.col("text").isNull(), 0).otherwise(F.col(f"done.{c}")).alias(c) for c in ("n_lines", "n_removed")}
+    return out.select("doc_id", F.col("done.text").alias("text"), n["n_lines"], n["n_removed"], "_k", *["_rest"] * bool(rest))
