@@ -21,7 +21,7 @@ from .common import keyed, materialize
 
 EDITS, MIN_CHARS = 2, 20
 #: Letters whose counts are compared: the commonest of Latin-script languages, so that most edits change one.
-_LETTERS = "etanrisou"
+_LETTERS = "etanio"
 
 
 def index_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
@@ -125,7 +125,7 @@ def _letter_counts(line: Column) -> Column:
     """Counts of the letters, modulo 128, seven bits each in one integer."""
     x = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
-        n = F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
         x = x.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(128)).cast("long"), 7 * i))
     return x
 
@@ -141,7 +141,7 @@ def _counts_within(x: Column, y: Column, k: int) -> Column:
 
 def similar_lines(lines: DataFrame, k: int = EDITS) -> DataFrame:
     """Candidate pairs of lines (_k, no, line): distinct (k1, n1) before (k2, n2) that share a segment and agree in letter counts."""
-    rows = lines.select("_k", "no", "line", F.char_length("line").alias("len"), _letter_counts(F.col("line")).alias("c"))
+    rows = materialize(lines.select("_k", "no", "line", F.char_length("line").alias("len"), _letter_counts(F.col("line")).alias("c")))
     left = keyed_segments(rows, index_specs(k), k).select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("c").alias("c1"), "key")
     right = keyed_segments(rows, probe_specs(k), k).select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("c").alias("c2"), "key")
     other = (F.col("k1") != F.col("k2")) | (F.col("n1") != F.col("n2"))
