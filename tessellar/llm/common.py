@@ -40,7 +40,16 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None, **options)
     writer.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # the context's cleaner removes shuffles that nothing refers to any more
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of a materialized table that no later step reads, not even after a lost executor."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialize
+from .common import keyed, materialize, release
 
 EDITS, MIN_CHARS = 2, 20
 #: Letters whose counts are compared: the commonest of Latin-script languages, so that most edits change one.
@@ -38,13 +38,14 @@ def probe_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
     return [(less, i, d) for less in range(k + 1) for i in range(k + 1) for d in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
 
 
-def keyed_segments(rows: DataFrame, specs: list[tuple[int, int, int]], k: int = EDITS) -> DataFrame:
-    """rows (line, len and others) once for each spec whose substring exists: the others and key, a 64-bit hash.
+def keyed_segments(rows: DataFrame, specs: list[tuple[int, int, int]], k: int = EDITS, own: int = 0) -> DataFrame:
+    """rows (_k, tag, line, len) once for each spec whose substring exists: _k, tag and key, a 64-bit hash.
+
+    own is added to the tag where the substring is a segment of the line itself.
 
     Of k + 1 segments the last ones are the longer. One small expression per exploded row: fifteen of them in one row make
     a method too large to be compiled.
     """
-    others = [c for c in rows.columns if c not in ("line", "len")]
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("less", "i", "d"))]) for s in specs])
     out = rows.select("*", F.inline(table))
     of = F.col("len") - F.col("less")
@@ -52,7 +53,8 @@ def keyed_segments(rows: DataFrame, specs: list[tuple[int, int, int]], k: int =
     out = out.withColumn("over", F.col("i") - (k + 1) + F.col("longer"))
     n, at = F.col("size") + F.when(F.col("over") >= 0, 1).otherwise(0), F.col("i") * F.col("size") + F.greatest(F.col("over"), F.lit(0)) + F.col("d")
     out = out.withColumn("n", n).withColumn("at", at).where("of >= 0 AND at >= 0 AND at + n <= len")
-    return out.select(*others, F.xxhash64(F.substr("line", F.col("at") + 1, F.col("n")), "of", "i").alias("key"))
+    tag = F.col("tag") + F.when(F.expr("less = 0 AND d = 0"), own).otherwise(0)
+    return out.select("_k", tag.alias("tag"), F.xxhash64(F.substr("line", F.col("at") + 1, F.col("n")), "of", "i").alias("key"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -122,11 +124,11 @@ def near_texts(a: Column, b: Column, k: int = EDITS) -> Column:
 
 
 def _letter_counts(line: Column) -> Column:
-    """Counts of the letters, modulo 128, seven bits each in one integer."""
+    """Counts of the letters, modulo 16, four bits each in one integer."""
     x = F.lit(0).cast("long")
     for i, c in enumerate(_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        x = x.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(128)).cast("long"), 7 * i))
+        x = x.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 4 * i))
     return x
 
 
@@ -134,20 +136,69 @@ def _counts_within(x: Column, y: Column, k: int) -> Column:
     """An edit changes the counts by two at most, all together."""
     total = F.lit(0)
     for i in range(len(_LETTERS)):
-        d = F.pmod(F.shiftright(x, 7 * i).bitwiseAND(F.lit(127)) - F.shiftright(y, 7 * i).bitwiseAND(F.lit(127)), F.lit(128))
-        total = total + F.least(d, 128 - d)
+        d = F.pmod(F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(y, 4 * i).bitwiseAND(F.lit(15)), F.lit(16))
+        total = total + F.least(d, 16 - d)
     return total <= 2 * k
 
 
-def similar_lines(lines: DataFrame, k: int = EDITS) -> DataFrame:
-    """Candidate pairs of lines (_k, no, line): distinct (k1, n1) before (k2, n2) that share a segment and agree in letter counts."""
-    rows = materialize(lines.select("_k", "no", "line", F.char_length("line").alias("len"), _letter_counts(F.col("line")).alias("c")))
-    left = keyed_segments(rows, index_specs(k), k).select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("c").alias("c1"), "key")
-    right = keyed_segments(rows, probe_specs(k), k).select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("c").alias("c2"), "key")
-    other = (F.col("k1") != F.col("k2")) | (F.col("n1") != F.col("n2"))
-    met = left.join(right, (left["key"] == right["key"]) & other & _counts_within(F.col("c1"), F.col("c2"), k))
+def _no(tag: Column) -> Column:
+    return F.shiftright(tag, 25).cast("int")
+
+
+def meetings(lines: DataFrame, k: int = EDITS) -> DataFrame:
+    """Lines (_k, no, line) that meet others in the index: key, k2, tag2, the key's first line k1, tag1, and several.
+
+    A tag holds the line number, whether the key is one of the line's own segments, and its letter counts. Where one line
+    alone has the segment, rows that can't be near it are left out. Where several have it, every line that probes it stays,
+    with the first of them, so that the rows grow with the lines and not with the pairs.
+    """
+    counts = F.shiftleft(F.col("no").cast("long"), 25).bitwiseOR(_letter_counts(F.col("line")))
+    rows = materialize(lines.select("_k", counts.alias("tag"), "line", F.char_length("line").alias("len")))
+    index = keyed_segments(rows, index_specs(k), k).groupBy("key").agg(F.min("_k").alias("k1"), F.min_by("tag", "_k").alias("tag1"), (F.count("*") > 1).alias("several"))
+    own = 1 << 24
+    probe = keyed_segments(rows, probe_specs(k), k, own).select("key", F.col("_k").alias("k2"), F.col("tag").alias("tag2"))
+    other = (F.col("k1") != F.col("k2")) | (_no(F.col("tag1")) != _no(F.col("tag2")))
+    met = probe.join(index, "key").where(F.col("several") | (other & _counts_within(F.col("tag1"), F.col("tag2"), k)))
+    out = materialize(met)
+    release(rows)
+    return out
+
+
+def _pairs(met: DataFrame, k: int) -> DataFrame:
+    """Distinct (k1, n1) before (k2, n2) of met (k1, tag1, k2, tag2) whose letter counts agree."""
+    met = met.select("k1", _no(F.col("tag1")).alias("n1"), "k2", _no(F.col("tag2")).alias("n2"), F.col("tag1").alias("c1"), F.col("tag2").alias("c2")).where(((F.col("k1") != F.col("k2")) | (F.col("n1") != F.col("n2"))) & _counts_within(F.col("c1"), F.col("c2"), k))
     one, two = F.struct(F.col("k1").alias("k"), F.col("n1").alias("n")), F.struct(F.col("k2").alias("k"), F.col("n2").alias("n"))
-    return met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).distinct().select(F.col("one.k").alias("k1"), F.col("one.n").alias("n1"), F.col("two.k").alias("k2"), F.col("two.n").alias("n2"))
+    return met.select(F.least(one, two).alias("one"), F.greatest(one, two).alias("two")).select(F.col("one.k").alias("k1"), F.col("one.n").alias("n1"), F.col("two.k").alias("k2"), F.col("two.n").alias("n2")).distinct()
+
+
+def _later(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
+    """The later line (_k, no) of each pair whose texts are within k edits."""
+    one = text.select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("line").alias("a"))
+    two = text.select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("line").alias("b"))
+    met = pairs.join(one, ["k1", "n1"]).join(two, ["k2", "n2"])
+    return met.where(near_texts(F.col("a"), F.col("b"), k)).select(F.col("k2").alias("_k"), F.col("n2").alias("no")).distinct()
+
+
+def near_lines(lines: DataFrame, pick, k: int = EDITS) -> DataFrame:
+    """_k, no of the lines within k edits of an earlier one; pick(wanted) gives the texts of wanted (_k, no).
+
+    First every line is held against the first line of each segment it meets. Lines that go by that need no further pair:
+    in a large group of near copies few are left. Those are held against all earlier lines that share a segment.
+    """
+    met = meetings(lines, k)
+    both = met.select(F.col("k1").alias("_k"), _no(F.col("tag1")).alias("no")).unionByName(met.select(F.col("k2").alias("_k"), _no(F.col("tag2")).alias("no"))).distinct()
+    text = materialize(pick(both))
+    gone = materialize(_later(materialize(_pairs(met, k)), text, k))
+    members = met.where("several").select("key", F.col("k2").alias("_k"), F.col("tag2").alias("tag"), _no(F.col("tag2")).alias("no"))
+    members = members.join(gone.withColumn("gone", F.lit(True)), ["_k", "no"], "left").withColumn("gone", F.col("gone").isNotNull())
+    members = materialize(members)
+    x, y = members.alias("x"), members.where(F.shiftright("tag", 24).bitwiseAND(F.lit(1)) == 1).alias("y")
+    order = (F.col("x._k") > F.col("y._k")) | ((F.col("x._k") == F.col("y._k")) & (F.col("x.no") > F.col("y.no")))
+    open_ = F.when(order, ~F.col("x.gone")).otherwise(~F.col("y.gone"))
+    other = (F.col("x._k") != F.col("y._k")) | (F.col("x.no") != F.col("y.no"))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & other & open_ & _counts_within(F.col("x.tag"), F.col("y.tag"), k))
+    more = _pairs(more.select(F.col("x._k").alias("k1"), F.col("x.tag").alias("tag1"), F.col("y._k").alias("k2"), F.col("y.tag").alias("tag2")), k)
+    return gone.unionByName(materialize(_later(materialize(more), text, k)))
 
 
 def _without(parts: Column, gone: Column) -> Column:
@@ -170,13 +221,7 @@ def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest
         at = let(F.split("text", "\n"), lambda parts: F.transform("want", lambda n: F.struct(n.alias("no"), F.get(parts, n).alias("line"))))
         return texts.join(lists.hint("shuffle_hash"), "_k").select("_k", F.inline(at))
 
-    pairs = materialize(similar_lines(pick(first), k))
-    both = pairs.select(F.col("k1").alias("_k"), F.col("n1").alias("no")).unionByName(pairs.select(F.col("k2").alias("_k"), F.col("n2").alias("no"))).distinct()
-    text = materialize(pick(both))
-    one = text.select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("line").alias("a"))
-    two = text.select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("line").alias("b"))
-    met = pairs.join(one, ["k1", "n1"]).join(two, ["k2", "n2"])
-    near = met.where(near_texts(F.col("a"), F.col("b"), k)).select(F.col("k2").alias("_k"), F.col("n2").alias("no")).distinct()
+    near = near_lines(pick(first), pick, k)
     stay = first.join(near, ["_k", "no"], "left_anti").groupBy("_k").agg(F.collect_list("no").alias("stay"))
 
     def cut(parts):
