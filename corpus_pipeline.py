@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = _lines.line_dedup(docs, rest=tuple(docs.columns)).where("n_removed = 0 OR trim(text) != ''")
+    out = _lines.line_dedup(docs, rest=tuple(docs.columns)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)\S"))
     new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
 

@@ -1,6 +1,7 @@
 """Removal of lines that are equal to an earlier line or within a few edits of one, by a segment-partition edit join.
 
-DataFrame functions only. Of each distinct line of MIN_CHARS characters or more the first occurrence stands for it.
+DataFrame functions only. Of each distinct line that isn't blank, however short, the first occurrence stands for it. Lines
+of MIN_CHARS characters or more are also held against each other within a few edits, which mean nothing on shorter ones.
 With threshold k a line is cut into k + 1 segments; a line within k edits has one of them unchanged, and the position it
 can have there is bounded by the edits before and after it. So each line puts its segments into an index keyed by length,
 segment and content, and probes it with the few substrings that can match lines of its own length down to k less. Pairs
@@ -8,7 +9,7 @@ that meet are first held against their counts of common letters, inside the join
 bit-parallel edit distance on the band of 2k + 1 diagonals, after common ends are cut off.
 
 A line goes if it is not the first of its equals, or if an earlier line (by doc_id, then line number) is within k edits
-of it, whether that line itself stays or not. Shorter lines always stay. Lines end at a line feed. Null counts as an empty
+of it, both of MIN_CHARS or more, whether that line itself stays or not. Shorter lines of white space alone always stay. Lines end at a line feed. Null counts as an empty
 text and stays null. Repeated rows are separate documents, in the order of (doc_id, text).
 """
 
@@ -207,13 +208,18 @@ def _without(parts: Column, gone: Column) -> Column:
     return F.when(F.size(gone) == 0, parts).otherwise(F.flatten(after))
 
 
+def _counted(line: Column, min_chars: int) -> Column:
+    """Whether equal lines are removed: those with a visible character, and white space of min_chars or more."""
+    return (F.char_length(line) >= min_chars) | line.rlike(r"(?U)\S")
+
+
 def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without the removed lines, n_lines, n_removed, _k and, with rest, a struct _rest of those columns of docs."""
     base = keyed(docs, rest=rest)
     texts = base.select("_k", "text")
-    lines = base.select("_k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.char_length("line") >= min_chars)
-    first = lines.select("_k", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct("_k", "no")).alias("m")).select("m._k", "m.no")
-    first = materialize(first)
+    lines = base.select("_k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(_counted(F.col("line"), min_chars))
+    hashes = lines.select("_k", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.char_length("line") >= min_chars).alias("long"))
+    first = materialize(hashes.groupBy("h1", "h2", "long").agg(F.min(F.struct("_k", "no")).alias("m")).select("m._k", "m.no", "long"))
 
     def pick(wanted: DataFrame) -> DataFrame:
         """_k, no, line of wanted (_k, no)."""
@@ -221,12 +227,12 @@ def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest
         at = let(F.split("text", "\n"), lambda parts: F.transform("want", lambda n: F.struct(n.alias("no"), F.get(parts, n).alias("line"))))
         return texts.join(lists.hint("shuffle_hash"), "_k").select("_k", F.inline(at))
 
-    near = near_lines(pick(first), pick, k)
+    near = near_lines(pick(first.where("long")), pick, k)
     stay = first.join(near, ["_k", "no"], "left_anti").groupBy("_k").agg(F.collect_list("no").alias("stay"))
 
     def cut(parts):
-        long = F.filter(F.transform(parts, lambda x, i: F.when(F.char_length(x) >= min_chars, i)), lambda i: i.isNotNull())
-        return let(F.array_except(long, F.coalesce("stay", F.array().cast("array<int>"))), lambda gone: F.struct(F.size(parts).alias("n_lines"), F.size(gone).alias("n_removed"), F.array_join(_without(parts, gone), "\n").alias("text")))
+        counted = F.filter(F.transform(parts, lambda x, i: F.when(_counted(x, min_chars), i)), lambda i: i.isNotNull())
+        return let(F.array_except(counted, F.coalesce("stay", F.array().cast("array<int>"))), lambda gone: F.struct(F.size(parts).alias("n_lines"), F.size(gone).alias("n_removed"), F.array_join(_without(parts, gone), "\n").alias("text")))
 
     out = base.join(stay.hint("shuffle_hash"), "_k", "left").withColumn("done", let(F.split("text", "\n"), cut))
     n = {c: F.when(F.col("text").isNull(), 0).otherwise(F.col(f"done.{c}")).alias(c) for c in ("n_lines", "n_removed")}

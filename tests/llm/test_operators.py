@@ -136,6 +136,13 @@ def test_line_dedup(spark, odd):
     assert got[5] == ("the same line of text, twice over\nshort", 1) and got[6] == ("other words here", 1) and got[3] == (None, 0) and got[4] == ("", 0)
 
 
+def test_line_dedup_short_lines(spark):
+    texts = ["Les.\n\nIt is a line of more than twenty characters\n \nYes.", "Les.\n\nNo.\nLes.\n \nYet.", "Les.\n\nNo."]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0, "x") for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {0: (texts[0], 5, 0), 1: ("\nNo.\n \nYet.", 6, 2), 2: ("", 3, 2)}
+
+
 def test_decontaminate(spark, odd):
     edited = PASSAGE.replace("word7 ", "other ").replace("word30 ", "").replace("word44", "new words").upper()
     docs = odd.union(spark.createDataFrame([(20, "intro " + edited + " end", "en", "s", 0, "x")], SCHEMA))

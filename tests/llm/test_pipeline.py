@@ -7,3 +7,10 @@ def test_pipeline(spark, sf):
     assert 0 < out.count() <= docs.count()
     assert out.where("NOT round_trip").count() == 0
     assert out.select("doc_id").distinct().count() == out.count()
+
+
+def test_line_dedup_drops_whole_copies(spark):
+    text = "Les.\n\nA line that has more than twenty characters\n \t\nYes.\n"
+    docs = spark.createDataFrame([(1, text, 0), (2, text, 0), (3, " \n", 0), (4, "Les.\n\nNo.", 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: (text, len(text)), 3: (" \n", 2), 4: ("\nNo.", 4)}
