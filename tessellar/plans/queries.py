@@ -390,19 +390,20 @@ def stage_timings(spark, sf_dir):
     return T.timings(e.select(F.col("event_type").alias("stage"), F.col("value").alias("ms"))).select("stage", F.round("ms", 4).alias("ms"))
 
 
-def _paths(spark, sf_dir):
-    p = px(spark, sf_dir).where("x < 12").groupBy("y").agg(F.array_sort(F.collect_list(F.struct("pid", "r", "g"))).alias("ps"))
+def _paths(pixels):
+    p = pixels.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("pid", "r", "g"))).alias("ps"))
     return p.select("y", F.transform("ps", lambda q: F.struct(q.r.cast("double").alias("x"), q.g.cast("double").alias("y"))).alias("points"))
 
 
 @query("shoelace", f"WITH {_PX}, p AS (SELECT *, lead(r) OVER w AS r2, lead(g) OVER w AS g2, first(r) OVER w AS r0, first(g) OVER w AS g0 FROM px WHERE x < 12 WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, abs(sum(r * coalesce(g2, g0) - coalesce(r2, r0) * g))::DOUBLE / 2 AS area FROM p GROUP BY y")
 def shoelace(spark, sf_dir):
-    return _paths(spark, sf_dir).select("y", O.shoelace(F.col("points")).alias("area"))
+    # the SQL takes the first twelve pixels of a row
+    return _paths(px(spark, sf_dir).where("x < 12")).select("y", O.shoelace(F.col("points")).alias("area"))
 
 
 @query("svg_document")
 def svg_document(spark, sf_dir):
-    rows = _paths(spark, sf_dir).select(F.lit("events").alias("image_id"), F.col("y").cast("long").alias("facet_id"), F.lit("#20FF00").alias("hex"), "points")
+    rows = _paths(px(spark, sf_dir)).select(F.lit("events").alias("image_id"), F.col("y").cast("long").alias("facet_id"), F.lit("#20FF00").alias("hex"), "points")
     return O.svg(rows, 256, 256)
 
 

@@ -1,5 +1,7 @@
 """Raster queries against SQL on another engine, and cases worked out by hand."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,16 @@ def test_chunks_throttle_and_pole(spark):
     assert O.halve([(0, 0), (1, 1), (2, 2)], 9, 9) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_svg_document_holds_every_pixel(spark, sf):
+    svg = QUERIES["svg_document"](spark, sf).first().svg
+    paths = {int(y): d for y, d in re.findall(r'data-facetId="(\d+)" d="([^"]*)"', svg)}
+    whole = {y: [] for y in paths}
+    for r in S.raster_from_events(spark, sf).orderBy("pid").collect():
+        whole[r.y].append((float(r.r), float(r.g)))
+    frame = spark.createDataFrame(list(whole.items()), "y int, points array<struct<x: double, y: double>>")
+    assert paths == {r.y: r.d for r in frame.select("y", O.path_data(F.col("points")).alias("d")).collect()}
+
+
 def test_areas_add_up_and_png(spark, sf):
     px = S.raster_from_events(spark, sf)
     assert R.region_table(R.region_map(px)).agg(F.sum("area")).first()[0] == px.count()
