@@ -7,8 +7,8 @@ byte trigrams gives log-likelihoods of the text. Then, all by grouped aggregatio
 The logarithms are added and normalised. A record is kept if its text has evidence and the best language has at least
 MIN_PROBABILITY.
 
-The model is fitted on at most about SAMPLE labelled texts of each language, chosen by a hash of the text; everything else
-covers all records. Null and empty texts have no evidence and are not kept. A null host, declaration or suffix says nothing.
+The model is fitted on every label, on at most about SAMPLE texts of each, chosen by a hash of the text; everything else
+covers all records. Texts are counted and scored for BLOCK languages at a time. Null and empty texts have no evidence and are not kept. A null host, declaration or suffix says nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, record_batch, ship, utf8, spans
 
-SAMPLE, FEATURES, MIN_PROBABILITY, SMOOTH, LANGUAGES = 2000, 1 << 15, 0.5, 20.0, 64
+SAMPLE, FEATURES, MIN_PROBABILITY, SMOOTH, BLOCK = 2000, 1 << 15, 0.5, 20.0, 64
 #: Trigrams of a text are not independent: so many count as much as one.
 TEMPER = 8.0
 _MODEL = pa.schema([("lang", pa.string()), ("f", pa.int32()), ("n", pa.int64())])
@@ -44,26 +44,33 @@ def fit(records: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray
     """(languages, log-probabilities of features) from (text, label)."""
     ship(records.sparkSession)
     known = records.where("label IS NOT NULL AND text IS NOT NULL AND label != ''")
-    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         raise ValueError("no labelled text to fit on")
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.try_element_at(share, F.col("label")) * 1_000_003)
 
+    def batches(table: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for label, n in table.items():
+            at = np.flatnonzero(n)
+            yield record_batch(_MODEL, [label] * len(at), at.astype(np.int32), n[at])
+
     def count(it: Iterator[pa.RecordBatch]):
         table: dict[str, np.ndarray] = {}
         for b in it:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 f = features(np.frombuffer(text.encode(), np.uint8))
                 table[label] = table.get(label, 0) + np.bincount(f, minlength=FEATURES)
-        for label, n in table.items():
-            at = np.flatnonzero(n)
-            yield record_batch(_MODEL, [label] * len(at), at.astype(np.int32), n[at])
+                if len(table) >= BLOCK:
+                    yield from batches(table)
+                    table = {}
+        yield from batches(table)
 
     langs = sorted(counts)
+    column = {lang: i for i, lang in enumerate(langs)}
     model = np.full((FEATURES, len(langs)), 0.5)
     for r in chosen.select("label", "text").mapInArrow(count, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")).toLocalIterator():
-        model[r.f, langs.index(r.lang)] += r.n
+        model[r.f, column[r.lang]] += r.n
     return langs, np.log(model / model.sum(0)).astype(np.float32)
 
 
@@ -100,8 +107,9 @@ def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list
                 if len(some):
                     # trigrams that cross texts are left out by ending each text two earlier
                     edges = np.stack([o[some], o[some] + n[some]], 1).reshape(-1)
-                    rows = model[np.append(f, 0)]
-                    sums[some] = np.add.reduceat(rows, edges, axis=0)[::2]
+                    at = np.append(f, 0)
+                    for c in range(0, k, BLOCK):
+                        sums[some, c : c + BLOCK] = np.add.reduceat(model[:, c : c + BLOCK][at], edges, axis=0)[::2]
                 total = sums / np.maximum(TEMPER, 1)
                 total -= total.max(1, keepdims=True)
                 p = np.exp(total)

@@ -167,6 +167,17 @@ def test_language_id_odd(docs, odd):
     assert (3, False) in keep and (4, False) in keep and (5, True) in keep
 
 
+def test_language_id_fits_every_label(spark):
+    rng = np.random.default_rng(2)
+    words = {f"l{i:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(6)] for i in range(70)}
+    texts = [(i, " ".join(rng.choice(w, 30)), lang, "s", 0, "x") for i, (lang, w) in enumerate((lang, w) for lang, w in words.items() for _ in range(2 if lang == "l69" else 3))]
+    docs = spark.createDataFrame(texts, SCHEMA)
+    langs, model = language_id.fit_documents(docs)
+    assert langs == sorted(words)
+    got = language_id.identify(language_id.document_records(docs, "doc_id"), langs, model, ["doc_id"]).collect()
+    assert {(r.doc_id, r.identified) for r in got} == {(r[0], r[2]) for r in texts}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = [(int(i), [float(x) for x in rng.normal(0, 0.1, 8)]) for i in range(300)]
