@@ -1,20 +1,22 @@
 """Language identification by Bayesian fusion of evidence.
 
-Each record has a text, and may have a host, a declared markup language and an address suffix. A naive Bayes model over
+Each record has a text, and may have a host, a declared markup language, an address suffix (the host's last label) and an
+address segment (two letters that begin the path). A naive Bayes model over
 byte trigrams gives log-likelihoods of the text. Then, all by grouped aggregation over every record:
   * host priors: expected languages per host, smoothed towards the host's domain, that towards all records;
-  * how far a declaration or an address suffix can be trusted: expected languages of the records that carry it.
+  * how far a declaration, an address suffix or an address segment can be trusted: expected languages of the records that carry it.
 The logarithms are added and normalised. A record is kept if its text has evidence and the best language has at least
 MIN_PROBABILITY.
 
 The model is fitted on every label, on at most about SAMPLE texts of each, chosen by a hash of the text; everything else
-covers all records. Texts are counted and scored for BLOCK languages at a time. Null and empty texts have no evidence and are not kept. A null host, declaration or suffix says nothing.
+covers all records. Texts are counted and scored for BLOCK languages at a time. Null and empty texts have no evidence and are not kept. A null host, declaration, suffix or segment says nothing.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from .common import materialize, record_batch, ship, utf8, spans
 SAMPLE, FEATURES, MIN_PROBABILITY, SMOOTH, BLOCK = 2000, 1 << 15, 0.5, 20.0, 64
 #: Trigrams of a text are not independent: so many count as much as one.
 TEMPER = 8.0
+_SIGNS = ("declared", "suffix", "segment")
 _MODEL = pa.schema([("lang", pa.string()), ("f", pa.int32()), ("n", pa.int64())])
 _TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
 _LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
@@ -75,21 +78,21 @@ def fit(records: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """page_id, text, host, domain, declared, suffix from url and html, by DataFrame functions."""
+    """page_id, text, host, domain, declared, suffix, segment from url and html, by DataFrame functions."""
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
-    suffix = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))
+    segment = F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://[^/]+/([a-zA-Z]{2})(?:[/?#]|$)", 1))
     text = F.regexp_replace("html", r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<!--.*?-->|<[^>]*>", " ")
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
     blank = lambda c: F.when(c != "", c)
-    return pages.select("page_id", text.alias("text"), blank(host).alias("host"), blank(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"), blank(declared).alias("declared"), blank(suffix).alias("suffix"))
+    return pages.select("page_id", text.alias("text"), blank(host).alias("host"), blank(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)).alias("domain"), blank(declared).alias("declared"), blank(F.regexp_extract(host, r"\.([^.0-9][^.]*)\.?$", 1)).alias("suffix"), blank(segment).alias("segment"))
 
 
 def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list[str], min_probability: float = MIN_PROBABILITY) -> DataFrame:
-    """keys, lang, probability, keep of records (keys, text, host, domain, declared, suffix)."""
+    """keys, lang, probability, keep of records (keys, text, host, domain, declared, suffix, segment)."""
     spark = records.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    rest = [*keys, "host", "domain", "declared", "suffix"]
+    rest = [*keys, "host", "domain", *_SIGNS]
     source = records.select("text", *rest)
     kinds = dict(source.dtypes)
 
@@ -139,15 +142,16 @@ def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list
     domains = table("domain").select(F.col("domain").alias("_domain"), smoothed(array(), everywhere).alias("above"))
     hosts = table("host").join(domains, F.col("domain") == F.col("_domain"), "left").select(F.col("host").alias("_host"), F.col("domain").alias("_hd"), smoothed(array(), F.coalesce("above", everywhere)).alias("prior"))
     says = {}
-    for by in ("declared", "suffix"):
+    for by in _SIGNS:
         # likelihood of the sign given a language: what its records were, over what all records are
         says[by] = table(by).select(F.col(by).alias(f"_{by}"), F.zip_with(smoothed(array(), everywhere), everywhere, lambda x, y: F.log(x / y)).alias(f"{by}_log"))
     none = F.array(*[F.lit(0.0)] * k)
     out = scored.join(hosts, (F.col("host") == F.col("_host")) & F.col("domain").eqNullSafe(F.col("_hd")), "left")
-    out = out.join(says["declared"], F.col("declared") == F.col("_declared"), "left").join(says["suffix"], F.col("suffix") == F.col("_suffix"), "left")
+    for by in _SIGNS:
+        out = out.join(says[by], F.col(by) == F.col(f"_{by}"), "left")
     prior = F.transform(F.coalesce("prior", everywhere), lambda x: F.log(x))
     add = lambda x, y: F.zip_with(x, y, lambda a, b: a + b)
-    out = out.withColumn("post", add(add(F.col("ll"), prior), add(F.coalesce("declared_log", none), F.coalesce("suffix_log", none))))
+    out = out.withColumn("post", reduce(add, [F.coalesce(f"{by}_log", none) for by in _SIGNS], add(F.col("ll"), prior)))
     best = F.array_max("post")
     names = F.array(*map(F.lit, langs))
     found = F.get(names, (F.array_position("post", best) - 1).cast("int"))
@@ -159,7 +163,7 @@ def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list
 def document_records(docs: DataFrame, *keys: str) -> DataFrame:
     """Records of documents: source is the host, lang the declared language."""
     null = F.lit(None).cast("string")
-    return docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), null.alias("domain"), F.col("lang").cast("string").alias("declared"), null.alias("suffix"))
+    return docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), null.alias("domain"), F.col("lang").cast("string").alias("declared"), null.alias("suffix"), null.alias("segment"))
 
 
 def fit_documents(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:

@@ -178,6 +178,17 @@ def test_language_id_fits_every_label(spark):
     assert {(r.doc_id, r.identified) for r in got} == {(r[0], r[2]) for r in texts}
 
 
+def test_language_id_address_suffix(spark):
+    urls = ["https://a.example.de/fr/x", "http://b.org.:80/", "http://192.0.2.7/de", "https://u@C.Example.UK?x=y", None]
+    pages = spark.createDataFrame([(i, u, "<html></html>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert rows(language_id.page_records(pages), "page_id", "suffix", "segment") == [(0, "de", "fr"), (1, "org", None), (2, None, "de"), (3, "uk", None), (4, None, None)]
+    texts = [(i, f"http://h{i}.{'de' if i % 2 else 'fr'}/", "aaaaaa bbbbbb" * 9 if i % 2 else "cccccc dddddd" * 9) for i in range(200)] + [(200, "http://new.de/", "xyz"), (201, "http://new.fr/", "xyz")]
+    docs = spark.createDataFrame([(i, t, "de" if i % 2 else "fr", "s", 0, "x") for i, _, t in texts[:200]], SCHEMA)
+    langs, model = language_id.fit_documents(docs)
+    found = language_id.identify(language_id.page_records(spark.createDataFrame(texts, "page_id long, url string, html string")), langs, model, ["page_id"])
+    assert {(r.page_id, r.identified) for r in found.where("page_id >= 200").collect()} == {(200, "de"), (201, "fr")}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = [(int(i), [float(x) for x in rng.normal(0, 0.1, 8)]) for i in range(300)]
