@@ -8,7 +8,8 @@ from the most significant slice downwards; rows that the low bits could still li
 exact product. The blocks' best meet in one small list per query.
 
 Components are floor(1024 * x). Vectors that are null, empty or hold null or non-finite components take no part, and only
-vectors of one length are compared. A query never finds its own row, but finds others that repeat its id or its vector; query
+vectors of one length are compared. Scores that could leave 64 bits are worked out in wider integers; a component or a result
+that does not fit into 64 bits is an error. A query never finds its own row, but finds others that repeat its id or its vector; query
 rows that repeat both count once. Ties go to the smaller vec_id.
 """
 
@@ -72,7 +73,7 @@ class BitSliced:
                             by_weight.append([])
                         by_weight[b + c].append(s)
         low = (1 << self.shift) - 1
-        lift, drop = low * int(np.maximum(query, 0).sum()), low * int(np.minimum(query, 0).sum())
+        lift, drop = low * sum(max(q, 0) for q in query.tolist()), low * sum(min(q, 0) for q in query.tolist())
         out, w = [], 0
         while w < len(by_weight):
             column = by_weight[w]
@@ -139,8 +140,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     ship(spark)
 
     def whole(df: DataFrame) -> DataFrame:
-        v = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * 1024).cast("long"))
-        sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(1e12))), F.lit(False))
+        v = F.transform(F.col("embedding"), lambda x: F.when(F.abs(x.cast("double")) < F.lit(2.0**53), F.floor(x.cast("double") * 1024).cast("long")).otherwise(F.raise_error(F.lit("a component times 1024 does not fit into 64 bits"))))
+        sound = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))), F.lit(False))
         return df.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & sound & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dims"), v.alias("v"), F.xxhash64("embedding").alias("h"))
 
     rows, asked = whole(vectors), whole(queries).dropDuplicates(["vec_id", "h"])
@@ -177,14 +178,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
                 if built is None:
                     every, vec = np.concatenate(ids), np.concatenate(parts)
                     built = BitSliced(vec)
+                    most = max(-int(vec.min()), int(vec.max()))
                 out = ([], [], [])
                 for query_id, query in zip(np.asarray(part.column(3)).tolist(), matrix(part.column(4), at[0])):
                     found = built.candidates(query, k + 1)
                     own = (every[found] == query_id) & (vec[found] == query).all(1)
                     if own.any():  # its own row, one of equals
                         found = np.delete(found, np.flatnonzero(own)[0])
-                    score = vec[found] @ query
-                    best = np.lexsort((every[found], -score))[:k]
+                    if at[0] * most * max(-int(query.min()), int(query.max())) < 1 << 63:
+                        score = vec[found] @ query
+                        best = np.lexsort((every[found], -score))[:k]
+                    else:
+                        score = vec[found].astype(object) @ query.astype(object)
+                        best = np.array(sorted(range(len(found)), key=lambda j: (-score[j], every[found[j]]))[:k], np.int64)
+                        if any(not -(1 << 63) <= s < 1 << 63 for s in score[best]):
+                            raise OverflowError("a score does not fit into 64 bits")
+                        score = np.array([max(-(1 << 63), min(s, (1 << 63) - 1)) for s in score], np.int64)
                     for column, x in zip(out, (np.full(len(best), query_id), every[found][best], score[best])):
                         column.append(x)
                 yield record_batch(_OUT, *map(np.concatenate, out))

@@ -205,6 +205,20 @@ def test_top_k(spark):
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
 
 
+def test_top_k_large_components(spark):
+    v = [(0, [0.5, 0.25]), (1, [2e12, 0.0]), (2, [-1e13, 3.0]), (3, [1.0, 1.0]), (4, [8e12, 8e12]), (5, [float("inf"), 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    m = [[int(np.floor(x * 1024)) for x in e] for _, e in v[:5]]
+    score = {j: m[0][0] * e[0] + m[0][1] * e[1] for j, e in enumerate(m)}
+    want = [(0, r + 1, j, score[j]) for r, j in enumerate(sorted(range(1, 5), key=lambda j: -score[j]))]
+    assert rows(topk.top_k(df, df.where("vec_id = 0")), "query_id", "rank", "vec_id", "score") == want
+    with pytest.raises(Exception, match="does not fit into 64 bits"):
+        topk.top_k(df, df.where("vec_id = 1")).collect()
+    huge = spark.createDataFrame([(0, [1.0]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit into 64 bits"):
+        topk.top_k(huge, huge.where("vec_id = 0")).collect()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     for f in (recompression.substring_dedup, suffix_dedup.suffix_dedup, token_store.tokenized, token_counts.section_tokens, sentencepiece_codec.encoded, ngram_join.ngram_join, line_dedup.line_dedup):
