@@ -124,10 +124,11 @@ def paintability(regions: DataFrame, min_area: int) -> DataFrame:
     )
 
 
-def label_points(pixels: DataFrame, limit: int = 64) -> DataFrame:
+def label_points(pixels: DataFrame) -> DataFrame:
     """The pixel of each region farthest from anything else (exact distance), first in raster order, and that distance.
 
-    Distances along rows come from windows; each column then looks so far up and down as its row distance allows.
+    Distances along rows come from windows; each pixel then looks up and down as far as the nearer of its
+    row distance and the next region in its column, beyond which nothing can be nearer.
     """
     inf = 1 << 20
     ahead, back = along_row().rowsBetween(0, Window.unboundedFollowing), along_row().rowsBetween(Window.unboundedPreceding, 0)
@@ -136,8 +137,14 @@ def label_points(pixels: DataFrame, limit: int = 64) -> DataFrame:
     p = pixels.select("image_id", "x", "y", "region_id", F.when(ends, F.col("x")).alias("e"), F.when(starts, F.col("x")).alias("s"))
     p = p.select("image_id", "x", "y", "region_id", F.least(F.first("e", True).over(ahead) - F.col("x"), F.col("x") - F.last("s", True).over(back)).alias("g"))
     p = p.withColumn("g", F.least(F.col("g") + 1, F.lit(inf)))
+    column = Window.partitionBy("image_id", "x").orderBy("y")
+    below, above = column.rowsBetween(0, Window.unboundedFollowing), column.rowsBetween(Window.unboundedPreceding, 0)
+    last = F.coalesce(F.lead("region_id").over(column) != F.col("region_id"), F.lit(True))
+    top = F.coalesce(F.lag("region_id").over(column) != F.col("region_id"), F.lit(True))
+    p = p.select("*", F.when(last, F.col("y")).alias("e"), F.when(top, F.col("y")).alias("s"))
+    p = p.select("image_id", "x", "y", "region_id", "g", F.least("g", F.first("e", True).over(below) - F.col("y") + 1, F.col("y") - F.last("s", True).over(above) + 1).alias("far"))
     rows = p.select("image_id", "x", F.col("y").alias("y2"), F.col("region_id").alias("other"), F.col("g").alias("g2"))
-    own = p.select("image_id", "x", "y", "region_id", "g", F.explode(F.sequence(F.col("y") - F.least("g", F.lit(limit)), F.col("y") + F.least("g", F.lit(limit)))).alias("y2"))
+    own = p.select("image_id", "x", "y", "region_id", "g", F.explode(F.sequence(F.col("y") - F.col("far"), F.col("y") + F.col("far"))).alias("y2"))
     met = own.join(rows, ["image_id", "x", "y2"], "left")
     dy = F.col("y2") - F.col("y")
     d2 = dy * dy + F.when(F.coalesce(F.col("other") == F.col("region_id"), F.lit(False)), F.col("g2") * F.col("g2")).otherwise(0)

@@ -91,6 +91,16 @@ def test_chunks_throttle_and_pole(spark):
     assert O.halve([(0, 0), (1, 1), (2, 2)], 9, 9) == [(0, 0), (1, 1), (2, 2)]
 
 
+def test_label_point_of_a_large_region(spark):
+    px = spark.range(300 * 150).selectExpr("'i' AS image_id", "cast(id % 300 AS int) AS x", "cast(id div 300 AS int) AS y", "0 AS region_id")
+    hole = F.when((F.col("x") == 100) & (F.col("y") == 74), 1).otherwise(0).alias("region_id")
+    assert [tuple(r)[2:] for r in R.label_points(px).collect()] == [(74, 74, 75.0)]
+    got = {r.region_id: (r.x, r.y, r.radius) for r in R.label_points(px.select("image_id", "x", "y", hole)).collect()}
+    at = {(x, y): min(x + 1, 300 - x, y + 1, 150 - y, ((x - 100) ** 2 + (y - 74) ** 2) ** 0.5) for y in range(150) for x in range(300)}
+    x, y = max(at, key=lambda p: (at[p], -p[1], -p[0]))
+    assert got == {0: (x, y, round(at[x, y], 6)), 1: (100, 74, 1.0)}
+
+
 def test_svg_document_holds_every_pixel(spark, sf):
     svg = QUERIES["svg_document"](spark, sf).first().svg
     paths = {int(y): d for y, d in re.findall(r'data-facetId="(\d+)" d="([^"]*)"', svg)}
