@@ -44,12 +44,12 @@ def features(data: np.ndarray) -> np.ndarray:
 
 
 def fit(records: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities of features) from (text, label)."""
+    """(languages, log-probabilities of features) from (text, label); no language where nothing has a label."""
     ship(records.sparkSession)
     known = records.where("label IS NOT NULL AND text IS NOT NULL AND label != ''")
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled text to fit on")
+        return [], np.zeros((FEATURES, 0), np.float32)
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
     chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.try_element_at(share, F.col("label")) * 1_000_003)
 
@@ -88,7 +88,9 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list[str], min_probability: float = MIN_PROBABILITY) -> DataFrame:
-    """keys, lang, probability, keep of records (keys, text, host, domain, declared, suffix, segment)."""
+    """keys, lang, probability, keep of records (keys, text, host, domain, declared, suffix, segment); without languages none is kept."""
+    if not langs:
+        return records.select(*keys, F.lit(None).cast("string").alias("identified"), F.lit(None).cast("double").alias("probability"), F.lit(False).alias("keep"))
     spark = records.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -189,6 +189,14 @@ def test_language_id_address_suffix(spark):
     assert {(r.page_id, r.identified) for r in found.where("page_id >= 200").collect()} == {(200, "de"), (201, "fr")}
 
 
+def test_language_id_without_labels(spark, odd):
+    for docs in (odd.limit(0), odd.withColumn("lang", language_id.F.lit(None).cast("string"))):
+        langs, model = language_id.fit_documents(docs)
+        got = language_id.identify(language_id.document_records(docs, "doc_id"), langs, model, ["doc_id"])
+        assert langs == [] and got.columns == ["doc_id", "identified", "probability", "keep"]
+        assert got.count() == docs.count() and got.where("keep OR identified IS NOT NULL").count() == 0
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     v = [(int(i), [float(x) for x in rng.normal(0, 0.1, 8)]) for i in range(300)]
