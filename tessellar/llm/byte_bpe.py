@@ -1,23 +1,29 @@
 """Whole texts to ids of a byte-level BPE vocabulary file, by the tokenizers library, each distinct stretch once per worker.
 
-The vocabulary's pattern always starts a new stretch at a space before a character other than white space, and between a
-letter or digit and ASCII punctuation but the apostrophe, and around a line feed that stands alone, so such stretches are
-encoded on their own and kept. A text with any other kind of stretch is encoded as it is.
+The vocabulary's pre-tokeniser cuts a text by the pattern  's|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?[^\\s L N]+|\\s+(?!\\S)|\\s+
+and merges never cross a cut. So these places are cuts whatever stands around them, and a text may be encoded in parts there:
+  * between a visible character and white space: no alternative has white space after a visible character;
+  * in white space before a visible character, in front of the last one: `\\s+(?!\\S)` takes all but that one;
+  * after that one, unless it is a plain space, which the next alternative takes along;
+  * between an ASCII letter and one of , . ; : ! ? : a run of letters ends there, and only an apostrophe starts a contraction.
+White space at the end of a text is one part. The library encodes each part; a worker keeps the ids of parts that it has met.
+Texts that hold a special token's name or one of U+001C to U+001F, which count as white space here but not there, and
+vocabularies with another pre-tokeniser are encoded as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import sys
 
 import numpy as np
 
-#: Stretches in each of the two generations that a worker keeps; what is used again moves to the younger.
+#: Parts in each of the two generations that a worker keeps; what is used again moves to the younger.
 KEEP = 450_000
-#: How such vocabularies show the bytes that have no printable character of their own: in order, from U+0100.
-_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_SHOWN = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - _PLAIN))}
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PARTS = re.compile(r" ?(?:[A-Za-z]+(?=[,.;:!?\s]|\Z)|\S+)|\s+\Z|\s+(?=\s)|\s")
+_ODD = re.compile("[\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -26,73 +32,71 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Store:
+    """What has been worked out, in two generations."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, parts: list[str]) -> list[str]:
+        """The parts of which neither generation knows; those that only the older one knows move to the younger."""
+        wanted = set(parts)
+        if len(self.young) > KEEP:
+            self.old, self.young = self.young, {}
+        new = []
+        for p in wanted.difference(self.young):
+            known = self.old.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                self.young[p] = known
+        return new
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.kept: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        # In such a vocabulary a character stands for a byte, so a token's bytes are its characters
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.n_bytes[i] = len(token.encode()) if token in self.added else len(token)
-
-    def _direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the store lacks: heads and tails of punctuation apart, the new ones encoded at once."""
-        if len(self.kept) > KEEP:
-            self.old, self.kept = self.kept, {}
-        kept, old, made = self.kept, self.old, {}
-        for c in chunks:
-            v = old.get(c)
-            kept[c] = made[c] = self._stretch(c) if v is None else v
-        return made
-
-    def _stretch(self, c: str) -> bytes:
-        if "\n" in c and len(lines := c.split("\n")) > 1 and all(lines) and len(c.split()) == len(lines):
-            # a line feed alone between other characters is a stretch of its own
-            return self._part("\n").join(map(self._part, lines))
-        return self._part(c)
-
-    def _part(self, c: str) -> bytes:
-        kept = self.kept
-        ids = kept.get(c)
-        if ids is None:
-            head = c.rstrip(_TAIL)
-            if head and len(head) < len(c) and head[-1] < "\u0250" and (head[-1].isalpha() or "0" <= head[-1] <= "9") and not any(a in c for a in self.added):
-                ids = kept[c] = self._part(head) + self._part(c[len(head) :])
-            elif (word := c.removeprefix(" ")).isalpha() and max(word) < "\u0250":
-                # letters alone are one stretch for the model
-                mapped = c.encode().decode("latin-1").translate(_SHOWN)
-                ids = kept[c] = np.array([t.id for t in self.model.tokenize(mapped)], np.uint32).tobytes()
-            else:
-                ids = kept[c] = self._direct(c)
-        return ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        self.ids, self.offsets = Store(), Store()
+
+    def _whole(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def _parts(self, text: str) -> list[str] | None:
+        """The parts of a text that may be encoded alone; None if it can't be cut."""
+        if not self.cuts or _ODD.search(text) or any(a in text for a in self.added):
+            return None
+        return _PARTS.findall(text)
+
+    def _of(self, store: Store, parts: list[str], value) -> list[bytes]:
+        try:
+            return list(map(store.young.__getitem__, parts))
+        except KeyError:
+            new = store.missing(parts)
+            store.young.update(zip(new, map(value, self.tokenizer.encode_batch(new, add_special_tokens=False))))
+            return list(map(store.young.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if "\0" in text:
-            return self._direct(text)
-        chunks = text.replace(" ", "\0 ").split("\0")
-        if not chunks[0]:
-            del chunks[0]
-        try:
-            return b"".join(map(self.kept.__getitem__, chunks))
-        except KeyError:
-            missing = set(chunks).difference(self.kept)
-            if any(c[0] == " " and (len(c) == 1 or c[1].isspace()) for c in missing):
-                return self._direct(text)
-            kept = self.kept
-            made = self._learn(missing)
-            return b"".join([made[c] if c in made else kept[c] for c in chunks])
+        parts = self._parts(text)
+        if parts is None:
+            return np.array(self._whole(text).ids, "<u4").tobytes()
+        return b"".join(self._of(self.ids, parts, lambda e: np.array(e.ids, "<u4").tobytes()))
+
+    def spans(self, text: str) -> np.ndarray:
+        """Character offsets (start, end) of each token, as the library gives them."""
+        parts = self._parts(text)
+        if parts is None:
+            return np.array(self._whole(text).offsets, np.int64).reshape(-1, 2)
+        found = self._of(self.offsets, parts, lambda e: np.array(e.offsets, np.int32).tobytes())
+        at = np.cumsum([0, *map(len, parts)])[:-1]
+        return np.frombuffer(b"".join(found), np.int32).reshape(-1, 2) + np.repeat(at, [len(f) // 8 for f in found])[:, None]
 
 
 def encoder(path: str) -> Encoder:

@@ -1,12 +1,16 @@
 """Tokens of each section of a document, by offset-mapped attribution.
 
-A document is encoded once, whole. Tokens tile its UTF-8 bytes and sections tile them too; the two lists of intervals are
-joined by position. A token that crosses a boundary goes by an explicit rule:
-  most   to the section that holds most of its bytes, the earlier of equals (the default)
-  first  to the section of its first byte
-  last   to the section of its last byte
-Counts of a document's sections add up to the document's tokens. A section is a line with its line feed; other sections
-come as a list of end offsets. Null and empty texts have one empty section with no token. Repeated rows give repeated rows.
+A document is encoded once, whole. Its tokens come with the spans of characters that the library gives them; sections tile
+the document's characters too, and the two lists of intervals are joined by position. A token that crosses a boundary goes
+by an explicit rule:
+  most   to the section that holds most of its characters, the earlier of equals (the default)
+  first  to the section of its first character
+  last   to the section of its last character
+A token without characters of its own, such as a space that the library leaves out, goes to the section of its place; the
+tokens that make up one character all have that character. Counts of a document's sections add up to the document's tokens.
+A section is a line with its line feed, so a text has one more than it has line feeds, but none after a last one. Null and
+empty texts have one empty section with no token. Repeated rows give repeated rows, and other columns are ignored. A text is
+held whole in one task, however long.
 """
 
 from __future__ import annotations
@@ -21,20 +25,22 @@ from pyspark.sql import functions as F
 from .byte_bpe import default_path, encoder
 from .common import record_batch, ship
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def line_ends(text: bytes) -> np.ndarray:
+def line_ends(text: str) -> np.ndarray:
     """End offsets of lines, each with its line feed."""
-    at = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
-    return at if len(at) and at[-1] == len(text) else np.append(at, len(text))
+    ends = np.cumsum([len(x) + 1 for x in text.split("\n")])
+    ends[-1] -= 1
+    return ends[:-1] if len(ends) > 1 and text[-1] == "\n" else ends
 
 
-def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "most") -> np.ndarray:
-    """Number of tokens of each section."""
-    starts = np.concatenate([[0], token_ends[:-1]])
-    low = np.searchsorted(section_ends, starts, "right")
-    high = np.searchsorted(section_ends, np.maximum(token_ends - 1, starts), "right")
+def attribute(spans: np.ndarray, section_ends: np.ndarray, rule: str = "most") -> np.ndarray:
+    """Number of tokens, given as (start, end) rows, of each section."""
+    start, end = spans[:, 0], np.maximum(spans[:, 1], spans[:, 0] + 1)
+    last = len(section_ends) - 1
+    low = np.minimum(np.searchsorted(section_ends, start, "right"), last)
+    high = np.minimum(np.searchsorted(section_ends, end - 1, "right"), last)
     if rule == "first":
         to = low
     elif rule == "last":
@@ -42,7 +48,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "mos
     elif rule == "most":
         to = low.copy()
         for t in np.flatnonzero(low != high):
-            edges = np.concatenate([[starts[t]], section_ends[low[t] : high[t]], [token_ends[t]]])
+            edges = np.concatenate([[start[t]], section_ends[low[t] : high[t]], [end[t]]])
             to[t] = low[t] + int(np.argmax(np.diff(edges)))
     else:
         raise ValueError(f"unknown rule: {rule}")
@@ -50,7 +56,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "mos
 
 
 def section_tokens(docs: DataFrame, tokenizer: str | None = None, rule: str = "most") -> DataFrame:
-    """doc_id, section (from 0), start and n_bytes in UTF-8 bytes, n_tokens."""
+    """doc_id, section (from 0), start and n_chars in characters, n_tokens."""
     ship(docs.sparkSession)
     tokenizer = tokenizer or default_path()
     if rule not in ("most", "first", "last"):
@@ -64,9 +70,8 @@ def section_tokens(docs: DataFrame, tokenizer: str | None = None, rule: str = "m
                 ids, sections, starts, sizes, counts = [], [], [], [], []
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     t = t or ""
-                    ends = line_ends(t.encode())
-                    tokens = np.frombuffer(enc.encode(t), np.uint32)
-                    n = attribute(np.cumsum(enc.n_bytes[tokens]), ends, rule) if len(tokens) else np.zeros(len(ends), np.int64)
+                    ends = line_ends(t)
+                    n = attribute(enc.spans(t), ends, rule)
                     first = np.concatenate([[0], ends[:-1]])
                     ids += [k] * len(ends)
                     sections.append(np.arange(len(ends)))
@@ -76,4 +81,4 @@ def section_tokens(docs: DataFrame, tokenizer: str | None = None, rule: str = "m
                 yield record_batch(_OUT, ids, np.concatenate(sections).astype(np.int32), *(np.concatenate(x).astype(np.int64) for x in (starts, sizes, counts)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, section int, start long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, section int, start long, n_chars long, n_tokens long")
