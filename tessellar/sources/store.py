@@ -4,13 +4,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL = "file:///tmp/checkpoints"
+#: Spark removes an execution's shuffle files at its end: what they held is in the table written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write under spark.checkpoint.dir and read back: cuts lineage and survives lost executors."""
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir. Where that is unset only a session on one machine may go on."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _LOCAL
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, **options) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, and frees the shuffle files behind it."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_dir(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later step reads, not even after a lost executor."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
