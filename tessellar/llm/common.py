@@ -1,11 +1,9 @@
-"""What the operators of this subpackage share: folders, row keys, Arrow batches and hashing."""
+"""What the operators of this subpackage share: row keys, Arrow batches and hashing."""
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -13,45 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize, release, shared_dir  # noqa: F401
+
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _RADIX = 0x9E3779B97F4A7C15
 _BYTE = None
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which every executor can reach; a local folder only where it is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, partition_by: list[str] | None = None, **options) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, and frees the shuffle files behind it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write.options(**options)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # the context's cleaner removes shuffles that nothing refers to any more
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def release(table: DataFrame) -> None:
-    """Delete the files of a materialized table that no later step reads, not even after a lost executor."""
-    spark = table.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._written_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that lack it on their path."""
     sc = spark.sparkContext

@@ -5,7 +5,7 @@ of MIN_CHARS characters or more are also held against each other within a few ed
 With threshold k a line is cut into k + 1 segments; a line within k edits has one of them unchanged, and the position it
 can have there is bounded by the edits before and after it. So each line puts its segments into an index keyed by length,
 segment and content, and probes it with the few substrings that can match lines of its own length down to k less. Pairs
-that meet are first held against their counts of common letters, inside the join, then their texts are verified by a
+that meet are first held against their counts of letters, inside the join, then their texts are verified by a
 bit-parallel edit distance on the band of 2k + 1 diagonals, after common ends are cut off.
 
 A line goes if it is not the first of its equals, or if an earlier line (by doc_id, then line number) is within k edits
@@ -133,10 +133,25 @@ def _letter_counts(line: Column) -> Column:
     return x
 
 
-def _counts_within(x: Column, y: Column, k: int) -> Column:
+def _all_counts(line: Column) -> list[Column]:
+    """Counts of every character in 30 classes, modulo 16, four bits each in two integers: a to z, digits, capitals, spaces, others."""
+    gone = [F.replace(line, F.lit(c), F.lit("")) for c in "abcdefghijklmnopqrstuvwxyz "] + [F.translate(line, x, "") for x in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    counts = [F.octet_length(line) - F.octet_length(g) for g in gone]
+    counts.append(F.char_length(line) - sum(counts[1:], counts[0]))
+    half = len(counts) // 2
+    out = []
+    for part in (counts[:half], counts[half:]):
+        x = F.lit(0).cast("long")
+        for i, n in enumerate(part):
+            x = x.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(16)).cast("long"), 4 * i))
+        out.append(x)
+    return out
+
+
+def _counts_within(x: Column, y: Column, k: int, classes: int = len(_LETTERS)) -> Column:
     """An edit changes the counts by two at most, all together."""
     total = F.lit(0)
-    for i in range(len(_LETTERS)):
+    for i in range(classes):
         d = F.pmod(F.shiftright(x, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(y, 4 * i).bitwiseAND(F.lit(15)), F.lit(16))
         total = total + F.least(d, 16 - d)
     return total <= 2 * k
@@ -188,18 +203,24 @@ def near_lines(lines: DataFrame, pick, k: int = EDITS) -> DataFrame:
     """
     met = meetings(lines, k)
     both = met.select(F.col("k1").alias("_k"), _no(F.col("tag1")).alias("no")).unionByName(met.select(F.col("k2").alias("_k"), _no(F.col("tag2")).alias("no"))).distinct()
-    text = materialize(pick(both))
-    gone = materialize(_later(materialize(_pairs(met, k)), text, k))
+    c1, c2 = _all_counts(F.col("line"))
+    text = materialize(pick(both).withColumn("c1", c1).withColumn("c2", c2))
+    pairs = materialize(_pairs(met, k))
+    gone = materialize(_later(pairs, text, k))
     members = met.where("several").select("key", F.col("k2").alias("_k"), F.col("tag2").alias("tag"), _no(F.col("tag2")).alias("no"))
-    members = members.join(gone.withColumn("gone", F.lit(True)), ["_k", "no"], "left").withColumn("gone", F.col("gone").isNotNull())
+    members = members.join(text.select("_k", "no", "c1", "c2"), ["_k", "no"]).join(gone.withColumn("gone", F.lit(True)), ["_k", "no"], "left").withColumn("gone", F.col("gone").isNotNull())
     members = materialize(members)
     x, y = members.alias("x"), members.where(F.shiftright("tag", 24).bitwiseAND(F.lit(1)) == 1).alias("y")
     order = (F.col("x._k") > F.col("y._k")) | ((F.col("x._k") == F.col("y._k")) & (F.col("x.no") > F.col("y.no")))
     open_ = F.when(order, ~F.col("x.gone")).otherwise(~F.col("y.gone"))
     other = (F.col("x._k") != F.col("y._k")) | (F.col("x.no") != F.col("y.no"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & other & open_ & _counts_within(F.col("x.tag"), F.col("y.tag"), k))
+    alike = _counts_within(F.col("x.c1"), F.col("y.c1"), k, 15) & _counts_within(F.col("x.c2"), F.col("y.c2"), k, 15)
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & other & open_ & alike)
     more = _pairs(more.select(F.col("x._k").alias("k1"), F.col("x.tag").alias("tag1"), F.col("y._k").alias("k2"), F.col("y.tag").alias("tag2")), k)
-    return gone.unionByName(materialize(_later(materialize(more), text, k)))
+    more = materialize(more)
+    late = materialize(_later(more, text, k))
+    release(met, text, pairs, members, more)
+    return gone.unionByName(late)
 
 
 def _without(parts: Column, gone: Column) -> Column:
