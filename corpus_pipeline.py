@@ -6,8 +6,8 @@
   decontaminate  rejects documents that hold a passage of the benchmark
   sentencepiece  encodes each text and decodes it again
 
-Each stage but the last returns the columns of documents. Null texts go in the first stage. Rows with one doc_id and text
-are decided alike.
+Each stage but the last returns the columns of documents, further ones included, whatever their names. Null and empty texts
+go in the first stage. Rows are told apart even where doc_id repeats or is null.
 """
 
 from __future__ import annotations
@@ -15,23 +15,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.llm import common as _common
 from tessellar.llm import decontaminate as _decontaminate
 from tessellar.llm import language_id as _language
 from tessellar.llm import line_dedup as _lines
 from tessellar.llm import ngram_join as _ngrams
 from tessellar.llm import sentencepiece_codec as _pieces
-from tessellar.llm.common import materialize
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """A unique _k, doc_id, text and the struct _rest of all columns of docs."""
+    return _common.keyed(docs, rest=tuple(docs.columns))
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    return rows.select("_rest.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, model = _language.fit_documents(docs)
-    rows = _row(docs)
-    found = _language.identify(_language.document_records(rows, "_row"), langs, model, ["_row"])
-    return rows.join(found.where("NOT keep").select("_row"), "_row", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    records = _language.document_records(rows.select("_k", "text", F.col("_rest.source").alias("source")), "_k")
+    kept = _language.identify(records, langs, model, ["_k"]).where("keep").select("_k")
+    return _whole(rows.join(kept, "_k", "left_semi"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +51,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _row(docs)
-    leaks = _decontaminate.decontaminate(rows.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    leaks = _decontaminate.decontaminate(rows.select(F.col("_k").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _whole(rows.join(leaks.select(F.col("doc_id").alias("_k")).distinct(), "_k", "left_anti"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +69,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = _common.materialize(stage(spark, docs, sf_dir))
     return docs
