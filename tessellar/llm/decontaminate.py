@@ -1,13 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds bring passages and test items together, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters, digits and non-ASCII characters. Every n-gram of an item whose words make it rare in
+Words are lower-cased runs of letters, digits and non-ASCII characters other than typographic punctuation. Every n-gram of an item whose words make it rare in
 the corpus is a seed, and so is at least the rarest quarter of each item's n-grams. Rarity is what the words' counts over
 the whole corpus lead to expect, not how often the n-gram occurs, so a passage that leaked into many documents keeps its
 seeds. Hits of one item near one place make a passage, which is aligned word by word with the whole item (match 2,
 mismatch -1, gap -1). The score is the share of the most that the item can reach; documents from MIN_SCORE on are returned.
 
 Seeds go to the tasks in blocks of items with at most SEEDS n-grams each; a larger benchmark takes more passes.
-Null and empty texts and items match nothing. Repeated rows give repeated rows. Further columns are ignored.
+Null and empty texts match nothing, nor do items of fewer than MIN_WORDS words: so few are no evidence. Of places that score
+equally the first counts. Repeated rows give repeated rows. Further columns are ignored. A text of any length is searched
+whole, in one task.
 """
 
 from __future__ import annotations
@@ -22,19 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import U64, Hasher, byte_values, record_batch, ship, signed
 
-N, MIN_SCORE, SEEDS = 3, 0.5, 2_000_000
+N, MIN_SCORE, MIN_WORDS, SEEDS = 3, 0.5, 5, 2_000_000
 #: An n-gram is rare if it is expected less than once in so many words.
 RARE = 1e7
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 _COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
+_PUNCTUATION = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f]")
 _INSIDE = np.ones(256, bool)
 _INSIDE[:128] = [bool(re.match("[a-z0-9]", chr(c))) for c in range(128)]
 
 
 def normal_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts and, of each text, its first word; words don't cross texts."""
-    raw = [t.lower().encode() for t in texts]
+    raw = [(t if t.isascii() else _PUNCTUATION.sub(" ", t)).lower().encode() for t in texts]
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     inside = _INSIDE[data]
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
@@ -120,7 +123,7 @@ def _passages(seeds: Seeds, words: np.ndarray, where: np.ndarray, rows: np.ndarr
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: float = MIN_SCORE, max_seeds: int = SEEDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: float = MIN_SCORE, max_seeds: int = SEEDS, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word of each document and item that align well enough."""
     spark = docs.sparkSession
     ship(spark)
@@ -129,6 +132,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score:
     held = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         words = normal_words([r.text or ""])[0]
+        if len(words) < min_words:
+            continue
         if held + len(words) > max_seeds and held:
             blocks.append([])
             held = 0

@@ -9,12 +9,12 @@ The logarithms are added and normalised. A record is kept if its text has eviden
 MIN_PROBABILITY.
 
 The model is fitted on every label, on at most about SAMPLE texts of each, chosen by a hash of the text; everything else
-covers all records. Texts are counted and scored for BLOCK languages at a time. Null and empty texts have no evidence and are not kept. A null host, declaration, suffix or segment says nothing.
+covers all records. Of equally probable languages the first by name is found. A text of any length is scored whole, in one task. Texts are counted and scored for BLOCK languages at a time. Null and empty texts have no evidence and are not kept. A null host, declaration, suffix or segment says
+nothing. Repeated rows are separate records; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,8 +30,6 @@ SAMPLE, FEATURES, MIN_PROBABILITY, SMOOTH, BLOCK = 2000, 1 << 15, 0.5, 20.0, 64
 TEMPER = 8.0
 _SIGNS = ("declared", "suffix", "segment")
 _MODEL = pa.schema([("lang", pa.string()), ("f", pa.int32()), ("n", pa.int64())])
-_TAG = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_LANG = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
 
 
 def features(data: np.ndarray) -> np.ndarray:
@@ -163,9 +161,9 @@ def identify(records: DataFrame, langs: list[str], model: np.ndarray, keys: list
 
 
 def document_records(docs: DataFrame, *keys: str) -> DataFrame:
-    """Records of documents: source is the host, lang the declared language."""
+    """Records of documents: source is the host. They have no markup and no address; lang is a label to fit on, never evidence."""
     null = F.lit(None).cast("string")
-    return docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), null.alias("domain"), F.col("lang").cast("string").alias("declared"), null.alias("suffix"), null.alias("segment"))
+    return docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"), *[null.alias(c) for c in ("domain", *_SIGNS)])
 
 
 def fit_documents(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:

@@ -79,6 +79,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, len(js)::BIGINT AS n_removed,
                sha256(array_to_string(CASE WHEN len(js) = 0 THEN ws ELSE list_where(ws, list_transform(range(1, len(ws) + 1), lambda j: NOT list_contains(js, j))) END, ' ')) AS kept_sha256
         FROM t""",
+    "op5_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT r, x, unnest(range(0, greatest(0, length(x) // 2 - 99))) AS i FROM d)),
+        f AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY h ORDER BY r, i) AS n FROM w) WHERE n > 1),
+        s AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 100)::INTEGER AS new FROM f),
+        g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+        u AS (SELECT r, run, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY ALL),
+        k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM u),
+        t AS (SELECT k.r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(x, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head, max(z) AS last FROM k JOIN d USING (r) GROUP BY k.r)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t USING (r)""",
+    # The engine's levenshtein counts bytes, so the letters of these texts beyond ASCII become one control byte each
+    "op2_line_dedup": r"""
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+        e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l),
+        f AS (SELECT *, length(line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS rn FROM e WHERE length(line) >= 20 OR regexp_matches(line, '\S')),
+        o AS (SELECT doc_id, no, n, translate(line, 'éÉßÇÊíÈöÓçäÄóêüÖÍÜèñÑ', (SELECT string_agg(chr(CASE WHEN i < 8 THEN i + 1 ELSE i + 6 END::INTEGER), '' ORDER BY i) FROM range(21) r(i))) AS line FROM f WHERE rn = 1 AND n >= 20),
+        p AS (SELECT *, n + unnest([-2, -1, 0, 1, 2]) AS m FROM o),
+        near AS (SELECT DISTINCT b.doc_id, b.no FROM p a JOIN o b ON a.m = b.n WHERE (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.no < b.no) AND levenshtein(a.line, b.line) <= 2),
+        gone AS (SELECT doc_id, no FROM f WHERE rn > 1 UNION SELECT doc_id, no FROM near),
+        t AS (SELECT e.doc_id, count(*) AS n_lines, count(gone.no) AS n_removed, coalesce(string_agg(CASE WHEN gone.no IS NULL THEN line END, chr(10) ORDER BY e.no), '') AS text FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.no = e.no GROUP BY e.doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

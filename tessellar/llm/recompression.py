@@ -6,6 +6,9 @@ tasks name alike without meeting. For each symbol the stretch of words is kept t
 that holds the whole stretch has the symbol wherever it stands. The window's anchor is the longest of these symbols
 (then the least hash, then the first). A window that decides no symbol, as inside a long run, is its own anchor.
 
+Anchors are counted over the corpus: a shared one reveals a possible repeat. The stretches around it meet in one task, where
+windows are compared word by word: no hash decides there (but see repeats.py for anchors with very many contexts).
+
 Null and empty texts have no words. Texts under `size` words lose nothing. Repeated rows are separate documents.
 """
 
@@ -106,17 +109,40 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     return start, nwin, names
 
 
-def _matches(values, off, size, order):
-    """Windows of word hashes that occur in more than one content."""
-    h = Hasher(values).windows(size)
-    flag = np.zeros(len(values), bool)
-    if not len(h):
-        return flag
-    row = np.searchsorted(off, np.arange(len(h)), "right") - 1
-    ok = np.flatnonzero(np.arange(len(h)) + size <= off[row + 1])
-    _, inverse, n = np.unique(h[ok], return_inverse=True, return_counts=True)
-    flag[ok[n[inverse] > 1]] = True
-    return flag
+def _cut(data: np.ndarray, off: np.ndarray):
+    """Words of a document, joined by spaces."""
+    _, _, start, end = words(data, off)
+
+    def content(_, first: int, n: int) -> bytes:
+        return data[start[first] : end[first + n - 1]].tobytes()
+
+    return content
+
+
+def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number for each different pair."""
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64) if len(a) else a
+
+
+def _matches(contents: list[bytes], numbers: np.ndarray, place: np.ndarray, size: int):
+    """Windows of words that occur more than once, told apart exactly: words get numbers, then pairs of equal-sized stretches do, until they are as long as a window."""
+    lists = [c.split() for c in contents]
+    lens = np.array(list(map(len, lists)), np.int64)
+    known: dict[bytes, int] = {}
+    name = np.array([known.setdefault(w, len(known)) for x in lists for w in x], np.int64)
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        name = _named(name[:-step], name[step:])
+        have += step
+    n = int(lens.sum())
+    flag, none = np.zeros(n, bool), np.zeros(n, bool)
+    off = np.concatenate([[0], np.cumsum(lens)])
+    row = np.repeat(np.arange(len(lens)), lens)
+    at = np.flatnonzero(np.arange(len(name)) + size <= off[row[: len(name)] + 1])
+    total = np.bincount(name[at], weights=numbers[row[at]])
+    flag[at[total[name[at]] > 1]] = True
+    return lens, flag, none
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -124,7 +150,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text: every word in a window of `size` words that also starts elsewhere goes."""
-    texts, removed = removed_windows(docs, size, _units, anchors, _matches, drop_first=True)
+    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches, drop_first=True)
 
     def finish(text, start, nwin):
         w = text.split()

@@ -3,10 +3,11 @@
 Every window of `size` units is given an anchor that depends on the window's own content alone, so equal windows have
 equal anchors at equal distances. Consecutive windows with one anchor form a block. Then
   1. anchor names are counted (pre-aggregated per batch and per task); a name that occurs once can't hold a repeat;
-  2. the remaining blocks are grouped into classes of equal content, each with its first occurrence;
-  3. only where one name has several classes are windows compared, by `matcher`, among one block of each class;
-  4. the removed windows of a document meet its text once more, in `finish`.
-A name with more than HOT classes is dealt by its windows' content instead, so no task holds an unbounded group.
+  2. the remaining blocks are pre-aggregated: of equal contents one goes on, with its number and its first occurrence;
+  3. the contents of a name meet in one task, where `matcher` decides every window, by its own method, on the units themselves;
+  4. the decisions go back to all blocks of a content, and the removed windows of a document meet its text once, in `finish`.
+A name with more than HOT contents would be too much for a task: its windows are counted one by one, by two hashes of 64 bits,
+in an aggregation that Spark combines before it shuffles.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Hasher, keyed, materialize, record_batch, ship, signed, spans, utf8
+from .common import U64, Hasher, keyed, materialize, mix, record_batch, release, ship, signed, spans, utf8
 
-#: Classes of one name that one task compares; beyond it the name's windows are dealt out singly.
+#: Contents of one name that one task compares; beyond it the name's windows are counted singly.
 HOT = 4096
-#: Units compared at once by matcher.
-CHUNK = 1 << 17
+#: Bytes of contents that matcher takes at once, rounded up to whole names.
+CHUNK = 1 << 18
 
 _NAMES = pa.schema([("name", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("nwin", pa.int32())])
-_CONTENT = pa.schema([("name", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("content", pa.binary())])
-_RUNS = pa.schema([("_k", pa.int64()), ("start", pa.int32()), ("nwin", pa.int32())])
+_CONTENT = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("c", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("content", pa.binary())])
+_CUTS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("k1", pa.int64()), ("s1", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("rest", pa.list_(pa.bool_()))])
+_WINDOWS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("c", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("w", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+_CLASS = "name long, ctx long, nwin int"
 
 
 def runs_of(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +50,13 @@ def blocks_from_anchors(valid: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarr
     return valid[at], np.diff(np.append(at, len(valid)))
 
 
-def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callable, matcher: Callable, drop_first: bool) -> tuple[DataFrame, DataFrame]:
+def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callable, cut: Callable, matcher: Callable, drop_first: bool) -> tuple[DataFrame, DataFrame]:
     """(documents with _k, list of removed windows of each _k as runs).
 
     units(data, off) -> (values, document, first unit of each document); anchors(values, document, size) -> (first window, windows, name);
-    matcher(values, offsets of contents, size, order) -> which windows of the contents to remove; drop_first: whether a first occurrence goes too.
+    cut(data, off) -> content(document, first unit, number of units) in bytes; matcher(contents, numbers, place, size) -> (units of
+    each content, windows to remove from every block, windows to remove from all blocks but a content's first), where place orders
+    the contents by first occurrence; drop_first: whether a first occurrence goes too.
     """
     ship(docs.sparkSession)
     base = keyed(docs)
@@ -78,62 +83,74 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
                     yield record_batch(_BLOCKS, signed(name), signed(ctx), key[i:j][doc[start]], (start - first[doc[start]]).astype(np.int32), nwin.astype(np.int32))
 
     long_enough = base.where(F.octet_length("text") >= size)
-    many = long_enough.select("text").mapInArrow(names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
+    # written first, so that Spark may split a name of very many blocks in the join
+    many = materialize(long_enough.select("text").mapInArrow(names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"))
     found = long_enough.select("_k", "text").mapInArrow(blocks, "name long, ctx long, _k long, start int, nwin int")
     members = materialize(found.join(many, "name", "left_semi"))
+    release(many)
     classes = materialize(members.groupBy("name", "ctx", "nwin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "start")).alias("m")))
-    per_name = classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"))
-    mixed = classes.join(per_name.where("classes > 1"), "name")
-    reps = mixed.groupBy(F.col("m._k").alias("_k")).agg(F.collect_list(F.struct("name", F.col("m.start").alias("start"), "nwin", (F.col("classes") > HOT).alias("hot"))).alias("reps"))
+    hot = materialize(classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > HOT).select("name"))
+    some_hot = not hot.isEmpty()
+    texts = base.select("_k", "doc_id", "text")
 
-    def contents(it: Iterator[pa.RecordBatch]):
+    def wanted(of: DataFrame) -> DataFrame:
+        """The texts that hold the first occurrence of contents, with the list of these."""
+        lists = of.groupBy(F.col("m._k").alias("_k")).agg(F.collect_list(F.struct("name", "ctx", "nwin", "c", F.col("m.start").alias("start"))).alias("reps"))
+        return texts.join(lists.hint("shuffle_hash"), "_k")
+
+    def each(it: Iterator[pa.RecordBatch]):
+        """(batch of documents: units, their content, key, first unit, name, ctx, windows, number, start of each content)."""
         for b in it:
             off, data = utf8(b.column(2))
-            key, lists = b.column(0), b.column(3)
+            key, lists = b.column(0).to_pylist(), b.column(3)
             for i, j in spans(off):
-                values, doc, first = units(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                values = np.ascontiguousarray(values)
-                out = ([], [], [], [])
+                own, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
+                values, _, first = units(own, o)
+                content = cut(own, o)
                 for r in range(i, j):
-                    k, f = key[r].as_py(), int(first[r - i])
                     flat = lists[r].values.flatten()
-                    for name, s, n, hot in zip(*(x.to_pylist() for x in flat)):
-                        part = values[f + s : f + s + n + size - 1]
-                        if hot:
-                            rows = [(h, s + w, part[w : w + size]) for w, h in enumerate(signed(Hasher(part.astype(U64)).windows(size)).tolist())]
-                        else:
-                            rows = [(name, s, part)]
-                        for name, s, part in rows:
-                            for column, v in zip(out, (name, k, s, part.tobytes())):
-                                column.append(v)
-                if out[0]:
-                    yield record_batch(_CONTENT, *out)
+                    for row in zip(*(x.to_pylist() for x in flat)):
+                        yield values, content, key[r], r - i, int(first[r - i]), row
+                yield None
+
+    def contents(it: Iterator[pa.RecordBatch]):
+        out = []
+        for x in each(it):
+            if x is not None:
+                _, content, k, d, f, (name, ctx, nwin, c, s) = x
+                out.append((name, ctx, nwin, c, k, s, content(d, f + s, nwin + size - 1)))
+            elif out:
+                yield record_batch(_CONTENT, *map(list, zip(*out)))
+                out = []
+
+    def windows(it: Iterator[pa.RecordBatch]):
+        out = []
+        for x in each(it):
+            if x is not None:
+                values, _, k, _, f, (name, ctx, nwin, c, s) = x
+                part = values[f + s : f + s + nwin + size - 1].astype(U64)
+                h, g = Hasher(part).windows(size), Hasher(mix(part ^ U64(0x5555555555555555))).windows(size)
+                out += [(name, ctx, nwin, c, k, s, w, a, z) for w, (a, z) in enumerate(zip(signed(h).tolist(), signed(g).tolist()))]
+            elif out:
+                yield record_batch(_WINDOWS, *map(list, zip(*out)))
+                out = []
 
     def compare(it: Iterator[pa.RecordBatch]):
         held: list[tuple] = []
         total = 0
 
         def flush(rows):
-            if not rows:
-                return None
-            lens = np.array([len(x[3]) for x in rows]) // width
-            values = np.frombuffer(b"".join(x[3] for x in rows), dtype)
+            keys, starts = np.array([x[4] for x in rows], np.int64), np.array([x[5] for x in rows], np.int64)
+            place = np.empty(len(rows), np.int64)
+            place[np.lexsort((starts, keys))] = np.arange(len(rows))
+            lens, every, rest = matcher([x[6] for x in rows], np.array([x[3] for x in rows], np.int64), place, size)
             off = np.concatenate([[0], np.cumsum(lens)])
-            keys, starts = np.array([x[1] for x in rows], np.int64), np.array([x[2] for x in rows], np.int64)
-            flag = matcher(values, off, size, np.lexsort((starts, keys)))
-            s, e = runs_of(flag)
-            # a run ends with its content
-            row = np.searchsorted(off, s, "right") - 1
-            last = np.searchsorted(off, e - 1, "right") - 1
-            out_k, out_s, out_n = [], [], []
-            for a, z, r, q in zip(s, e, row, last):
-                while r <= q:
-                    end = min(z, off[r + 1])
-                    out_k.append(keys[r])
-                    out_s.append(starts[r] + a - off[r])
-                    out_n.append(end - a)
-                    a, r = off[r + 1], r + 1
-            return record_batch(_RUNS, np.array(out_k, np.int64), np.array(out_s, np.int32), np.array(out_n, np.int32)) if out_k else None
+            out = []
+            for row, a, z in zip(rows, off[:-1], off[1:]):
+                runs = [(s, e - s, False) for s, e in zip(*(x.tolist() for x in runs_of(every[a:z])))] + [(s, e - s, True) for s, e in zip(*(x.tolist() for x in runs_of(rest[a:z])))]
+                if runs:
+                    out.append((row[0], row[1], row[2], row[4], row[5], *map(list, zip(*runs))))
+            return record_batch(_CUTS, *map(list, zip(*out))) if out else None
 
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns)):
@@ -142,20 +159,26 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
                         yield out
                     held, total = [], 0
                 held.append(row)
-                total += len(row[3]) // width
-        if (out := flush(held)) is not None:
+                total += len(row[6])
+        if held and (out := flush(held)) is not None:
             yield out
 
-    dtype = units(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].dtype
-    width = dtype.itemsize
-    texts = base.select("_k", "doc_id", "text")
-    content = texts.join(reps.hint("shuffle_hash"), "_k").mapInArrow(contents, "name long, _k long, start int, content binary")
-    windows = content.repartition("name").sortWithinPartitions("name").mapInArrow(compare, "_k long, start int, nwin int")
-    repeated = members.join(classes.where("c > 1"), ["name", "ctx", "nwin"])
-    if not drop_first:
-        repeated = repeated.where((F.col("_k") != F.col("m._k")) | (F.col("start") != F.col("m.start")))
-    removed = repeated.select("_k", "start", "nwin").unionByName(windows)
-    return texts, removed.groupBy("_k").agg(F.collect_list(F.struct("start", "nwin")).alias("removed"))
+    cool = classes.join(hot, "name", "left_anti") if some_hot else classes
+    content = wanted(cool).mapInArrow(contents, _CLASS + ", c long, _k long, start int, content binary")
+    cuts = content.repartition("name").sortWithinPartitions("name").mapInArrow(compare, _CLASS + ", k1 long, s1 int, at array<int>, n array<int>, rest array<boolean>")
+    cuts = cuts.select("name", "ctx", "nwin", "k1", "s1", F.arrays_zip("at", "n", "rest").alias("runs"))
+    if some_hot:
+        single = materialize(wanted(classes.join(hot, "name", "left_semi")).mapInArrow(windows, _CLASS + ", c long, _k long, start int, w int, h long, g long"))
+        place = F.struct("_k", (F.col("start") + F.col("w")).alias("s"))
+        counted = materialize(single.groupBy("h", "g").agg(F.sum("c").alias("total"), F.min(place).alias("first")).where("total > 1"))
+        own_first = F.lit(False) if drop_first else F.col("first") == place
+        decided = single.join(counted, ["h", "g"]).withColumn("rest", own_first).where("NOT rest OR c > 1")
+        run = F.struct(F.col("w").alias("at"), F.lit(1).alias("n"), "rest")
+        cuts = cuts.unionByName(decided.groupBy("name", "ctx", "nwin", F.col("_k").alias("k1"), F.col("start").alias("s1")).agg(F.collect_list(run).alias("runs")))
+    first = (F.col("_k") == F.col("k1")) & (F.col("start") == F.col("s1"))
+    runs = F.transform(F.filter("runs", lambda r: ~(r.rest & first)), lambda r: F.struct((F.col("start") + r.at).alias("start"), r.n.alias("nwin")))
+    removed = members.join(materialize(cuts), ["name", "ctx", "nwin"]).select("_k", runs.alias("runs"))
+    return texts, removed.groupBy("_k").agg(F.flatten(F.collect_list("runs")).alias("removed"))
 
 
 def finished(texts: DataFrame, removed: DataFrame, finish: Callable, schema: str, arrow: pa.Schema) -> DataFrame:

@@ -1,11 +1,11 @@
 """Removal of byte strings that occur earlier in the corpus, by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 Texts are brought together by content-chosen anchors (repeats.py): all equal strings of `size` bytes meet in one task,
-inside contents of at most 2 * size bytes, one for each distinct content. There the contents are sorted by suffix as far
+inside contents of at most 2 * size bytes, one for each distinct content, with the number of its copies. There the contents are sorted by suffix as far
 as the threshold, which gives their Burrows-Wheeler transform. From the interval of the empty string, breadth first, every
 interval is extended backwards by the STRIDE bytes that stand before each of its rows; each level has the intervals of
-strings longer by as much, so common prefixes come in increasing order. Intervals of one suffix are left out and the expansion stops at the threshold:
-what is left are the repeated strings.
+strings longer by as much, so common prefixes come in increasing order. Intervals of one suffix whose content has no copies are left out and the expansion
+stops at the threshold: what is left are the repeated strings, and the bytes themselves are compared (but see repeats.py for anchors with very many contexts).
 
 Null counts as an empty text. Texts under `size` bytes lose nothing. Repeated rows are separate documents, in the order
 of (doc_id, text).
@@ -75,13 +75,15 @@ def bounded_suffixes(text: np.ndarray, bound: int) -> np.ndarray:
         have *= 2
 
 
-def repeated_intervals(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_intervals(text: np.ndarray, size: int, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(suffixes in order, rows in the intervals of strings of size symbols that occur more than once, the interval of each).
 
-    text: symbols from 0, where 0 ends each content and is never part of a string.
+    text: symbols from 0, where 0 ends each content and is never part of a string; several: of each place in text, whether
+    its content stands for more than one.
     """
     n, base = len(text), int(text.max()) + 1
     suffix = bounded_suffixes(text, size)
+    heavy = several[suffix]
     before = text[suffix - 1]  # the transform; the text is read as a circle and ends with 0
     # where the suffix longer by the symbol before stands: rows of one symbol keep their order, for strings as far as the bound
     by_symbol = np.argsort(before, kind="stable")
@@ -122,29 +124,38 @@ def repeated_intervals(text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndar
             new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
             alone = new.copy()
             alone[:-1] &= new[1:]
-            rows = at[~alone]
-            group = np.cumsum(new[~alone], dtype=np.int32) - 1
+            stay = ~alone | heavy[at]
+            rows = at[stay]
+            group = np.cumsum(new[stay], dtype=np.int32) - 1
     return suffix, rows, group
 
 
-def _matches(values, off, size, order):
-    """Windows that also occur in a content that comes earlier in order."""
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    lens = np.diff(off)
-    at = np.arange(len(values)) + np.repeat(np.arange(len(lens)), lens)  # with an end after each content
-    text = np.zeros(len(values) + len(lens), np.int16)
-    text[at] = values.astype(np.int16) + 1
-    suffix, rows, group = repeated_intervals(text, size)
-    flag = np.zeros(len(values), bool)
+def _cut(data: np.ndarray, off: np.ndarray):
+    def content(_, first: int, n: int) -> bytes:
+        return data[first : first + n].tobytes()
+
+    return content
+
+
+def _matches(contents: list[bytes], numbers: np.ndarray, place: np.ndarray, size: int):
+    """Windows that also occur in a content that comes earlier, and those that occur first in a content that stands for several."""
+    lens = np.array(list(map(len, contents)), np.int64)
+    values = np.frombuffer(b"".join(contents), np.uint8)
+    row = np.repeat(np.arange(len(lens)), lens)
+    text = np.zeros(len(values) + len(lens), np.int16)  # with an end after each content
+    text[np.arange(len(values)) + row] = values.astype(np.int16) + 1
+    several = np.repeat(numbers > 1, lens + 1)
+    suffix, rows, group = repeated_intervals(text, size, several)
+    every, rest = np.zeros(len(values), bool), np.zeros(len(values), bool)
     if len(rows):
-        ends = off[1:] + np.arange(len(lens))
         at = suffix[rows]
-        content = np.searchsorted(ends, at)
-        first = np.full(int(group[-1]) + 1, len(order), np.int64)
+        content = np.repeat(np.arange(len(lens)), lens + 1)[at]
+        first = np.full(int(group[-1]) + 1, len(lens), np.int64)
         np.minimum.at(first, group, place[content])
-        flag[(at - content)[place[content] != first[group]]] = True
-    return flag
+        own = place[content] == first[group]
+        every[(at - content)[~own]] = True
+        rest[(at - content)[own & (numbers[content] > 1)]] = True
+    return lens, every, rest
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -152,7 +163,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes: every byte in a string of `size` bytes that also starts earlier goes."""
-    texts, removed = removed_windows(docs, size, _units, anchors, _matches, drop_first=False)
+    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches, drop_first=False)
 
     def finish(text, start, nwin):
         kept, spans = text, 0

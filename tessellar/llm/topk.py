@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import record_batch, ship
 
-K, SHIFT, BLOCK, QUERIES = 10, 4, 16384, 256
+K, SHIFT, BLOCK = 10, 4, 16384
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -134,7 +134,7 @@ class BitSliced:
         return np.flatnonzero(_unpack(self.at_least(slices, bound), self.n))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of vectors (vec_id, embedding) for each row of queries, a part of vectors."""
     spark = vectors.sparkSession
     ship(spark)
@@ -147,10 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK
     rows, asked = whole(vectors), whole(queries).dropDuplicates(["vec_id", "h"])
     count = max(1, -(-rows.count() // block))
     index = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "h"), F.lit(count)).cast("int"))
-    groups = max(1, -(-asked.count() // query_block))
-    ask = asked.withColumn("g", F.pmod(F.xxhash64("vec_id", "h", F.lit(7)), F.lit(groups)).cast("int"))
-    # each group of queries visits each block once
-    visits = ask.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("dims", "b", "vec_id", "v", "h", F.lit(1).alias("q"))
+    # each query visits each block once; a task streams the queries past its block
+    visits = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("dims", "b", "vec_id", "v", "h", F.lit(1).alias("q"))
     both = index.select("dims", "b", "vec_id", "v", "h", F.lit(0).alias("q")).unionByName(visits)
     sorted_rows = both.repartition("dims", "b").sortWithinPartitions("dims", "b", "q", "vec_id").select("dims", "b", "q", "vec_id", "v")
 

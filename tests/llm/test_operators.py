@@ -203,7 +203,7 @@ def test_top_k(spark):
     v[7] = (7, v[5][1])
     bad = [(301, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [])]
     df = spark.createDataFrame(v + bad, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, df.where("vec_id % 100 = 0"), block=64, query_block=2)
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), block=64)
     m = np.floor(np.array([x for _, x in v]) * 1024).astype(int)
     want = []
     for q in (0, 100, 200):
