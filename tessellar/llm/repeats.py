@@ -24,7 +24,7 @@ from .common import U64, Hasher, keyed, materialize, mix, record_batch, release,
 #: Contents of one name that one task compares; beyond it the name's windows are counted singly.
 HOT = 4096
 #: Bytes of contents that matcher takes at once, rounded up to whole names.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 _NAMES = pa.schema([("name", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("nwin", pa.int32())])

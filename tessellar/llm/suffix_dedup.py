@@ -3,7 +3,7 @@
 Texts are brought together by content-chosen anchors (repeats.py): all equal strings of `size` bytes meet in one task,
 inside contents of at most 2 * size bytes, one for each distinct content, with the number of its copies. There the contents are sorted by suffix as far
 as the threshold, which gives their Burrows-Wheeler transform. From the interval of the empty string, breadth first, every
-interval is extended backwards by the STRIDE bytes that stand before each of its rows; each level has the intervals of
+interval is extended backwards by the bytes that stand before each of its rows, by a few at first and by more at each level; each level has the intervals of
 strings longer by as much, so common prefixes come in increasing order. Intervals of one suffix whose content has no copies are left out and the expansion
 stops at the threshold: what is left are the repeated strings, and the bytes themselves are compared (but see repeats.py for anchors with very many contexts).
 
@@ -23,8 +23,6 @@ from .common import U64, Hasher, byte_values
 from .repeats import blocks_from_anchors, cover, finished, removed_windows, runs_of
 
 SIZE, GRAM = 100, 32
-#: Symbols by which an interval is extended at once.
-STRIDE = 7
 _POSITION = 40
 
 
@@ -52,27 +50,37 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     return start, nwin, h[at[np.searchsorted(valid, start)]]
 
 
-def bounded_suffixes(text: np.ndarray, bound: int) -> np.ndarray:
-    """The suffixes of text ordered by their first bound symbols or more, by doubling; the order of equal ones doesn't matter."""
-    n, base, have = len(text), int(text.max()) + 1, 1
+def bounded_suffixes(text: np.ndarray, bound: int) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """(suffixes, unit, names): the suffixes of text ordered by their first bound symbols or more, by doubling; the order of
+    equal ones doesn't matter. names[j] has, of each place, a number for its first unit * 2**j symbols. Only what equals a neighbour is sorted further."""
+    n, base, unit = len(text), int(text.max()) + 1, 1
     key = text.astype(np.int64)
-    while base ** (have + 1) < 1 << 62 and have < bound:  # as many symbols as fit in one integer
+    while base ** (unit + 1) < 1 << 62 and unit < bound:  # as many symbols as fit in one integer
         key = key * base
-        key[: n - have] += text[have:]
-        have += 1
-    while True:
-        order = np.argsort(key)
-        inside = key[order]
-        step = np.zeros(n, np.int64)
-        np.cumsum(inside[1:] != inside[:-1], out=step[1:])
-        if have >= bound or step[-1] == n - 1:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        key = rank * (n + 1)
-        if have < n:
-            key[:-have] += rank[have:] + 1
+        key[: n - unit] += text[unit:]
+        unit += 1
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(n, np.int64)  # the row where the suffixes begin that are equal so far
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    names, have = [rank.astype(np.int32)], unit
+    row = np.flatnonzero(~new | np.append(~new[1:], False))  # rows that equal a neighbour
+    while have < bound:
+        if len(row):
+            at = order[row]
+            after = np.minimum(at + have, n)
+            key = rank[at] * (n + 2) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+            turn = np.argsort(key)
+            key, at = key[turn], at[turn]
+            order[row] = at
+            new = np.ones(len(row), bool)
+            new[1:] = key[1:] != key[:-1]
+            rank[at] = np.maximum.accumulate(np.where(new, row, 0))
+            row = row[~new | np.append(~new[1:], False)]
         have *= 2
+        names.append(rank.astype(np.int32))
+    return order, unit, names
 
 
 def repeated_intervals(text: np.ndarray, size: int, several: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,52 +89,57 @@ def repeated_intervals(text: np.ndarray, size: int, several: np.ndarray) -> tupl
     text: symbols from 0, where 0 ends each content and is never part of a string; several: of each place in text, whether
     its content stands for more than one.
     """
-    n, base = len(text), int(text.max()) + 1
-    suffix = bounded_suffixes(text, size)
+    n = len(text)
+    suffix, unit, names = bounded_suffixes(text, size)
     heavy = several[suffix]
+    ends = np.flatnonzero(text == 0)
+    room = (ends[np.searchsorted(ends, np.arange(n))] - np.arange(n))[suffix]  # symbols before the next end
     before = text[suffix - 1]  # the transform; the text is read as a circle and ends with 0
     # where the suffix longer by the symbol before stands: rows of one symbol keep their order, for strings as far as the bound
     by_symbol = np.argsort(before, kind="stable")
     longer = np.empty(n, np.int32)
     longer[by_symbol] = np.arange(n, dtype=np.int32)
 
-    def stride(q: int):
-        """Of each row: the row longer by q symbols, its own first q symbols in one integer, and whether they are free of ends."""
-        to, key, free = longer, text.astype(np.int64), text != 0
-        for k in range(1, q):
-            to = longer[to]
-            key = key * base
-            key[: n - k] += text[k:]
-            free[: n - k] &= text[k:] != 0
-            free[n - k :] = False
-        return to, key[suffix], free[suffix]
+    def levels():
+        """(symbols to extend by, row longer by them, number of a place's first symbols), the shortest extension first."""
+        to = longer
+        for q in range(1, unit + 1):
+            if q == size % unit:
+                key, base = np.zeros(n, np.int64), int(text.max()) + 1
+                for k in range(q):
+                    key = key * base
+                    key[: n - k] += text[k:]
+                yield q, to, key
+            if q < unit:
+                to = longer[to]
+        for j in range((size // unit).bit_length()):
+            if size // unit >> j & 1:
+                yield unit << j, to, names[j]
+            to = to[to]
 
     rows, group = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     marked, parent = np.zeros(n, bool), np.zeros(n, np.int32)
-    odd, steps = size % STRIDE, size // STRIDE
-    for q, times in ((odd, 1), (STRIDE, steps)):
-        if not q or not times:
-            continue
-        ahead, first, free = stride(q)
-        for _ in range(times):
-            to = ahead[rows]
-            use = free[to]
-            to = to[use]
-            if not len(to):
-                return suffix, to, to
-            marked[to] = True
-            parent[to] = group[use]
-            at = np.flatnonzero(marked).astype(np.int32)
-            marked[to] = False
-            # an interval: consecutive rows of one parent and equal first symbols
-            p, f = parent[at], first[at]
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
-            alone = new.copy()
-            alone[:-1] &= new[1:]
-            stay = ~alone | heavy[at]
-            rows = at[stay]
-            group = np.cumsum(new[stay], dtype=np.int32) - 1
+    for q, ahead, name in levels():
+        to = ahead[rows]
+        use = room[to] >= q
+        to = to[use]
+        if not len(to):
+            return suffix, to, to
+        marked[to] = True
+        parent[to] = group[use]
+        at = np.flatnonzero(marked).astype(np.int32)
+        marked[to] = False
+        # an interval: consecutive rows of one parent and equal first symbols
+        p, f = parent[at], name[suffix[at]]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (p[1:] != p[:-1]) | (f[1:] != f[:-1])
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        stay = ~alone | heavy[at]
+        rows = at[stay]
+        group = np.cumsum(new[stay], dtype=np.int32) - 1
+        if not len(rows):
+            break
     return suffix, rows, group
 
 
