@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values
-LIGHT_PAINT, DARK_NUMBER, LIGHT_NUMBER = (238, 232, 218), (18, 18, 18), (245, 245, 245)
+# The light paint; luminances that bound near white, very dark and light text; least channel and spread of paints;
+# the share that a tint keeps; steps and offsets of debug colours; the factor of the seeded generator; the white point.
+LIGHT_PAINT = (238, 232, 218)
+NEAR_WHITE, DARKEST, LIGHT_TEXT, LEAST_CHANNEL, LEAST_SPREAD = 244.0, 42.0, 105.0, 24, 24
+TINT = 0.16
+DEBUG_STEPS, DEBUG_OFFSETS = (37, 67, 97), (73, 31, 151)
+RANDOM_FACTOR = 10000
 WHITE_POINT = (95.047, 100.0, 108.883)
 
 
@@ -26,17 +31,17 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 def paint(r: Column, g: Column, b: Column) -> list[Column]:
     """A paintable colour: near-white becomes the light paint, very dark ones are lifted."""
     lum, spread = luminance(r, g, b), F.greatest(r, g, b) - F.least(r, g, b)
-    lifted = [F.greatest(F.lit(24), F.least(F.lit(255), F.bround(c * (42.0 / F.greatest(lum, F.lit(1.0)))).cast("int"))) for c in (r, g, b)]
-    return [F.when((lum > 244.0) & (spread < 24), light).when(lum >= 42.0, c).otherwise(dark) for c, light, dark in zip((r, g, b), LIGHT_PAINT, lifted)]
+    lifted = [F.greatest(F.lit(LEAST_CHANNEL), F.least(F.lit(255), F.bround(c * (DARKEST / F.greatest(lum, F.lit(1.0)))).cast("int"))) for c in (r, g, b)]
+    return [F.when((lum > NEAR_WHITE) & (spread < LEAST_SPREAD), light).when(lum >= DARKEST, c).otherwise(dark) for c, light, dark in zip((r, g, b), LIGHT_PAINT, lifted)]
 
 
 def needs_light_text(r: Column, g: Column, b: Column) -> Column:
-    return luminance(r, g, b) < 105.0
+    return luminance(r, g, b) < LIGHT_TEXT
 
 
 def tint(c: Column) -> Column:
     """Strongly towards white."""
-    return F.bround(255 * (1.0 - 0.16) + c * 0.16).cast("int")
+    return F.bround(255 * (1.0 - TINT) + c * TINT).cast("int")
 
 
 def hsv8(r: Column, g: Column, b: Column) -> list[Column]:
@@ -107,9 +112,14 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def debug_colour(i: Column) -> list[Column]:
-    return [((i * 37 + 73) % 255).cast("int"), ((i * 67 + 31) % 255).cast("int"), ((i * 97 + 151) % 255).cast("int")]
+    return [((i * step + first) % 255).cast("int") for step, first in zip(DEBUG_STEPS, DEBUG_OFFSETS)]
 
 
 def seeded_random(seed: Column, n: int) -> Column:
     """The first n values of the generator frac(sin(seed) * 10000) with ascending seeds."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin((seed + i).cast("double")) * 10000 - F.floor(F.sin((seed + i).cast("double")) * 10000))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin((seed + i).cast("double")) * RANDOM_FACTOR - F.floor(F.sin((seed + i).cast("double")) * RANDOM_FACTOR))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """Of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)

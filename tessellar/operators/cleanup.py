@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..sources.store import materialize
-from .regions import along_column, along_row
+from .regions import beside
 
 HARD_EDGE = 26.0
 
 
 def around(raster: DataFrame, diagonals: bool = True) -> DataFrame:
-    """Labels of the neighbours: l, r, u, d and, of the rows above and below, ul, ur, dl, dr."""
-    p = raster.select("image_id", "x", "y", "pid", "label", F.lag("label").over(along_row()).alias("l"), F.lead("label").over(along_row()).alias("r"))
-    p = p.select("*", F.lag("label").over(along_column()).alias("u"), F.lead("label").over(along_column()).alias("d"), *[f(c).over(along_column()).alias(n) for c in "lr" if diagonals for f, n in ((F.lag, f"u{c}"), (F.lead, f"d{c}"))])
-    return p
+    """Labels of the neighbours: l, r, u, d and, of the rows above and below, ul, ur, dl, dr.
+
+    A raster has a row for every pixel, label -1 or null where there is none: a diagonal is seen through the pixel beside it."""
+    p = raster.select("image_id", "x", "y", "pid", "label", beside("label", "x", -1).alias("l"), beside("label", "x", 1).alias("r"))
+    return p.select("*", beside("label", "y", -1).alias("u"), beside("label", "y", 1).alias("d"), *[beside(c, "y", step).alias(f"{n}{c}") for c in "lr" if diagonals for step, n in ((-1, "u"), (1, "d"))])
 
 
 def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
     # of each label, the labels near enough to replace it; the palette bounds the pairs
     other = lab.select(F.col("label").alias("to"), F.col("lab").alias("lab2"))
     near = lab.join(F.broadcast(other)).where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy("label").agg(F.collect_set("to").alias("near"))
-    p = around(raster).join(F.broadcast(near), "label", "left").join(F.broadcast(n), "image_id")
+    p = around(raster).join(F.broadcast(near), "label", "left").join(n, "image_id")
     groups = [("l", "r"), ("u", "d"), ("ul", "dr"), ("ur", "dl"), ("l", "u", "d"), ("r", "u", "d"), ("u", "l", "r"), ("d", "l", "r")]
     options = []
     inside = F.expr("l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL")
@@ -65,23 +66,24 @@ def opening(raster: DataFrame) -> DataFrame:
         same &= F.coalesce(F.col(c) == F.col("label"), F.col(c).isNull())
     e = p.select("image_id", "x", "y", "pid", "label", F.when(same, F.col("label")).alias("core"))
     near = F.coalesce(F.col("core") == F.col("label"), F.lit(False))
-    for w in (along_row(), along_column()):
-        for f in (F.lag, F.lead):
-            near |= F.coalesce(f("core").over(w) == F.col("label"), F.lit(False))
+    for along in "xy":
+        for step in (-1, 1):
+            near |= F.coalesce(beside("core", along, step) == F.col("label"), F.lit(False))
     return e.select("image_id", "x", "y", "pid", "label", near.alias("opened"))
 
 
 def prune_protrusions(raster: DataFrame, steps: int = 12) -> DataFrame:
-    """Labels whose opening is not empty lose what it removes; the holes fill from above, below, left, right in turn, so many times at most. Unfilled pixels have label -1."""
+    """Labels whose opening is not empty lose what it removes; these and all unlabelled pixels fill from above, below, left, right in turn, so many times at most. Unfilled pixels have label -1."""
     any_open = F.max("opened").over(Window.partitionBy("image_id", "label"))
-    o = opening(raster.where("label >= 0")).withColumn("has", any_open)
+    o = opening(raster.withColumn("label", F.coalesce("label", F.lit(-1)))).withColumn("has", any_open)
     p = materialize(o.select("image_id", "x", "y", "pid", F.when(F.col("has") & ~F.col("opened"), -1).otherwise(F.col("label")).alias("label")))
     for _ in range(steps):
         before = p.where("label < 0").count()
         if not before:
             break
-        for f, w in ((F.lag, along_column()), (F.lead, along_column()), (F.lag, along_row()), (F.lead, along_row())):
-            p = p.withColumn("label", F.when((F.col("label") < 0) & (F.coalesce(f("label").over(w), F.lit(-1)) >= 0), f("label").over(w)).otherwise(F.col("label")))
+        for along, step in (("y", -1), ("y", 1), ("x", -1), ("x", 1)):
+            p = p.withColumn("_n", F.coalesce(beside("label", along, step), F.lit(-1)))
+            p = p.withColumn("label", F.when((F.col("label") < 0) & (F.col("_n") >= 0), F.col("_n")).otherwise(F.col("label"))).drop("_n")
         p = materialize(p)
         if p.where("label < 0").count() == before:
             break
@@ -120,34 +122,42 @@ def strip_in_place(raster: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def bilateral(raster: DataFrame, d: int = 9, sigma_colour: float = 50.0, sigma_space: float = 50.0) -> DataFrame:
-    """Edge-preserving means; d up to 1 changes nothing. Bands of rows with their margins, one task each."""
+    """Edge-preserving means; d up to 1 changes nothing. The image is mirrored at its edge, without repeating the edge. Bands of rows with their margins, one task each."""
     if d <= 1:
         return raster.select("image_id", "x", "y", "r", "g", "b")
     radius, band = d // 2, 64
-    own = F.floor(F.col("y") / band).cast("int")
-    spread = raster.select("image_id", "x", "y", "r", "g", "b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("y") - radius) / band).cast("int"), F.floor((F.col("y") + radius) / band).cast("int")))).alias("band"))
+    row = F.floor(F.col("y") / band).cast("int")
+    size = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    spread = raster.join(size, "image_id").select("image_id", "x", "y", "r", "g", "b", "w", "h", F.explode(F.array_distinct(F.array(row, F.floor((F.col("y") - radius) / band).cast("int"), F.floor((F.col("y") + radius) / band).cast("int")))).alias("band")).where(F.col("band").between(0, F.floor((F.col("h") - 1) / band)))
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        y0, x0, k = int(pdf.y.min()), int(pdf.x.min()), int(pdf.band.iloc[0])
-        h, w = int(pdf.y.max()) - y0 + 1, int(pdf.x.max()) - x0 + 1
-        a = np.full((h + 2 * radius, w + 2 * radius, 3), np.nan)
-        a[pdf.y - y0 + radius, pdf.x - x0 + radius] = pdf[["r", "g", "b"]]
-        mid = a[radius : radius + h, radius : radius + w]
-        total, weight = np.zeros((h, w, 3)), np.zeros((h, w))
+        w, h, k, y0 = int(pdf.w.iloc[0]), int(pdf.h.iloc[0]), int(pdf.band.iloc[0]), int(pdf.y.min())
+        a = np.full((int(pdf.y.max()) - y0 + 1, w, 3), np.nan)
+        a[pdf.y - y0, pdf.x] = pdf[["r", "g", "b"]]
+
+        def mirrored(n, low, high):
+            at = np.arange(low, high) % max(2 * n - 2, 1)
+            return np.where(at < n, at, 2 * n - 2 - at)
+
+        first, last = k * band, min((k + 1) * band, h)
+        wide = a[np.clip(mirrored(h, first - radius, last + radius) - y0, 0, len(a) - 1)][:, mirrored(w, -radius, w + radius)]
+        rows = last - first
+        mid = wide[radius : radius + rows, radius : radius + w]
+        total, weight = np.zeros((rows, w, 3)), np.zeros((rows, w))
         for dy in range(-radius, radius + 1):
             for dx in range(-radius, radius + 1):
                 if dy * dy + dx * dx > radius * radius:
                     continue
-                other = a[radius + dy : radius + dy + h, radius + dx : radius + dx + w]
+                other = wide[radius + dy : radius + dy + rows, radius + dx : radius + dx + w]
                 far = np.abs(other - mid).sum(2)
                 g = np.nan_to_num(np.exp(-(dy * dy + dx * dx) / (2 * sigma_space**2) - far * far / (2 * sigma_colour**2)))
                 total += np.nan_to_num(other) * g[..., None]
                 weight += g
         keep = pdf[(pdf.y // band) == k]
-        out = np.rint(total / np.maximum(weight, 1e-12)[..., None])[keep.y - y0, keep.x - x0].astype(int)
+        out = np.rint(total / np.maximum(weight, 1e-12)[..., None])[keep.y - first, keep.x].astype(int)
         return pd.DataFrame({"image_id": keep.image_id, "x": keep.x, "y": keep.y, "r": out[:, 0], "g": out[:, 1], "b": out[:, 2]})
 
     return spread.groupBy("image_id", "band").applyInPandas(run, "image_id string, x int, y int, r int, g int, b int")

@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v != m").distinct())
     before = None
-    while True:
+    while not links.isEmpty():
         both = links.unionByName(links.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy("v").agg(F.min("m").alias("to")).select("v", F.least("v", "to").alias("to"))
         large = both.where("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).where("v != m").distinct()

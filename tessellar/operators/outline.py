@@ -1,10 +1,7 @@
-"""Border geometry: path data, shoelace areas, halving, poles of inaccessibility, SVG text."""
+"""Border geometry: path data, shoelace areas, halving, SVG text."""
 
 from __future__ import annotations
 
-import heapq
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,63 +22,28 @@ def shoelace(points: Column) -> Column:
     return F.abs(F.aggregate(terms.cast("array<double>"), F.lit(0.0), lambda a, x: a + x)) / 2
 
 
-def halve(points: list[tuple[float, float]], width: int, height: int) -> list[tuple[float, float]]:
-    """Means of pairs of points; ends and points on the image's edge stay; five points or fewer stay as they are."""
-    if len(points) <= 5:
-        return list(points)
-    edge = lambda p: p[0] in (0, width) or p[1] in (0, height)
-    out = [points[0]]
-    for a, b in zip(points[1:-2:2], points[2:-1:2]):
-        out += [p for p in (a, b) if edge(p)] or [((a[0] + b[0]) / 2, (a[1] + b[1]) / 2)]
-    out.append(points[-1])
-    return out
-
-
-def _distance(x: float, y: float, rings: list[list[tuple[float, float]]]) -> float:
-    """To the nearest edge: positive inside, by the even-odd rule."""
-    inside, best = False, math.inf
-    for ring in rings:
-        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
-            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
-                inside = not inside
-            dx, dy = bx - ax, by - ay
-            t = 0.0 if dx == dy == 0 else max(0.0, min(1.0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
-            best = min(best, math.hypot(x - ax - t * dx, y - ay - t * dy))
-    return best if inside else -best
+def halve(points: Column, width: int, height: int) -> Column:
+    """Means of consecutive pairs of an array of (x, y, side); both of a pair stay if its first is on the image's edge.
 
+    The ends stay, and paths of five points or fewer. Means count as points on a left side.
+    """
+    n = F.size(points)
+    edge = lambda p: (p.x == 0) | (p.y == 0) | (p.x == width - 1) | (p.y == height - 1)
 
-def pole(rings: list[list[tuple[float, float]]], precision: float = 1.0) -> tuple[float, float, float]:
-    """The inner point farthest from a polygon's edges (outer ring, then holes), by halving squares, the most promising first."""
-    xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
-    x0, y0, w, h = min(xs), min(ys), max(xs) - min(xs), max(ys) - min(ys)
-    size = min(w, h)
-    if not size:
-        return x0, y0, 0.0
-    heap: list[tuple] = []
-
-    def put(x, y, half):
-        d = _distance(x, y, rings)
-        heapq.heappush(heap, (-(d + half * math.sqrt(2)), x, y, half, d))
-        return x, y, d
+    def pair(i):
+        p, q = F.get(points, i), F.get(points, i + 1)
+        mean = F.struct(((p.x + q.x) / 2).alias("x"), ((p.y + q.y) / 2).alias("y"), F.lit(0).alias("side"))
+        return F.when(edge(p), F.array(p, q)).otherwise(F.array(mean))
 
-    half = size / 2
-    best = put(x0 + w / 2, y0 + h / 2, 0.0)
-    for i in range(math.ceil(w / size)):
-        for j in range(math.ceil(h / size)):
-            best = max(best, put(x0 + i * size + half, y0 + j * size + half, half), key=lambda p: p[2])
-    while heap:
-        top, x, y, half, d = heapq.heappop(heap)
-        if -top - best[2] <= precision or not half:
-            break
-        for dx in (-0.5, 0.5):
-            for dy in (-0.5, 0.5):
-                best = max(best, put(x + dx * half, y + dy * half, half / 2), key=lambda p: p[2])
-    return best
+    inner = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)), F.lit(2)), pair))
+    return F.when(n > 5, F.concat(F.array(F.element_at(points, 1)), inner, F.array(F.element_at(points, -1)))).otherwise(points)
 
 
-def svg(facets: DataFrame, width: int, height: int) -> DataFrame:
-    """image_id, svg from facets (image_id, facet_id, hex, points)."""
-    element = F.format_string('<path data-facetId="%d" d="%s" style="fill: %s;"/>', "facet_id", path_data(F.col("points")), "hex")
+def svg(facets: DataFrame, width: int, height: int, scale: float = 1.0) -> DataFrame:
+    """image_id, svg from facets (image_id, facet_id, hex, points): one closed path per facet, in the order of their numbers."""
+    scaled = F.transform("points", lambda p: F.struct((p.x * scale).alias("x"), (p.y * scale).alias("y")))
+    element = F.format_string('<path data-facet-id="%d" d="%s" stroke="#000" stroke-width="1" fill="%s" />', "facet_id", path_data(scaled), "hex")
     rows = facets.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("facet_id", element.alias("e")))).alias("es"))
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">'
+    w, h = f"{width * scale:g}", f"{height * scale:g}"
+    head = f'<svg xmlns="http://www.w3.org/2000/svg" width="{w}" height="{h}" viewBox="0 0 {w} {h}">'
     return rows.select("image_id", F.concat(F.lit(head), F.array_join(F.transform("es", lambda s: s.e), ""), F.lit("</svg>")).alias("svg"))

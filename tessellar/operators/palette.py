@@ -24,10 +24,14 @@ def palette_table(raster: DataFrame, palette: DataFrame) -> DataFrame:
     return counts.select("image_id", (F.col("label") + 1).alias("number"), C.hex_code("r", "g", "b").alias("hex"), C.hex_code(*p).alias("paint_hex"), "pixel_count", share.alias("area_percent"))
 
 
-def palette_json(table: DataFrame) -> DataFrame:
-    """image_id, colours: one JSON document per image, in the order of numbers."""
-    row = F.struct("number", "hex", "paint_hex", "pixel_count", "area_percent")
-    return table.groupBy("image_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("colours"))
+def palette_json(table: DataFrame, sizes: DataFrame, source: str, settings: dict, outputs: dict) -> DataFrame:
+    """image_id, document: one JSON document per image of table (as palette_table gives) and sizes (image_id, width, height)."""
+    rgb = lambda c: F.transform(F.array(*[F.lit(i) for i in (2, 4, 6)]), lambda i: F.conv(F.substr(c, i, F.lit(2)), 16, 10).cast("int"))
+    row = F.struct("number", "hex", rgb(F.col("hex")).alias("rgb"), "paint_hex", rgb(F.col("paint_hex")).alias("paint_rgb"), "pixel_count", "area_percent")
+    made = table.groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("colors")).join(sizes, "image_id")
+    pairs = lambda d: F.create_map(*[F.lit(str(x)) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
+    whole = F.struct(F.lit(source).alias("source"), "width", "height", pairs(settings).alias("settings"), "colors", pairs(outputs).alias("outputs"))
+    return made.select("image_id", F.to_json(whole).alias("document"))
 
 
 def swatches(table: DataFrame) -> DataFrame:
@@ -45,6 +49,26 @@ def compact_labels(raster: DataFrame, palette: DataFrame) -> DataFrame:
     return label_counts(raster).join(palette, "label").select("image_id", "label", (F.row_number().over(order) - 1).alias("new_label"))
 
 
+def compacted(raster: DataFrame, palette: DataFrame) -> DataFrame:
+    """Pixels with their new label; those without a label, or with one that the palette lacks, get -1."""
+    new = compact_labels(raster, palette)
+    return raster.join(new, ["image_id", "label"], "left").select("image_id", "x", "y", "pid", F.coalesce("new_label", F.lit(-1)).alias("label"))
+
+
+def strict_zip(paint: DataFrame, exact: DataFrame, key: str = "number") -> DataFrame:
+    """paint and exact side by side; an error where one has a key that the other lacks."""
+    both = paint.withColumn("_p", F.lit(True)).join(exact.withColumn("_e", F.lit(True)), key, "full")
+    checked = F.when(F.col("_p").isNull() | F.col("_e").isNull(), F.raise_error(F.concat(F.lit("palettes differ in length at "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return both.withColumn(key, checked).where(F.col(key).isNotNull()).drop("_p", "_e")
+
+
+def label_colours(raster: DataFrame) -> DataFrame:
+    """image_id, label, r, g, b: one row for each label from 0 to the largest; labels that no pixel has are white, and label 0 is where none has any."""
+    seen = raster.where("label >= 0").groupBy("image_id", "label").agg(*[F.first(c).alias(c) for c in "rgb"])
+    last = raster.groupBy("image_id").agg(F.greatest(F.max("label"), F.lit(0)).alias("last")).select("image_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("label"))
+    return last.join(seen, ["image_id", "label"], "left").select("image_id", "label", *[F.coalesce(c, F.lit(255)).alias(c) for c in "rgb"])
+
+
 def recolour(raster: DataFrame, palette: DataFrame) -> DataFrame:
     """Pixels with their label's colour; labels beyond the palette take the nearest end, unknown ones the first colour."""
     ends = palette.agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -94,11 +118,35 @@ def closest_pair(clusters: DataFrame) -> DataFrame:
     return pairs.groupBy("image_id").agg(best).select("image_id", "m.first_seen1", "m.first_seen2", "m.distance")
 
 
-def merge_clusters(one: dict, two: dict) -> dict:
-    """Weighted mean of two clusters (n, l, a, b, first_seen); the larger keeps its place, the earlier of equals."""
-    keep, other = (one, two) if one["n"] >= two["n"] else (two, one)
-    n = one["n"] + two["n"]
-    return {"first_seen": keep["first_seen"], "n": n} | {c: (one[c] * one["n"] + two[c] * two["n"]) / n for c in ("l", "a", "b")}
+def merge_close(clusters: DataFrame, distance: float) -> DataFrame:
+    """Clusters (image_id, first_seen, n, l, a, b) after the nearest two of an image have been merged until all are further apart.
+
+    The larger of two keeps its place, the earlier of equals; the mean is weighted and the earlier first_seen stays. An image has as
+    many clusters as its palette colours, so one task takes an image's.
+    """
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(["n", "first_seen"], ascending=[False, True])
+        centre, n, seen = pdf[["l", "a", "b"]].to_numpy(float), pdf.n.to_numpy(), pdf.first_seen.to_numpy()
+        while len(n) > 1:
+            far = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(2))
+            far[np.tril_indices(len(n))] = np.inf
+            i, j = np.unravel_index(far.argmin(), far.shape)
+            if far[i, j] > distance:
+                break
+            keep, drop = (i, j) if n[i] >= n[j] else (j, i)
+            centre[keep] = (centre[keep] * n[keep] + centre[drop] * n[drop]) / (n[keep] + n[drop])
+            n[keep] += n[drop]
+            seen[keep] = min(seen[keep], seen[drop])
+            centre, n, seen = (np.delete(x, drop, 0) for x in (centre, n, seen))
+        import pandas as pd
+
+        return pd.DataFrame({"image_id": pdf.image_id.iloc[0], "first_seen": seen, "n": n, "l": centre[:, 0], "a": centre[:, 1], "b": centre[:, 2]})
+
+    rows = clusters.select("image_id", F.col("first_seen").cast("long").alias("first_seen"), F.col("n").cast("long").alias("n"), *[F.col(c).cast("double").alias(c) for c in ("l", "a", "b")])
+    return rows.groupBy("image_id").applyInPandas(run, "image_id string, first_seen long, n long, l double, a double, b double")
 
 
 def colour_distances(palette: DataFrame) -> DataFrame:
@@ -124,6 +172,63 @@ def snap(colours: DataFrame, allowed: DataFrame) -> DataFrame:
     return colours.select("r", "g", "b").distinct().join(F.broadcast(table)).select("r", "g", "b", best.label.alias("label"))
 
 
+def weighted_kmeans(points: DataFrame, k: int, seed: int, delta: float = 1.0) -> DataFrame:
+    """k, dim, mean of clusters of points (v array, weight): Lloyd steps from k points drawn with repeats until the centres move by delta or less, all together.
+
+    A centre without points stays where it is. The k centres are all that comes to the driver.
+    """
+    from ..functions.colour import seeded_random
+    from ..sources.store import materialize
+
+    spark = points.sparkSession
+    ordered = materialize(points.select("v", F.col("weight").cast("double").alias("weight"), F.row_number().over(Window.orderBy("v")).alias("i")) if "i" not in points.columns else points)
+    n = ordered.count()
+    drawn = spark.range(1).select(seeded_random(F.lit(seed), k).alias("u")).first().u
+    at = [int(n * u) + 1 for u in drawn]
+    found = {r.i: r.v for r in ordered.where(F.col("i").isin(at)).collect()}
+    centres = [list(found[i]) for i in at]
+    while True:
+        now = spark.createDataFrame(list(enumerate(centres)), "k int, c array<double>")
+        moved = 0.0
+        means: dict[int, dict[int, float]] = {}
+        for r in lloyd_step(ordered, now).collect():
+            means.setdefault(r.k, {})[r.dim] = r["mean"]
+        for j, m in means.items():
+            new = [m[d] for d in range(len(m))]
+            moved += sum((x - y) ** 2 for x, y in zip(new, centres[j])) ** 0.5
+            centres[j] = new
+        if moved <= delta:
+            return spark.createDataFrame([(j, d, x) for j, c in enumerate(centres) for d, x in enumerate(c)], "k int, dim int, mean double")
+
+
+def detect_colours(raster: DataFrame, hint: int = 48, max_side: int = 480, distance: float = 11.0) -> DataFrame:
+    """image_id, detected, and report: how many main colours an image has, and the clusters that say so, with their shares.
+
+    Pixels, reduced to max_side, are clustered in 8-bit Lab; near clusters merge; the largest that cover enough are kept. For one
+    image at a time, by Spark's k-means over all its pixels.
+    """
+    from ..sources.raster import reduced
+
+    small = reduced(raster, max_side)
+    pixels = small.count()
+    if not pixels:
+        return raster.sparkSession.createDataFrame([], "image_id string, detected int, clusters array<struct<sample_pixels:bigint,sample_percent:double,hex:string>>")
+    k = max(2, min(2 * hint, 64, pixels))
+    lab = C.lab8(F.col("r"), F.col("g"), F.col("b"))
+    labelled = kmeans_labels(small, k).select("image_id", "label", *[x.alias(c) for c, x in zip(("l", "a", "b_"), lab)])
+    clusters = labelled.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("l", "a", "b_")])
+    merged = merge_close(clusters.select("image_id", F.col("label").alias("first_seen"), "n", "l", "a", F.col("b_").alias("b")), distance)
+    chosen = coverage_selection(merged, hint).join(merged.select("image_id", "first_seen", "l", "a", "b"), ["image_id", "first_seen"])
+    return cluster_report(chosen, pixels).groupBy("image_id").agg(F.least(F.lit(hint), F.count(F.lit(1)).cast("int")).alias("detected"), F.sort_array(F.collect_list(F.struct("sample_pixels", "sample_percent", "hex")), False).alias("clusters"))
+
+
+def cluster_report(clusters: DataFrame, sample: int) -> DataFrame:
+    """image_id, sample_pixels, sample_percent, hex of clusters (n, and l, a, b in 8-bit Lab)."""
+    whole = [F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.bround(c))) for c in ("l", "a", "b")]
+    rgb = C.lab_to_rgb(whole[0] / 2.55, whole[1] - 128, whole[2] - 128)
+    return clusters.select("image_id", F.col("n").alias("sample_pixels"), F.bround(100.0 * F.col("n") / max(1, sample), 3).alias("sample_percent"), C.hex_code(*rgb).alias("hex"))
+
+
 def kmeans_labels(raster: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Labels by clustering in 8-bit Lab; not number for number what another library gives."""
     from pyspark.ml.clustering import KMeans
@@ -131,5 +236,5 @@ def kmeans_labels(raster: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
     lab = C.lab8(F.col("r"), F.col("g"), F.col("b"))
     rows = VectorAssembler(inputCols=["_l", "_a", "_b"], outputCol="_v").transform(raster.drop("label").withColumns(dict(zip(("_l", "_a", "_b"), lab))))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="label").fit(rows)
+    model = KMeans(k=max(1, k), seed=seed, featuresCol="_v", predictionCol="label").fit(rows)
     return model.transform(rows).drop("_l", "_a", "_b", "_v")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from ..sources.store import materialize
 from .graph import components, roots
 
 
@@ -17,18 +18,69 @@ def along_column():
     return Window.partitionBy("image_id", "x").orderBy("y")
 
 
-def region_map(raster: DataFrame, connectivity: int = 8) -> DataFrame:
+def beside(c: str, along: str, step: int):
+    """c of the pixel one step along x or y; null where there is none, as at the edge or a gap."""
+    w, f = (along_row() if along == "x" else along_column()), (F.lead if step > 0 else F.lag)
+    return F.when(f(along).over(w) == F.col(along) + step, f(c).over(w))
+
+
+#: Rows of an image that one task joins into regions.
+BAND = 256
+
+
+def _band_roots(connectivity: int):
+    """Pixels of one band of rows with root, the least pid that is connected to each inside the band."""
+
+    def run(pdf):
+        import numpy as np
+
+        x, y = (pdf[c].to_numpy() - pdf[c].min() for c in "xy")
+        at = np.full((y.max() + 1, x.max() + 1), -1)
+        at[y, x] = np.arange(len(pdf))
+        label, pid = pdf.label.to_numpy(), pdf.pid.to_numpy()
+        pairs = []
+        for dy, dx in [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * (connectivity == 8):
+            h, w = at.shape
+            p, q = at[: h - dy, max(0, -dx) : w - max(0, dx)].ravel(), at[dy:, max(0, dx) : w + min(0, dx)].ravel()
+            both = (p >= 0) & (q >= 0)
+            p, q = p[both], q[both]
+            same = label[p] == label[q]
+            pairs.append((p[same], q[same]))
+        p, q = (np.concatenate(c) for c in zip(*pairs))
+        order = np.argsort(pid, kind="stable")
+        rank = np.empty(len(pid), np.int64)
+        rank[order] = np.arange(len(pid))
+        least = rank.copy()  # by pixel: the least rank that it is known to be connected to
+        while len(p):
+            low = np.minimum(least[p], least[q])
+            for end in (p, q):  # only the first pixel of a tree is hung on another: every other one stays with it
+                np.minimum.at(least, order[least[end]], low)
+            while True:
+                further = least[order[least]]
+                if (further == least).all():
+                    break
+                least = further
+            open_ = least[p] != least[q]
+            p, q = p[open_], q[open_]
+        return pdf.assign(root=pid[order[least]])[["image_id", "x", "y", "pid", "label", "root"]]
+
+    return run
+
+
+def region_map(raster: DataFrame, connectivity: int = 8, band: int = BAND) -> DataFrame:
     """Pixels with region_id; regions are numbered by colour, then by first pixel (connectivity 8), or by first pixel alone (4).
 
-    Pixels of a row that follow each other with one label are one vertex; edges lead to the row above.
+    Regions are joined inside bands of rows, one task each; what meets across the edge of two bands is joined by rounds over
+    those edges alone. Numbers are given to regions, not to pixels, in one task per image. Pixels without a label have no region.
     """
-    new = F.coalesce((F.col("label") != F.lag("label").over(along_row())) | (F.col("x") != F.lag("x").over(along_row()) + 1), F.lit(True))
-    px = raster.where("label >= 0").select("image_id", "x", "y", "pid", "label", F.when(new, F.col("pid")).alias("s"))
-    px = px.withColumn("run", F.last("s", ignorenulls=True).over(along_row().rowsBetween(Window.unboundedPreceding, 0))).drop("s")
+    px = raster.where("label >= 0").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("pid").cast("long").alias("pid"), F.col("label").cast("int").alias("label"), F.floor(F.col("y") / band).cast("int").alias("band"))
+    inner = materialize(px.groupBy("image_id", "band").applyInPandas(_band_roots(connectivity), "image_id string, x int, y int, pid long, label int, root long"))
+    top = inner.where(F.pmod(F.col("y"), F.lit(band)) == 0)
     offsets = [0] if connectivity == 4 else [-1, 0, 1]
-    up = px.select("image_id", "label", (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in offsets])).alias("x"), F.col("run").alias("a"))
-    edges = px.join(up, ["image_id", "label", "x", "y"]).select("a", F.col("run").alias("b"))
-    root = px.join(components(edges).select(F.col("v").alias("run"), F.col("label").alias("root")), "run", "left").withColumn("root", F.coalesce("root", "run"))
+    above = inner.where(F.pmod(F.col("y"), F.lit(band)) == band - 1).select("image_id", "label", (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in offsets])).alias("x"), F.struct("image_id", "root").alias("a"))
+    edges = top.join(above, ["image_id", "label", "x", "y"]).select("a", F.struct("image_id", "root").alias("b"))
+    found = components(edges).select(F.col("v.image_id").alias("image_id"), F.col("v.root").alias("root"), F.col("label.root").alias("whole"))
+    root = inner.join(found, ["image_id", "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     order = ["label", "root"] if connectivity == 8 else ["root"]
     ids = root.select("image_id", "label", "root").distinct().withColumn("region_id", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)).cast("long") - 1)
     return root.join(ids, ["image_id", "label", "root"]).select("image_id", "x", "y", "pid", "label", "region_id")
@@ -51,13 +103,13 @@ def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
 
 def boundary_mask(pixels: DataFrame, key: str = "region_id") -> DataFrame:
     """Pixels whose right or lower neighbour has another key; null keys are no region."""
-    right, down = F.lead(key).over(along_row()), F.lead(key).over(along_column())
+    right, down = beside(key, "x", 1), beside(key, "y", 1)
     return pixels.select("image_id", "x", "y", F.coalesce(right != F.col(key), F.lit(False)).alias("_r"), F.coalesce(down != F.col(key), F.lit(False)).alias("_d")).select("image_id", "x", "y", (F.col("_r") | F.col("_d")).alias("boundary"))
 
 
 def border_points(pixels: DataFrame, key: str = "label") -> DataFrame:
     """Pixels that lack one of four neighbours of their key; the image's edge counts."""
-    same = [F.coalesce(f(key).over(w) == F.col(key), F.lit(False)) for w in (along_row(), along_column()) for f in (F.lag, F.lead)]
+    same = [F.coalesce(beside(key, along, step) == F.col(key), F.lit(False)) for along in "xy" for step in (-1, 1)]
     return pixels.select("image_id", "x", "y", F.col(key), (~(same[0] & same[1] & same[2] & same[3])).alias("border")).where("border").drop("border")
 
 
@@ -91,19 +143,37 @@ def apply_merges(pixels: DataFrame, regions: DataFrame, plan: DataFrame) -> Data
 
 
 def merge_small_regions(raster: DataFrame, palette: DataFrame, min_area: int, passes: int = 3) -> DataFrame:
-    """Up to so many passes of regions, plan, merge and strip cleanup, until nothing changes."""
-    from ..sources.store import materialize
+    """Up to so many passes of regions, plan, merge and strip cleanup, until neither changes anything; then compact labels.
+
+    Up to min_area 1 labels are compacted only. Pixels without a label keep their place and get label -1.
+    """
     from .cleanup import strip_cleanup
+    from .palette import compacted
 
+    raster = raster.select("image_id", "x", "y", "pid", F.coalesce("label", F.lit(-1)).alias("label"))
     for _ in range(passes if min_area > 1 else 0):
         pixels = materialize(region_map(raster))
         regions = region_table(pixels)
         plan = materialize(merge_plan(regions, adjacency(pixels), palette, min_area))
-        if plan.isEmpty():
+        merged = raster if plan.isEmpty() else materialize(apply_merges(pixels, regions, plan).unionByName(raster.where("label < 0")))
+        cleaned = strip_cleanup(merged, palette, 4)
+        before = raster.select("image_id", "pid", F.col("label").alias("old"))
+        changed = not cleaned.join(before, ["image_id", "pid"]).where("label != old").isEmpty()
+        raster = cleaned
+        if not changed and plan.isEmpty():
             break
-        merged = strip_cleanup(materialize(apply_merges(pixels, regions, plan)), palette, 4)
-        raster = materialize(merged)
-    return raster
+    return compacted(raster, palette)
+
+
+def merge_order(regions: DataFrame, min_area: int) -> DataFrame:
+    """Candidates in the order in which they are looked at: by area, then number."""
+    order = Window.partitionBy("image_id").orderBy("area", "region_id")
+    return merge_candidates(regions, min_area).select("image_id", "region_id", "area", F.row_number().over(order).alias("place"))
+
+
+def size_order(regions: DataFrame) -> DataFrame:
+    """All regions from the largest down, of equals the first number first."""
+    return regions.select("image_id", "region_id", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id")).alias("place"))
 
 
 def label_worthy(regions: DataFrame, min_area: int) -> DataFrame:
@@ -114,18 +184,21 @@ def effective_min_area(pixels: int, requested: int) -> int:
     return max(requested, round(0.00025 * pixels))
 
 
-def paintability(regions: DataFrame, min_area: int) -> DataFrame:
+def paintability(regions: DataFrame, min_area: int, merge_area: int | None = None, coloured_edges: bool = False, auto_colours: bool = False) -> DataFrame:
+    """Size, colours, counts and extreme areas of an image's regions, and the settings they were made with."""
     n = F.col("area") >= min_area
     whole = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
     return regions.groupBy("image_id").agg(
+        F.max("x2").cast("long").alias("width"), F.max("y2").cast("long").alias("height"),
         F.countDistinct("color_index").alias("colors"), F.count(F.lit(1)).alias("regions_total"), F.count_if(n).alias("regions_numbered"), F.count_if(~n).alias("regions_too_small_for_label"), F.lit(min_area).cast("long").alias("min_label_area"),
         whole(F.min("area"), "smallest_region"), whole(F.max("area"), "largest_region"), F.bround(F.coalesce(F.median("area"), F.lit(0.0)), 3).alias("median_region_area"),
         whole(F.min(F.when(n, F.col("area"))), "smallest_numbered_region"), whole(F.max(F.when(~n, F.col("area"))), "largest_unnumbered_region"),
+        F.lit(True).alias("small_area_merging"), F.lit(min_area if merge_area is None else merge_area).cast("long").alias("small_region_merge_area"), F.lit(coloured_edges).alias("colored_edges_written"), F.lit(auto_colours).alias("auto_color_count"),
     )
 
 
-def label_points(pixels: DataFrame) -> DataFrame:
-    """The pixel of each region farthest from anything else (exact distance), first in raster order, and that distance.
+def edge_distance(pixels: DataFrame) -> DataFrame:
+    """image_id, x, y, region_id, d2: the square of each pixel's exact distance to the nearest pixel or place outside its region.
 
     Distances along rows come from windows; each pixel then looks up and down as far as the nearer of its
     row distance and the next region in its column, beyond which nothing can be nearer.
@@ -148,6 +221,11 @@ def label_points(pixels: DataFrame) -> DataFrame:
     met = own.join(rows, ["image_id", "x", "y2"], "left")
     dy = F.col("y2") - F.col("y")
     d2 = dy * dy + F.when(F.coalesce(F.col("other") == F.col("region_id"), F.lit(False)), F.col("g2") * F.col("g2")).otherwise(0)
-    dist = met.groupBy("image_id", "x", "y", "region_id").agg(F.min(d2).alias("d2"))
+    return met.groupBy("image_id", "x", "y", "region_id").agg(F.min(d2).alias("d2"))
+
+
+def label_points(pixels: DataFrame) -> DataFrame:
+    """The pixel of each region farthest from anything else (exact distance), first in raster order, and that distance."""
+    dist = edge_distance(pixels)
     best = F.max(F.struct("d2", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("m")
     return dist.groupBy("image_id", "region_id").agg(best).select("image_id", "region_id", (-F.col("m.nx")).alias("x"), (-F.col("m.ny")).alias("y"), F.round(F.sqrt("m.d2"), 6).alias("radius"))

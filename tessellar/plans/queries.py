@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from ..operators import borders as B
 from ..operators import cleanup as K
 from ..operators import outline as O
 from ..operators import palette as P
+from ..operators import reduction as D
 from ..operators import regions as R
+from ..operators import templates as M
+from ..sources import payloads as Y
 from ..sources import raster as S
 from ..streaming import progress as T
 
@@ -83,7 +87,9 @@ def palette_table(spark, sf_dir):
 
 @query("palette_json")
 def palette_json(spark, sf_dir):
-    return P.palette_json(palette_table(spark, sf_dir))
+    p = px(spark, sf_dir)
+    sizes = p.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return P.palette_json(P.palette_table(p, pal(spark)), sizes, "events", {"min_label_area": MIN_AREA}, {"template": "template.png"})
 
 
 @query("swatch_layout", f"WITH {_PAL} SELECT 'events' AS image_id, label + 1 AS number, 0 AS sheet_column, label AS sheet_row FROM pal")
@@ -253,11 +259,11 @@ def merge_apply(spark, sf_dir):
 
 @query("merge_driver")
 def merge_driver(spark, sf_dir):
-    return P.label_counts(R.merge_small_regions(px(spark, sf_dir), pal(spark), MIN_AREA))
+    return R.merge_small_regions(px(spark, sf_dir), pal(spark), MIN_AREA).select("pid", "label")
 
 
-@query("paintability", f"""WITH RECURSIVE {_REG} SELECT image_id, count(DISTINCT color_index) AS colors, count(*) AS regions_total, count(*) FILTER (area >= {MIN_AREA}) AS regions_numbered, count(*) FILTER (area < {MIN_AREA}) AS regions_too_small_for_label, {MIN_AREA}::BIGINT AS min_label_area, min(area) AS smallest_region, max(area) AS largest_region, round_even(median(area), 3) AS median_region_area,
-coalesce(min(area) FILTER (area >= {MIN_AREA}), 0) AS smallest_numbered_region, coalesce(max(area) FILTER (area < {MIN_AREA}), 0) AS largest_unnumbered_region FROM regions GROUP BY image_id""")
+@query("paintability", f"""WITH RECURSIVE {_REG} SELECT image_id, max(x2)::BIGINT AS width, max(y2)::BIGINT AS height, count(DISTINCT color_index) AS colors, count(*) AS regions_total, count(*) FILTER (area >= {MIN_AREA}) AS regions_numbered, count(*) FILTER (area < {MIN_AREA}) AS regions_too_small_for_label, {MIN_AREA}::BIGINT AS min_label_area, min(area) AS smallest_region, max(area) AS largest_region, round_even(median(area), 3) AS median_region_area,
+coalesce(min(area) FILTER (area >= {MIN_AREA}), 0) AS smallest_numbered_region, coalesce(max(area) FILTER (area < {MIN_AREA}), 0) AS largest_unnumbered_region, TRUE AS small_area_merging, {MIN_AREA}::BIGINT AS small_region_merge_area, FALSE AS colored_edges_written, FALSE AS auto_color_count FROM regions GROUP BY image_id""")
 def paintability(spark, sf_dir):
     return R.paintability(regions(spark, sf_dir), MIN_AREA)
 
@@ -358,16 +364,21 @@ def base64_chunks(spark, sf_dir):
 def chunk_assembly(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     total = F.max("turn").over(Window.partitionBy("conv_id")) + 1
-    return T.assemble(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("chunk_index"), total.alias("total_chunks"), F.col("text").alias("chunk")))
+    return T.assemble(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("chunk_index"), F.col("turn").alias("seq"), total.alias("total_chunks"), F.col("text").alias("chunk")))
 
 
-@query("progress_overall", "SELECT event_id, floor(100 * (0.06 + 0.24 * least(1, greatest(0, value / 500)))::DOUBLE + 0.5)::INTEGER AS progress FROM events")
+@query("progress_overall", """WITH st(i, before, share) AS (VALUES (0, 0::DOUBLE, 0.06::DOUBLE), (1, 0.06, 0.24), (2, 0.30, 0.02), (3, 0.32, 0.16), (4, 0.48, 0.06), (5, 0.54, 0.14), (6, 0.68, 0.12), (7, 0.80, 0.10), (8, 0.90, 0.05), (9, 0.95, 0.05))
+SELECT event_id, floor(100 * round(before + share * least(1, greatest(0, value / 500)), 9) + 0.5)::INTEGER AS progress FROM events JOIN st ON event_id % 10 = i""")
 def progress_overall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", T.overall(F.lit("kmeans"), F.col("value") / 500).alias("progress"))
+    stage = F.get(F.array(*[F.lit(n) for n, _ in T.STAGES]), (F.col("event_id") % 10).cast("int"))
+    return e.select("event_id", T.overall(stage, F.col("value") / 500).alias("progress"))
 
 
-@query("progress_throttle")
+@query("progress_throttle", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) AS t, least(1, greatest(0, value / 500)) AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, t, p, TRUE AS go FROM e WHERE n = 1 UNION ALL
+ SELECT e.user_id, e.event_id, e.n, CASE WHEN g THEN e.t ELSE f.t END, CASE WHEN g THEN e.p ELSE f.p END, g FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1, LATERAL (SELECT e.p >= 1 OR e.p - f.p >= 0.03::DOUBLE OR e.t - f.t >= 150 AS g))
+SELECT user_id AS request_id, event_id AS seq FROM f WHERE go""")
 def progress_throttle(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return T.throttle(e.select(F.col("user_id").alias("request_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("value") / 500).alias("local")))
@@ -395,20 +406,198 @@ def _paths(pixels):
     return p.select("y", F.transform("ps", lambda q: F.struct(q.r.cast("double").alias("x"), q.g.cast("double").alias("y"))).alias("points"))
 
 
-@query("shoelace", f"WITH {_PX}, p AS (SELECT *, lead(r) OVER w AS r2, lead(g) OVER w AS g2, first(r) OVER w AS r0, first(g) OVER w AS g0 FROM px WHERE x < 12 WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, abs(sum(r * coalesce(g2, g0) - coalesce(r2, r0) * g))::DOUBLE / 2 AS area FROM p GROUP BY y")
+@query("shoelace", f"WITH {_PX}, p AS (SELECT *, lead(r) OVER w AS r2, lead(g) OVER w AS g2, first(r) OVER w AS r0, first(g) OVER w AS g0 FROM px WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, abs(sum(r * coalesce(g2, g0) - coalesce(r2, r0) * g))::DOUBLE / 2 AS area FROM p GROUP BY y")
 def shoelace(spark, sf_dir):
-    # the SQL takes the first twelve pixels of a row
-    return _paths(px(spark, sf_dir).where("x < 12")).select("y", O.shoelace(F.col("points")).alias("area"))
+    return _paths(px(spark, sf_dir)).select("y", O.shoelace(F.col("points")).alias("area"))
+
+
+def _facets(spark, sf_dir):
+    from ..sources.store import materialize
+
+    return materialize(R.region_map(px(spark, sf_dir), 4))
+
+
+def _height(pixels) -> int:
+    return pixels.agg(F.max("y")).first()[0] + 1
+
+
+@query("border_paths")
+def border_paths(spark, sf_dir):
+    return B.border_paths(B.border_pixels(_facets(spark, sf_dir))).select("region_id", "place", "x", "y", "side", "neighbour")
+
+
+@query("border_segments")
+def border_segments(spark, sf_dir):
+    p = _facets(spark, sf_dir)
+    return B.halved(B.border_segments(B.border_paths(B.border_pixels(p))), S.WIDTH, _height(p)).select("region_id", "segment", "neighbour", F.size("points").alias("n_points"))
+
+
+@query("matched_segments")
+def matched_segments(spark, sf_dir):
+    p = _facets(spark, sf_dir)
+    return B.facet_outlines(p, S.WIDTH, _height(p)).select("region_id", "segment", "neighbour", "reverse")
+
+
+@query("facet_label_bounds")
+def facet_label_bounds(spark, sf_dir):
+    p = _facets(spark, sf_dir)
+    return B.label_bounds(p, B.facet_outlines(p, S.WIDTH, _height(p)))
 
 
 @query("svg_document")
 def svg_document(spark, sf_dir):
-    rows = _paths(px(spark, sf_dir)).select(F.lit("events").alias("image_id"), F.col("y").cast("long").alias("facet_id"), F.lit("#20FF00").alias("hex"), "points")
-    return O.svg(rows, 256, 256)
+    p = _facets(spark, sf_dir)
+    height = _height(p)
+    colour = R.region_table(p).join(pal(spark), F.col("color_index") == F.col("label")).select("image_id", "region_id", C.hex_code("r", "g", "b").alias("hex"))
+    ring = B.rings(B.facet_outlines(p, S.WIDTH, height), walls=False).join(colour, ["image_id", "region_id"])
+    return O.svg(ring.select("image_id", F.col("region_id").alias("facet_id"), "hex", B.closed(F.col("points")).alias("points")), S.WIDTH, height)
+
+
+@query("facet_reduction")
+def facet_reduction(spark, sf_dir):
+    return D.reduce_facets(px(spark, sf_dir), pal(spark), 2).select("pid", "label")
+
+
+_FAC = f"""{_PX}, nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy)), e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label),
+reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p), top AS (SELECT p, min(root) AS root FROM reach GROUP BY p), fac AS (SELECT px.*, dense_rank() OVER (ORDER BY root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p)"""
+
+
+@query("small_facets", f"WITH RECURSIVE {_FAC} SELECT region_id, count(*) AS area FROM fac GROUP BY region_id HAVING count(*) < {MIN_AREA}")
+def small_facets(spark, sf_dir):
+    return D.small_facets(R.region_table(_facets(spark, sf_dir)), MIN_AREA).select("region_id", "area")
+
+
+@query("neighbours_of_facets", f"WITH RECURSIVE {_FAC}, p AS (SELECT a.region_id AS s, b.region_id AS d FROM fac a JOIN fac b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND a.x BETWEEN b.x - 1 AND b.x + 1 AND (a.y = b.y OR a.x = b.x)) SELECT s AS region_id, list_sort(list(DISTINCT d) FILTER (d != s)) AS neighbours FROM p GROUP BY s")
+def neighbours_of_facets(spark, sf_dir):
+    return D.facet_neighbours(_facets(spark, sf_dir)).select("region_id", "neighbours")
+
+
+@query("merge_order", f"WITH RECURSIVE {_REG} SELECT region_id, area, row_number() OVER (ORDER BY area, region_id)::INTEGER AS place FROM regions WHERE area < {MIN_AREA} OR area <= {2 * MIN_AREA} AND area / greatest(x2 - x1, y2 - y1)::DOUBLE <= 5.5")
+def merge_order(spark, sf_dir):
+    return R.merge_order(regions(spark, sf_dir), MIN_AREA).select("region_id", "area", "place")
+
+
+@query("size_order", f"WITH RECURSIVE {_REG} SELECT region_id, area, row_number() OVER (ORDER BY area DESC, region_id)::INTEGER AS place FROM regions")
+def size_order(spark, sf_dir):
+    return R.size_order(regions(spark, sf_dir)).select("region_id", "area", "place")
+
+
+_TINT = ", ".join(f"CASE WHEN coalesce(rr != n.label, FALSE) OR coalesce(d != n.label, FALSE) THEN 32 ELSE round_even(255 * (1 - 0.16::DOUBLE) + pal.{c} * 0.16::DOUBLE, 0)::INTEGER END AS {c}" for c in "rgb")
+
+
+@query("template_layers", _AROUND.join(["WITH ", f", {_PAL} SELECT n.x, n.y, {_TINT} FROM n JOIN pal ON pal.label = n.label"]))
+def template_layers(spark, sf_dir):
+    return M.template(_regions(spark, sf_dir), pal(spark), "bright-color-circles").select("x", "y", "r", "g", "b")
+
+
+@query("coloured_rims")
+def coloured_rims(spark, sf_dir):
+    return M.template(_regions(spark, sf_dir), pal(spark), "colored-edges").select("x", "y", "r", "g", "b")
+
+
+_BOX = "least(p_size % 7 + 1, greatest(1, (least(p_size * 9, 300) - 2) // 2))"
+
+
+@query("marker_geometry", f"""WITH c AS (SELECT p_partkey, p_size * 9 AS w, 300 AS h, (p_partkey % 600)::INTEGER AS x, (p_partkey % 400)::INTEGER AS y, {_BOX}::INTEGER AS r FROM part),
+b AS (SELECT *, r + 1 AS low, w - r - 2 AS hx, h - r - 2 AS hy FROM c)
+SELECT p_partkey, r, (CASE WHEN hx < low THEN w // 2 ELSE least(greatest(x, low), hx) END)::INTEGER AS cx, (CASE WHEN hy < low THEN h // 2 ELSE least(greatest(y, low), hy) END)::INTEGER AS cy, greatest(3, least(5, round_even(greatest(w, h) / 300::DOUBLE, 0)))::INTEGER AS fixed FROM b""")
+def marker_geometry(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w, h = (F.col("p_size") * 9).cast("int"), F.lit(300)
+    x, y, r = M.within_canvas((F.col("p_partkey") % 600).cast("int"), (F.col("p_partkey") % 400).cast("int"), (F.col("p_size") % 7 + 1).cast("int"), w, h)
+    return part.select("p_partkey", r.cast("int").alias("r"), x.alias("cx"), y.alias("cy"), M.marker_radius(w, h).alias("fixed"))
+
+
+@query("label_texts")
+def label_texts(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w, h, b, radius = F.lit(19.0), F.lit(22.0), F.lit(10.0), F.col("p_size").cast("double")
+    scale = M.text_in_canvas(M.text_scale(radius, F.col("p_size") * F.col("p_size") * 3, w, h, F.lit(0.42), F.lit(0.62)), w, h, b, F.lit(300), F.lit(200))
+    s, circle = M.label_circle(scale, radius, w, h, b)
+    x, y = M.text_origin((F.col("p_partkey") % 300).cast("int"), (F.col("p_partkey") % 200).cast("int"), F.lit(12), F.lit(14), F.lit(6), F.lit(3), F.lit(300), F.lit(200))
+    return part.select("p_partkey", F.round(scale, 6).alias("scale"), F.round(s, 6).alias("circle_scale"), circle.alias("circle"), x.alias("x"), y.alias("y"))
+
+
+@query("label_colours", f"WITH {_PX}, m AS (SELECT label, min(pid) AS p FROM px GROUP BY label) SELECT m.label, pal.r, pal.g, pal.b FROM m JOIN ({_PAL.join(['WITH ', ' SELECT * FROM pal'])}) pal USING (label)")
+def label_colours(spark, sf_dir):
+    return P.label_colours(px(spark, sf_dir).select("image_id", "label").join(pal(spark), "label")).select("label", "r", "g", "b")
+
+
+@query("strict_palette", f"WITH {_PX}, {_PAL}, c AS (SELECT label, count(*) AS n FROM px GROUP BY label) SELECT (label + 1)::INTEGER AS number, printf('#%02X%02X%02X', r, g, b) AS exact_hex, n AS pixel_count FROM c JOIN pal USING (label)")
+def strict_palette(spark, sf_dir):
+    exact = pal(spark).select((F.col("label") + 1).alias("number"), C.hex_code("r", "g", "b").alias("exact_hex"))
+    return P.strict_zip(palette_table(spark, sf_dir), exact).select("number", "exact_hex", "pixel_count")
+
+
+@query("top_colours", f"WITH {_PX} SELECT label AS colour, count(*) AS frequency FROM px GROUP BY label ORDER BY frequency DESC, label LIMIT 8")
+def top_colours(spark, sf_dir):
+    return P.facet_palette_stats(regions(spark, sf_dir)).where("rank <= 8").select("colour", "frequency")
+
+
+@query("cluster_merge")
+def cluster_merge(spark, sf_dir):
+    return P.merge_close(_clusters(spark, sf_dir), 11.0).select("first_seen", "n", *[F.round(c, 6).alias(c) for c in ("l", "a", "b")])
+
+
+@query("weighted_kmeans")
+def weighted_kmeans(spark, sf_dir):
+    points = P.coarse_histogram(px(spark, sf_dir)).select(F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("v"), F.col("weight"))
+    return P.weighted_kmeans(points, 4, 7, 8.0)
+
+
+@query("auto_colours")
+def auto_colours(spark, sf_dir):
+    return P.detect_colours(px(spark, sf_dir), 8)
+
+
+@query("seeded_random", "SELECT n_nationkey, round(sin((n_nationkey + i)::DOUBLE) * 10000 - floor(sin((n_nationkey + i)::DOUBLE) * 10000), 6) AS u FROM nation, (VALUES (0), (1), (2)) r(i)")
+def seeded_random(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return n.select("n_nationkey", F.explode(C.seeded_random(F.col("n_nationkey"), 3)).alias("u")).select("n_nationkey", F.round("u", 6).alias("u"))
+
+
+@query("payload_round_trip", "SELECT conv_id, turn, octet_length(encode(text)) AS n_bytes, md5(text) AS digest FROM conversations WHERE text IS NOT NULL")
+def payload_round_trip(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    sent = Y.serialise(c.select(F.struct("conv_id", "turn").alias("image_id"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.encode("text", "UTF-8").alias("data")))
+    return Y.deserialise(sent).select("image_id.conv_id", "image_id.turn", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+@query("answer_images", "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'image/webp' ELSE 'image/png' END AS mime_type, text AS data FROM conversations WHERE text IS NOT NULL")
+def answer_images(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("text IS NOT NULL")
+    text = F.col("text")
+    direct = F.to_json(F.struct(text.alias("imageBase64"), F.lit("image/webp").alias("mimeType")))
+    nested = F.to_json(F.struct(F.struct(text.alias("base64")).alias("image")))
+    part = F.struct(F.struct(text.alias("data")).alias("inline_data"))
+    candidate = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part).alias("parts")).alias("content"))).alias("candidates")))
+    payload = F.when(F.col("turn") % 3 == 0, direct).when(F.col("turn") % 3 == 1, nested).otherwise(candidate)
+    found = F.coalesce(Y.answer_image(F.col("payload")), Y.candidate_image(F.col("payload")))
+    return c.select("conv_id", "turn", payload.alias("payload")).select("conv_id", "turn", found.alias("i")).select("conv_id", "turn", "i.mime_type", "i.data")
+
+
+@query("idea_texts", r"""SELECT conv_id, turn, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' OR text IS NULL THEN 'idea' ELSE substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 80) END AS title,
+  coalesce(nullif(regexp_replace(regexp_replace(coalesce(role, '') || ' ' || turn, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'paint_by_numbers') AS stem, concat_ws(chr(10) || chr(10), role, 'turn ' || turn) AS prompt
+FROM conversations WHERE length(trim(text)) >= 8""")
+def idea_texts(spark, sf_dir):
+    c = T.ready_ideas(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    stem = Y.clean_stem(F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.lit(".png")))
+    return c.select("conv_id", "turn", Y.title(F.col("text"), "idea").alias("title"), stem.alias("stem"), Y.prompt(F.col("role"), F.lit(" "), F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("prompt"))
+
+
+@query("base64_decode", "SELECT conv_id, turn, text FROM conversations")
+def base64_decode(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return c.select("conv_id", "turn", F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8").alias("text"))
+
+
+@query("analysis_raster", f"WITH {_PX}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), z AS (SELECT *, least(1, 40::DOUBLE / greatest(w, h)) AS f FROM s), d AS (SELECT w, h, greatest(1, round_even(w * f, 0))::INTEGER AS nw, greatest(1, round_even(h * f, 0))::INTEGER AS nh FROM z) SELECT (x * nw // w)::INTEGER AS x, (y * nh // h)::INTEGER AS y, round_even(avg(r), 0)::INTEGER AS r, round_even(avg(g), 0)::INTEGER AS g, round_even(avg(b), 0)::INTEGER AS b FROM px, d GROUP BY 1, 2")
+def analysis_raster(spark, sf_dir):
+    return S.reduced(px(spark, sf_dir), 40).select("x", "y", "r", "g", "b")
 
 
 @query("vector_distances", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 5) AS manhattan FROM embeddings")
 def vector_distances(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     zero = F.transform("v", lambda x: F.lit(0.0))
-    return e.select("vec_id", F.round(C.euclidean(F.col("v"), zero), 5).alias("norm"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 5).alias("manhattan"))
+    return e.select("vec_id", F.round(C.euclidean(F.col("v"), zero), 5).alias("norm"), F.round(C.manhattan(F.col("v"), zero), 5).alias("manhattan"))

@@ -58,6 +58,32 @@ def area_resample(raster: DataFrame, factor: int) -> DataFrame:
     return g.agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
 
 
+def reduced(raster: DataFrame, max_side: int = 480) -> DataFrame:
+    """The raster with its longer side cut down to max_side by means; as it is if it is no longer than that. pid counts the new pixels.
+
+    Each pixel goes to the new one that holds its corner: the same as area means where the factor is whole.
+    """
+    size = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    scale = F.least(F.lit(1.0), F.lit(float(max_side)) / F.greatest("w", "h"))
+    new = {c: F.greatest(F.lit(1), F.bround(F.col(c) * scale).cast("int")) for c in "wh"}
+    p = raster.join(size.select("image_id", "w", "h", new["w"].alias("nw"), new["h"].alias("nh")), "image_id")
+    at = {c: F.floor(F.col(c) * F.col(f"n{d}") / F.col(d)).cast("int").alias(c) for c, d in (("x", "w"), ("y", "h"))}
+    g = p.select("image_id", at["x"], at["y"], "nw", *"rgb").groupBy("image_id", "x", "y").agg(F.first("nw").alias("nw"), *[F.bround(F.avg(c)).cast("int").alias(c) for c in "rgb"])
+    return g.select("image_id", "x", "y", (F.col("y").cast("long") * F.col("nw") + F.col("x")).alias("pid"), *"rgb")
+
+
+def prepared_output(spark: SparkSession, out_dir: str, source: str | None = None) -> str:
+    """A safe output folder without what was in it, through Spark's file systems."""
+    if "://" not in out_dir:
+        out_dir = str(safe_output(out_dir, source))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(path):
+        system.delete(path, True)
+    system.mkdirs(path)
+    return out_dir
+
+
 def safe_output(out_dir: str, source: str | None = None) -> Path:
     """A folder that may be overwritten: not the working directory, not a root, not one that holds the input."""
     out, cwd = Path(out_dir).resolve(), Path.cwd().resolve()

@@ -19,27 +19,80 @@ def overall(stage: Column, local: Column) -> Column:
     return F.floor(100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)) + 0.5).cast("int")
 
 
-def throttle(events: DataFrame, key: str = "request_id", step: float = 0.03, gap_ms: int = 150) -> DataFrame:
-    """Events (key, seq, ts_ms, local) that are passed on: a key's first, finished ones, and those far enough from the last one passed on.
+STEP, GAP_MS = 0.03, 150
 
-    Each depends on the one passed on before, so a key is folded in order, by one aggregate over its ordered events.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "ts_ms", F.col("local").cast("double").alias("local"))))
-    kind = "struct<seen:boolean,ts:bigint,local:double,out:array<bigint>>"
-    zero = F.from_json(F.lit('{"seen":false,"ts":0,"local":0.0,"out":[]}'), kind)
 
-    def fold(s, e):
-        go = ~s.seen | (e.local >= 1) | (e.local - s.local >= step) | (e.ts_ms - s.ts >= gap_ms)
-        return F.struct((s.seen | go).alias("seen"), F.when(go, e.ts_ms).otherwise(s.ts).alias("ts"), F.when(go, e.local).otherwise(s.local).alias("local"), F.when(go, F.concat(s.out, F.array(e.seq))).otherwise(s.out).alias("out"))
+def _passes(local: float, ts: int, last: float, at: int) -> bool:
+    """Whether an event goes on: the first, a finished one, and one far enough in progress or time from the last that went on."""
+    return last < 0 or local >= 1 or local - last >= STEP or ts - at >= GAP_MS
 
-    return events.groupBy(key).agg(ordered.alias("es")).select(key, F.explode(F.aggregate("es", zero, fold).out).alias("seq"))
 
+def throttle(events: DataFrame, key: str = "request_id") -> DataFrame:
+    """key, seq of the events (key, seq, ts_ms, local) that are passed on. Progress counts from 0 to 1, beyond that as the nearer end.
 
-def assemble(parts: DataFrame, key: str = "request_id") -> DataFrame:
-    """key, complete, text from (key, chunk_index, total_chunks, chunk): whole only if every chunk has come; of repeated ones the last in order counts."""
-    one = parts.groupBy(key, "chunk_index").agg(F.max("chunk").alias("chunk"), F.max("total_chunks").alias("total_chunks"))
+    Each depends on the last one passed on before, so a key's events are read in order; what is held is that one event.
+    """
+    rows = events.select(key, "seq", "ts_ms", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("local").cast("double"))).alias("local"))
+
+    def run(parts):
+        now, last, at = object(), -1.0, 0
+        for pdf in parts:
+            keep = []
+            for k, ts, local in zip(pdf[key].tolist(), pdf.ts_ms.tolist(), pdf.local.tolist()):
+                if k != now:
+                    now, last, at = k, -1.0, 0
+                go = _passes(local, ts, last, at)
+                if go:
+                    last, at = local, ts
+                keep.append(go)
+            yield pdf.loc[keep, [key, "seq"]]
+
+    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, f"`{key}` {dict(rows.dtypes)[key]}, seq {dict(rows.dtypes)['seq']}")
+
+
+def stream_throttle(events: DataFrame, key: str = "request_id") -> DataFrame:
+    """The same over a streaming frame: of each key the state is the last event passed on. Events of one batch come in the order of seq."""
+    kinds = dict(events.dtypes)
+
+    def run(_, parts, state):
+        import pandas as pd
+
+        last, at = state.get if state.exists else (-1.0, 0)
+        rows = pd.concat(list(parts)).sort_values("seq")
+        keep = []
+        for ts, local in zip(rows.ts_ms.tolist(), rows.local.clip(0, 1).tolist()):
+            go = _passes(local, ts, last, at)
+            if go:
+                last, at = local, ts
+            keep.append(go)
+        state.update((last, at))
+        yield rows.loc[keep, [key, "seq"]]
+
+    rows = events.select(key, "seq", F.col("ts_ms").cast("long").alias("ts_ms"), F.col("local").cast("double").alias("local"))
+    return rows.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, seq {kinds['seq']}", "last double, at long", "append", "NoTimeout")
+
+
+def assemble(parts: DataFrame, key: str = "request_id", starts: DataFrame | None = None) -> DataFrame:
+    """key, complete, text from (key, seq, chunk_index, total_chunks, chunk), and error if starts (key) are given.
+
+    Whole only if every chunk has come, in whatever order; of repeated ones the last by seq counts. Chunks of a request that never started are
+    an unknown request.
+    """
+    one = parts.groupBy(key, "chunk_index").agg(F.max_by("chunk", "seq").alias("chunk"), F.max("total_chunks").alias("total_chunks"))
     rows = one.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk"))).alias("cs"), F.max("total_chunks").alias("total"), F.count(F.lit(1)).alias("n"))
-    return rows.select(key, (F.col("n") == F.col("total")).alias("complete"), F.when(F.col("n") == F.col("total"), F.array_join(F.transform("cs", lambda c: c.chunk), "")).alias("text"))
+    whole = F.col("n") == F.col("total")
+    out = rows.select(key, whole.alias("complete"), F.when(whole, F.array_join(F.transform("cs", lambda c: c.chunk), "")).alias("text"))
+    if starts is None:
+        return out
+    known = starts.select(key).distinct().withColumn("_started", F.lit(True))
+    both = out.join(known, key, "full")
+    error = F.when(F.col("_started").isNull(), "unknown request").when(~F.coalesce("complete", F.lit(False)), "missing chunk")
+    return both.select(key, (F.coalesce("complete", F.lit(False)) & error.isNull()).alias("complete"), F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
+
+
+def ready_ideas(ideas: DataFrame, least: int = 8) -> DataFrame:
+    """Ideas whose text has at least so many characters without the white space around it."""
+    return ideas.where(F.char_length(F.trim("text")) >= least)
 
 
 def route(messages: DataFrame, kinds: list[str], request_id: str | None = None) -> DataFrame:
@@ -60,5 +113,3 @@ def timings(events: DataFrame) -> DataFrame:
 def stream_overall(events: DataFrame) -> DataFrame:
     """A streaming frame of events (request_id, stage, local) with overall progress; no state is kept."""
     return events.withColumn("progress", overall(F.col("stage"), F.col("local")))
-
-
