@@ -6,7 +6,8 @@ and merges never cross a cut. So these places are cuts whatever stands around th
   * in white space before a visible character, in front of the last one: `\\s+(?!\\S)` takes all but that one;
   * after that one, unless it is a plain space, which the next alternative takes along;
   * between an ASCII letter and one of , . ; : ! ? : a run of letters ends there, and only an apostrophe starts a contraction.
-White space at the end of a text is one part. The library encodes each part; a worker keeps the ids of parts that it has met.
+White space at the end of a text is one part. The library encodes each part; parts of letters alone, which are one
+piece each, go to it together, with nothing between those that begin with a space and a line feed between the others. A worker keeps the ids of parts that it has met.
 Texts that hold a special token's name or one of U+001C to U+001F, which count as white space here but not there, and
 vocabularies with another pre-tokeniser are encoded as they are.
 """
@@ -17,12 +18,13 @@ import json
 import os
 import re
 import sys
+from array import array
 
 import numpy as np
 
 #: Parts in each of the two generations that a worker keeps; what is used again moves to the younger.
 KEEP = 450_000
-_PARTS = re.compile(r" ?(?:[A-Za-z]+(?=[,.;:!?\s]|\Z)|\S+)|\s+\Z|\s+(?=\s)|\s")
+_PARTS = re.compile(r" ?[A-Za-z]+(?=[,.;:!?\s]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -39,19 +41,15 @@ class Store:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, parts: list[str]) -> list[str]:
-        """The parts of which neither generation knows; those that only the older one knows move to the younger."""
-        wanted = set(parts)
+    def learn(self, wanted: set[str], work) -> None:
+        """Have all wanted in the younger generation; work(parts) gives those that neither has."""
         if len(self.young) > KEEP:
             self.old, self.young = self.young, {}
-        new = []
-        for p in wanted.difference(self.young):
-            known = self.old.get(p)
-            if known is None:
-                new.append(p)
-            else:
-                self.young[p] = known
-        return new
+        lacking = wanted.difference(self.young)
+        again = lacking.intersection(self.old)
+        self.young.update((p, self.old[p]) for p in again)
+        if new := list(lacking - again):
+            self.young.update(work(new))
 
 
 class Encoder:
@@ -74,27 +72,47 @@ class Encoder:
             return None
         return _PARTS.findall(text)
 
-    def _of(self, store: Store, parts: list[str], value) -> list[bytes]:
-        try:
-            return list(map(store.young.__getitem__, parts))
-        except KeyError:
-            new = store.missing(parts)
-            store.young.update(zip(new, map(value, self.tokenizer.encode_batch(new, add_special_tokens=False))))
-            return list(map(store.young.__getitem__, parts))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        parts = self._parts(text)
-        if parts is None:
-            return np.array(self._whole(text).ids, "<u4").tobytes()
-        return b"".join(self._of(self.ids, parts, lambda e: np.array(e.ids, "<u4").tobytes()))
+    def _joined(self, words: list[str], between: str) -> list[bytes]:
+        """Ids of words that are one piece each, from one text; what stands between two is a piece of its own or nothing."""
+        e = self._whole(between.join(words))
+        word, raw = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
+        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word)) * 4
+        step = 2 if between else 1
+        return [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()][::step], ends.tolist()[::step])]
+
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        spaced, bare, rest = [], [], []
+        for p in parts:
+            word = p[1:] if p[0] == " " else p
+            if not word.isalpha() or max(word) >= "\u0250":
+                rest.append(p)
+            elif p[0] == " ":
+                spaced.append(p)
+            else:
+                bare.append(p)
+        out = dict(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
+        for words, between in ((spaced, ""), (bare, "\n")):
+            if words:
+                out.update(zip(words, self._joined(words, between), strict=True))
+        return out
+
+    def _spans(self, parts: list[str]) -> dict[str, bytes]:
+        return {p: np.array(e.offsets, np.int32).tobytes() for p, e in zip(parts, self.tokenizer.encode_batch(parts, add_special_tokens=False))}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = list(map(self._parts, texts))
+        self.ids.learn(set().union(*[p for p in cut if p is not None]), self._ids)
+        known = self.ids.young.__getitem__
+        return [array("I", self._whole(t).ids).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, cut)]
 
     def spans(self, text: str) -> np.ndarray:
         """Character offsets (start, end) of each token, as the library gives them."""
         parts = self._parts(text)
         if parts is None:
             return np.array(self._whole(text).offsets, np.int64).reshape(-1, 2)
-        found = self._of(self.offsets, parts, lambda e: np.array(e.offsets, np.int32).tobytes())
+        self.offsets.learn(set(parts), self._spans)
+        found = list(map(self.offsets.young.__getitem__, parts))
         at = np.cumsum([0, *map(len, parts)])[:-1]
         return np.frombuffer(b"".join(found), np.int32).reshape(-1, 2) + np.repeat(at, [len(f) // 8 for f in found])[:, None]
 

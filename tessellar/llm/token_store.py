@@ -35,9 +35,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     def run(it: Iterator[pa.RecordBatch]):
         enc = encoder(tokenizer)
         for b in it:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                out = [enc.encode(t or "") + tail for t in part.column(2).to_pylist()]
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                out = [ids + tail for ids in enc.encode([t or "" for t in part.column(2).to_pylist()])]
                 n = np.array([len(x) // 4 for x in out], np.int64)
                 off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(out), np.int32)))
