@@ -75,17 +75,57 @@ def test_token_store(odd):
     assert rows(token_store.tokenized(odd), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
 
 
-def test_token_counts(odd):
+def strange_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    pieces = np.array([" ", "  ", "\n", "\t", "\u00a0", "\u3000", "\r", "\x1c", "a", "The", "n", "'s", "'", "1", "2024", ".", ",", ";", "!", "(", "\u00e9", "\u4e2d", "\U0001f642", "\u2581", "\u0301", "<|endoftext|>", "\0", "\x85", "\u00b2"])
+    return ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(n)]
+
+
+def test_encoder_equals_the_library():
+    e = byte_bpe.Encoder(byte_bpe.default_path())
+    texts = strange_texts(20_000, 5) + ["20\u00a0km\n\u00a0", "a\tb\n\u00a0 c", "word " * 60_000]
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in e.encode(texts)] == [w.ids for w in want]
+    assert all(e.spans(t).tolist() == [list(o) for o in w.offsets] for t, w in zip(texts, want))
+
+
+def test_token_counts(spark, odd):
     t = Tokenizer.from_file(byte_bpe.default_path())
-    got = Counter()
-    for r in token_counts.section_tokens(odd).collect():
-        got[r.doc_id] += r.n_tokens
-    want = Counter()
-    for d, text in ordered():
-        want[d] += len(t.encode(text or "", add_special_tokens=False).ids)
-    assert got == want
-    ends, sections = np.array([2, 6, 9]), np.array([3, 9])
-    assert [token_counts.attribute(ends, sections, r).tolist() for r in ("most", "first", "last")] == [[1, 2], [2, 1], [1, 2]]
+    texts = [(k, x) for k, x in enumerate(strange_texts(300, 6))] + ordered()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = []
+    for d, text in texts:
+        text = text or ""
+        ends, n = [], 0
+        for line in text.split("\n"):
+            n += len(line) + 1
+            ends.append(min(n, len(text)))
+        if len(ends) > 1 and text.endswith("\n"):
+            del ends[-1]
+        held = [0] * len(ends)
+        for s, e in t.encode(text, add_special_tokens=False).offsets:
+            share = Counter(min(sum(p >= z for z in ends), len(ends) - 1) for p in range(s, max(e, s + 1)))
+            held[min(share, key=lambda k: (-share[k], k))] += 1
+        want += [(d, k, c) for k, c in enumerate(held)]
+    got = token_counts.section_tokens(docs)
+    assert rows(got, "doc_id", "section", "n_tokens") == sorted(want, key=repr)
+    tokens, sections = np.array([[0, 2], [2, 6], [6, 9]]), np.array([3, 9])
+    assert [token_counts.attribute(tokens, sections, r).tolist() for r in ("most", "first", "last")] == [[1, 2], [2, 1], [1, 2]]
+
+
+def test_token_files(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    token_store.write_tokens(docs, str(tmp_path / "t"), row_group=1 << 16)
+    some = token_store.read_tokens(spark, str(tmp_path / "t"), 20, 40)
+    assert sorted(r.doc_id for r in some.collect()) == list(range(20, 40))
+    plan = token_store.read_tokens(spark, str(tmp_path / "t"), 20, 40, ids=False)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,20)" in plan and "ids:array" not in plan.split("ReadSchema")[-1]
+    metas = [pq.ParquetFile(f).metadata for f in sorted((tmp_path / "t").glob("*.parquet"))]
+    groups = [m.row_group(g) for m in metas for g in range(m.num_row_groups)]
+    assert len(groups) > len(metas) and all(g.column(k).has_column_index and g.column(k).has_offset_index for g in groups for k in range(3))
+    used = {e for g in groups for e in g.column(3).encodings}
+    assert used & {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"}
 
 
 def test_sentencepiece(odd):
@@ -113,6 +153,25 @@ def test_ngram_join(odd):
     assert rows(ngram_join.ngram_join(odd, block=1), "doc_id", "n_links") == sorted(want, key=repr)
     kept = ngram_join.ngram_dedup(odd)
     assert kept.columns == odd.columns and kept.count() == 8
+
+
+def test_ngram_join_against_all_pairs(docs):
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    first = {d: d for d in ids}
+    for _ in ids:
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    want = [(d, first[d], sum(d in link for link in links)) for d in ids]
+    assert links and rows(ngram_join.ngram_join(docs), "doc_id", "class_id", "n_links") == sorted(want, key=repr)
+    assert {r.doc_id for r in ngram_join.ngram_dedup(docs).collect()} == {d for d in ids if first[d] == d}
+
+
+def test_recall_of_bands():
     bands, per = ngram_join.bands_for()
     assert 1 - (1 - 0.8**per) ** bands >= ngram_join.RECALL
 
@@ -152,6 +211,71 @@ def test_decontaminate(spark, odd):
     assert {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(docs, items, max_seeds=10).collect()} == {(1, 1), (2, 1), (None, 1), (20, 1)}
 
 
+def test_decontaminate_against_every_pair(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    items = [(k, " ".join(rng.choice(words, 25))) for k in range(12)] + [(90, "yes"), (91, None)]
+    texts = []
+    for k in range(60):
+        w = list(rng.choice(words, 80))
+        if k % 3 == 0:
+            own = items[k % 12][1].split()
+            for _ in range(k % 7):
+                own[rng.integers(len(own))] = rng.choice(words)
+            w[30:30] = own
+        texts.append((k, " ".join(w)))
+    texts.append((60, "yes " + "filler " * 5000))
+    got = decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = []
+    for d, text in texts:
+        passage = decontaminate.normal_words([text])[0]
+        for i, item in items:
+            w = decontaminate.normal_words([item or ""])[0]
+            if len(w) >= decontaminate.MIN_WORDS and (score := decontaminate.align(w, passage)[0] / (2 * len(w))) >= decontaminate.MIN_SCORE:
+                want.append((d, i, round(score, 4)))
+    assert len(want) >= 20 and rows(got, "doc_id", "item_id", "score") == sorted(want, key=repr)
+
+
+def test_language_id_against_plain_arithmetic(spark, docs):
+    langs, model = language_id.fit_documents(docs)
+    some = docs.where("doc_id < 40").withColumn("host", language_id.F.concat(language_id.F.lit("h"), (language_id.F.col("doc_id") % 5).cast("string")))
+    records = some.select("doc_id", "text", "host", language_id.F.lit("d.org").alias("domain"), *[language_id.F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "segment")])
+    ll, host = {}, {}
+    for r in records.collect():
+        f = language_id.features(np.frombuffer((r.text or "").encode(), np.uint8))
+        ll[r.doc_id], host[r.doc_id] = model[f].astype(float).sum(0) / language_id.TEMPER, r.host
+
+    def share(x):
+        p = np.exp(x - x.max())
+        return p / p.sum()
+
+    p = {d: share(x) for d, x in ll.items()}
+    overall = sum(p.values()) + 1
+    overall /= overall.sum()
+    smooth = lambda own, above: (own + language_id.SMOOTH * above) / (own.sum() + language_id.SMOOTH)
+    domain = smooth(sum(p.values()), overall)
+    prior = {h: smooth(sum(p[d] for d in p if host[d] == h), domain) for h in set(host.values())}
+    got = {r.doc_id: (r.identified, r.probability) for r in language_id.identify(records, langs, model, ["doc_id"]).collect()}
+    for d, x in ll.items():
+        q = share(x + np.log(prior[host[d]]))
+        assert got[d][0] == langs[int(q.argmax())] and abs(got[d][1] - q.max()) < 2e-3
+
+
+CLASHING = ["_k", "no", "line", "rep", "band", "stay", "_text", "ids", "key", "name", "ctx", "c", "h1", "n", "a", "b", "bands", "_rest", "gone", "removed", "host", "prior"]
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+    texts = [(1, long), (2, "short text of a few words only"), (3, long + " end")]
+    plain = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain.select("*", *[language_id.F.lit(f"v{k}").alias(c) for k, c in enumerate(CLASHING)])
+    items = spark.createDataFrame([(1, "w3x3 w4x4 w5x5 w6x6 w7x7 w8x8")], "item_id long, text string")
+    for f in (recompression.substring_dedup, suffix_dedup.suffix_dedup, token_store.tokenized, token_counts.section_tokens, sentencepiece_codec.encoded, ngram_join.ngram_join, line_dedup.line_dedup, lambda d: decontaminate.decontaminate(d, items)):
+        assert rows(f(wide), *f(plain).columns) == rows(f(plain), *f(plain).columns)
+    assert ngram_join.ngram_dedup(wide).columns == wide.columns
+    assert {r.doc_id: r.n_removed for r in recompression.substring_dedup(plain).collect()} == {1: 60_000, 2: 0, 3: 60_000}
+
+
 def test_language_id(docs):
     half = docs.where("doc_id % 2 = 0")
     langs, model = language_id.fit_documents(half)
