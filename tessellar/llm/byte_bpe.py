@@ -46,9 +46,13 @@ class Store:
         if len(self.young) > KEEP:
             self.old, self.young = self.young, {}
         lacking = wanted.difference(self.young)
-        again = lacking.intersection(self.old)
-        self.young.update((p, self.old[p]) for p in again)
-        if new := list(lacking - again):
+        old, new = self.old, []
+        for p in lacking:  # one look-up each: an intersection would walk through all that is old
+            if p in old:
+                self.young[p] = old[p]
+            else:
+                new.append(p)
+        if new:
             self.young.update(work(new))
 
 
@@ -106,15 +110,19 @@ class Encoder:
         known = self.ids.young.__getitem__
         return [array("I", self._whole(t).ids).tobytes() if p is None else b"".join(map(known, p)) for t, p in zip(texts, cut)]
 
-    def spans(self, text: str) -> np.ndarray:
-        """Character offsets (start, end) of each token, as the library gives them."""
-        parts = self._parts(text)
-        if parts is None:
-            return np.array(self._whole(text).offsets, np.int64).reshape(-1, 2)
-        self.offsets.learn(set(parts), self._spans)
-        found = list(map(self.offsets.young.__getitem__, parts))
-        at = np.cumsum([0, *map(len, parts)])[:-1]
-        return np.frombuffer(b"".join(found), np.int32).reshape(-1, 2) + np.repeat(at, [len(f) // 8 for f in found])[:, None]
+    def spans(self, texts: list[str]) -> list[np.ndarray]:
+        """Character offsets (start, end) of each text's tokens, as the library gives them."""
+        cut = list(map(self._parts, texts))
+        self.offsets.learn(set().union(*[p for p in cut if p is not None]), self._spans)
+        known, out = self.offsets.young.__getitem__, []
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                out.append(np.array(self._whole(text).offsets, np.int64).reshape(-1, 2))
+                continue
+            found = list(map(known, parts))
+            at = np.cumsum([0, *map(len, parts)])[:-1]
+            out.append(np.frombuffer(b"".join(found), np.int32).reshape(-1, 2) + np.repeat(at, [len(f) // 8 for f in found])[:, None])
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -68,10 +68,10 @@ def section_tokens(docs: DataFrame, tokenizer: str | None = None, rule: str = "m
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 ids, sections, starts, sizes, counts = [], [], [], [], []
-                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    t = t or ""
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for k, t, tokens in zip(part.column(0).to_pylist(), texts, enc.spans(texts)):
                     ends = line_ends(t)
-                    n = attribute(enc.spans(t), ends, rule)
+                    n = attribute(tokens, ends, rule)
                     first = np.concatenate([[0], ends[:-1]])
                     ids += [k] * len(ends)
                     sections.append(np.arange(len(ends)))
