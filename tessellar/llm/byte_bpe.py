@@ -5,9 +5,10 @@ and merges never cross a cut. So these places are cuts whatever stands around th
   * between a visible character and white space: no alternative has white space after a visible character;
   * in white space before a visible character, in front of the last one: `\\s+(?!\\S)` takes all but that one;
   * after that one, unless it is a plain space, which the next alternative takes along;
-  * between an ASCII letter and one of , . ; : ! ? : a run of letters ends there, and only an apostrophe starts a contraction.
+  * between a letter, ASCII or Latin up to U+024F, and an ASCII sign that is no letter, digit or apostrophe: a run of letters
+    ends there, and only an apostrophe starts a contraction.
 White space at the end of a text is one part. The library encodes each part; parts of letters alone, which are one
-piece each, go to it together, with nothing between those that begin with a space and a line feed between the others. A worker keeps the ids of parts that it has met.
+piece each, go to it as pre-tokenised input, their bytes written in the vocabulary's letters. A worker keeps the ids of parts that it has met.
 Texts that hold a special token's name or one of U+001C to U+001F, which count as white space here but not there, and
 vocabularies with another pre-tokeniser are encoded as they are.
 """
@@ -24,7 +25,8 @@ import numpy as np
 
 #: Parts in each of the two generations that a worker keeps; what is used again moves to the younger.
 KEEP = 450_000
-_PARTS = re.compile(r" ?[A-Za-z]+(?=[,.;:!?\s]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
+_PARTS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[!-&(-/:-@\[-`{-~\s]|\Z)| ?\S+|\s+\Z|\s+(?=\s)|\s")
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -65,6 +67,13 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not spec.get("normalizer")
+        self.words = Tokenizer.from_file(path)
+        self.words.pre_tokenizer = None
+        # visible Latin-1 characters stand for their bytes; the other bytes have the characters from U+0100 up
+        self.letters = {}
+        for b in range(256):
+            if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174):
+                self.letters[b] = 256 + len(self.letters)
         self.ids, self.offsets = Store(), Store()
 
     def _whole(self, text: str):
@@ -76,28 +85,17 @@ class Encoder:
             return None
         return _PARTS.findall(text)
 
-    def _joined(self, words: list[str], between: str) -> list[bytes]:
-        """Ids of words that are one piece each, from one text; what stands between two is a piece of its own or nothing."""
-        e = self._whole(between.join(words))
-        word, raw = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
-        ends = np.append(np.flatnonzero(np.diff(word)) + 1, len(word)) * 4
-        step = 2 if between else 1
-        return [raw[a:z] for a, z in zip([0, *ends[:-1].tolist()][::step], ends.tolist()[::step])]
-
     def _ids(self, parts: list[str]) -> dict[str, bytes]:
-        spaced, bare, rest = [], [], []
+        words, rest = [], []
         for p in parts:
-            word = p[1:] if p[0] == " " else p
-            if not word.isalpha() or max(word) >= "\u0250":
-                rest.append(p)
-            elif p[0] == " ":
-                spaced.append(p)
-            else:
-                bare.append(p)
-        out = dict(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False))))
-        for words, between in ((spaced, ""), (bare, "\n")):
-            if words:
-                out.update(zip(words, self._joined(words, between), strict=True))
+            (words if _WORD.fullmatch(p) else rest).append(p)
+        out = dict(zip(rest, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        if words:
+            written = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[10]))
+            e = self.words.encode(written, is_pretokenized=True, add_special_tokens=False)
+            word, raw = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
+            ends = (np.append(np.flatnonzero(np.diff(word)) + 1, len(word)) * 4).tolist()
+            out.update(zip(words, (raw[i:j] for i, j in zip([0, *ends], ends)), strict=True))
         return out
 
     def _spans(self, parts: list[str]) -> dict[str, bytes]:
