@@ -102,6 +102,16 @@ ORACLE_SQL: dict[str, str] = {
         gone AS (SELECT doc_id, no FROM f WHERE rn > 1 UNION SELECT doc_id, no FROM near),
         t AS (SELECT e.doc_id, count(*) AS n_lines, count(gone.no) AS n_removed, coalesce(string_agg(CASE WHEN gone.no IS NULL THEN line END, chr(10) ORDER BY e.no), '') AS text FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.no = e.no GROUP BY e.doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op9_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS gram FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        s AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id != b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y, c = a.n AND c = b.n AS same FROM s JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+        r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, e.y AS u FROM r JOIN e ON r.u = e.x),
+        k AS (SELECT v AS doc_id, min(u) AS class_id FROM r GROUP BY v),
+        l AS (SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_copies FROM e GROUP BY x)
+        SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) AS n_copies FROM k LEFT JOIN l USING (doc_id)""",
     "op10_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
