@@ -284,6 +284,29 @@ def draw_order(spark, sf_dir):
     return R.label_worthy(regions(spark, sf_dir), MIN_AREA).select("region_id", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id")).alias("place"))
 
 
+def _strip_runs(runs: int) -> str:
+    """SQL of so many runs of the strip cleanup; a run that changes nothing repeats itself."""
+    sql = [f"WITH {_PX}, px0 AS (SELECT pid, x, y, label FROM px), {_PAL}, src AS (SELECT * FROM pal), {_LAB}, l8 AS (SELECT label, [round_even(ll * 2.55, 0), round_even(la + 128, 0), round_even(lb + 128, 0)] AS lab FROM lab), near AS (SELECT a.label, b.label AS t FROM l8 a, l8 b WHERE list_distance(a.lab, b.lab) <= 26)"]
+    for k in range(runs):
+        around = _AROUND.removeprefix(_PX + ", ").replace("n AS (", f"n{k} AS MATERIALIZED (", 1).replace(" px ", f" px{k} ")
+        sql.append(f"""{around}, cnt{k} AS (SELECT label AS t, count(*) AS c FROM px{k} GROUP BY ALL),
+inn{k} AS (SELECT * FROM n{k} WHERE l IS NOT NULL AND rr IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL),
+o{k} AS (SELECT pid, label, 0 AS k, l AS t FROM inn{k} WHERE l = rr UNION ALL SELECT pid, label, 1, u FROM inn{k} WHERE u = d UNION ALL SELECT pid, label, 2, ul FROM inn{k} WHERE ul = dr UNION ALL SELECT pid, label, 3, ur FROM inn{k} WHERE ur = dl UNION ALL SELECT pid, label, 4, l FROM inn{k} WHERE l = u AND l = d UNION ALL SELECT pid, label, 5, rr FROM inn{k} WHERE rr = u AND rr = d UNION ALL SELECT pid, label, 6, u FROM inn{k} WHERE u = l AND u = rr UNION ALL SELECT pid, label, 7, d FROM inn{k} WHERE d = l AND d = rr),
+best{k} AS (SELECT pid, arg_max(o.t, c * 10 - k) AS t FROM o{k} o JOIN near ON near.label = o.label AND near.t = o.t JOIN cnt{k} cnt ON cnt.t = o.t WHERE o.t != o.label GROUP BY pid),
+px{k + 1} AS MATERIALIZED (SELECT pid, x, y, coalesce(t, label)::INTEGER AS label FROM px{k} LEFT JOIN best{k} USING (pid))""")
+    return ", ".join(sql) + f" SELECT pid, label FROM px{runs}"
+
+
+def _prune(steps: int) -> str:
+    """SQL of pruning: what an opening removes is filled from above, below, left and right, so many times."""
+    sql = [f"""WITH {_AROUND}, e AS MATERIALIZED (SELECT *, CASE WHEN coalesce(l = label, TRUE) AND coalesce(rr = label, TRUE) AND coalesce(u = label, TRUE) AND coalesce(d = label, TRUE) THEN label END AS core FROM n),
+o AS (SELECT c.pid, c.x, c.y, c.label, coalesce(bool_or(m.core = c.label), FALSE) AS opened FROM e c LEFT JOIN e m ON abs(m.x - c.x) + abs(m.y - c.y) <= 1 AND m.x BETWEEN c.x - 1 AND c.x + 1 AND m.y BETWEEN c.y - 1 AND c.y + 1 GROUP BY ALL),
+p0 AS MATERIALIZED (SELECT pid, x, y, CASE WHEN NOT opened AND bool_or(opened) OVER (PARTITION BY label) THEN -1 ELSE label END AS label FROM o)"""]
+    for k, (dx, dy) in enumerate([(0, -1), (0, 1), (-1, 0), (1, 0)] * steps):
+        sql.append(f"p{k + 1} AS MATERIALIZED (SELECT c.pid, c.x, c.y, CASE WHEN c.label < 0 AND m.label >= 0 THEN m.label ELSE c.label END AS label FROM p{k} c LEFT JOIN p{k} m ON m.x = c.x + {dx} AND m.y = c.y + {dy})")
+    return ", ".join(sql) + f" SELECT pid, label FROM p{4 * steps}"
+
+
 @query("strip_cleanup", f"""WITH {_AROUND}, {_PAL}, src AS (SELECT * FROM pal), {_LAB}, l8 AS (SELECT label, [round_even(ll * 2.55, 0), round_even(la + 128, 0), round_even(lb + 128, 0)] AS lab FROM lab), near AS (SELECT a.label, b.label AS t FROM l8 a, l8 b WHERE list_distance(a.lab, b.lab) <= 26), cnt AS (SELECT label AS t, count(*) AS c FROM px GROUP BY ALL),
 inn AS (SELECT * FROM n WHERE l IS NOT NULL AND rr IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL),
 o AS (SELECT pid, label, 0 AS k, l AS t FROM inn WHERE l = rr UNION ALL SELECT pid, label, 1, u FROM inn WHERE u = d UNION ALL SELECT pid, label, 2, ul FROM inn WHERE ul = dr UNION ALL SELECT pid, label, 3, ur FROM inn WHERE ur = dl UNION ALL SELECT pid, label, 4, l FROM inn WHERE l = u AND l = d UNION ALL SELECT pid, label, 5, rr FROM inn WHERE rr = u AND rr = d UNION ALL SELECT pid, label, 6, u FROM inn WHERE u = l AND u = rr UNION ALL SELECT pid, label, 7, d FROM inn WHERE d = l AND d = rr),
@@ -292,7 +315,7 @@ def strip_cleanup(spark, sf_dir):
     return K.strip_once(px(spark, sf_dir), pal(spark)).select("pid", "label")
 
 
-@query("strip_cleanup_runs")
+@query("strip_cleanup_runs", _strip_runs(8))
 def strip_cleanup_runs(spark, sf_dir):
     return K.strip_cleanup(px(spark, sf_dir), pal(spark), 8).select("pid", "label")
 
@@ -309,7 +332,7 @@ def opening(spark, sf_dir):
     return K.opening(px(spark, sf_dir)).select("pid", "opened")
 
 
-@query("prune_protrusions")
+@query("prune_protrusions", _prune(12))
 def prune_protrusions(spark, sf_dir):
     return K.prune_protrusions(px(spark, sf_dir)).select("pid", "label")
 
