@@ -85,7 +85,9 @@ def palette_table(spark, sf_dir):
     return P.palette_table(px(spark, sf_dir), pal(spark))
 
 
-@query("palette_json")
+@query("palette_json", f"""WITH t AS ({ORACLE_SQL["palette_table"]}), {_PX}, size AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM px GROUP BY ALL),
+c AS (SELECT image_id, list({{'number': number, 'hex': hex, 'rgb': [('0x' || substr(hex, i, 2))::INTEGER FOR i IN [2, 4, 6]], 'paint_hex': paint_hex, 'paint_rgb': [('0x' || substr(paint_hex, i, 2))::INTEGER FOR i IN [2, 4, 6]], 'pixel_count': pixel_count, 'area_percent': area_percent}} ORDER BY number) AS colors FROM t GROUP BY ALL)
+SELECT image_id, to_json({{'source': 'events', 'width': width, 'height': height, 'settings': {{'min_label_area': '{MIN_AREA}'}}, 'colors': colors, 'outputs': {{'template': 'template.png'}}}})::VARCHAR AS document FROM c JOIN size USING (image_id)""")
 def palette_json(spark, sf_dir):
     p = px(spark, sf_dir)
     sizes = p.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
