@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, ngram_join, recompression, sentencepiece_codec, suffix_dedup, token_counts, token_store, topk
+from . import decontaminate, language_id, lexical, line_dedup, ngram_join, recompression, sentencepiece_codec, suffix_dedup, token_counts, token_store, topk, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,21 @@ def op10_topk(spark, sf_dir):
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
 
 
+def op11_warc(spark, sf_dir):
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.lexical_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op4_substring_dedup, op5_suffix_dedup, op6_language_id, op7_sentencepiece, op8_token_counts, op9_ngram_join, op10_topk)
+    for f in (op1_decontaminate, op2_line_dedup, op3_token_store, op4_substring_dedup, op5_suffix_dedup, op6_language_id, op7_sentencepiece, op8_token_counts, op9_ngram_join, op10_topk, op11_warc, op12_whitening, op13_lexical_search)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -119,4 +131,24 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id != q.vec_id AND len(v.v) = len(q.v)),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((16 * (strpos('0123456789abcdef', substr(h, 5 * i // 4 + 1, 1)) - 1)
+                 + greatest(0, strpos('0123456789abcdef', substr(h || '0', 5 * i // 4 + 2, 1)) - 1)) // (2 ** (3 - 5 * i % 4))::BIGINT % 32)::INTEGER, 1)), '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != top THEN top END AS refers_to
+        FROM d""",
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+        g AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS l FROM n),
+        m AS (SELECT doc_id, 75 + (25 * n * n_docs) // l AS m FROM n, g),
+        w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, g GROUP BY term, n_docs),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        c AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM c JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 }
