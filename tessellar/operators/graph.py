@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import materialize
+from ..sources.store import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("to").alias("m")).where("v != m").distinct()
         low = large.groupBy("v").agg(F.min("m").alias("m"))
         small = large.join(low.withColumnRenamed("m", "to"), "v").select(F.col("m").alias("v"), F.col("to").alias("m")).where("v != m")
-        links = materialize(small.unionByName(low).distinct())
+        spent, links = links, materialize(small.unionByName(low).distinct())
+        release(spent)
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -33,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def roots(plan: DataFrame) -> DataFrame:
     """(src, root): the end of each chain of an acyclic plan (src, dst), one dst per src, by pointer doubling."""
-    jump = materialize(plan.select("src", F.col("dst").alias("root")))
+    jump = held = materialize(plan.select("src", F.col("dst").alias("root")))
     while True:
         nxt = jump.select(F.col("src").alias("root"), F.col("root").alias("further"))
         moved = materialize(jump.join(nxt, "root", "left").select("src", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
-        jump = moved.select("src", "root")
+        release(held)
+        jump, held = moved.select("src", "root"), moved
         if moved.where("moved").isEmpty():
             return jump

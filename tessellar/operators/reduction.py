@@ -1,15 +1,24 @@
-"""Reduction of facets: the small ones give their pixels to the nearest border of a neighbour."""
+"""Reduction of facets: the small ones give their pixels to the nearest border of a neighbour, as if one went after another.
+
+What a facet's going does to labels depends on its own pixels and the labels beside them. So it may go together with others as soon as no
+facet beside it can go before it does. Facets keep their number as long as they last; where several meet, the lowest stays.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..sources.store import materialize, release
-from .regions import adjacency, region_map, region_table
+from .graph import components
+from .regions import adjacency, region_map
 
 _NEXT = [(-1, 0), (1, 0), (0, -1), (0, 1)]
+#: Pixels of a patch of small facets that one task works through; larger patches go in rounds, with the same result.
+PATCH = 1 << 16
 
 
 def small_facets(facets: DataFrame, least: int) -> DataFrame:
@@ -22,53 +31,251 @@ def facet_neighbours(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "region_id").distinct().join(near, ["image_id", "region_id"], "left").select("image_id", "region_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
-def reallocated(pixels: DataFrame, chosen: DataFrame, palette: DataFrame) -> DataFrame:
-    """image_id, pid, label: the new labels of the pixels of chosen facets (image_id, region_id), no two of them side by side.
+def _rim(own: DataFrame, pixels: DataFrame, key: str) -> DataFrame:
+    """own's key with each pixel beside own that has another one: image_id, key, x, y and the other columns of pixels but key."""
+    steps = F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in _NEXT]))
+    touching = own.select("image_id", F.col(key).alias("_own"), steps.alias("s")).select("image_id", "_own", "s.x", "s.y").distinct()
+    return touching.join(pixels, ["image_id", "x", "y"]).where(~F.col(key).eqNullSafe(F.col("_own"))).drop(key).withColumnRenamed("_own", key)
+
+
+def nearest_border(pixels: DataFrame, chosen: DataFrame, palette: DataFrame) -> DataFrame:
+    """image_id, pid, label, distance: the new labels of the pixels of chosen facets (image_id, region_id), no two of them side by side.
 
-    Each pixel goes to the neighbour with the nearest border pixel, by steps along rows and columns; of equals to the nearest
-    colour, then the lower facet. The nearest border pixel always touches the facet, so only those are met.
+    Each pixel takes the label of the nearest pixel around its facet, by steps along rows and columns; of equals that of the nearest
+    colour, then the lower label. The shortest way never leaves the facet, so one scan along its rows and one along its columns, each in both
+    directions and carrying (distance, colour, label), finds it. Rows are the facet's pixels and its rim, whatever its size.
     """
     own = pixels.join(chosen.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi").select("image_id", "region_id", "x", "y", "pid", "label")
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _NEXT]))
-    touching = own.select("image_id", "region_id", F.col("label").alias("from"), "x", "y", steps.alias("s")).select("image_id", "region_id", "from", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y")).distinct()
-    other = pixels.select("image_id", F.col("region_id").alias("to"), "x", "y", F.col("label").alias("new"))
-    rim = touching.join(other, ["image_id", "x", "y"]).where("to != region_id").select("image_id", "region_id", F.col("x").alias("x2"), F.col("y").alias("y2"), "to", "new")
-    pairs = own.join(rim, ["image_id", "region_id"])
+    rim = _rim(own, pixels.select("image_id", "x", "y", "region_id", F.col("label").alias("to")), "region_id")
+    from_ = own.select("image_id", "region_id", F.col("label").alias("of")).distinct()
     rgb = palette.select("label", F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("c"))
-    far = rgb.select(F.col("label"), F.col("c").alias("c1")).join(rgb.select(F.col("label").alias("new"), F.col("c").alias("c2"))).select("label", "new", C.euclidean(F.col("c1"), F.col("c2")).alias("colour"))
-    rank = F.struct((F.abs(F.col("x") - F.col("x2")) + F.abs(F.col("y") - F.col("y2"))).alias("d"), F.coalesce("colour", F.lit(float("inf"))).alias("colour"), "to", "new")
-    return pairs.join(far, ["label", "new"], "left").groupBy("image_id", "pid").agg(F.min(rank).alias("m")).select("image_id", "pid", F.col("m.new").alias("label"))
+    rim = rim.join(from_, ["image_id", "region_id"]).join(rgb.select(F.col("label").alias("of"), F.col("c").alias("c1")), "of", "left").join(rgb.select(F.col("label").alias("to"), F.col("c").alias("c2")), "to", "left")
+    rim = rim.select("image_id", "region_id", "x", "y", F.lit(None).cast("long").alias("pid"), F.struct(F.coalesce(C.euclidean(F.col("c1"), F.col("c2")), F.lit(float("inf"))).alias("far"), F.col("to").cast("int").alias("to")).alias("s"))
+    both = own.select("image_id", "region_id", "x", "y", "pid", F.lit(None).cast(rim.schema["s"].dataType).alias("s")).unionByName(rim)
+
+    def scanned(rows: DataFrame, along: str, across: str, known: Column) -> DataFrame:
+        """Rows with m, the least of (distance, far, to) over their line; known is that of each row so far."""
+        line = Window.partitionBy("image_id", "region_id", across).orderBy(along)
+        ways = []
+        for sign, frame in ((-1, line.rowsBetween(Window.unboundedPreceding, 0)), (1, line.rowsBetween(0, Window.unboundedFollowing))):
+            shifted = F.when(known.isNotNull(), F.struct((known.d + sign * F.col(along)).alias("d"), known.far.alias("far"), known.to.alias("to")))
+            m = F.min(shifted).over(frame)
+            ways.append(F.when(m.isNotNull(), F.struct((m.d - sign * F.col(along)).alias("d"), m.far.alias("far"), m.to.alias("to"))))
+        return rows.withColumn("m", F.least(*ways))
+
+    start = F.when(F.col("s").isNotNull(), F.struct(F.lit(0).alias("d"), F.col("s.far").alias("far"), F.col("s.to").alias("to")))
+    found = scanned(scanned(both, "x", "y", start), "y", "x", F.col("m"))
+    return found.where(F.col("pid").isNotNull() & F.col("m").isNotNull()).select("image_id", "pid", F.col("m.to").alias("label"), F.col("m.d").cast("long").alias("distance"))
+
+
+def _known(raster: DataFrame) -> DataFrame:
+    """Pixels (image_id, x, y, pid, label, first) with region_id: the least number, first, of a pixel that kept its label so far."""
+    numbered = region_map(raster, 4).select("image_id", "x", "y", "pid", "label", F.col("region_id").alias("now")).join(raster.select("image_id", "pid", "first"), ["image_id", "pid"])
+    return numbered.join(numbered.groupBy("image_id", "now").agg(F.min("first").alias("region_id")), ["image_id", "now"]).drop("now")
+
+
+def _changed(pixels: DataFrame, new: DataFrame) -> DataFrame:
+    """Pixels with the labels of new; those that it holds belong to no facet of before."""
+    met = pixels.select("image_id", "x", "y", "pid", "label", "first").join(new.select("image_id", "pid", F.col("label").alias("new")), ["image_id", "pid"], "left")
+    return materialize(met.select("image_id", "x", "y", "pid", F.coalesce("new", "label").alias("label"), F.when(F.col("new").isNull(), F.col("first")).alias("first")))
+
+
+def _in_order(least: int):
+    """New labels of one patch: its facets go one after the other, by a search outward from the pixels around each."""
+
+    def run(pdf):
+        import pandas as pd
+
+        at = {(x, y): i for i, (x, y) in enumerate(zip(pdf.x.tolist(), pdf.y.tolist()))}
+        near = [[at[q] for i, j in _NEXT if (q := (x + i, y + j)) in at] for x, y in at]
+        label, facet, small = pdf.label.tolist(), pdf.region_id.tolist(), pdf.small.tolist()
+        rgb = dict(zip(label, zip(pdf.r.tolist(), pdf.g.tolist(), pdf.b.tolist())))
+        far = lambda a, b: sum((p - q) ** 2 for p, q in zip(rgb[a], rgb[b])) ** 0.5 if rgb[a][0] == rgb[a][0] and rgb[b][0] == rgb[b][0] else float("inf")
+        own: dict[int, list[int]] = {}
+        for i, f in enumerate(facet):
+            if small[i]:
+                own.setdefault(f, []).append(i)
+            else:
+                facet[i] = None  # of a facet that stays
+        queue = sorted({(k1, k2, f) for k1, k2, f, s in zip(pdf.k1.tolist(), pdf.k2.tolist(), pdf.region_id.tolist(), small) if s})
+        heapq.heapify(queue)
+        moved = set()
+        while queue:
+            f = heapq.heappop(queue)[2]
+            if f not in own or len(own[f]) >= least:
+                continue
+            cells = own.pop(f)
+            inside, of = set(cells), label[cells[0]]
+            reached, layer = {}, {}
+            for i in cells:
+                best = min(((far(of, label[j]), label[j]) for j in near[i] if j not in inside), default=None)
+                if best:
+                    layer[i] = best
+            while layer:
+                reached |= layer
+                beyond: dict[int, tuple] = {}
+                for i, best in layer.items():
+                    for j in near[i]:
+                        if j in inside and j not in reached:
+                            beyond[j] = min(best, beyond.get(j, best))
+                layer = beyond
+            if not reached:
+                continue
+            for i, (_, to) in reached.items():
+                label[i] = to
+            moved |= inside
+            # what is now joined through these pixels is one facet, under its lowest number; one that stays takes all in
+            todo, seen = list(cells), set()
+            for start in todo:
+                if start in seen:
+                    continue
+                group, stack, stays = [], [start], False
+                facets = set()
+                seen.add(start)
+                while stack:
+                    i = stack.pop()
+                    group.append(i)
+                    for j in near[i]:
+                        if label[j] == label[i] and j not in seen:
+                            if j in inside:
+                                seen.add(j)
+                                stack.append(j)
+                            elif facet[j] is None:
+                                stays = True
+                            else:
+                                facets.add(facet[j])
+                members = group + [i for g in facets for i in own.pop(g)]
+                name = None if stays else min(facets)
+                for i in members:
+                    facet[i] = name
+                if name is not None:
+                    own[name] = own.get(name, []) + members
+        out = sorted(moved)
+        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(out), "pid": pdf.pid.iloc[out].to_numpy(), "label": [label[i] for i in out]})
+
+    return run
 
 
-def _first_of_neighbours(candidates: DataFrame, near: DataFrame) -> DataFrame:
-    """Candidates (image_id, region_id, place) without a candidate of an earlier place beside them."""
-    a = candidates.select("image_id", F.col("region_id").alias("src"), F.col("place").alias("p"))
-    b = candidates.select("image_id", F.col("region_id").alias("dst"), F.col("place").alias("q"))
-    later = near.join(a, ["image_id", "src"]).join(b, ["image_id", "dst"]).where("q < p").select("image_id", F.col("src").alias("region_id"))
-    return candidates.join(later, ["image_id", "region_id"], "left_anti")
+def _places(facets: DataFrame, large_first: bool) -> DataFrame:
+    """Facets with k1, k2, by which they go: the area, ascending or not; of equals the later number first, or the earlier one."""
+    sign = -1 if large_first else 1
+    return facets.select("image_id", F.col("region_id").alias("first"), (sign * F.col("area")).alias("k1"), (-sign * F.col("region_id")).alias("k2"))
 
 
-def reduce_facets(raster: DataFrame, palette: DataFrame, least: int, most: int | None = None, large_first: bool = False) -> DataFrame:
-    """image_id, x, y, pid, label without facets smaller than least, and with no more than most facets, the smallest of which go first.
+def _tables(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    near = materialize(adjacency(pixels).select("image_id", "src", "dst"))
+    box = [f(c).alias(n) for f, c, n in ((F.min, "x", "x1"), (F.max, "x", "x2"), (F.min, "y", "y1"), (F.max, "y", "y2"))]
+    facets = pixels.groupBy("image_id", "region_id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("area"), *box)
+    return near, materialize(facets.join(near.select("image_id", F.col("src").alias("region_id")).distinct(), ["image_id", "region_id"], "left_semi"))
 
-    Facets go in order of size, equals the later first (large_first turns it round). A round takes all that have none of an earlier
-    place beside them, so facets apart from each other go together; then facets are built anew. A facet without neighbours stays.
+
+def _earliest(small: DataFrame, least: int) -> DataFrame:
+    """image_id, region_id, early: the first place (k1, k2) that each small facet can ever come to have while it is small.
+
+    A facet takes the place of one of the same label that it meets. Both, and the pixels between them, are then in one small facet, so their
+    boxes are no further apart than the pixels that are left to it. Facets are met in cells as wide as that.
     """
-    raster = materialize(raster.select("image_id", "x", "y", "pid", "label"))
+    cell = lambda low, high: F.sequence(F.floor(low / least), F.floor(high / least))
+    cols = ("region_id", "area", "k1", "k2", "x1", "x2", "y1", "y2")
+    a = small.select("image_id", "label", *cols, F.explode(cell(F.col("x1") - least, F.col("x2") + least)).alias("cx")).select("*", F.explode(cell(F.col("y1") - least, F.col("y2") + least)).alias("cy"))
+    b = small.select("image_id", "label", *[F.col(c).alias(f"{c}_") for c in cols], F.explode(cell(F.col("x1"), F.col("x2"))).alias("cx")).select("*", F.explode(cell(F.col("y1_"), F.col("y2_"))).alias("cy"))
+    gap = lambda c: F.greatest(F.lit(0), F.col(f"{c}1_") - F.col(f"{c}2"), F.col(f"{c}1") - F.col(f"{c}2_"))
+    reach = (F.col("region_id") == F.col("region_id_")) | (gap("x") + gap("y") <= least - F.col("area") - F.col("area_"))
+    met = a.join(b, ["image_id", "label", "cx", "cy"]).where(reach)
+    return met.groupBy("image_id", "region_id").agg(F.min(F.struct(F.col("k1_").alias("k1"), F.col("k2_").alias("k2"))).alias("early"))
+
+
+def _without_small(raster: DataFrame, palette: DataFrame, least: int, large_first: bool, patch: int) -> DataFrame:
+    """Raster (image_id, x, y, pid, label, first) after all small facets have gone in the order of their places."""
+    places = None
+    rgb = palette.select("label", *[F.col(c).cast("double").alias(c) for c in "rgb"])
+    open_, done, written = raster, [], False
     while True:
-        pixels = materialize(region_map(raster, 4))
-        near = materialize(adjacency(pixels))
-        facets = materialize(region_table(pixels).join(near.select("image_id", F.col("src").alias("region_id")).distinct(), ["image_id", "region_id"], "left_semi"))
-        ascending = Window.partitionBy("image_id").orderBy("area", F.desc("region_id"))
-        order = Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id") if large_first else ascending
-        wanted = small_facets(facets, least).select("image_id", "region_id", F.row_number().over(order).alias("place"))
-        if wanted.isEmpty() and most is not None:
-            n = F.count(F.lit(1)).over(Window.partitionBy("image_id"))
-            wanted = facets.select("image_id", "region_id", F.row_number().over(ascending).alias("place"), n.alias("n")).where(F.col("place") <= F.col("n") - most).drop("n")
-        chosen = materialize(_first_of_neighbours(wanted, near))
+        pixels = materialize(_known(open_))
+        near, facets = _tables(pixels)
+        if places is None:
+            places = materialize(_places(facets, large_first))
+        small = materialize(small_facets(facets, least).join(places.withColumnRenamed("first", "region_id"), ["image_id", "region_id"]))
+        if small.isEmpty():
+            done.append(open_)
+            release(pixels, near, facets, small, places)
+            break
+        ends = small.select("image_id", "region_id")
+        beside = near.join(ends.withColumnRenamed("region_id", "src"), ["image_id", "src"], "left_semi").join(ends.withColumnRenamed("region_id", "dst"), ["image_id", "dst"], "left_semi")
+        joined = components(beside.select(F.struct("image_id", F.col("src").alias("id")).alias("a"), F.struct("image_id", F.col("dst").alias("id")).alias("b")))
+        named = joined.select(F.col("v.image_id").alias("image_id"), F.col("v.id").alias("region_id"), F.col("label.id").alias("patch"))
+        small_in = small.join(named, ["image_id", "region_id"], "left").withColumn("patch", F.coalesce("patch", "region_id"))
+        sizes = small_in.groupBy("image_id", "patch").agg(F.sum("area").alias("pixels"))
+        patched = materialize(small_in.join(sizes, ["image_id", "patch"]))
+
+        # patches of a bounded number of pixels, each in order in one task, with the pixels around it
+        whole = patched.where(F.col("pixels") <= patch)
+        inner = pixels.join(whole.select("image_id", "region_id", "patch", "k1", "k2"), ["image_id", "region_id"]).withColumn("small", F.lit(True))
+        staying = pixels.join(ends, ["image_id", "region_id"], "left_anti").withColumn("patch", F.lit(None).cast("long"))
+        around = _rim(inner, staying, "patch").withColumns({"k1": F.lit(0).cast("long"), "k2": F.lit(0).cast("long"), "small": F.lit(False)})
+        cells = inner.unionByName(around.select(inner.columns)).join(rgb, "label", "left").drop("first")
+        new = cells.groupBy("image_id", "patch").applyInPandas(_in_order(least), "image_id string, pid long, label int")
+
+        # of larger ones the facets beside which none can come to go earlier
+        wide = patched.where(F.col("pixels") > patch)
+        if not wide.isEmpty():
+            early = _earliest(wide, least)
+            own = F.struct("k1", "k2")
+            other = beside.join(early.select("image_id", F.col("region_id").alias("dst"), "early"), ["image_id", "dst"])
+            held = wide.select("image_id", F.col("region_id").alias("src"), own.alias("own")).join(other, ["image_id", "src"]).where("early < own").select("image_id", F.col("src").alias("region_id")).distinct()
+            free = wide.select("image_id", "region_id").join(held, ["image_id", "region_id"], "left_anti")
+            new = new.unionByName(nearest_border(pixels, free, palette).select("image_id", "pid", "label"))
+        after = _changed(pixels, new)
+        # images without a larger patch are through
+        images = materialize(wide.select("image_id").distinct())
+        done.append(materialize(after.join(images, "image_id", "left_anti")))
+        spent, open_ = open_, materialize(after.join(images, "image_id", "left_semi"))
+        release(pixels, near, facets, small, patched, after, images, *[spent] * written)
+        written = True
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _down_to(raster: DataFrame, palette: DataFrame, most: int) -> DataFrame:
+    """Raster after the smallest facets have gone, one after the other, until an image has no more than most.
+
+    Areas only grow, so a facet with none of an earlier place beside it goes before any that could change it. Of these, those go in a round
+    that go for certain: what goes before one joins no more facets than it and its neighbours are.
+    """
+    written = False
+    while True:
+        pixels = materialize(_known(raster))
+        near, facets = _tables(pixels)
+        key = F.struct("area", (-F.col("region_id")).alias("k"))
+        known = facets.select("image_id", "region_id", key.alias("key"))
+        others = near.join(known.select("image_id", F.col("region_id").alias("dst"), F.col("key").alias("other")), ["image_id", "dst"]).groupBy("image_id", F.col("src").alias("region_id")).agg(F.min("other").alias("other"))
+        known = known.join(others, ["image_id", "region_id"])
+        # each facet counts from the first place beside it, or its own
+        line = known.select("image_id", F.least("key", "other").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("region_id")).unionByName(known.where("key < other").select("image_id", F.col("key").alias("at"), F.lit(0).alias("n"), "region_id"))
+        before = F.sum("n").over(Window.partitionBy("image_id").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0))
+        total = F.sum("n").over(Window.partitionBy("image_id"))
+        chosen = materialize(line.select("image_id", "region_id", before.alias("before"), total.alias("total")).where(F.col("region_id").isNotNull() & (F.col("total") - F.col("before") > most)).select("image_id", "region_id"))
         if chosen.isEmpty():
+            release(pixels, near, facets, chosen)
             return raster
-        new = reallocated(pixels, chosen, palette).withColumnRenamed("label", "new")
-        after = materialize(raster.join(new, ["image_id", "pid"], "left").select("image_id", "x", "y", "pid", F.coalesce("new", "label").alias("label")))
-        release(pixels, near, facets, chosen, raster)
-        raster = after
+        after = _changed(pixels, nearest_border(pixels, chosen, palette))
+        release(pixels, near, facets, chosen, *[raster] * written)
+        raster, written = after, True
+
+
+def reduce_facets(raster: DataFrame, palette: DataFrame, least: int, most: int | None = None, large_first: bool = True, patch: int = PATCH) -> DataFrame:
+    """image_id, x, y, pid, label without facets smaller than least, then with no more than most facets, the smallest of which go first.
+
+    Small facets go in the order of their first size, from the large ones down (large_first) or up, of equals the earlier number or the later one first; one
+    that has grown to least by then stays. A facet without neighbours stays. The result is that of one deletion after the other.
+    """
+    start = raster.select("image_id", "x", "y", "pid", "label")
+    first = region_map(start, 4).select("image_id", "pid", F.col("region_id").alias("first"))
+    out = materialize(start.join(first, ["image_id", "pid"], "left"))
+    rest = out.where("NOT coalesce(label >= 0, false)")
+    out = _without_small(out.where("label >= 0"), palette, least, large_first, patch)
+    if most is not None:
+        out = _down_to(out, palette, max(1, most))
+    return out.unionByName(rest).select("image_id", "x", "y", "pid", "label")
