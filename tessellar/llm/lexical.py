@@ -180,7 +180,7 @@ def lexical_search(docs: DataFrame, items: DataFrame, k: int = K, size: int = RA
 
 def _ranked(held: DataFrame, texts: list, counts: list[Counter], vocabulary: dict[bytes, int], k: int, size: int) -> DataFrame:
     spark = held.sparkSession
-    documents, all_terms = held.agg(F.count(F.lit(1)), F.sum("n")).first()
+    documents, all_terms = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(1))).first()
     df = dict(held.select(F.explode("term").alias("t")).groupBy("t").count().collect())  # as many rows as the block has terms at most
     weight = {i: math.floor(1000 * math.log((2 * documents + 2) / (2 * n + 1))) for i, n in df.items()}
     queries = []
