@@ -197,31 +197,83 @@ def paintability(regions: DataFrame, min_area: int, merge_area: int | None = Non
     )
 
 
+def _lowest_parabolas(y, g2, start):
+    """For each of consecutive values y of a run (start: where runs begin) the least of (y - k)**2 + g2[k] over the run's k, its ends included, where 0 stands one beyond.
+
+    The place of the least never falls as y grows. So the places of every second y, then of those between, are looked for between the
+    places already known on either side: whole arrays at a time, as many rounds as a run's length has bits.
+    """
+    import numpy as np
+
+    n = np.diff(np.append(start, len(y)))
+    run = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(y)) - start[run] + 1
+    # candidates of a run: one before it, its own, one after it
+    at = np.zeros(len(y) + 2 * len(n), np.int64)
+    value = np.zeros(len(at), np.int64)
+    own = np.arange(len(y)) + 2 * run + 1
+    at[own], value[own] = y, g2
+    first, last = own[start] - 1, own[start + n - 1] + 1
+    at[first], at[last] = y[start] - 1, y[start + n - 1] + 1
+    place, best = np.zeros(len(y), np.int64), np.zeros(len(y), np.int64)
+    step = 1 << int(n.max()).bit_length()
+    while step:
+        k = np.flatnonzero(i % (2 * step) == step)
+        if len(k):
+            low = np.where(i[k] > step, place[k - np.minimum(step, i[k] - 1)], first[run[k]])
+            after = i[k] + step <= n[run[k]]
+            high = np.where(after, place[np.where(after, k + step, k)], last[run[k]])
+            count = high - low + 1
+            begin = np.cumsum(count) - count
+            j = np.arange(int(count.sum())) + np.repeat(low - begin, count)
+            far = (np.repeat(y[k], count) - at[j]) ** 2 + value[j]
+            best[k] = np.minimum.reduceat(far, begin)
+            place[k] = np.minimum.reduceat(np.where(far == np.repeat(best[k], count), j, len(at)), begin)
+        step //= 2
+    return best
+
+
 def edge_distance(pixels: DataFrame) -> DataFrame:
     """image_id, x, y, region_id, d2: the square of each pixel's exact distance to the nearest pixel or place outside its region.
 
-    Distances along rows come from windows; each pixel then looks up and down as far as the nearer of its
-    row distance and the next region in its column, beyond which nothing can be nearer.
+    Distances along rows come from windows. Then each column's runs of one region are worked out on their own: the square is the least over
+    the run's pixels of the square of the way along the column and that along the row, the lower envelope of a parabola for each pixel. Rows are as many as pixels; a task
+    holds the columns of a batch and the one that it ends in.
     """
-    inf = 1 << 20
     ahead, back = along_row().rowsBetween(0, Window.unboundedFollowing), along_row().rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.coalesce(F.lead("region_id").over(along_row()) != F.col("region_id"), F.lit(True))
-    starts = F.coalesce(F.lag("region_id").over(along_row()) != F.col("region_id"), F.lit(True))
-    p = pixels.select("image_id", "x", "y", "region_id", F.when(ends, F.col("x")).alias("e"), F.when(starts, F.col("x")).alias("s"))
-    p = p.select("image_id", "x", "y", "region_id", F.least(F.first("e", True).over(ahead) - F.col("x"), F.col("x") - F.last("s", True).over(back)).alias("g"))
-    p = p.withColumn("g", F.least(F.col("g") + 1, F.lit(inf)))
-    column = Window.partitionBy("image_id", "x").orderBy("y")
-    below, above = column.rowsBetween(0, Window.unboundedFollowing), column.rowsBetween(Window.unboundedPreceding, 0)
-    last = F.coalesce(F.lead("region_id").over(column) != F.col("region_id"), F.lit(True))
-    top = F.coalesce(F.lag("region_id").over(column) != F.col("region_id"), F.lit(True))
-    p = p.select("*", F.when(last, F.col("y")).alias("e"), F.when(top, F.col("y")).alias("s"))
-    p = p.select("image_id", "x", "y", "region_id", "g", F.least("g", F.first("e", True).over(below) - F.col("y") + 1, F.col("y") - F.last("s", True).over(above) + 1).alias("far"))
-    rows = p.select("image_id", "x", F.col("y").alias("y2"), F.col("region_id").alias("other"), F.col("g").alias("g2"))
-    own = p.select("image_id", "x", "y", "region_id", "g", F.explode(F.sequence(F.col("y") - F.col("far"), F.col("y") + F.col("far"))).alias("y2"))
-    met = own.join(rows, ["image_id", "x", "y2"], "left")
-    dy = F.col("y2") - F.col("y")
-    d2 = dy * dy + F.when(F.coalesce(F.col("other") == F.col("region_id"), F.lit(False)), F.col("g2") * F.col("g2")).otherwise(0)
-    return met.groupBy("image_id", "x", "y", "region_id").agg(F.min(d2).alias("d2"))
+    near = lambda f, step: F.coalesce((f("region_id").over(along_row()) == F.col("region_id")) & (f("x").over(along_row()) == F.col("x") + step), F.lit(False))
+    p = pixels.select("image_id", "x", "y", "region_id", F.when(~near(F.lead, 1), F.col("x")).alias("e"), F.when(~near(F.lag, -1), F.col("x")).alias("s"))
+    p = p.select("image_id", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("region_id").cast("long").alias("region_id"), (F.least(F.first("e", True).over(ahead) - F.col("x"), F.col("x") - F.last("s", True).over(back)) + 1).cast("long").alias("g"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def worked(table):
+            x, y, region, g = (table.column(c).to_numpy() for c in ("x", "y", "region_id", "g"))
+            image = table.column("image_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new = (np.diff(image) != 0) | (np.diff(x) != 0) | (np.diff(region) != 0) | (np.diff(y) != 1)
+            d2 = _lowest_parabolas(y, g * g, np.concatenate([[0], np.flatnonzero(new) + 1]))
+            return table.drop_columns(["g"]).append_column("d2", pa.array(d2)).combine_chunks().to_batches()
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            image, x = batch.column(0), batch.column(1).to_numpy()
+            end, last = batch.num_rows, (image[-1], x[-1])
+            # the column that the batch ends in may go on
+            cut = int(np.searchsorted(-((x != x[-1]) | ~np.asarray(pa.compute.equal(image, image[-1]))).astype(int), 0))
+            if cut or (held and (held[-1].column(0)[-1], held[-1].column(1)[-1].as_py()) != last):
+                done = [*held, batch.slice(0, cut)] if cut else held
+                yield from worked(pa.Table.from_batches(done))
+                held = []
+            held.append(batch.slice(cut, end - cut))
+        if held:
+            yield from worked(pa.Table.from_batches(held))
+
+    columns = p.repartition("image_id", "x").sortWithinPartitions("image_id", "x", "y")
+    return columns.mapInArrow(run, "image_id string, x long, y long, region_id long, d2 long").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "region_id", "d2")
 
 
 def label_points(pixels: DataFrame) -> DataFrame:

@@ -50,6 +50,11 @@ _AROUND = f"""{_PX}, n AS (SELECT c.*, l.label AS l, r_.label AS rr, u.label AS
  LEFT JOIN px l ON l.y = c.y AND l.x = c.x - 1 LEFT JOIN px r_ ON r_.y = c.y AND r_.x = c.x + 1 LEFT JOIN px u ON u.y = c.y - 1 AND u.x = c.x LEFT JOIN px d ON d.y = c.y + 1 AND d.x = c.x
  LEFT JOIN px ul ON ul.y = c.y - 1 AND ul.x = c.x - 1 LEFT JOIN px ur ON ur.y = c.y - 1 AND ur.x = c.x + 1 LEFT JOIN px dl ON dl.y = c.y + 1 AND dl.x = c.x - 1 LEFT JOIN px dr ON dr.y = c.y + 1 AND dr.x = c.x + 1)"""
 
+# each pixel against all others outside its region that can be nearer than the image's edge
+_DIST = f"""{_REG}, lim AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), own AS (SELECT reg.*, least(x + 1, y + 1, w - x, h - y) AS far FROM reg, lim),
+dist AS (SELECT o.pid, o.region_id, o.label, o.x, o.y, least(any_value(far * far), coalesce(min((o.x - q.x) * (o.x - q.x) + (o.y - q.y) * (o.y - q.y)), 1000000000)) AS d2
+  FROM own o LEFT JOIN reg q ON q.x BETWEEN o.x - far AND o.x + far AND q.y BETWEEN o.y - far AND o.y + far AND q.region_id != o.region_id GROUP BY o.pid, o.region_id, o.label, o.x, o.y)"""
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -350,9 +355,7 @@ def bilateral(spark, sf_dir):
     return K.bilateral(px(spark, sf_dir))
 
 
-@query("label_points", f"""WITH RECURSIVE {_REG}, o AS (SELECT a.pid, a.region_id, a.x, a.y, unnest(range(-6, 7)) AS dx FROM reg a), w AS (SELECT o.*, unnest(range(-6, 7)) AS dy FROM o), q AS (SELECT pid, region_id, x, y, dx, dy, x + dx AS x2, y + dy AS y2 FROM w),
-d AS (SELECT q.region_id, q.x, q.y, min(CASE WHEN b.region_id = q.region_id THEN NULL ELSE dx * dx + dy * dy END) AS d2 FROM q LEFT JOIN reg b ON b.x = q.x2 AND b.y = q.y2 GROUP BY ALL)
-SELECT region_id, x, y, radius FROM (SELECT region_id, x, y, round(sqrt(d2::DOUBLE), 6) AS radius, row_number() OVER (PARTITION BY region_id ORDER BY d2 DESC, y, x) AS rn FROM d) WHERE rn = 1""")
+@query("label_points", f"WITH RECURSIVE {_DIST} SELECT region_id, x, y, round(sqrt(d2::DOUBLE), 6) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY d2 DESC, y, x) AS rn FROM dist) WHERE rn = 1")
 def label_points(spark, sf_dir):
     return R.label_points(_regions(spark, sf_dir)).select("region_id", "x", "y", "radius")
 
@@ -515,7 +518,13 @@ def template_layers(spark, sf_dir):
     return M.template(_regions(spark, sf_dir), pal(spark), "bright-color-circles").select("x", "y", "r", "g", "b")
 
 
-@query("coloured_rims")
+_RIM = [f"(CASE WHEN b.b THEN p.{c} WHEN sqrt(d2::DOUBLE) <= rim + 0.25 OR near THEN round_even({g} * (1 - alpha) + p.{c} * alpha, 0)::INTEGER ELSE {g} END)::INTEGER AS {c}" for c, g in zip("rgb", M.GROUND)]
+
+
+@query("coloured_rims", f"""WITH RECURSIVE {_DIST}, {_PAL}, bm AS (SELECT o.pid, o.x, o.y, coalesce(r_.region_id != o.region_id, FALSE) OR coalesce(d.region_id != o.region_id, FALSE) AS b FROM reg o LEFT JOIN reg r_ ON r_.y = o.y AND r_.x = o.x + 1 LEFT JOIN reg d ON d.x = o.x AND d.y = o.y + 1),
+t AS (SELECT a.pid, bool_or(c.b) AS near FROM bm a JOIN bm c ON c.x BETWEEN a.x - 1 AND a.x + 1 AND c.y BETWEEN a.y - 1 AND a.y + 1 GROUP BY a.pid), z AS (SELECT greatest(3, least(6, round_even(greatest(w, h) / 360::DOUBLE, 0)::INTEGER)) AS rim FROM lim),
+f AS (SELECT dist.*, rim, 0.18::DOUBLE + 0.64::DOUBLE * least(1, greatest(0, (rim + 1 - sqrt(d2::DOUBLE)) / rim::DOUBLE)) AS alpha FROM dist, z)
+SELECT f.x, f.y, {", ".join(_RIM)} FROM f JOIN t USING (pid) JOIN bm b USING (pid) JOIN pal p ON p.label = f.label""")
 def coloured_rims(spark, sf_dir):
     return M.template(_regions(spark, sf_dir), pal(spark), "colored-edges").select("x", "y", "r", "g", "b")
 
