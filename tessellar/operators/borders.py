@@ -1,8 +1,7 @@
 """Borders of facets (regions joined by four neighbours): traced paths, segments shared by two facets, rings, label bounds.
 
-A border is a walk along walls. A wall is one side of a pixel of the facet, with something else beyond it. Each pixel on a
-border carries the facets around it, so that a facet's walk needs its border pixels alone, and what follows the walk is
-windows, joins and array functions.
+A border is a list of walls. A wall is one side of a pixel of the facet, with something else beyond it. Each pixel on a
+border carries the facets around it, so that each wall knows the next one, and all else is list ranking, windows, joins and array functions.
 """
 
 from __future__ import annotations
@@ -12,15 +11,13 @@ import heapq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize, release
 from .groups import per_group
 from .outline import halve
 from .regions import adjacency, beside, region_table
 
 #: Sides of a pixel as outward steps: left, top, right, bottom.
 SIDES = [(-1, 0), (0, -1), (1, 0), (0, 1)]
-#: Steps to the pixels around one, in the order of `around`.
-STEPS = [*SIDES, (-1, -1), (1, -1), (-1, 1), (1, 1)]
-_PATH = "image_id string, region_id long, place int, x int, y int, side int, neighbour long, around array<long>"
 _POINTS = "array<struct<x:double,y:double,side:int>>"
 
 
@@ -33,53 +30,88 @@ def border_pixels(pixels: DataFrame) -> DataFrame:
     return p.select("image_id", "region_id", "x", "y", around.alias("around")).where(touches)
 
 
-def walk(facet: int, pixels: dict[tuple[int, int], list[int]]) -> list[tuple[int, int, int]]:
-    """(x, y, side) of the outer walls in order, from the left of the first pixel in raster order.
+#: Side of the tiles in which walls are joined to chains.
+TILE = 256
 
-    From a wall on side n of pixel p the next one is, for either direction t along it, in this order: side t of p itself;
-    side n of p + t; side -t of p + t + n, round the corner. A wall is used once.
-    """
-    start = min(pixels, key=lambda p: (p[1], p[0]))
-    step = {s: k for k, s in enumerate(STEPS)}
 
-    def own(p, d):
-        return pixels[p][step[d]] == facet
+def walls(borders: DataFrame) -> DataFrame:
+    """image_id, region_id, x, y, side of each wall, the next one (nx, ny, ns) clockwise around the facet, and whether the next one begins its outer border.
 
-    def wall(p, n):
-        return p[0] + (n[0] > 0), p[1] + (n[1] > 0), n[0] != 0
+    From side n of pixel p, with t the way along it: side t of p where p + t is not the facet's; else side n of p + t where
+    p + t + n is not; else, round the corner, side -t of p + t + n. Each wall has one next and is next of one.
+    """
+    own = lambda k: F.col("around")[k] == F.col("region_id")
+    options = []
+    for side, ((i, j), corner) in enumerate(zip(SIDES, (4, 5, 7, 6))):
+        a, b = SIDES[(side + 1) % 4]
+        at = lambda x, y, s: F.struct((F.col("x") + x).alias("nx"), (F.col("y") + y).alias("ny"), F.lit(s).alias("ns"))
+        after = F.when(~own((side + 1) % 4), at(0, 0, (side + 1) % 4)).when(~own(corner), at(a, b, side)).otherwise(at(a + i, b + j, (side + 3) % 4))
+        options.append(F.when(~own(side), F.struct(F.lit(side).alias("side"), after.alias("n"))))
+    w = borders.select("image_id", "region_id", "x", "y", F.explode(F.filter(F.array(*options), lambda o: o.isNotNull())).alias("w")).select("image_id", "region_id", "x", "y", "w.side", "w.n.*")
+    first = borders.groupBy("image_id", "region_id").agg(F.min(F.struct("y", "x")).alias("first"))
+    begins = (F.col("nx") == F.col("first.x")) & (F.col("ny") == F.col("first.y")) & (F.col("ns") == 0)
+    return w.join(first, ["image_id", "region_id"]).withColumn("ends", begins).drop("first")
+
+
+def _chained(tile: int):
+    """Walls of one tile with the chain that each is on: its first wall (ex, ey, es), the place there, and, at its last, the first wall of the next one."""
+
+    def run(pdf):
+        import numpy as np
 
-    at, n = start, SIDES[0]
-    path, used = [], set()
+        x, y = pdf.x.to_numpy() % tile, pdf.y.to_numpy() % tile
+        nx, ny = pdf.nx.to_numpy() - pdf.x.to_numpy() + x, pdf.ny.to_numpy() - pdf.y.to_numpy() + y
+        at = np.full(4 * tile * tile, -1)
+        at[(y * tile + x) * 4 + pdf.side.to_numpy()] = np.arange(len(pdf))
+        inside = (nx >= 0) & (nx < tile) & (ny >= 0) & (ny < tile) & ~pdf.ends.to_numpy()
+        after = np.full(len(pdf), -1)
+        after[inside] = at[(ny[inside] * tile + nx[inside]) * 4 + pdf.ns.to_numpy()[inside]]
+        before = np.full(len(pdf), -1)
+        before[after[after >= 0]] = np.flatnonzero(after >= 0)
+        # from each wall back to the first of its chain, twice as far at each step
+        first, place, jump = np.arange(len(pdf)), (before >= 0).astype(np.int64), before.copy()
+        first[jump >= 0] = jump[jump >= 0]
+        for _ in range(len(pdf).bit_length()):
+            go = np.flatnonzero(jump >= 0)
+            if not len(go):
+                break
+            to = jump[go]
+            place[go] += place[to]
+            first[go] = first[to]
+            jump[go] = jump[to]
+        closed = jump >= 0  # a hole's border that doesn't leave the tile
+        out = pdf.assign(ex=pdf.x.to_numpy()[first], ey=pdf.y.to_numpy()[first], es=pdf.side.to_numpy()[first], spot=place, last=after < 0)
+        return out[~closed][["image_id", "region_id", "x", "y", "side", "nx", "ny", "ns", "ends", "ex", "ey", "es", "spot", "last"]]
+
+    return run
+
+
+def border_paths(borders: DataFrame, tile: int = TILE) -> DataFrame:
+    """The outer walls of each facet in order: place, x, y, side (0 to 3), neighbour (-1 outside), around.
+
+    The order is that of a list: walls are joined to chains inside tiles, then each chain learns what follows it up to the border's end by pointer
+    doubling over chains alone, in as many rounds as their number has bits. No facet is one task's work. Borders of holes never reach an end and are left out.
+    """
+    w = walls(borders).withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    schema = "image_id string, region_id long, x int, y int, side int, nx int, ny int, ns int, ends boolean, ex int, ey int, es int, spot long, last boolean"
+    on = materialize(w.groupBy("image_id", "tx", "ty").applyInPandas(_chained(tile), schema))
+    name = lambda *c: F.struct("image_id", *[F.col(k).cast("int").alias(n) for k, n in zip(c, "xys")])
+    chains = materialize(on.where("last").select(name("ex", "ey", "es").alias("chain"), F.when(~F.col("ends"), name("nx", "ny", "ns")).alias("to"), (F.col("spot") + 1).alias("rest")))
     while True:
-        path.append((*at, SIDES.index(n)))
-        used.add(wall(at, n))
-        found = None
-        along = ((0, -1), (0, 1)) if n[0] else ((-1, 0), (1, 0))
-        for t in along:
-            if found is None and not own(at, t) and wall(at, t) not in used:
-                found = at, t
-        for t in along:
-            q = at[0] + t[0], at[1] + t[1]
-            if found is None and q in pixels and own(at, t) and not own(at, (t[0] + n[0], t[1] + n[1])) and wall(q, n) not in used:
-                found = q, n
-        for t in along:
-            c = t[0] + n[0], t[1] + n[1]
-            q, back = (at[0] + c[0], at[1] + c[1]), (-t[0], -t[1])
-            if found is None and q in pixels and own(at, c) and wall(q, back) not in used and wall(at, t) not in used:
-                found = q, back
-        if found is None:
-            return path
-        at, n = found
-
-
-def border_paths(borders: DataFrame) -> DataFrame:
-    """The outer walls of each facet in order: place, x, y, side (0 to 3), neighbour (-1 outside), around. A facet's border is one task's work."""
-
-    def work(key, rows):
-        around = {(x, y): list(a) for x, y, a in rows}
-        return [(*key, k, x, y, side, around[x, y][side], around[x, y]) for k, (x, y, side) in enumerate(walk(key[1], around))]
-
-    return per_group(borders.select("image_id", "region_id", "x", "y", "around"), ["image_id", "region_id"], work, _PATH)
+        ahead = chains.select(F.col("chain").alias("to"), F.col("to").alias("further"), F.col("rest").alias("more"))
+        met = chains.where("to IS NOT NULL").join(ahead, "to").select("chain", F.col("further").alias("to"), (F.col("rest") + F.col("more")).alias("rest"))
+        spent, chains = chains, materialize(chains.where("to IS NULL").unionByName(met))
+        settled = [t.where("to IS NULL").count() for t in (spent, chains)]
+        release(spent)
+        if settled[0] == settled[1]:
+            break
+    rest = chains.where("to IS NULL").select("chain", "rest")
+    facets = borders.groupBy("image_id", "region_id").agg(F.min(F.struct("y", "x")).alias("first")).select("region_id", F.struct("image_id", F.col("first.x").cast("int").alias("x"), F.col("first.y").cast("int").alias("y"), F.lit(0).alias("s")).alias("chain"))
+    whole = facets.join(rest, "chain").select(F.col("chain.image_id").alias("image_id"), "region_id", F.col("rest").alias("whole"))
+    placed = on.select("image_id", "region_id", "x", "y", "side", "spot", name("ex", "ey", "es").alias("chain")).join(rest, "chain").join(whole, ["image_id", "region_id"])
+    placed = placed.select("image_id", "region_id", "x", "y", "side", (F.col("whole") - F.col("rest") + F.col("spot")).cast("int").alias("place"))
+    out = placed.join(borders.select("image_id", "region_id", "x", "y", "around"), ["image_id", "region_id", "x", "y"])
+    return out.select("image_id", "region_id", "place", "x", "y", "side", F.get("around", F.col("side")).alias("neighbour"), "around")
 
 
 def border_segments(paths: DataFrame) -> DataFrame:
@@ -252,8 +284,6 @@ def label_bounds(pixels: DataFrame, boundary: DataFrame) -> DataFrame:
 
 def facet_outlines(pixels: DataFrame, width: int, height: int, times: int = 2) -> DataFrame:
     """The matched boundary of every facet of pixels (region_id by four neighbours), written to the shared folder once."""
-    from ..sources.store import materialize
-
     segments = materialize(halved(border_segments(border_paths(border_pixels(pixels))), width, height, times))
     return materialize(matched_segments(segments))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..sources.store import materialize
+from ..sources.store import materialize, release
 from .regions import beside
 
 HARD_EDGE = 26.0
@@ -98,27 +98,86 @@ def expand_owner(pixels: DataFrame, steps: int) -> DataFrame:
     return pixels
 
 
-def strip_in_place(raster: DataFrame, palette: DataFrame) -> DataFrame:
-    """The other cleanup: pixels in raster order, each seeing what was changed before it. Sequential, so one task per image."""
-    rgb = {r.label: (r.r, r.g, r.b) for r in palette.collect()}
-
-    def run(pdf):
-        import numpy as np
-
-        a = np.full((int(pdf.y.max()) + 1, int(pdf.x.max()) + 1), -1)
-        a[pdf.y, pdf.x] = pdf.label
-        dist = lambda p, q: sum((i - j) ** 2 for i, j in zip(rgb[p], rgb[q])) ** 0.5
-        for y in range(1, a.shape[0] - 1):
-            for x in range(1, a.shape[1] - 1):
-                c, up, down, left, right = (int(v) for v in (a[y, x], a[y - 1, x], a[y + 1, x], a[y, x - 1], a[y, x + 1]))
-                if c in (up, down, left, right) and c != up and c != down:
-                    a[y, x] = up if dist(up, c) < dist(down, c) else down
-                elif c in (up, down, left, right) and c != left and c != right:
-                    a[y, x] = left if dist(left, c) < dist(right, c) else right
-        pdf["label"] = a[pdf.y, pdf.x]
-        return pdf
-
-    return raster.select("image_id", "x", "y", "pid", "label").groupBy("image_id").applyInPandas(run, "image_id string, x int, y int, pid long, label int")
+#: Side of the tiles of the cleanup in place.
+TILE = 256
+
+
+def _tile_in_place(pdf):
+    """One tile with what lies around it: of the pixels of a diagonal none sees another, so they are worked out together, diagonal after diagonal."""
+    import numpy as np
+
+    x0, y0 = (int(pdf[c].iloc[0]) for c in ("tx", "ty"))
+    side, w, h = (int(pdf[c].iloc[0]) for c in ("tile", "w", "h"))
+    a = np.full((side + 2, side + 2), -1, np.int64)
+    x, y = pdf.x.to_numpy() - x0 * side + 1, pdf.y.to_numpy() - y0 * side + 1
+    names, index = np.unique(pdf.label.to_numpy(), return_inverse=True)
+    a[y, x] = index
+    unknown = np.flatnonzero(names < 0)
+    for u in unknown:
+        a[a == u] = -1
+    rgb = np.full((len(names) + 1, 3), np.inf)
+    rgb[index] = pdf[["r", "g", "b"]].to_numpy(float, na_value=np.inf)
+    rgb[unknown] = np.inf
+
+    def far(p, q):
+        d = ((rgb[p] - rgb[q]) ** 2).sum(1)
+        return np.where(np.isfinite(d), d, np.inf)
+
+    for s in range(2 * side - 1):
+        j = np.arange(max(0, s - side + 1), min(side - 1, s) + 1)
+        i = s - j
+        inner = (i + x0 * side > 0) & (i + x0 * side < w - 1) & (j + y0 * side > 0) & (j + y0 * side < h - 1)
+        i, j = i[inner] + 1, j[inner] + 1
+        c, up, down, left, right = a[j, i], a[j - 1, i], a[j + 1, i], a[j, i - 1], a[j, i + 1]
+        some = (c >= 0) & ((c == up) | (c == down) | (c == left) | (c == right))
+        tall = some & (c != up) & (c != down)
+        flat = some & ~tall & (c != left) & (c != right)
+        with np.errstate(invalid="ignore"):
+            new = np.where(tall, np.where(far(up, c) < far(down, c), up, down), np.where(flat, np.where(far(left, c) < far(right, c), left, right), c))
+        a[j, i] = np.where(new >= 0, new, c)
+    own = (pdf.own & (pdf.label >= 0)).to_numpy()
+    keep = pdf[pdf.own][["image_id", "x", "y", "pid", "label", "tx", "ty"]].copy()
+    keep.loc[keep.label >= 0, "label"] = names[a[y[own], x[own]]]
+    return keep
+
+
+def strip_in_place(raster: DataFrame, palette: DataFrame, tile: int = TILE) -> DataFrame:
+    """The other cleanup: pixels in raster order, each seeing what was changed before it, above and to the left, and what is still to come, below and to the right.
+
+    Tiles wait for those above and to their left only: the tiles of one diagonal of all images are worked through together, from the last
+    rows and columns of the diagonal before, so an image takes as many rounds as it has diagonals of tiles. A pixel without a label stays as it is, and
+    none becomes one; a label that the palette lacks is farther than any other.
+    """
+    rgb = palette.select("label", *[F.col(c).cast("double").alias(c) for c in "rgb"])
+    size = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    base = raster.select("image_id", "x", "y", "pid", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
+    place = {c: F.floor(F.col(d) / tile).cast("int") for c, d in (("tx", "x"), ("ty", "y"))}
+
+    def beyond(rows, step, *, own):
+        """rows as seen by the tiles that they border on, after them (step 1) or before them (-1); own ones too."""
+        edge = tile - 1 if step == 1 else 0
+        to = [F.when(F.col(c) % tile == edge, F.struct(*[(F.col(t) + (step if t == m else 0)).alias(t) for t in ("tx", "ty")], F.lit(False).alias("own"))) for c, m in (("x", "tx"), ("y", "ty"))]
+        to += [F.struct("tx", "ty", F.lit(True).alias("own"))] * own
+        return rows.select("image_id", "x", "y", "pid", "label", F.explode(F.filter(F.array(*to), lambda t: t.isNotNull())).alias("t")).select("image_id", "x", "y", "pid", "label", "t.*").where("tx >= 0 AND ty >= 0")
+
+    seen = beyond(base.withColumns(place), -1, own=True).withColumn("diagonal", F.col("tx") + F.col("ty"))
+    seen = materialize(seen.repartitionByRange("diagonal", "image_id", "tx").sortWithinPartitions("diagonal"))
+    schema = "image_id string, x int, y int, pid long, label long, tx int, ty int"
+    done = []
+    for diagonal in range((seen.where("own").agg(F.max("diagonal")).first()[0] or 0) + 1):
+        rows = seen.where(F.col("diagonal") == diagonal).drop("diagonal")
+        rows = rows.join(rows.where("own").select("image_id", "tx", "ty").distinct(), ["image_id", "tx", "ty"], "left_semi").select("image_id", "x", "y", "pid", "label", "tx", "ty", "own")
+        if done:
+            rows = rows.unionByName(beyond(done[-1], 1, own=False))
+        cells = rows.join(size, "image_id").join(rgb, "label", "left").withColumn("tile", F.lit(tile))
+        cells = cells.select("image_id", "x", "y", "pid", "label", "tx", "ty", "own", "w", "h", "r", "g", "b", "tile")
+        out = cells.groupBy("image_id", "tx", "ty").applyInPandas(_tile_in_place, schema)
+        done.append(materialize(out))
+    release(seen)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("image_id", "x", "y", "pid", F.col("label").cast("int").alias("label"))
 
 
 def bilateral(raster: DataFrame, d: int = 9, sigma_colour: float = 50.0, sigma_space: float = 50.0) -> DataFrame:
