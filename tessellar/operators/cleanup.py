@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
@@ -30,8 +30,8 @@ def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
     n = counts.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("ns"))
     # of each label, the labels near enough to replace it; the palette bounds the pairs
     other = lab.select(F.col("label").alias("to"), F.col("lab").alias("lab2"))
-    near = lab.join(F.broadcast(other)).where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy("label").agg(F.collect_set("to").alias("near"))
-    p = around(raster).join(F.broadcast(near), "label", "left").join(n, "image_id")
+    near = lab.join(other).where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy("label").agg(F.collect_set("to").alias("near"))
+    p = around(raster).join(near, "label", "left").join(n, "image_id", "left")
     groups = [("l", "r"), ("u", "d"), ("ul", "dr"), ("ur", "dl"), ("l", "u", "d"), ("r", "u", "d"), ("u", "l", "r"), ("d", "l", "r")]
     options = []
     inside = F.expr("l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL")
@@ -49,9 +49,10 @@ def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
 def strip_cleanup(raster: DataFrame, palette: DataFrame, runs: int) -> DataFrame:
     """Runs of strip_once until nothing changes."""
     raster = raster.select("image_id", "x", "y", "pid", "label")
-    for _ in range(runs):
+    for k in range(runs):
         new = materialize(strip_once(raster, palette))
         same = raster.select("pid", "image_id", F.col("label").alias("old")).join(new, ["image_id", "pid"]).where("NOT (old <=> label)").isEmpty()
+        release(*[raster] * (k > 0))
         raster = new
         if same:
             break
@@ -74,19 +75,21 @@ def opening(raster: DataFrame) -> DataFrame:
 
 def prune_protrusions(raster: DataFrame, steps: int = 12) -> DataFrame:
     """Labels whose opening is not empty lose what it removes; these and all unlabelled pixels fill from above, below, left, right in turn, so many times at most. Unfilled pixels have label -1."""
-    any_open = F.max("opened").over(Window.partitionBy("image_id", "label"))
-    o = opening(raster.withColumn("label", F.coalesce("label", F.lit(-1)))).withColumn("has", any_open)
+    opened = materialize(opening(raster.withColumn("label", F.coalesce("label", F.lit(-1)))))
+    o = opened.join(opened.groupBy("image_id", "label").agg(F.max("opened").alias("has")), ["image_id", "label"])
     p = materialize(o.select("image_id", "x", "y", "pid", F.when(F.col("has") & ~F.col("opened"), -1).otherwise(F.col("label")).alias("label")))
     for _ in range(steps):
-        before = p.where("label < 0").count()
+        before, p_before = p.where("label < 0").count(), p
         if not before:
             break
         for along, step in (("y", -1), ("y", 1), ("x", -1), ("x", 1)):
             p = p.withColumn("_n", F.coalesce(beside("label", along, step), F.lit(-1)))
             p = p.withColumn("label", F.when((F.col("label") < 0) & (F.col("_n") >= 0), F.col("_n")).otherwise(F.col("label"))).drop("_n")
-        p = materialize(p)
+        p, spent = materialize(p), p_before
+        release(spent)
         if p.where("label < 0").count() == before:
             break
+    release(opened)
     return p
 
 

@@ -25,11 +25,14 @@ def palette_table(raster: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def palette_json(table: DataFrame, sizes: DataFrame, source: str, settings: dict, outputs: dict) -> DataFrame:
-    """image_id, document: one JSON document per image of table (as palette_table gives) and sizes (image_id, width, height)."""
+    """image_id, document: one JSON document per image of table (as palette_table gives) and sizes (image_id, width, height).
+
+    Settings and outputs keep their kinds: numbers, booleans, texts; None is left out.
+    """
     rgb = lambda c: F.transform(F.array(*[F.lit(i) for i in (2, 4, 6)]), lambda i: F.conv(F.substr(c, i, F.lit(2)), 16, 10).cast("int"))
     row = F.struct("number", "hex", rgb(F.col("hex")).alias("rgb"), "paint_hex", rgb(F.col("paint_hex")).alias("paint_rgb"), "pixel_count", "area_percent")
     made = table.groupBy("image_id").agg(F.array_sort(F.collect_list(row)).alias("colors")).join(sizes, "image_id")
-    pairs = lambda d: F.create_map(*[F.lit(str(x)) for kv in d.items() for x in kv]) if d else F.create_map().cast("map<string,string>")
+    pairs = lambda d: F.struct(*[F.lit(v).alias(k) for k, v in d.items()]) if d else F.create_map().cast("map<string,string>")
     whole = F.struct(F.lit(source).alias("source"), "width", "height", pairs(settings).alias("settings"), "colors", pairs(outputs).alias("outputs"))
     return made.select("image_id", F.to_json(whole).alias("document"))
 
@@ -50,9 +53,10 @@ def compact_labels(raster: DataFrame, palette: DataFrame) -> DataFrame:
 
 
 def compacted(raster: DataFrame, palette: DataFrame) -> DataFrame:
-    """Pixels with their new label; those without a label, or with one that the palette lacks, get -1."""
+    """Pixels with their new label; those without a label, or with one that the palette lacks, get -1. An image of which no pixel has a label gets label 0 throughout."""
     new = compact_labels(raster, palette)
-    return raster.join(new, ["image_id", "label"], "left").select("image_id", "x", "y", "pid", F.coalesce("new_label", F.lit(-1)).alias("label"))
+    none = raster.groupBy("image_id").agg((~F.max(F.coalesce(F.col("label") >= 0, F.lit(False)))).alias("bare")).where("bare")
+    return raster.join(new, ["image_id", "label"], "left").join(none, "image_id", "left").select("image_id", "x", "y", "pid", F.when(F.col("bare"), 0).otherwise(F.coalesce("new_label", F.lit(-1))).alias("label"))
 
 
 def strict_zip(paint: DataFrame, exact: DataFrame, key: str = "number") -> DataFrame:

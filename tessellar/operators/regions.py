@@ -184,13 +184,14 @@ def effective_min_area(pixels: int, requested: int) -> int:
     return max(requested, round(0.00025 * pixels))
 
 
-def paintability(regions: DataFrame, min_area: int, merge_area: int | None = None, coloured_edges: bool = False, auto_colours: bool = False) -> DataFrame:
-    """Size, colours, counts and extreme areas of an image's regions, and the settings they were made with."""
+def paintability(regions: DataFrame, sizes: DataFrame, min_area: int, merge_area: int | None = None, coloured_edges: bool = False, auto_colours: bool = False) -> DataFrame:
+    """Colours, counts and extreme areas of the regions of each image of sizes (image_id, width, height), zeros where it has none, and the settings they were made with."""
     n = F.col("area") >= min_area
     whole = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
-    return regions.groupBy("image_id").agg(
-        F.max("x2").cast("long").alias("width"), F.max("y2").cast("long").alias("height"),
-        F.countDistinct("color_index").alias("colors"), F.count(F.lit(1)).alias("regions_total"), F.count_if(n).alias("regions_numbered"), F.count_if(~n).alias("regions_too_small_for_label"), F.lit(min_area).cast("long").alias("min_label_area"),
+    all_ = sizes.select("image_id", "width", "height").join(regions.select("image_id", "region_id", "color_index", "area"), "image_id", "left")
+    return all_.groupBy("image_id").agg(
+        F.max("width").cast("long").alias("width"), F.max("height").cast("long").alias("height"),
+        F.countDistinct("color_index").alias("colors"), F.count("region_id").alias("regions_total"), F.count_if(n).alias("regions_numbered"), F.count_if(~n).alias("regions_too_small_for_label"), F.lit(min_area).cast("long").alias("min_label_area"),
         whole(F.min("area"), "smallest_region"), whole(F.max("area"), "largest_region"), F.bround(F.coalesce(F.median("area"), F.lit(0.0)), 3).alias("median_region_area"),
         whole(F.min(F.when(n, F.col("area"))), "smallest_numbered_region"), whole(F.max(F.when(~n, F.col("area"))), "largest_unnumbered_region"),
         F.lit(True).alias("small_area_merging"), F.lit(min_area if merge_area is None else merge_area).cast("long").alias("small_region_merge_area"), F.lit(coloured_edges).alias("colored_edges_written"), F.lit(auto_colours).alias("auto_color_count"),

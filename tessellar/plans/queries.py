@@ -92,11 +92,10 @@ def palette_table(spark, sf_dir):
 
 @query("palette_json", f"""WITH t AS ({ORACLE_SQL["palette_table"]}), {_PX}, size AS (SELECT image_id, max(x) + 1 AS width, max(y) + 1 AS height FROM px GROUP BY ALL),
 c AS (SELECT image_id, list({{'number': number, 'hex': hex, 'rgb': [('0x' || substr(hex, i, 2))::INTEGER FOR i IN [2, 4, 6]], 'paint_hex': paint_hex, 'paint_rgb': [('0x' || substr(paint_hex, i, 2))::INTEGER FOR i IN [2, 4, 6]], 'pixel_count': pixel_count, 'area_percent': area_percent}} ORDER BY number) AS colors FROM t GROUP BY ALL)
-SELECT image_id, to_json({{'source': 'events', 'width': width, 'height': height, 'settings': {{'min_label_area': '{MIN_AREA}'}}, 'colors': colors, 'outputs': {{'template': 'template.png'}}}})::VARCHAR AS document FROM c JOIN size USING (image_id)""")
+SELECT image_id, to_json({{'source': 'events', 'width': width, 'height': height, 'settings': {{'min_label_area': {MIN_AREA}, 'auto_color_count': FALSE, 'smooth_sigma_color': 50.0, 'number_mode': 'numbers'}}, 'colors': colors, 'outputs': {{'template': 'template.png'}}}})::VARCHAR AS document FROM c JOIN size USING (image_id)""")
 def palette_json(spark, sf_dir):
     p = px(spark, sf_dir)
-    sizes = p.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    return P.palette_json(P.palette_table(p, pal(spark)), sizes, "events", {"min_label_area": MIN_AREA}, {"template": "template.png"})
+    return P.palette_json(P.palette_table(p, pal(spark)), S.image_sizes(p), "events", {"min_label_area": MIN_AREA, "auto_color_count": False, "smooth_sigma_color": 50.0, "number_mode": "numbers"}, {"template": "template.png"})
 
 
 @query("swatch_layout", f"WITH {_PAL} SELECT 'events' AS image_id, label + 1 AS number, 0 AS sheet_column, label AS sheet_row FROM pal")
@@ -272,7 +271,7 @@ def merge_driver(spark, sf_dir):
 @query("paintability", f"""WITH RECURSIVE {_REG} SELECT image_id, max(x2)::BIGINT AS width, max(y2)::BIGINT AS height, count(DISTINCT color_index) AS colors, count(*) AS regions_total, count(*) FILTER (area >= {MIN_AREA}) AS regions_numbered, count(*) FILTER (area < {MIN_AREA}) AS regions_too_small_for_label, {MIN_AREA}::BIGINT AS min_label_area, min(area) AS smallest_region, max(area) AS largest_region, round_even(median(area), 3) AS median_region_area,
 coalesce(min(area) FILTER (area >= {MIN_AREA}), 0) AS smallest_numbered_region, coalesce(max(area) FILTER (area < {MIN_AREA}), 0) AS largest_unnumbered_region, TRUE AS small_area_merging, {MIN_AREA}::BIGINT AS small_region_merge_area, FALSE AS colored_edges_written, FALSE AS auto_color_count FROM regions GROUP BY image_id""")
 def paintability(spark, sf_dir):
-    return R.paintability(regions(spark, sf_dir), MIN_AREA)
+    return R.paintability(regions(spark, sf_dir), S.image_sizes(px(spark, sf_dir)), MIN_AREA)
 
 
 @query("facet_palette_stats", f"WITH RECURSIVE {_REG}, g AS (SELECT image_id, color_index AS colour, sum(area)::BIGINT AS frequency FROM regions GROUP BY ALL) SELECT *, round(frequency / (sum(frequency) OVER ())::DOUBLE, 9) AS share, row_number() OVER (ORDER BY frequency DESC, colour)::INTEGER AS rank FROM g")
@@ -483,13 +482,31 @@ def svg_document(spark, sf_dir):
 
 @query("facet_reduction")
 def facet_reduction(spark, sf_dir):
-    return D.reduce_facets(px(spark, sf_dir), pal(spark), 2).select("pid", "label")
+    return D.reduce_facets(px(spark, sf_dir), pal(spark), MIN_AREA).select("pid", "label")
 
 
 _FAC = f"""{_PX}, nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy)), e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label),
 reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p), top AS (SELECT p, min(root) AS root FROM reach GROUP BY p), fac AS (SELECT px.*, dense_rank() OVER (ORDER BY root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p)"""
 
 
+@query("nearest_borders", f"""WITH RECURSIVE {_FAC}, {_PAL}, size AS (SELECT region_id, count(*) AS area FROM fac GROUP BY region_id HAVING count(*) < {MIN_AREA}),
+step AS (SELECT a.pid, a.region_id AS f, q.region_id AS t, q.x, q.y, q.label FROM fac a JOIN fac q ON q.x BETWEEN a.x - 1 AND a.x + 1 AND q.y BETWEEN a.y - 1 AND a.y + 1 AND abs(a.x - q.x) + abs(a.y - q.y) = 1 AND q.region_id != a.region_id),
+chosen AS (SELECT region_id FROM size WHERE region_id NOT IN (SELECT f FROM step JOIN size ON size.region_id = t WHERE f > t)),
+rim AS (SELECT DISTINCT f AS region_id, x, y, label FROM step SEMI JOIN chosen ON chosen.region_id = f),
+far AS (SELECT fac.pid, rim.label, abs(fac.x - rim.x) + abs(fac.y - rim.y) AS distance, sqrt(((o.r - n.r) * (o.r - n.r) + (o.g - n.g) * (o.g - n.g) + (o.b - n.b) * (o.b - n.b))::DOUBLE) AS colour FROM fac JOIN rim USING (region_id) JOIN pal o ON o.label = fac.label JOIN pal n ON n.label = rim.label)
+SELECT pid, label, distance::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, colour, label) AS rn FROM far) WHERE rn = 1""")
+def nearest_borders(spark, sf_dir):
+    """Small facets beside which no small one has a lower number give their pixels away."""
+    from ..sources.store import materialize
+
+    p = _facets(spark, sf_dir)
+    small = materialize(D.small_facets(R.region_table(p), MIN_AREA).select("image_id", "region_id"))
+    ends = lambda c: small.withColumnRenamed("region_id", c)
+    later = R.adjacency(p).where("src > dst").join(ends("src"), ["image_id", "src"], "left_semi").join(ends("dst"), ["image_id", "dst"], "left_semi")
+    chosen = small.join(later.select("image_id", F.col("src").alias("region_id")), ["image_id", "region_id"], "left_anti")
+    return D.nearest_border(p, chosen, pal(spark)).select("pid", "label", "distance")
+
+
 @query("small_facets", f"WITH RECURSIVE {_FAC} SELECT region_id, count(*) AS area FROM fac GROUP BY region_id HAVING count(*) < {MIN_AREA}")
 def small_facets(spark, sf_dir):
     return D.small_facets(R.region_table(_facets(spark, sf_dir)), MIN_AREA).select("region_id", "area")
@@ -611,11 +628,11 @@ def answer_images(spark, sf_dir):
 
 
 @query("idea_texts", r"""SELECT conv_id, turn, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' OR text IS NULL THEN 'idea' ELSE substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 80) END AS title,
-  coalesce(nullif(regexp_replace(regexp_replace(coalesce(role, '') || ' ' || turn, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'paint_by_numbers') AS stem, concat_ws(chr(10) || chr(10), role, 'turn ' || turn) AS prompt
+  coalesce(nullif(regexp_replace(regexp_replace(coalesce(role, '') || ' ' || turn, '[^A-Za-z0-9_.-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'image') AS stem, concat_ws(chr(10) || chr(10), role, 'turn ' || turn) AS prompt
 FROM conversations WHERE length(trim(text)) >= 8""")
 def idea_texts(spark, sf_dir):
     c = T.ready_ideas(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    stem = Y.clean_stem(F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.lit(".png")))
+    stem = Y.clean_stem(F.concat(F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.lit(".png")), "image")
     return c.select("conv_id", "turn", Y.title(F.col("text"), "idea").alias("title"), stem.alias("stem"), Y.prompt(F.col("role"), F.lit(" "), F.concat(F.lit("turn "), F.col("turn").cast("string"))).alias("prompt"))
 
 
@@ -625,9 +642,12 @@ def base64_decode(spark, sf_dir):
     return c.select("conv_id", "turn", F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8").alias("text"))
 
 
-@query("analysis_raster", f"WITH {_PX}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), z AS (SELECT *, least(1, 40::DOUBLE / greatest(w, h)) AS f FROM s), d AS (SELECT w, h, greatest(1, round_even(w * f, 0))::INTEGER AS nw, greatest(1, round_even(h * f, 0))::INTEGER AS nh FROM z) SELECT (x * nw // w)::INTEGER AS x, (y * nh // h)::INTEGER AS y, round_even(avg(r), 0)::INTEGER AS r, round_even(avg(g), 0)::INTEGER AS g, round_even(avg(b), 0)::INTEGER AS b FROM px, d GROUP BY 1, 2")
+@query("analysis_raster", f"""WITH {_PX}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), z AS (SELECT *, least(1, 37::DOUBLE / greatest(w, h)) AS f FROM s), d AS (SELECT w, h, greatest(1, round_even(w * f, 0))::INTEGER AS nw, greatest(1, round_even(h * f, 0))::INTEGER AS nh FROM z),
+ax AS (SELECT i AS cx, j AS x, least((i + 1) * w, (j + 1) * nw) - greatest(i * w, j * nw) AS n FROM d, range(nw) a(i), range(w) b(j) WHERE least((i + 1) * w, (j + 1) * nw) > greatest(i * w, j * nw)),
+ay AS (SELECT i AS cy, j AS y, least((i + 1) * h, (j + 1) * nh) - greatest(i * h, j * nh) AS m FROM d, range(nh) a(i), range(h) b(j) WHERE least((i + 1) * h, (j + 1) * nh) > greatest(i * h, j * nh))
+SELECT cx::INTEGER AS x, cy::INTEGER AS y, round_even(sum(n * m * r)::DOUBLE / sum(n * m)::DOUBLE, 0)::INTEGER AS r, round_even(sum(n * m * g)::DOUBLE / sum(n * m)::DOUBLE, 0)::INTEGER AS g, round_even(sum(n * m * b)::DOUBLE / sum(n * m)::DOUBLE, 0)::INTEGER AS b FROM px JOIN ax USING (x) JOIN ay USING (y) GROUP BY ALL""")
 def analysis_raster(spark, sf_dir):
-    return S.reduced(px(spark, sf_dir), 40).select("x", "y", "r", "g", "b")
+    return S.reduced(px(spark, sf_dir), 37).select("x", "y", "r", "g", "b")
 
 
 @query("vector_distances", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 5) AS manhattan FROM embeddings")

@@ -40,8 +40,8 @@ def candidate_image(payload: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(F.coalesce(first.mimeType, F.lit("image/png")).alias("mime_type"), first.data.alias("data")))
 
 
-def clean_stem(name: Column, fallback: str = "paint_by_numbers") -> Column:
-    """A file name's stem with runs of other characters than letters, digits, dot, dash and underscore as one underscore, and none at the ends."""
+def clean_stem(name: Column, fallback: str) -> Column:
+    """A file name's stem with runs of other characters than letters, digits, dot, dash and underscore as one underscore, and none at the ends; the fallback if nothing is left."""
     stem = F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
     clean = F.regexp_replace(F.regexp_replace(stem, "[^A-Za-z0-9_.-]+", "_"), "^[._]+|[._]+$", "")
     return F.when(clean == "", fallback).otherwise(clean)

@@ -58,17 +58,36 @@ def area_resample(raster: DataFrame, factor: int) -> DataFrame:
     return g.agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
 
 
-def reduced(raster: DataFrame, max_side: int = 480) -> DataFrame:
-    """The raster with its longer side cut down to max_side by means; as it is if it is no longer than that. pid counts the new pixels.
+def area_means(raster: DataFrame, sizes: DataFrame) -> DataFrame:
+    """image_id, x, y, r, g, b of images brought to nw x nh pixels (sizes: image_id, w, h, nw, nh), no more than they have: means by area.
 
-    Each pixel goes to the new one that holds its corner: the same as area means where the factor is whole.
+    A pixel spreads to the new ones that it overlaps, two at most on each axis, by whole numbers: an axis has w * nw parts, of which
+    an old pixel is nw and a new one w.
     """
-    size = raster.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    p = raster.join(sizes.select("image_id", *[F.col(c).cast("long").alias(c) for c in ("w", "h", "nw", "nh")]), "image_id")
+
+    def cells(c, old, new):
+        low, high = F.col(c) * F.col(new), (F.col(c) + 1) * F.col(new)
+        part = lambda i: F.struct(i.alias("at"), (F.least(high, (i + 1) * F.col(old)) - F.greatest(low, i * F.col(old))).alias("n"))
+        return F.transform(F.sequence(F.floor(low / F.col(old)), F.floor((high - 1) / F.col(old))), part)
+
+    p = p.select("image_id", "r", "g", "b", F.explode(cells("x", "w", "nw")).alias("cx"), cells("y", "h", "nh").alias("cys")).select("image_id", "r", "g", "b", "cx", F.explode("cys").alias("cy"))
+    weight = F.col("cx.n") * F.col("cy.n")
+    g = p.groupBy("image_id", F.col("cx.at").cast("int").alias("x"), F.col("cy.at").cast("int").alias("y"))
+    return g.agg(*[F.bround(F.sum(weight * F.col(c)) / F.sum(weight)).cast("int").alias(c) for c in "rgb"])
+
+
+def image_sizes(raster: DataFrame) -> DataFrame:
+    """image_id, width, height of images by their last pixels."""
+    return raster.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+def reduced(raster: DataFrame, max_side: int = 480) -> DataFrame:
+    """The raster with its longer side cut down to max_side by area means; as it is if it is no longer than that. pid counts the new pixels."""
+    size = image_sizes(raster).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"))
     scale = F.least(F.lit(1.0), F.lit(float(max_side)) / F.greatest("w", "h"))
-    new = {c: F.greatest(F.lit(1), F.bround(F.col(c) * scale).cast("int")) for c in "wh"}
-    p = raster.join(size.select("image_id", "w", "h", new["w"].alias("nw"), new["h"].alias("nh")), "image_id")
-    at = {c: F.floor(F.col(c) * F.col(f"n{d}") / F.col(d)).cast("int").alias(c) for c, d in (("x", "w"), ("y", "h"))}
-    g = p.select("image_id", at["x"], at["y"], "nw", *"rgb").groupBy("image_id", "x", "y").agg(F.first("nw").alias("nw"), *[F.bround(F.avg(c)).cast("int").alias(c) for c in "rgb"])
+    new = size.select("image_id", "w", "h", *[F.greatest(F.lit(1), F.bround(F.col(c) * scale).cast("int")).alias(f"n{c}") for c in "wh"])
+    g = area_means(raster, new).join(new.select("image_id", "nw"), "image_id")
     return g.select("image_id", "x", "y", (F.col("y").cast("long") * F.col("nw") + F.col("x")).alias("pid"), *"rgb")
 
 

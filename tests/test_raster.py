@@ -17,7 +17,7 @@ from tessellar.sources import payloads as Y
 from tessellar.sources import raster as S
 from tessellar.streaming import progress as T
 
-FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points"]
+FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points", "coloured_rims", "nearest_borders"]
 
 
 def raster(spark, rows):
@@ -132,7 +132,7 @@ def test_segments_match(spark):
 def test_facet_reduction(spark):
     colours = S.palette(spark, [(0, 0, 0, 0), (1, 255, 255, 255), (2, 10, 10, 10), (3, 90, 90, 90)])
     px = raster(spark, [[0, 0, 0, 0, 1], [0, 0, 2, 3, 1], [0, 0, 0, 0, 1]])
-    got = [r.label for r in D.reduce_facets(px, colours, 2).orderBy("pid").collect()]
+    got = [r.label for r in D.reduce_facets(px, colours, 2, large_first=False).orderBy("pid").collect()]
     # 3 has the later number of the two and goes first: 0, 1 and 2 all touch it, and 2 has the nearest colour; 2 is large enough then
     assert got == [0, 0, 0, 0, 1, 0, 0, 2, 2, 1, 0, 0, 0, 0, 1]
     assert {r.label for r in D.reduce_facets(px, colours, 1, most=1).collect()} == {0}
@@ -223,7 +223,7 @@ def test_settings_and_payloads(spark):
     df = spark.createDataFrame([(a,) for a in answers], "p string")
     assert [tuple(r.i) if r.i else None for r in df.select(F.coalesce(Y.answer_image(F.col("p")), Y.candidate_image(F.col("p"))).alias("i")).collect()] == [("image/webp", "x"), ("image/png", "y"), None, None]
     names = spark.createDataFrame([("a b/My photo (1).final.jpg",), ("___.png",)], "n string")
-    assert [r[0] for r in names.select(Y.clean_stem(F.col("n"))).collect()] == ["My_photo_1_.final", "paint_by_numbers"]
+    assert [r[0] for r in names.select(Y.clean_stem(F.col("n"), "image")).collect()] == ["My_photo_1_.final", "image"]
     with pytest.raises(Exception, match="differ in length"):
         P.strict_zip(spark.createDataFrame([(1, "a"), (2, "b")], "number int, h string"), spark.createDataFrame([(1, "c")], "number int, e string")).collect()
 
@@ -240,3 +240,25 @@ def test_areas_add_up_and_png(spark, sf):
     assert S.write_png(px).first().png[:4] == b"\x89PNG"
     with pytest.raises(ValueError):
         S.safe_output("/")
+
+
+def two_images(spark):
+    """One image of two labels, one without any."""
+    rows = [("a", x, y, y * 3 + x, 1 if (x, y) == (1, 1) else 0) for y in range(3) for x in range(3)] + [("b", x, y, y * 3 + x, -1) for y in range(3) for x in range(3)]
+    return spark.createDataFrame(rows, "image_id string, x int, y int, pid long, label int")
+
+
+def test_an_image_without_labels(spark):
+    px, colours = two_images(spark), S.palette(spark, [(0, 100, 100, 100), (1, 110, 110, 110)])
+    once = K.strip_once(px, colours).collect()
+    assert {(r.image_id, r.label) for r in once} == {("a", 0), ("b", -1)} and len(once) == 18
+    assert {(r.image_id, r.label) for r in P.compacted(px, colours).collect()} == {("a", 0), ("a", 1), ("b", 0)}
+    report = {r.image_id: r for r in R.paintability(R.region_table(R.region_map(px)), S.image_sizes(px), 2).collect()}
+    assert (report["a"].regions_total, report["a"].largest_region, report["a"].width) == (2, 8, 3)
+    assert (report["b"].regions_total, report["b"].colors, report["b"].largest_region, report["b"].median_region_area, report["b"].height) == (0, 0, 0, 0.0, 3)
+
+
+def test_area_means_of_any_ratio(spark):
+    row = lambda image, values: [(image, x, 0, x, v, v, v) for x, v in enumerate(values)]
+    px = spark.createDataFrame(row("i", [0, 90, 180]) + row("j", [10, 20]), "image_id string, x int, y int, pid long, r int, g int, b int")
+    assert [(r.image_id, r.pid, r.r) for r in S.reduced(px, 2).orderBy("image_id", "x").collect()] == [("i", 0, 30), ("i", 1, 150), ("j", 0, 10), ("j", 1, 20)]
