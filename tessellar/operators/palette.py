@@ -176,69 +176,9 @@ def snap(colours: DataFrame, allowed: DataFrame) -> DataFrame:
     return colours.select("r", "g", "b").distinct().join(F.broadcast(table)).select("r", "g", "b", best.label.alias("label"))
 
 
-def weighted_kmeans(points: DataFrame, k: int, seed: int, delta: float = 1.0) -> DataFrame:
-    """k, dim, mean of clusters of points (v array, weight): Lloyd steps from k points drawn with repeats until the centres move by delta or less, all together.
-
-    A centre without points stays where it is. The k centres are all that comes to the driver.
-    """
-    from ..functions.colour import seeded_random
-    from ..sources.store import materialize
-
-    spark = points.sparkSession
-    ordered = materialize(points.select("v", F.col("weight").cast("double").alias("weight"), F.row_number().over(Window.orderBy("v")).alias("i")) if "i" not in points.columns else points)
-    n = ordered.count()
-    drawn = spark.range(1).select(seeded_random(F.lit(seed), k).alias("u")).first().u
-    at = [int(n * u) + 1 for u in drawn]
-    found = {r.i: r.v for r in ordered.where(F.col("i").isin(at)).collect()}
-    centres = [list(found[i]) for i in at]
-    while True:
-        now = spark.createDataFrame(list(enumerate(centres)), "k int, c array<double>")
-        moved = 0.0
-        means: dict[int, dict[int, float]] = {}
-        for r in lloyd_step(ordered, now).collect():
-            means.setdefault(r.k, {})[r.dim] = r["mean"]
-        for j, m in means.items():
-            new = [m[d] for d in range(len(m))]
-            moved += sum((x - y) ** 2 for x, y in zip(new, centres[j])) ** 0.5
-            centres[j] = new
-        if moved <= delta:
-            return spark.createDataFrame([(j, d, x) for j, c in enumerate(centres) for d, x in enumerate(c)], "k int, dim int, mean double")
-
-
-def detect_colours(raster: DataFrame, hint: int = 48, max_side: int = 480, distance: float = 11.0) -> DataFrame:
-    """image_id, detected, and report: how many main colours an image has, and the clusters that say so, with their shares.
-
-    Pixels, reduced to max_side, are clustered in 8-bit Lab; near clusters merge; the largest that cover enough are kept. For one
-    image at a time, by Spark's k-means over all its pixels.
-    """
-    from ..sources.raster import reduced
-
-    small = reduced(raster, max_side)
-    pixels = small.count()
-    if not pixels:
-        return raster.sparkSession.createDataFrame([], "image_id string, detected int, clusters array<struct<sample_pixels:bigint,sample_percent:double,hex:string>>")
-    k = max(2, min(2 * hint, 64, pixels))
-    lab = C.lab8(F.col("r"), F.col("g"), F.col("b"))
-    labelled = kmeans_labels(small, k).select("image_id", "label", *[x.alias(c) for c, x in zip(("l", "a", "b_"), lab)])
-    clusters = labelled.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("l", "a", "b_")])
-    merged = merge_close(clusters.select("image_id", F.col("label").alias("first_seen"), "n", "l", "a", F.col("b_").alias("b")), distance)
-    chosen = coverage_selection(merged, hint).join(merged.select("image_id", "first_seen", "l", "a", "b"), ["image_id", "first_seen"])
-    return cluster_report(chosen, pixels).groupBy("image_id").agg(F.least(F.lit(hint), F.count(F.lit(1)).cast("int")).alias("detected"), F.sort_array(F.collect_list(F.struct("sample_pixels", "sample_percent", "hex")), False).alias("clusters"))
-
-
-def cluster_report(clusters: DataFrame, sample: int) -> DataFrame:
-    """image_id, sample_pixels, sample_percent, hex of clusters (n, and l, a, b in 8-bit Lab)."""
+def cluster_report(clusters: DataFrame, sample: int | str) -> DataFrame:
+    """image_id, sample_pixels, sample_percent, hex of clusters (n, and l, a, b in 8-bit Lab); sample is the number of pixels or the column that has it."""
     whole = [F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.bround(c))) for c in ("l", "a", "b")]
     rgb = C.lab_to_rgb(whole[0] / 2.55, whole[1] - 128, whole[2] - 128)
-    return clusters.select("image_id", F.col("n").alias("sample_pixels"), F.bround(100.0 * F.col("n") / max(1, sample), 3).alias("sample_percent"), C.hex_code(*rgb).alias("hex"))
-
-
-def kmeans_labels(raster: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """Labels by clustering in 8-bit Lab; not number for number what another library gives."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    lab = C.lab8(F.col("r"), F.col("g"), F.col("b"))
-    rows = VectorAssembler(inputCols=["_l", "_a", "_b"], outputCol="_v").transform(raster.drop("label").withColumns(dict(zip(("_l", "_a", "_b"), lab))))
-    model = KMeans(k=max(1, k), seed=seed, featuresCol="_v", predictionCol="label").fit(rows)
-    return model.transform(rows).drop("_l", "_a", "_b", "_v")
+    of = F.greatest(F.lit(1), F.col(sample) if isinstance(sample, str) else F.lit(sample))
+    return clusters.select("image_id", F.col("n").alias("sample_pixels"), F.bround(100.0 * F.col("n") / of, 3).alias("sample_percent"), C.hex_code(*rgb).alias("hex"))

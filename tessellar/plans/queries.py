@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import colour as C
 from ..operators import borders as B
 from ..operators import cleanup as K
+from ..operators import clusters as U
 from ..operators import outline as O
 from ..operators import palette as P
 from ..operators import reduction as D
@@ -183,7 +184,7 @@ def lloyd_step(spark, sf_dir):
 
 @query("kmeans_labels")
 def kmeans_labels(spark, sf_dir):
-    return P.label_counts(P.kmeans_labels(px(spark, sf_dir), 8))
+    return P.label_counts(U.kmeans_labels(px(spark, sf_dir), 8))
 
 
 _CL = f"WITH {_PX}, cl AS (SELECT image_id, min(pid) AS first_seen, count(*) AS n FROM px GROUP BY image_id, g // 4)"
@@ -592,13 +593,19 @@ def cluster_merge(spark, sf_dir):
 
 @query("weighted_kmeans")
 def weighted_kmeans(spark, sf_dir):
-    points = P.coarse_histogram(px(spark, sf_dir)).select(F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("v"), F.col("weight"))
-    return P.weighted_kmeans(points, 4, 7, 8.0)
+    centres = U.grouped_lloyd(U.colour_points(px(spark, sf_dir)), 4, 7, 8.0)
+    return centres.select("image_id", "k", F.posexplode("c").alias("dim", "mean"))
+
+
+@query("clustered_pixels")
+def clustered_pixels(spark, sf_dir):
+    """Every pixel in the allowed colour nearest to its cluster's."""
+    return U.clustered_raster(px(spark, sf_dir), 6, 7, 8.0, "lab", ["ink", (200, 200, 200), (150, 40, 60), (40, 160, 60)], {"ink": (10, 10, 10)}).select("pid", "r", "g", "b")
 
 
 @query("auto_colours")
 def auto_colours(spark, sf_dir):
-    return P.detect_colours(px(spark, sf_dir), 8)
+    return U.detect_colours(px(spark, sf_dir), 8)
 
 
 @query("seeded_random", "SELECT n_nationkey, round(sin((n_nationkey + i)::DOUBLE) * 10000 - floor(sin((n_nationkey + i)::DOUBLE) * 10000), 6) AS u FROM nation, (VALUES (0), (1), (2)) r(i)")
