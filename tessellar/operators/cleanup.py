@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..sources.store import materialize, release
+from .palette import by
 from .regions import beside
 
 HARD_EDGE = 26.0
@@ -25,13 +26,14 @@ def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
 
     The patterns are tried in a fixed order; of equal counts the earlier pattern wins.
     """
-    lab = palette.select("label", F.array(*C.lab8(F.col("r"), F.col("g"), F.col("b"))).alias("lab"))
+    lab = palette.select(*by(palette, "label"), F.array(*C.lab8(F.col("r"), F.col("g"), F.col("b"))).alias("lab"))
     counts = raster.where("label >= 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
     n = counts.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("ns"))
     # of each label, the labels near enough to replace it; the palette bounds the pairs
-    other = lab.select(F.col("label").alias("to"), F.col("lab").alias("lab2"))
-    near = lab.join(other).where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy("label").agg(F.collect_set("to").alias("near"))
-    p = around(raster).join(near, "label", "left").join(n, "image_id", "left")
+    other = lab.select(*by(palette), F.col("label").alias("to"), F.col("lab").alias("lab2"))
+    met = lab.join(other, by(palette)) if by(palette) else lab.join(other)
+    near = met.where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy(*by(palette, "label")).agg(F.collect_set("to").alias("near"))
+    p = around(raster).join(near, by(palette, "label"), "left").join(n, "image_id", "left")
     groups = [("l", "r"), ("u", "d"), ("ul", "dr"), ("ur", "dl"), ("l", "u", "d"), ("r", "u", "d"), ("u", "l", "r"), ("d", "l", "r")]
     options = []
     inside = F.expr("l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL")

@@ -102,14 +102,16 @@ def _lab8() -> Column:
     return F.array(*[c.cast("double") for c in C.lab8(F.col("r"), F.col("g"), F.col("b"))])
 
 
-def kmeans_labels(raster: DataFrame, k: int, seed: int = 0, size: int = BATCH * STEPS) -> DataFrame:
+def kmeans_labels(raster: DataFrame, k: int | DataFrame, seed: int = 0, size: int = BATCH * STEPS) -> DataFrame:
     """The raster with label, and cr, cg, cb, its cluster's colour: each image's own k clusters in 8-bit Lab, no more than it has pixels.
 
-    Clusters are found on a sample of size pixels of an image; every pixel then goes to the nearest. Labels are numbered as their clusters were drawn; not
+    k is one for all or a table (image_id, k). Clusters are found on a sample of size pixels of an image; every pixel then goes to the nearest. Labels are numbered as their clusters were drawn; not
     number for number what another library gives.
     """
     points = raster.drop("label").withColumn("v", _lab8())
-    centres = materialize(minibatch_clusters(sampled(points.select("image_id", "pid", "v"), size, seed).withColumn("k", F.lit(max(1, k))), "k", seed))
+    drawn = sampled(points.select("image_id", "pid", "v"), size, seed)
+    drawn = drawn.withColumn("k", F.lit(max(1, k))) if isinstance(k, int) else drawn.join(k.select("image_id", F.greatest(F.lit(1), F.col("k")).alias("k")), "image_id")
+    centres = materialize(minibatch_clusters(drawn, "k", seed))
     whole = [F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.bround(F.col("c")[i]))) for i in range(3)]
     colours = centres.select("image_id", "k", *[c.alias(n) for n, c in zip(("cr", "cg", "cb"), C.lab_to_rgb(whole[0] / 2.55, whole[1] - 128, whole[2] - 128))])
     return assigned(points, centres).join(colours, ["image_id", "k"]).withColumnRenamed("k", "label").drop("v")

@@ -12,13 +12,18 @@ def _image():
     return Window.partitionBy("image_id")
 
 
+def by(palette: DataFrame, *more: str) -> list[str]:
+    """The columns that a palette is joined on: each image has its own if the palette names images."""
+    return [*["image_id"] * ("image_id" in palette.columns), *more]
+
+
 def label_counts(raster: DataFrame) -> DataFrame:
     return raster.where("label >= 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("pixel_count"))
 
 
 def palette_table(raster: DataFrame, palette: DataFrame) -> DataFrame:
     """One row per used label: number, exact and paint colour, count and percentage. The palette is one row per label."""
-    counts = label_counts(raster).join(palette, "label")
+    counts = label_counts(raster).join(palette, by(palette, "label"))
     p = C.paint(F.col("r"), F.col("g"), F.col("b"))
     share = F.bround(100.0 * F.col("pixel_count") / F.greatest(F.lit(1), F.sum("pixel_count").over(_image())), 3)
     return counts.select("image_id", (F.col("label") + 1).alias("number"), C.hex_code("r", "g", "b").alias("hex"), C.hex_code(*p).alias("paint_hex"), "pixel_count", share.alias("area_percent"))
@@ -49,7 +54,7 @@ def compact_labels(raster: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, label, new_label: used labels renumbered by falling count, then hue, saturation, value, old label."""
     h, s, v = C.hsv8(F.col("r"), F.col("g"), F.col("b"))
     order = Window.partitionBy("image_id").orderBy(F.desc("pixel_count"), h, s, v, "label")
-    return label_counts(raster).join(palette, "label").select("image_id", "label", (F.row_number().over(order) - 1).alias("new_label"))
+    return label_counts(raster).join(palette, by(palette, "label")).select("image_id", "label", (F.row_number().over(order) - 1).alias("new_label"))
 
 
 def compacted(raster: DataFrame, palette: DataFrame) -> DataFrame:
@@ -59,6 +64,13 @@ def compacted(raster: DataFrame, palette: DataFrame) -> DataFrame:
     return raster.join(new, ["image_id", "label"], "left").join(none, "image_id", "left").select("image_id", "x", "y", "pid", F.when(F.col("bare"), 0).otherwise(F.coalesce("new_label", F.lit(-1))).alias("label"))
 
 
+def compacted_palette(raster: DataFrame, palette: DataFrame) -> DataFrame:
+    """image_id, label, r, g, b: what compacted() makes of the palette; white alone for an image without labels."""
+    new = compact_labels(raster, palette).join(palette, by(palette, "label")).select("image_id", F.col("new_label").alias("label"), "r", "g", "b")
+    bare = raster.select("image_id").distinct().join(new, "image_id", "left_anti").select("image_id", F.lit(0).alias("label"), *[F.lit(255).alias(c) for c in "rgb"])
+    return new.unionByName(bare)
+
+
 def strict_zip(paint: DataFrame, exact: DataFrame, key: str = "number") -> DataFrame:
     """paint and exact side by side; an error where one has a key that the other lacks."""
     both = paint.withColumn("_p", F.lit(True)).join(exact.withColumn("_e", F.lit(True)), key, "full")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..sources.store import materialize
+from ..sources.store import materialize, release
 from .graph import components, roots
 
 
@@ -117,14 +117,16 @@ def thickness():
     return F.col("area") / F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
 
 
-def merge_candidates(regions: DataFrame, min_area: int) -> DataFrame:
+def merge_candidates(regions: DataFrame, min_area: int | Column) -> DataFrame:
     return regions.where((F.col("area") < min_area) | ((F.col("area") <= 2 * min_area) & (thickness() <= 5.5)))
 
 
-def merge_plan(regions: DataFrame, neighbours: DataFrame, palette: DataFrame, min_area: int) -> DataFrame:
+def merge_plan(regions: DataFrame, neighbours: DataFrame, palette: DataFrame, min_area: int | Column) -> DataFrame:
     """src, dst of each candidate region: its best neighbour, by (no candidate, larger, longest border, largest area, nearest colour, id)."""
-    lab = palette.select(F.col("label").alias("color_index"), F.array(*C.lab8(F.col("r"), F.col("g"), F.col("b"))).alias("lab"))
-    marked = regions.join(merge_candidates(regions, min_area).select("image_id", "region_id", F.lit(1).alias("c")), ["image_id", "region_id"], "left").join(lab, "color_index").select("image_id", "region_id", "area", F.coalesce("c", F.lit(0)).alias("c"), "lab")
+    from .palette import by
+
+    lab = palette.select(*by(palette), F.col("label").alias("color_index"), F.array(*C.lab8(F.col("r"), F.col("g"), F.col("b"))).alias("lab"))
+    marked = regions.join(merge_candidates(regions, min_area).select("image_id", "region_id", F.lit(1).alias("c")), ["image_id", "region_id"], "left").join(lab, by(palette, "color_index")).select("image_id", "region_id", "area", F.coalesce("c", F.lit(0)).alias("c"), "lab")
     s = marked.where("c = 1").select("image_id", F.col("region_id").alias("src"), F.col("area").alias("s_area"), F.col("lab").alias("s_lab"))
     d = marked.select("image_id", F.col("region_id").alias("dst"), "area", "c", "lab")
     options = neighbours.join(s, ["image_id", "src"]).join(d, ["image_id", "dst"]).withColumn("far", F.round(C.euclidean(F.col("lab"), F.col("s_lab")), 6))
@@ -142,27 +144,40 @@ def apply_merges(pixels: DataFrame, regions: DataFrame, plan: DataFrame) -> Data
     return pixels.join(moved, ["image_id", "region_id"], "left").select("image_id", "x", "y", "pid", F.coalesce("new", "label").cast("int").alias("label"))
 
 
-def merge_small_regions(raster: DataFrame, palette: DataFrame, min_area: int, passes: int = 3) -> DataFrame:
-    """Up to so many passes of regions, plan, merge and strip cleanup, until neither changes anything; then compact labels.
+def merged_regions(raster: DataFrame, palette: DataFrame, min_area: int | DataFrame, passes: int = 3) -> DataFrame:
+    """Up to so many passes of regions, plan, merge and strip cleanup, until neither changes anything; up to min_area 1 nothing is done.
 
-    Up to min_area 1 labels are compacted only. Pixels without a label keep their place and get label -1.
+    min_area is one for all images or a table (image_id, min_area). Pixels without a label keep their place and get label -1.
     """
     from .cleanup import strip_cleanup
-    from .palette import compacted
 
     raster = raster.select("image_id", "x", "y", "pid", F.coalesce("label", F.lit(-1)).alias("label"))
-    for _ in range(passes if min_area > 1 else 0):
+    if isinstance(min_area, int):
+        min_area = raster.select("image_id").distinct().withColumn("min_area", F.lit(min_area))
+    min_area = materialize(min_area.select("image_id", "min_area"))
+    still = raster.join(min_area.where("min_area <= 1"), "image_id", "left_semi")
+    raster = raster.join(min_area.where("min_area > 1"), "image_id", "left_semi")
+    for k in range(passes):
         pixels = materialize(region_map(raster))
-        regions = region_table(pixels)
-        plan = materialize(merge_plan(regions, adjacency(pixels), palette, min_area))
+        regions = materialize(region_table(pixels).join(min_area, "image_id"))
+        plan = materialize(merge_plan(regions, adjacency(pixels), palette, F.col("min_area")))
         merged = raster if plan.isEmpty() else materialize(apply_merges(pixels, regions, plan).unionByName(raster.where("label < 0")))
         cleaned = strip_cleanup(merged, palette, 4)
         before = raster.select("image_id", "pid", F.col("label").alias("old"))
         changed = not cleaned.join(before, ["image_id", "pid"]).where("label != old").isEmpty()
+        done = plan.isEmpty()
+        release(pixels, regions, plan, *[] if done else [merged], *[raster] * (k > 0 and not done))
         raster = cleaned
-        if not changed and plan.isEmpty():
+        if not changed and done:
             break
-    return compacted(raster, palette)
+    return raster.unionByName(still)
+
+
+def merge_small_regions(raster: DataFrame, palette: DataFrame, min_area: int | DataFrame, passes: int = 3) -> DataFrame:
+    """merged_regions() with compact labels."""
+    from .palette import compacted
+
+    return compacted(merged_regions(raster, palette, min_area, passes), palette)
 
 
 def merge_order(regions: DataFrame, min_area: int) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from .palette import by
 from .regions import beside, boundary_mask, edge_distance
 
-# Colours of the outline and the ground; parameters of rims, markers and texts.
+# Colours of the outline and the ground; parameters of rims, markers and texts. Factors and limits in the functions
+# below are fixed values, too.
 OUTLINE, GROUND = (32, 32, 32), (255, 255, 255)
 MODES = ("numbers", "color-circles", "circles-only", "bright-color-circles", "colored-edges")
 LEAST_SCALE, LEAST_LABEL_SCALE, TEXT_WEIGHT = 0.22, 0.28, 1.8
@@ -25,7 +27,7 @@ def template(pixels: DataFrame, palette: DataFrame, mode: str = "numbers") -> Da
     if mode == "colored-edges":
         return coloured_rims(pixels, palette)
     edge = boundary_mask(pixels)
-    p = pixels.select("image_id", "x", "y", "label").join(edge, ["image_id", "x", "y"]).join(palette, "label", "left")
+    p = pixels.select("image_id", "x", "y", "label").join(edge, ["image_id", "x", "y"]).join(palette, by(palette, "label"), "left")
     below = [C.tint(F.col(c)) if mode == "bright-color-circles" else F.lit(g) for c, g in zip("rgb", GROUND)]
     return p.select("image_id", "x", "y", *[F.when(F.col("boundary"), o).otherwise(F.coalesce(b, F.lit(g))).alias(c) for c, o, b, g in zip("rgb", OUTLINE, below, GROUND)])
 
@@ -43,7 +45,7 @@ def coloured_rims(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     p = edge_distance(pixels).join(boundary_mask(pixels), ["image_id", "x", "y"])
     p = p.select("image_id", "x", "y", "region_id", "d2", "boundary", F.greatest("boundary", F.coalesce(beside("boundary", "x", -1), F.lit(False)), F.coalesce(beside("boundary", "x", 1), F.lit(False))).alias("b3"))
     p = p.select("*", F.greatest("b3", F.coalesce(beside("b3", "y", -1), F.lit(False)), F.coalesce(beside("b3", "y", 1), F.lit(False))).alias("near"))
-    colours = pixels.select("image_id", "region_id", "label").distinct().join(palette, "label")
+    colours = pixels.select("image_id", "region_id", "label").distinct().join(palette, by(palette, "label"))
     p = p.join(colours, ["image_id", "region_id"]).join(size, "image_id")
     far = F.sqrt(F.col("d2").cast("double"))
     inner = (far <= F.col("rim") + 0.25) | F.col("near")
@@ -74,6 +76,15 @@ def markers(placements: DataFrame, width: Column, height: Column) -> DataFrame:
     return placements.select("*", x.alias("marker_x"), y.alias("marker_y"), r.alias("marker_radius"))
 
 
+def drawn(layers: DataFrame, marked: DataFrame) -> DataFrame:
+    """layers (image_id, x, y, r, g, b) with a disc for each of marked (as markers() gives, with area and cr, cg, cb), the larger regions' first."""
+    reach = F.sequence(-F.col("marker_radius"), F.col("marker_radius"))
+    disc = marked.select("image_id", "region_id", "area", "marker_x", "marker_y", "marker_radius", "cr", "cg", "cb", F.explode(reach).alias("i")).select("*", F.explode(reach).alias("j")).where("i * i + j * j <= marker_radius * marker_radius")
+    last = F.max_by(F.struct("cr", "cg", "cb"), F.struct((-F.col("area")).alias("a"), "region_id")).alias("c")
+    over = disc.groupBy("image_id", (F.col("marker_x") + F.col("i")).alias("x"), (F.col("marker_y") + F.col("j")).alias("y")).agg(last)
+    return layers.join(over, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(F.col("c")[f"c{c}"], c).alias(c) for c in "rgb"])
+
+
 def _text(scale: Column, w: Column, h: Column, b: Column) -> dict[str, Column]:
     weight = F.greatest(F.lit(1), F.bround(scale * TEXT_WEIGHT).cast("int"))
     whole = lambda c: F.bround(c * scale).cast("int")

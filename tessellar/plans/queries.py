@@ -14,6 +14,7 @@ from ..operators import palette as P
 from ..operators import reduction as D
 from ..operators import regions as R
 from ..operators import templates as M
+from ..sources import images as I
 from ..sources import payloads as Y
 from ..sources import raster as S
 from ..streaming import progress as T
@@ -608,6 +609,33 @@ def auto_colours(spark, sf_dir):
     return U.detect_colours(px(spark, sf_dir), 8)
 
 
+@query("template_from_pixels")
+def template_from_pixels(spark, sf_dir):
+    """The whole way from pixels to a template with a disc in each region that is large enough."""
+    from . import segmentation as G
+
+    s = G.build_segmentation(px(spark, sf_dir), G.Settings(color_count=8, min_label_area=MIN_AREA))
+    return G.template(s, "bright-color-circles", G.markers(s, G.placements(s))).select("x", "y", "r", "g", "b")
+
+
+@query("png_round_trip", f"WITH {_PX} SELECT x, y, r, g, b FROM px")
+def png_round_trip(spark, sf_dir):
+    """The raster as a PNG file, and decoded again."""
+    return I.png_pixels(S.write_png(px(spark, sf_dir)).select("image_id", F.col("png").alias("content"))).select("x", "y", "r", "g", "b")
+
+
+_SINC = "CASE WHEN {0} = 0 THEN 1 ELSE sin({0} * pi()) / ({0} * pi()) END"
+
+
+@query("lanczos_raster", f"""WITH {_PX}, s AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), z AS (SELECT 40::DOUBLE / greatest(w, h) AS f, * FROM s), d AS (SELECT unnest(['x', 'y']) AS axis, unnest([w, h]) AS o, unnest([greatest(1, round_even(w * f, 0))::INTEGER, greatest(1, round_even(h * f, 0))::INTEGER]) AS n FROM z),
+t AS (SELECT axis, o, greatest(1, o / n::DOUBLE) AS s, unnest(range(n)) AS i, (i + 0.5::DOUBLE) * (o / n::DOUBLE) AS c FROM d), v AS (SELECT axis, i, unnest(range(greatest(0, floor(c - 3 * s + 0.5)::INTEGER), least(o, floor(c + 3 * s + 0.5)::INTEGER))) AS p, (p - c + 0.5::DOUBLE) / s AS q FROM t),
+k AS (SELECT axis, i, p, CASE WHEN abs(q) < 3 THEN ({_SINC.format("q")}) * ({_SINC.format("(q / 3)")}) ELSE 0 END AS raw FROM v), wt AS (SELECT axis, i, p, raw / sum(raw) OVER (PARTITION BY axis, i) AS w FROM k),
+a AS (SELECT i AS x, y, least(255, greatest(0, floor(sum(w * r) + 0.5::DOUBLE)))::INTEGER AS r, least(255, greatest(0, floor(sum(w * g) + 0.5::DOUBLE)))::INTEGER AS g, least(255, greatest(0, floor(sum(w * b) + 0.5::DOUBLE)))::INTEGER AS b FROM px JOIN wt ON axis = 'x' AND p = x GROUP BY i, y)
+SELECT x::INTEGER AS x, i::INTEGER AS y, least(255, greatest(0, floor(sum(w * r) + 0.5::DOUBLE)))::INTEGER AS r, least(255, greatest(0, floor(sum(w * g) + 0.5::DOUBLE)))::INTEGER AS g, least(255, greatest(0, floor(sum(w * b) + 0.5::DOUBLE)))::INTEGER AS b FROM a JOIN wt ON axis = 'y' AND p = y GROUP BY x, i""")
+def lanczos_raster(spark, sf_dir):
+    return I.lanczos(px(spark, sf_dir), 40).select("x", "y", "r", "g", "b")
+
+
 @query("seeded_random", "SELECT n_nationkey, round(sin((n_nationkey + i)::DOUBLE) * 10000 - floor(sin((n_nationkey + i)::DOUBLE) * 10000), 6) AS u FROM nation, (VALUES (0), (1), (2)) r(i)")
 def seeded_random(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
