@@ -7,7 +7,7 @@ that holds the whole stretch has the symbol wherever it stands. The window's anc
 (then the least hash, then the first). A window that decides no symbol, as inside a long run, is its own anchor.
 
 Anchors are counted over the corpus: a shared one reveals a possible repeat. The stretches around it meet in one task, where
-windows are compared word by word: no hash decides there (but see repeats.py for anchors with very many contexts).
+windows are compared word by word: no hash decides there.
 
 Null and empty texts have no words. Texts under `size` words lose nothing. Repeated rows are separate documents.
 """
@@ -77,10 +77,10 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     n = len(values)
     valid = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :]) if n >= size else np.zeros(0, np.int64)
     if not len(valid):
-        return valid, valid, np.zeros(0, U64)
-    name, s, e, low, high = symbols(values, doc)
-    fit = np.flatnonzero(high - low <= size)
-    low, high = low[fit], high[fit]
+        return valid, valid, np.zeros(0, U64), valid, valid
+    name, s, e, from_, to = symbols(values, doc)
+    fit = np.flatnonzero(to - from_ <= size)
+    low, high = from_[fit], to[fit]
     length = np.minimum(e[fit] - s[fit], 63).astype(U64)
     key = ((U64(63) - length) << U64(58)) | ((name[fit] >> U64(40)) << U64(_POSITION)) | np.arange(len(fit), dtype=U64)
     table = [key]
@@ -106,7 +106,8 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     own = which < 0
     names = name[np.maximum(which, 0)].copy()
     names[own] = Hasher(values).spans(start[own], start[own] + size)
-    return start, nwin, names
+    at = np.maximum(which, 0)
+    return start, nwin, names, np.where(own, start, from_[at]), np.where(own, start + size, to[at])
 
 
 def _cut(data: np.ndarray, off: np.ndarray):
@@ -150,7 +151,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text: every word in a window of `size` words that also starts elsewhere goes."""
-    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches, drop_first=True)
+    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches)
 
     def finish(text, start, nwin):
         w = text.split()

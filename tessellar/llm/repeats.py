@@ -6,8 +6,10 @@ equal anchors at equal distances. Consecutive windows with one anchor form a blo
   2. the remaining blocks are pre-aggregated: of equal contents one goes on, with its number and its first occurrence;
   3. the contents of a name meet in one task, where `matcher` decides every window, by its own method, on the units themselves;
   4. the decisions go back to all blocks of a content, and the removed windows of a document meet its text once, in `finish`.
-A name with more than HOT contents would be too much for a task: its windows are counted one by one, by two hashes of 64 bits,
-in an aggregation that Spark combines before it shuffles.
+A name with more than SPLIT contents is split by what stands around its anchor, before any of them meet: a window that reaches far enough
+beyond its anchor on the right goes by the anchor and half of what is lacking to a window on that side, any other by the anchor and half of it on the
+left. Equal windows go the same way, so nothing is lost; and as every round halves what is lacking, the names of the last one are whole
+windows, of one content each. So the matcher decides hot names, too, however many contents they have.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, Hasher, keyed, materialize, mix, record_batch, release, ship, signed, spans, utf8
 
-#: Contents of one name that one task compares; beyond it the name's windows are counted singly.
-HOT = 4096
+#: Contents of one name that one task compares; a name with more is split, with the same result.
+SPLIT = 4096
 #: Bytes of contents that matcher takes at once, rounded up to whole names.
 CHUNK = 1 << 16
 
@@ -30,7 +32,7 @@ _NAMES = pa.schema([("name", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("nwin", pa.int32())])
 _CONTENT = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("c", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("content", pa.binary())])
 _CUTS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("k1", pa.int64()), ("s1", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("rest", pa.list_(pa.bool_()))])
-_WINDOWS = pa.schema([("name", pa.int64()), ("ctx", pa.int64()), ("nwin", pa.int32()), ("c", pa.int64()), ("_k", pa.int64()), ("start", pa.int32()), ("w", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
+_SUB = pa.schema([*_BLOCKS, ("lo", pa.int32()), ("hi", pa.int32())])
 _CLASS = "name long, ctx long, nwin int"
 
 
@@ -50,13 +52,14 @@ def blocks_from_anchors(valid: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarr
     return valid[at], np.diff(np.append(at, len(valid)))
 
 
-def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callable, cut: Callable, matcher: Callable, drop_first: bool) -> tuple[DataFrame, DataFrame]:
+def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callable, cut: Callable, matcher: Callable) -> tuple[DataFrame, DataFrame]:
     """(documents with _k, list of removed windows of each _k as runs).
 
-    units(data, off) -> (values, document, first unit of each document); anchors(values, document, size) -> (first window, windows, name);
+    units(data, off) -> (values, document, first unit of each document); anchors(values, document, size) -> (first window, windows, name,
+    first unit and end of the anchor) of each block;
     cut(data, off) -> content(document, first unit, number of units) in bytes; matcher(contents, numbers, place, size) -> (units of
     each content, windows to remove from every block, windows to remove from all blocks but a content's first), where place orders
-    the contents by first occurrence; drop_first: whether a first occurrence goes too.
+    the contents by first occurrence.
     """
     ship(docs.sparkSession)
     base = keyed(docs)
@@ -77,7 +80,7 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
             key = np.asarray(b.column(0))
             for i, j in spans(off):
                 values, doc, first = units(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                start, nwin, name = anchors(values, doc, size)
+                start, nwin, name, _, _ = anchors(values, doc, size)
                 if len(name):
                     ctx = Hasher(values).spans(start, start + nwin + size - 1)
                     yield record_batch(_BLOCKS, signed(name), signed(ctx), key[i:j][doc[start]], (start - first[doc[start]]).astype(np.int32), nwin.astype(np.int32))
@@ -89,10 +92,58 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
     members = materialize(found.join(many, "name", "left_semi"))
     release(many)
     classes = materialize(members.groupBy("name", "ctx", "nwin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "start")).alias("m")))
-    hot = materialize(classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > HOT).select("name"))
-    some_hot = not hot.isEmpty()
     texts = base.select("_k", "doc_id", "text")
 
+    def halves(it: Iterator[pa.RecordBatch]):
+        """Blocks of documents by more of what stands around their anchors."""
+        for b in it:
+            off, data = utf8(b.column(1))
+            key, lists = np.asarray(b.column(0)), b.column(2)
+            for i, j in spans(off):
+                values, doc, first = units(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                every = anchors(values, doc, size)
+                hasher, out = Hasher(values), []
+                for r in range(i, j):
+                    name, start, nwin, lo, hi = (np.asarray(x).astype(np.int64) for x in lists[r].values.flatten())
+                    f = int(first[r - i])
+                    start = start + f
+                    at = np.minimum(np.searchsorted(every[0], start), len(every[0]) - 1)
+                    lo, hi = np.where(lo < 0, every[3][at], lo + f), np.where(lo < 0, every[4][at], hi + f)
+                    half = (size - (hi - lo) + 1) // 2
+                    edge = np.clip(hi + half - size, start, start + nwin)  # from here on windows reach far enough to the right
+                    for side, s, e, a, z in ((0, start, edge, hi - size + half - 1, hi), (1, edge, start + nwin, lo, hi + half)):
+                        some = np.flatnonzero(e > s)
+                        if len(some):
+                            s, e, a, z = s[some], e[some], a[some], z[some]
+                            longer = mix(hasher.spans(a, z) ^ mix(name[some].view(U64) + U64(side)))
+                            out.append((signed(longer), signed(hasher.spans(s, e + size - 1)), np.full(len(s), key[r]), s - f, e - s, a - f, z - f))
+                if out:
+                    yield record_batch(_SUB, *(np.concatenate(c).astype(t.to_pandas_dtype()) for c, t in zip(zip(*out), _SUB.types)))
+
+    def named(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(contents of blocks, names with more of them than a task takes)"""
+        counted = materialize(of.groupBy("name", "ctx", "nwin").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_k", "start")).alias("m")))
+        return counted, materialize(counted.groupBy("name").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > SPLIT).select("name"))
+
+    classes, hot = named(members)
+    parts, spent = [], []
+    open_ = members.withColumns({c: F.lit(-1) for c in ("lo", "hi")})
+    while not hot.isEmpty():
+        parts.append((open_.join(hot, "name", "left_anti"), classes.join(hot, "name", "left_anti")))
+        lists = open_.join(hot, "name", "left_semi").groupBy("_k").agg(F.collect_list(F.struct("name", "start", "nwin", "lo", "hi")).alias("blocks"))
+        split = materialize(texts.join(lists.hint("shuffle_hash"), "_k").select("_k", "text", "blocks").mapInArrow(halves, "name long, ctx long, _k long, start int, nwin int, lo int, hi int"))
+        again = materialize(split.groupBy("name").count().where("count > 1").select("name"))
+        open_ = materialize(split.join(again, "name", "left_semi"))
+        release(split, again)
+        spent += [hot]
+        classes, hot = named(open_)
+    if parts:
+        parts.append((open_, classes))
+        for blocks_of, classes_of in parts[1:]:
+            parts[0] = parts[0][0].unionByName(blocks_of), parts[0][1].unionByName(classes_of)
+        members, classes = materialize(parts[0][0].select("name", "ctx", "_k", "start", "nwin")), materialize(parts[0][1])
+    release(hot, *spent)
+
     def wanted(of: DataFrame) -> DataFrame:
         """The texts that hold the first occurrence of contents, with the list of these."""
         lists = of.groupBy(F.col("m._k").alias("_k")).agg(F.collect_list(F.struct("name", "ctx", "nwin", "c", F.col("m.start").alias("start"))).alias("reps"))
@@ -123,18 +174,6 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
                 yield record_batch(_CONTENT, *map(list, zip(*out)))
                 out = []
 
-    def windows(it: Iterator[pa.RecordBatch]):
-        out = []
-        for x in each(it):
-            if x is not None:
-                values, _, k, _, f, (name, ctx, nwin, c, s) = x
-                part = values[f + s : f + s + nwin + size - 1].astype(U64)
-                h, g = Hasher(part).windows(size), Hasher(mix(part ^ U64(0x5555555555555555))).windows(size)
-                out += [(name, ctx, nwin, c, k, s, w, a, z) for w, (a, z) in enumerate(zip(signed(h).tolist(), signed(g).tolist()))]
-            elif out:
-                yield record_batch(_WINDOWS, *map(list, zip(*out)))
-                out = []
-
     def compare(it: Iterator[pa.RecordBatch]):
         held: list[tuple] = []
         total = 0
@@ -163,18 +202,9 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
         if held and (out := flush(held)) is not None:
             yield out
 
-    cool = classes.join(hot, "name", "left_anti") if some_hot else classes
-    content = wanted(cool).mapInArrow(contents, _CLASS + ", c long, _k long, start int, content binary")
+    content = wanted(classes).mapInArrow(contents, _CLASS + ", c long, _k long, start int, content binary")
     cuts = content.repartition("name").sortWithinPartitions("name").mapInArrow(compare, _CLASS + ", k1 long, s1 int, at array<int>, n array<int>, rest array<boolean>")
     cuts = cuts.select("name", "ctx", "nwin", "k1", "s1", F.arrays_zip("at", "n", "rest").alias("runs"))
-    if some_hot:
-        single = materialize(wanted(classes.join(hot, "name", "left_semi")).mapInArrow(windows, _CLASS + ", c long, _k long, start int, w int, h long, g long"))
-        place = F.struct("_k", (F.col("start") + F.col("w")).alias("s"))
-        counted = materialize(single.groupBy("h", "g").agg(F.sum("c").alias("total"), F.min(place).alias("first")).where("total > 1"))
-        own_first = F.lit(False) if drop_first else F.col("first") == place
-        decided = single.join(counted, ["h", "g"]).withColumn("rest", own_first).where("NOT rest OR c > 1")
-        run = F.struct(F.col("w").alias("at"), F.lit(1).alias("n"), "rest")
-        cuts = cuts.unionByName(decided.groupBy("name", "ctx", "nwin", F.col("_k").alias("k1"), F.col("start").alias("s1")).agg(F.collect_list(run).alias("runs")))
     first = (F.col("_k") == F.col("k1")) & (F.col("start") == F.col("s1"))
     runs = F.transform(F.filter("runs", lambda r: ~(r.rest & first)), lambda r: F.struct((F.col("start") + r.at).alias("start"), r.n.alias("nwin")))
     removed = members.join(materialize(cuts), ["name", "ctx", "nwin"]).select("_k", runs.alias("runs"))

@@ -5,7 +5,7 @@ inside contents of at most 2 * size bytes, one for each distinct content, with t
 as the threshold, which gives their Burrows-Wheeler transform. From the interval of the empty string, breadth first, every
 interval is extended backwards by the bytes that stand before each of its rows, by a few at first and by more at each level; each level has the intervals of
 strings longer by as much, so common prefixes come in increasing order. Intervals of one suffix whose content has no copies are left out and the expansion
-stops at the threshold: what is left are the repeated strings, and the bytes themselves are compared (but see repeats.py for anchors with very many contexts).
+stops at the threshold: what is left are the repeated strings, and the bytes themselves are compared.
 
 Null counts as an empty text. Texts under `size` bytes lose nothing. Repeated rows are separate documents, in the order
 of (doc_id, text).
@@ -36,7 +36,7 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
     n, gram = len(values), min(GRAM, size)
     valid = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :]) if n >= size else np.zeros(0, np.int64)
     if not len(valid):
-        return valid, valid, np.zeros(0, U64)
+        return valid, valid, np.zeros(0, U64), valid, valid
     h = Hasher(byte_values()[values]).windows(gram)
     key = (h >> U64(_POSITION) << U64(_POSITION)) | np.arange(len(h), dtype=U64)
     width, have = size - gram + 1, 1
@@ -47,7 +47,8 @@ def anchors(values: np.ndarray, doc: np.ndarray, size: int = SIZE):
         key = np.minimum(key[: len(key) - (width - have)], key[width - have :])
     at = (key[valid] & U64((1 << _POSITION) - 1)).astype(np.int64)
     start, nwin = blocks_from_anchors(valid, at)
-    return start, nwin, h[at[np.searchsorted(valid, start)]]
+    chosen = at[np.searchsorted(valid, start)]
+    return start, nwin, h[chosen], chosen, chosen + gram
 
 
 def bounded_suffixes(text: np.ndarray, bound: int) -> tuple[np.ndarray, int, list[np.ndarray]]:
@@ -176,7 +177,7 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 def suffix_dedup(docs: DataFrame, size: int = SIZE, with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes: every byte in a string of `size` bytes that also starts earlier goes."""
-    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches, drop_first=False)
+    texts, removed = removed_windows(docs, size, _units, anchors, _cut, _matches)
 
     def finish(text, start, nwin):
         kept, spans = text, 0

@@ -38,7 +38,10 @@ def rows(df, *cols):
     return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
 
 
-def test_substring_dedup(odd):
+@pytest.mark.parametrize("hot", [False, True])
+def test_substring_dedup(odd, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr("tessellar.llm.repeats.SPLIT", 1)
     size, texts = 35, [(d, (t or "").encode().split()) for d, t in ordered()]
     n = Counter(tuple(w[i : i + size]) for _, w in texts for i in range(len(w) - size + 1))
     want = []
@@ -51,7 +54,7 @@ def test_substring_dedup(odd):
 @pytest.mark.parametrize("hot", [False, True])
 def test_suffix_dedup(odd, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr("tessellar.llm.repeats.HOT", 1)
+        monkeypatch.setattr("tessellar.llm.repeats.SPLIT", 1)
     seen, want = set(), []
     for d, t in ordered():
         t = (t or "").encode()
@@ -65,6 +68,32 @@ def test_suffix_dedup(odd, monkeypatch, hot):
     assert rows(suffix_dedup.suffix_dedup(odd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("split", [1, 4096])
+def test_repeats_around_one_anchor(spark, monkeypatch, split):
+    """Many texts around one common core, repeated to different lengths on either side: split names decide as whole ones do."""
+    monkeypatch.setattr("tessellar.llm.repeats.SPLIT", split)
+    rng = np.random.default_rng(3)
+    core = [f"c{i}" for i in range(30)]
+    texts = []
+    for i in range(120):
+        left, right = rng.integers(0, 25, 2)
+        side = lambda n, tag: [f"{tag}{j}" if rng.random() > 0.03 else f"x{i}" for j in range(n)]
+        texts.append((i, " ".join([*side(left, "l")[::-1], *core, *side(right, "r")])))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    n = Counter(tuple(w[i : i + 35]) for w in (t.split() for _, t in texts) for i in range(len(w) - 34))
+    want = [(d, len({j for i in range(len(w) - 34) if n[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)})) for d, w in ((d, t.split()) for d, t in texts)]
+    assert rows(recompression.substring_dedup(docs), "doc_id", "n_removed") == sorted(want, key=repr)
+    seen, gone = set(), []
+    for d, t in texts:
+        t, mark = t.encode(), set()
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                mark |= set(range(i, i + 100))
+            seen.add(t[i : i + 100])
+        gone.append((d, len(mark)))
+    assert rows(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed") == sorted(gone, key=repr)
+
+
 def test_token_store(odd):
     t = Tokenizer.from_file(byte_bpe.default_path())
     start, want = 0, []
