@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
+from ..sources.store import numbered
 
 
 def _image():
@@ -99,7 +100,7 @@ def distinct_colours(raster: DataFrame) -> DataFrame:
 def colour_index(raster: DataFrame) -> DataFrame:
     """Colours numbered in the order of their first pixel."""
     first = raster.groupBy("image_id", "r", "g", "b").agg(F.min("pid").alias("first_pid"))
-    return first.withColumn("colour_index", F.row_number().over(Window.partitionBy("image_id").orderBy("first_pid")) - 1)
+    return numbered(first, "image_id", ["first_pid"], "colour_index").withColumn("colour_index", (F.col("colour_index") - 1).cast("int"))
 
 
 def coarse_histogram(raster: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from .regions import adjacency, region_map
 
 _NEXT = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 #: Pixels of a patch of small facets that one task works through; larger patches go in rounds, with the same result.
-PATCH = 1 << 16
+PATCH = 1 << 17
 
 
 def small_facets(facets: DataFrame, least: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colour as C
-from ..sources.store import materialize, release
+from ..sources.store import materialize, numbered, release
 from .graph import components, roots
 
 
@@ -71,7 +71,7 @@ def region_map(raster: DataFrame, connectivity: int = 8, band: int = BAND) -> Da
     """Pixels with region_id; regions are numbered by colour, then by first pixel (connectivity 8), or by first pixel alone (4).
 
     Regions are joined inside bands of rows, one task each; what meets across the edge of two bands is joined by rounds over
-    those edges alone. Numbers are given to regions, not to pixels, in one task per image. Pixels without a label have no region.
+    those edges alone. Numbers are given to regions, not to pixels, by ranges of their order. Pixels without a label have no region.
     """
     px = raster.where("label >= 0").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("pid").cast("long").alias("pid"), F.col("label").cast("int").alias("label"), F.floor(F.col("y") / band).cast("int").alias("band"))
     inner = materialize(px.groupBy("image_id", "band").applyInPandas(_band_roots(connectivity), "image_id string, x int, y int, pid long, label int, root long"))
@@ -82,7 +82,7 @@ def region_map(raster: DataFrame, connectivity: int = 8, band: int = BAND) -> Da
     found = components(edges).select(F.col("v.image_id").alias("image_id"), F.col("v.root").alias("root"), F.col("label.root").alias("whole"))
     root = inner.join(found, ["image_id", "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
     order = ["label", "root"] if connectivity == 8 else ["root"]
-    ids = root.select("image_id", "label", "root").distinct().withColumn("region_id", F.row_number().over(Window.partitionBy("image_id").orderBy(*order)).cast("long") - 1)
+    ids = numbered(root.select("image_id", "label", "root").distinct(), "image_id", order, "region_id").withColumn("region_id", F.col("region_id") - 1)
     return root.join(ids, ["image_id", "label", "root"]).select("image_id", "x", "y", "pid", "label", "region_id")
 
 
@@ -182,13 +182,13 @@ def merge_small_regions(raster: DataFrame, palette: DataFrame, min_area: int | D
 
 def merge_order(regions: DataFrame, min_area: int) -> DataFrame:
     """Candidates in the order in which they are looked at: by area, then number."""
-    order = Window.partitionBy("image_id").orderBy("area", "region_id")
-    return merge_candidates(regions, min_area).select("image_id", "region_id", "area", F.row_number().over(order).alias("place"))
+    candidates = merge_candidates(regions, min_area).select("image_id", "region_id", "area")
+    return numbered(candidates, "image_id", ["area", "region_id"], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def size_order(regions: DataFrame) -> DataFrame:
     """All regions from the largest down, of equals the first number first."""
-    return regions.select("image_id", "region_id", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id")).alias("place"))
+    return numbered(regions.select("image_id", "region_id", "area"), "image_id", [F.desc("area"), F.asc("region_id")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def label_worthy(regions: DataFrame, min_area: int) -> DataFrame:

@@ -289,7 +289,7 @@ def unnumbered_regions(spark, sf_dir):
 
 @query("draw_order", f"WITH RECURSIVE {_REG} SELECT region_id, area, row_number() OVER (ORDER BY area DESC, region_id)::INTEGER AS place FROM regions WHERE area >= {MIN_AREA}")
 def draw_order(spark, sf_dir):
-    return R.label_worthy(regions(spark, sf_dir), MIN_AREA).select("region_id", "area", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "region_id")).alias("place"))
+    return R.size_order(R.label_worthy(regions(spark, sf_dir), MIN_AREA)).select("region_id", "area", "place")
 
 
 def _strip_runs(runs: int) -> str:
@@ -475,11 +475,13 @@ def facet_label_bounds(spark, sf_dir):
 
 @query("svg_document")
 def svg_document(spark, sf_dir):
+    """The pieces of the picture's SVG, with fill, stroke and labels."""
     p = _facets(spark, sf_dir)
-    height = _height(p)
-    colour = R.region_table(p).join(pal(spark), F.col("color_index") == F.col("label")).select("image_id", "region_id", C.hex_code("r", "g", "b").alias("hex"))
-    ring = B.rings(B.facet_outlines(p, S.WIDTH, height), walls=False).join(colour, ["image_id", "region_id"])
-    return O.svg(ring.select("image_id", F.col("region_id").alias("facet_id"), "hex", B.closed(F.col("points")).alias("points")), S.WIDTH, height)
+    boundary = B.facet_outlines(p, S.WIDTH, _height(p))
+    colour = R.region_table(p).join(pal(spark), F.col("color_index") == F.col("label")).select("image_id", "region_id", "color_index", "r", "g", "b")
+    ring = B.rings(boundary, walls=False).join(colour, ["image_id", "region_id"]).select("image_id", F.col("region_id").alias("facet_id"), "color_index", "r", "g", "b", B.closed(F.col("points")).alias("points"))
+    labels = B.label_bounds(p, boundary).select("image_id", F.col("region_id").alias("facet_id"), "min_x", "min_y", "max_x", "max_y")
+    return O.svg_parts(ring, S.image_sizes(p), 3.0, labels=labels)
 
 
 @query("facet_reduction")

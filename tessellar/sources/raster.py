@@ -127,18 +127,46 @@ def png_bytes(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def write_png(raster: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
-    """image_id, width, height, png: one file per image, built in the image's own task."""
+#: Rows of an image that one task packs.
+PNG_BAND = 256
+_ADLER = 65521
+
+
+def _packed_band(channels: int, band: int):
+    """The deflated scan lines of one band of rows, ended so that those of the next can follow, with their checksum and length."""
 
     def run(pdf):
         import pandas as pd
 
-        w, h = int(pdf.x.max()) + 1, int(pdf.y.max()) + 1
-        a = np.zeros((h, w, len(channels)), np.uint8)
-        a[pdf.y, pdf.x] = pdf[list(channels)].to_numpy()
-        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "width": [w], "height": [h], "png": [png_bytes(a if len(channels) == 3 else a[..., 0])]})
-
-    return raster.select("image_id", "x", "y", *channels).groupBy("image_id").applyInPandas(run, "image_id string, width int, height int, png binary")
+        w, h, k = int(pdf.width.iloc[0]), int(pdf.height.iloc[0]), int(pdf.band.iloc[0])
+        rows = min(band, h - k * band)
+        a = np.zeros((rows, w, channels), np.uint8)
+        a[pdf.y - k * band, pdf.x] = np.stack([pdf[f"c{i}"] for i in range(channels)], 1)
+        raw = np.concatenate([np.zeros((rows, 1), np.uint8), a.reshape(rows, -1)], 1).tobytes()
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]], "band": [k], "packed": [z.compress(raw) + z.flush(zlib.Z_FULL_FLUSH)], "adler": [zlib.adler32(raw)], "size": [len(raw)]})
+
+    return run
+
+
+def _png_file(width: int, height: int, channels: int, bands: list) -> bytes:
+    low, high, parts = 1, 0, []
+    for b in bands:
+        parts.append(bytes(b["packed"]))
+        low, high = (low + (b["adler"] & 0xFFFF) - 1) % _ADLER, (high + (b["adler"] >> 16) + b["size"] * (low - 1)) % _ADLER
+    parts[0] = b"\x78\x9c" + parts[0]
+    parts.append(b"\x03\x00" + struct.pack(">I", high << 16 | low))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2 if channels == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in [(b"IHDR", head), *((b"IDAT", p) for p in parts), (b"IEND", b"")])
+
+
+def write_png(raster: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), band: int = PNG_BAND) -> DataFrame:
+    """image_id, width, height, png: one file per image, of three channels or one. Bands of rows are packed in tasks of their own; what meets in a row are packed bytes. Missing pixels are black."""
+    cells = raster.select("image_id", "x", "y", *[F.col(c).cast("int").alias(f"c{i}") for i, c in enumerate(channels)], F.floor(F.col("y") / band).cast("int").alias("band")).join(image_sizes(raster), "image_id")
+    packed = cells.groupBy("image_id", "band").applyInPandas(_packed_band(len(channels), band), "image_id string, band int, packed binary, adler long, size long")
+    bands = packed.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("band", "packed", "adler", "size"))).alias("bands")).join(image_sizes(raster), "image_id")
+    file = F.udf(lambda w, h, parts: _png_file(w, h, len(channels), parts), "binary")  # once an image
+    return bands.select("image_id", "width", "height", file("width", "height", "bands").alias("png"))
 
 
 def chunks(text: Column, size: int = 240_000) -> Column:

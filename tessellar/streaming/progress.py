@@ -90,6 +90,68 @@ def assemble(parts: DataFrame, key: str = "request_id", starts: DataFrame | None
     return both.select(key, (F.coalesce("complete", F.lit(False)) & error.isNull()).alias("complete"), F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
 
 
+_RECEIVED = "status string, seq long, text string, error string"
+
+
+def _received(pending: dict, active: str | None, m: dict) -> tuple[str | None, str | None, str | None]:
+    """(active request, text, error) after a message; pending (request: slots) changes with it."""
+    request, kind = m["request_id"], m["kind"]
+    if kind == "done":
+        return (None if active == request else active), None, None
+    if kind == "start":
+        if m["total_chunks"] is None or m["total_chunks"] < 1:
+            return active, None, "a start without a number of chunks"
+        pending[request] = [None] * int(m["total_chunks"])
+    elif request not in pending:
+        return active, None, f"{kind} chunk of an unknown request"
+    slots, at = pending[request], m["chunk_index"]
+    if at is None or not 0 <= at < len(slots):
+        return active, None, "a chunk out of its request's range"
+    slots[int(at)] = m["chunk"]
+    if kind != "finish":
+        return active, None, None
+    if active is not None and active != request:
+        return active, None, f"request {active} is still at work"
+    if any(c is None for c in slots):
+        return active, None, "one or more chunks are missing"
+    return request, "".join(pending.pop(request)), None
+
+
+def stream_assemble(messages: DataFrame, timeout_ms: int = 60_000, lateness: str = "0 seconds") -> DataFrame:
+    """runner, request_id, status, seq, text, error over a streaming frame of messages (runner, request_id, seq, ts, kind, chunk_index, total_chunks, chunk).
+
+    kind is start, chunk, finish or done; start and finish carry a chunk, too. Of each runner the state holds the chunks of the requests that have started, by their
+    place, and the request at work. A finish with all chunks there gives the text (complete) and sets its runner to work until done. Anything else wrong is a row with
+    status error: chunks of an unknown request, or out of range, missing ones at the finish, a finish while another request is at work; the request may
+    go on and finish again. What has no further message of its runner for timeout_ms of event time is dropped, a row with status timeout each. Messages of one batch come in the order of seq.
+    """
+    import json
+
+    def run(key, parts, state):
+        import pandas as pd
+
+        pending, active = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)
+        out = []
+        if state.hasTimedOut:
+            out = [(key[0], r, "timeout", None, None, None) for r in sorted(pending)]
+            state.remove()
+        else:
+            rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
+            rows = rows.astype(object).where(rows.notna(), None)
+            for m in rows.to_dict("records"):
+                active, text, error = _received(pending, active, m)
+                if text is not None or error is not None:
+                    out.append((key[0], m["request_id"], "error" if error else "complete", m["seq"], text, error))
+            state.update((json.dumps(pending), active))
+            last = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
+        yield pd.DataFrame(out, columns=["runner", "request_id", "status", "seq", "text", "error"]).astype({"seq": "Int64"})
+
+    rows = messages.select("runner", "request_id", F.col("seq").cast("long").alias("seq"), "ts", "kind", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "chunk").withWatermark("ts", lateness)
+    kind = dict(rows.dtypes)
+    return rows.groupBy("runner").applyInPandasWithState(run, f"runner {kind['runner']}, request_id {kind['request_id']}, {_RECEIVED}", "pending string, active string", "append", "EventTimeTimeout")
+
+
 def ready_ideas(ideas: DataFrame, least: int = 8) -> DataFrame:
     """Ideas whose text has at least so many characters without the white space around it."""
     return ideas.where(F.char_length(F.trim("text")) >= least)
@@ -110,6 +172,12 @@ def timings(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").agg(F.sum("ms").alias("ms"))
 
 
+def timings_map(events: DataFrame, *keys: str) -> DataFrame:
+    """keys and ms, a map of the stages' times, of each run."""
+    one = events.groupBy(*keys, "stage").agg(F.sum("ms").alias("ms"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "ms")))).alias("ms"))
+
+
 def stream_overall(events: DataFrame) -> DataFrame:
     """A streaming frame of events (request_id, stage, local) with overall progress; no state is kept."""
     return events.withColumn("progress", overall(F.col("stage"), F.col("local")))

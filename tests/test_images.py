@@ -96,12 +96,19 @@ def test_files_are_read_upright(spark, tmp_path):
     assert I.orientation(b"\xff\xd8\xff\xda") == I.orientation(b"GIF") == 1
 
 
-def test_written_png_comes_back(spark):
+def test_written_png_comes_back(spark, tmp_path):
     rnd = random.Random(5)
     cells = [(i, x, y, y * 5 + x, *[rnd.randrange(256) for _ in range(3)]) for i in ("a", "b") for y in range(4) for x in range(5)]
     px = spark.createDataFrame(cells, "image_id string, x int, y int, pid long, r int, g int, b int")
-    back = I.png_pixels(S.write_png(px).select("image_id", F.col("png").alias("content")))
-    assert sorted(map(tuple, back.collect())) == sorted((c[0], c[1], c[2], *c[4:]) for c in cells)
+    for band in (1, 3, S.PNG_BAND):
+        made = S.write_png(px, band=band)
+        assert sorted(map(tuple, I.png_pixels(made.select("image_id", F.col("png").alias("content"))).collect())) == sorted((c[0], c[1], c[2], *c[4:]) for c in cells)
+    made.write.mode("overwrite").parquet(str(tmp_path / "png"))
+    (tmp_path / "a.png").write_bytes(bytes(spark.read.parquet(str(tmp_path / "png")).where("image_id = 'a'").first().png))
+    read = spark.read.format("image").load(f"file://{tmp_path}/a.png").select("image.*").first()  # another reader
+    assert (read.width, read.height, read.nChannels) == (5, 4, 3) and [tuple(read.data[3 * c[3] : 3 * c[3] + 3]) for c in cells[:20]] == [c[:3:-1] for c in cells[:20]]
+    grey = I.png_pixels(S.write_png(px, ("g",), 2).select("image_id", F.col("png").alias("content")))
+    assert sorted((r.image_id, r.x, r.y, r.r) for r in grey.collect()) == sorted((c[0], c[1], c[2], c[5]) for c in cells)
 
 
 def test_other_formats_by_spark(spark):
