@@ -1,15 +1,16 @@
 """Removal of lines that are equal to an earlier line or within a few edits of one, by a segment-partition edit join.
 
-DataFrame functions only. Of each distinct line that isn't blank, however short, the first occurrence stands for it. Lines
-of MIN_CHARS characters or more are also held against each other within a few edits, which mean nothing on shorter ones.
+DataFrame functions only. Of each distinct line that isn't blank, however short, the first occurrence stands for it. Lines are
+also held against each other: two of them are near if they are within one edit for every PER_EDIT characters of the shorter one, k at most. So
+the bound is two edits from 20 characters on, one from 10 on, and shorter lines are near if they are equal.
 With threshold k a line is cut into k + 1 segments; a line within k edits has one of them unchanged, and the position it
 can have there is bounded by the edits before and after it. So each line puts its segments into an index keyed by length,
 segment and content, and probes it with the few substrings that can match lines of its own length down to k less. Pairs
 that meet are first held against their counts of letters, inside the join, then their texts are verified by a
 bit-parallel edit distance on the band of 2k + 1 diagonals, after common ends are cut off.
 
-A line goes if it is not the first of its equals, or if an earlier line (by doc_id, then line number) is within k edits
-of it, both of MIN_CHARS or more, whether that line itself stays or not. Shorter lines of white space alone always stay. Lines end at a line feed. Null counts as an empty
+A line goes if it is not the first of its equals, or if an earlier line (by doc_id, then line number) is near to
+it, whether that line itself stays or not. Lines of white space alone, of fewer than BLANK characters, always stay. Lines end at a line feed. Null counts as an empty
 text and stays null. Repeated rows are separate documents, in the order of (doc_id, text).
 """
 
@@ -20,11 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import keyed, materialize, release
 
-EDITS, MIN_CHARS = 2, 20
+#: Most edits; characters for each edit; characters from which lines of white space alone count as lines.
+EDITS, PER_EDIT, BLANK = 2, 10, 20
 #: Letters whose counts are compared: the commonest of Latin-script languages, so that most edits change one.
 _LETTERS = "etanio"
 
 
+def bound(chars: Column, k: int = EDITS) -> Column:
+    """Edits within which a line of so many characters is near to one as long or longer."""
+    return F.least(F.lit(k), F.floor(chars / PER_EDIT).cast("int"))
+
+
 def index_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
     """(less, segment, shift) of the k + 1 segments that a line puts into the index."""
     return [(0, i, 0) for i in range(k + 1)]
@@ -39,19 +46,19 @@ def probe_specs(k: int = EDITS) -> list[tuple[int, int, int]]:
     return [(less, i, d) for less in range(k + 1) for i in range(k + 1) for d in range(max(-i, less - (k - i)), min(i, less + (k - i)) + 1)]
 
 
-def keyed_segments(rows: DataFrame, specs: list[tuple[int, int, int]], k: int = EDITS, own: int = 0) -> DataFrame:
-    """rows (_k, tag, line, len) once for each spec whose substring exists: _k, tag and key, a 64-bit hash.
-
-    own is added to the tag where the substring is a segment of the line itself.
+def keyed_segments(rows: DataFrame, specs, k: int = EDITS, own: int = 0) -> DataFrame:
+    """rows (_k, tag, line, len) once for each of specs(edits) whose substring exists: _k, tag and key, a 64-bit hash.
 
-    Of k + 1 segments the last ones are the longer. One small expression per exploded row: fifteen of them in one row make
+    The edits are the bound of the line that the substring can be of. own is added to the tag where the substring is a segment of the
+    line itself. Of e + 1 segments the last ones are the longer. One small expression per exploded row: fifteen of them in one row make
     a method too large to be compiled.
     """
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, ("less", "i", "d"))]) for s in specs])
-    out = rows.select("*", F.inline(table))
+    table = lambda edits: F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((e, *s), ("e", "less", "i", "d"))]) for e in edits for s in specs(e)])
+    out = rows.select("*", F.inline(F.when(F.col("len") >= k * PER_EDIT + k, table([k])).otherwise(table(range(1, k + 1)))))
     of = F.col("len") - F.col("less")
-    out = out.withColumn("of", of).withColumn("longer", F.pmod("of", F.lit(k + 1))).withColumn("size", ((F.col("of") - F.col("longer")) / (k + 1)).cast("int"))
-    out = out.withColumn("over", F.col("i") - (k + 1) + F.col("longer"))
+    out = out.withColumn("of", of).where(F.col("e") == bound(F.col("of"), k))
+    out = out.withColumn("longer", F.pmod("of", F.col("e") + 1)).withColumn("size", ((F.col("of") - F.col("longer")) / (F.col("e") + 1)).cast("int"))
+    out = out.withColumn("over", F.col("i") - (F.col("e") + 1) + F.col("longer"))
     n, at = F.col("size") + F.when(F.col("over") >= 0, 1).otherwise(0), F.col("i") * F.col("size") + F.greatest(F.col("over"), F.lit(0)) + F.col("d")
     out = out.withColumn("n", n).withColumn("at", at).where("of >= 0 AND at >= 0 AND at + n <= len")
     tag = F.col("tag") + F.when(F.expr("less = 0 AND d = 0"), own).otherwise(0)
@@ -65,8 +72,8 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= most) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s)), p + s).otherwise(p))
 
 
-def within(a: Column, b: Column, k: int = EDITS) -> Column:
-    """Whether arrays of characters a and b are within k edits.
+def within(a: Column, b: Column, k: int = EDITS, edits: Column | None = None) -> Column:
+    """Whether arrays of characters a and b are within k edits, or within edits, which is k at most.
 
     Bit d + k of mask e says that the first j + d characters of a become the first j of b by e edits or fewer. Each
     character of b turns the masks into the next ones with one comparison per diagonal and a few operations on bits.
@@ -95,10 +102,10 @@ def within(a: Column, b: Column, k: int = EDITS) -> Column:
             new.append(v)
         return names(new)
 
-    last = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-    at = m - n + k
-    reached = F.when(n == 0, m <= k).otherwise(F.call_function("shiftright", last[f"f{k}"], at).bitwiseAND(F.lit(1)) == 1)
-    return (F.abs(m - n) <= k) & reached
+    edits = F.lit(k) if edits is None else edits
+    last = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda f: F.get(F.array(*[f[f"f{e}"] for e in range(k + 1)]), edits))
+    reached = F.when(n == 0, m <= edits).otherwise(F.call_function("shiftright", last, m - n + k).bitwiseAND(F.lit(1)) == 1)
+    return (F.abs(m - n) <= edits) & reached
 
 
 def let(value: Column, body) -> Column:
@@ -107,7 +114,8 @@ def let(value: Column, body) -> Column:
 
 
 def near_texts(a: Column, b: Column, k: int = EDITS) -> Column:
-    """Whether two texts are within k edits: common ends are cut off, then what is left is compared."""
+    """Whether two texts are near, by k edits at most: common ends are cut off, then what is left is compared."""
+    edits = bound(F.least(F.char_length(a), F.char_length(b)), k)
 
     def rest(s, then):
         return let(common_prefix(s.a, s.b), lambda p: let(F.struct(F.substr(s.a, p + 1).alias("a"), F.substr(s.b, p + 1).alias("b")), then))
@@ -116,7 +124,7 @@ def near_texts(a: Column, b: Column, k: int = EDITS) -> Column:
         return F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
     def core(s):
-        return let(F.struct(chars(s.a).alias("a"), chars(s.b).alias("b")), lambda t: within(t.a, t.b, k))
+        return let(F.struct(chars(s.a).alias("a"), chars(s.b).alias("b")), lambda t: within(t.a, t.b, k, edits))
 
     def turned(s):
         return let(F.struct(F.reverse(s.a).alias("a"), F.reverse(s.b).alias("b")), lambda t: rest(t, core))
@@ -170,9 +178,9 @@ def meetings(lines: DataFrame, k: int = EDITS) -> DataFrame:
     """
     counts = F.shiftleft(F.col("no").cast("long"), 25).bitwiseOR(_letter_counts(F.col("line")))
     rows = materialize(lines.select("_k", counts.alias("tag"), "line", F.char_length("line").alias("len")))
-    index = keyed_segments(rows, index_specs(k), k).groupBy("key").agg(F.min("_k").alias("k1"), F.min_by("tag", "_k").alias("tag1"), (F.count("*") > 1).alias("several"))
+    index = keyed_segments(rows, index_specs, k).groupBy("key").agg(F.min("_k").alias("k1"), F.min_by("tag", "_k").alias("tag1"), (F.count("*") > 1).alias("several"))
     own = 1 << 24
-    probe = keyed_segments(rows, probe_specs(k), k, own).select("key", F.col("_k").alias("k2"), F.col("tag").alias("tag2"))
+    probe = keyed_segments(rows, probe_specs, k, own).select("key", F.col("_k").alias("k2"), F.col("tag").alias("tag2"))
     other = (F.col("k1") != F.col("k2")) | (_no(F.col("tag1")) != _no(F.col("tag2")))
     met = probe.join(index, "key").where(F.col("several") | (other & _counts_within(F.col("tag1"), F.col("tag2"), k)))
     out = materialize(met)
@@ -188,7 +196,7 @@ def _pairs(met: DataFrame, k: int) -> DataFrame:
 
 
 def _later(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
-    """The later line (_k, no) of each pair whose texts are within k edits."""
+    """The later line (_k, no) of each pair whose texts are near."""
     one = text.select(F.col("_k").alias("k1"), F.col("no").alias("n1"), F.col("line").alias("a"))
     two = text.select(F.col("_k").alias("k2"), F.col("no").alias("n2"), F.col("line").alias("b"))
     met = pairs.join(one, ["k1", "n1"]).join(two, ["k2", "n2"])
@@ -196,7 +204,7 @@ def _later(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, pick, k: int = EDITS) -> DataFrame:
-    """_k, no of the lines within k edits of an earlier one; pick(wanted) gives the texts of wanted (_k, no).
+    """_k, no of the lines near to an earlier one; pick(wanted) gives the texts of wanted (_k, no).
 
     First every line is held against the first line of each segment it meets. Lines that go by that need no further pair:
     in a large group of near copies few are left. Those are held against all earlier lines that share a segment.
@@ -229,17 +237,17 @@ def _without(parts: Column, gone: Column) -> Column:
     return F.when(F.size(gone) == 0, parts).otherwise(F.flatten(after))
 
 
-def _counted(line: Column, min_chars: int) -> Column:
-    """Whether equal lines are removed: those with a visible character, and white space of min_chars or more."""
-    return (F.char_length(line) >= min_chars) | line.rlike(r"(?U)\S")
+def _counted(line: Column) -> Column:
+    """Whether equal lines are removed: those with a visible character, and white space of BLANK characters or more."""
+    return (F.char_length(line) >= BLANK) | line.rlike(r"(?U)\S")
 
 
-def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest: tuple[str, ...] = ()) -> DataFrame:
+def line_dedup(docs: DataFrame, k: int = EDITS, rest: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text without the removed lines, n_lines, n_removed, _k and, with rest, a struct _rest of those columns of docs."""
     base = keyed(docs, rest=rest)
     texts = base.select("_k", "text")
-    lines = base.select("_k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(_counted(F.col("line"), min_chars))
-    hashes = lines.select("_k", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.char_length("line") >= min_chars).alias("long"))
+    lines = base.select("_k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(_counted(F.col("line")))
+    hashes = lines.select("_k", "no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), (F.char_length("line") >= PER_EDIT).alias("long"))
     first = materialize(hashes.groupBy("h1", "h2", "long").agg(F.min(F.struct("_k", "no")).alias("m")).select("m._k", "m.no", "long"))
 
     def pick(wanted: DataFrame) -> DataFrame:
@@ -252,7 +260,7 @@ def line_dedup(docs: DataFrame, k: int = EDITS, min_chars: int = MIN_CHARS, rest
     stay = first.join(near, ["_k", "no"], "left_anti").groupBy("_k").agg(F.collect_list("no").alias("stay"))
 
     def cut(parts):
-        counted = F.filter(F.transform(parts, lambda x, i: F.when(_counted(x, min_chars), i)), lambda i: i.isNotNull())
+        counted = F.filter(F.transform(parts, lambda x, i: F.when(_counted(x), i)), lambda i: i.isNotNull())
         return let(F.array_except(counted, F.coalesce("stay", F.array().cast("array<int>"))), lambda gone: F.struct(F.size(parts).alias("n_lines"), F.size(gone).alias("n_removed"), F.array_join(_without(parts, gone), "\n").alias("text")))
 
     out = base.join(stay.hint("shuffle_hash"), "_k", "left").withColumn("done", let(F.split("text", "\n"), cut))

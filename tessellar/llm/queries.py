@@ -108,9 +108,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
         e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS no FROM l),
         f AS (SELECT *, length(line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS rn FROM e WHERE length(line) >= 20 OR regexp_matches(line, '\S')),
-        o AS (SELECT doc_id, no, n, translate(line, 'éÉßÇÊíÈöÓçäÄóêüÖÍÜèñÑ', (SELECT string_agg(chr(CASE WHEN i < 8 THEN i + 1 ELSE i + 6 END::INTEGER), '' ORDER BY i) FROM range(21) r(i))) AS line FROM f WHERE rn = 1 AND n >= 20),
+        o AS (SELECT doc_id, no, n, translate(line, 'éÉßÇÊíÈöÓçäÄóêüÖÍÜèñÑ', (SELECT string_agg(chr(CASE WHEN i < 8 THEN i + 1 ELSE i + 6 END::INTEGER), '' ORDER BY i) FROM range(21) r(i))) AS line FROM f WHERE rn = 1 AND n >= 10),
         p AS (SELECT *, n + unnest([-2, -1, 0, 1, 2]) AS m FROM o),
-        near AS (SELECT DISTINCT b.doc_id, b.no FROM p a JOIN o b ON a.m = b.n WHERE (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.no < b.no) AND levenshtein(a.line, b.line) <= 2),
+        near AS (SELECT DISTINCT b.doc_id, b.no FROM p a JOIN o b ON a.m = b.n WHERE (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.no < b.no) AND levenshtein(a.line, b.line) <= least(2, least(a.n, b.n) // 10)),
         gone AS (SELECT doc_id, no FROM f WHERE rn > 1 UNION SELECT doc_id, no FROM near),
         t AS (SELECT e.doc_id, count(*) AS n_lines, count(gone.no) AS n_removed, coalesce(string_agg(CASE WHEN gone.no IS NULL THEN line END, chr(10) ORDER BY e.no), '') AS text FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.no = e.no GROUP BY e.doc_id)
         SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t.text, '')) AS kept_sha256 FROM documents LEFT JOIN t USING (doc_id)""",
