@@ -7,7 +7,8 @@ seeds. Hits of one item near one place make a passage, which is aligned word by
 mismatch -1, gap -1). The score is the share of the most that the item can reach; documents from MIN_SCORE on are returned.
 
 Seeds go to the tasks in blocks of items with at most SEEDS n-grams each; a larger benchmark takes more passes.
-Null and empty texts match nothing, nor do items of fewer than MIN_WORDS words: so few are no evidence. Of places that score
+Null and empty texts match nothing. A part of an item of fewer than MIN_WORDS words is no evidence, and the whole of it none inside other prose: such an item
+is found where a line has just its words, with score 1. Of places that score
 equally the first counts. Repeated rows give repeated rows. Further columns are ignored. A text of any length is searched
 whole, in one task.
 """
@@ -123,8 +124,24 @@ def _passages(seeds: Seeds, words: np.ndarray, where: np.ndarray, rows: np.ndarr
     return out
 
 
+def _whole(words: np.ndarray) -> int:
+    return int(Hasher(words).spans(np.array([0]), np.array([len(words)]))[0])
+
+
+def _lines_of(short: dict[int, list[int]], text: str, min_words: int) -> list[tuple]:
+    """Short items that are all of a line, each at the first such line."""
+    h, first = normal_words(text.split("\n"))
+    n = np.diff(first)
+    at = np.flatnonzero((n > 0) & (n < min_words))
+    out: dict[int, tuple] = {}
+    for line, key in zip(at.tolist(), Hasher(h).spans(first[at], first[at + 1]).tolist()):
+        for item_id in short.get(key, ()):
+            out.setdefault(item_id, (item_id, 1.0, int(first[line]), int(first[line + 1])))
+    return list(out.values())
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score: float = MIN_SCORE, max_seeds: int = SEEDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, item_id, score, start_word, end_word of each document and item that align well enough."""
+    """doc_id, item_id, score, start_word, end_word of each document and item that align well enough, or, of items under min_words words, that have a line alike."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -132,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score:
     held = 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
         words = normal_words([r.text or ""])[0]
-        if len(words) < min_words:
+        if not len(words):
             continue
         if held + len(words) > max_seeds and held:
             blocks.append([])
@@ -141,7 +158,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score:
         blocks[-1].append((r.item_id, words))
 
     out = None
-    for items in blocks:
+    for block in blocks:
+        items, short = [x for x in block if len(x[1]) >= min_words], {}
+        for item_id, words in block:
+            if len(words) < min_words:
+                short.setdefault(_whole(words), []).append(item_id)
         known = np.unique(np.concatenate([np.zeros(0, U64), *(w for _, w in items)]))
         shared = spark.sparkContext.broadcast(known)
 
@@ -160,16 +181,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_score:
 
         counts = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
         total = max(1, next((r.n for r in counts if r.h == 0), 1))
-        seeds = spark.sparkContext.broadcast(Seeds(items, {r.h: r.n / total for r in counts if r.h}, n))
+        seeds = spark.sparkContext.broadcast((Seeds(items, {r.h: r.n / total for r in counts if r.h}, n), short))
 
         def match(it: Iterator[pa.RecordBatch], shared=seeds):
-            seeds = shared.value
+            seeds, short = shared.value
             sizes = np.unique(seeds.sizes).tolist()
             for b in it:
                 found = []
                 for lo in range(0, b.num_rows, 64):
                     ids = b.column(0).slice(lo, 64).to_pylist()
-                    h, first = normal_words([t or "" for t in b.column(1).slice(lo, 64).to_pylist()])
+                    texts = [t or "" for t in b.column(1).slice(lo, 64).to_pylist()]
+                    if short:
+                        found += [(ids[d], *p) for d, t in enumerate(texts) for p in _lines_of(short, t, min_words)]
+                    h, first = normal_words(texts)
                     hasher = Hasher(h)
                     where, rows = [], []
                     for size in sizes:
