@@ -231,6 +231,34 @@ def test_line_dedup_short_lines(spark):
     assert got == {0: (texts[0], 5, 0), 1: ("\nNo.\n \nYet.", 6, 2), 2: ("", 3, 2)}
 
 
+def test_line_dedup_equals_plain(spark):
+    """Lines of 1 to 45 characters, many of them near others: the bound shrinks with the shorter line."""
+    rng = np.random.default_rng(12)
+    base = ["".join(rng.choice(list("abcde é"), n)) for n in rng.integers(1, 45, 60)] + ["", " ", "x" * 9, "x" * 10, "x" * 19, "x" * 20]
+    lines = []
+    for _ in range(400):
+        t = list(base[rng.integers(len(base))])
+        for _ in range(rng.integers(0, 4)):
+            i, kind = int(rng.integers(len(t) + 1)), rng.integers(3)
+            t[i : i + int(kind < 2)] = ["z"] * int(kind > 0)
+        lines.append("".join(t))
+    docs = spark.createDataFrame([(d, "\n".join(lines[20 * d : 20 * d + 20])) for d in range(20)], "doc_id long, text string")
+    stay = []
+    for i, t in enumerate(lines):
+        near = any(t == u or edits(t, u) <= min(2, min(len(t), len(u)) // 10) for u in lines[:i])
+        stay.append(not near or (not t.strip() and len(t) < 20))
+    want = {d: "\n".join(t for t, k in zip(lines[20 * d : 20 * d + 20], stay[20 * d : 20 * d + 20]) if k) for d in range(20)}
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()} == want
+
+
+def test_decontaminate_short_items(spark):
+    """Items of one to four words are found as whole lines, not inside prose; a longer one as ever."""
+    docs = [(1, "We saw it.\nYes!\nYes"), (2, "yes we saw it in New York, yes"), (3, "New York\nnew  york."), (4, None), (5, "a passage of just enough words\n\nto be: or not"), (6, "new york city")]
+    items = [(1, "Yes."), (2, "New York"), (3, "to be or not"), (4, "a passage of just enough words"), (5, "..."), (6, None), (7, "yes")]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(got, "doc_id", "item_id", "score", "start_word", "end_word") == sorted([(1, 1, 1.0, 3, 4), (1, 7, 1.0, 3, 4), (3, 2, 1.0, 0, 2), (5, 3, 1.0, 6, 10), (5, 4, 1.0, 0, 6)], key=repr)
+
+
 def test_decontaminate(spark, odd):
     edited = PASSAGE.replace("word7 ", "other ").replace("word30 ", "").replace("word44", "new words").upper()
     docs = odd.union(spark.createDataFrame([(20, "intro " + edited + " end", "en", "s", 0, "x")], SCHEMA))
