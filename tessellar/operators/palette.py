@@ -51,6 +51,23 @@ def swatches(table: DataFrame) -> DataFrame:
     return table.select("image_id", "number", F.floor(at / rows).cast("int").alias("sheet_column"), (at % rows).cast("int").alias("sheet_row"))
 
 
+# Fixed values of the swatch sheet: height of a row, margin, width of a column; side of a swatch and its place in the row; width of its outline; colours.
+ROW, MARGIN, COLUMN, SWATCH, DROP, LINE = 58, 24, 360, 42, 5, 2
+SHEET, INK = (252, 250, 244), (20, 20, 20)
+
+
+def swatch_sheet(table: DataFrame) -> DataFrame:
+    """image_id, x, y, r, g, b of a sheet for each image of table (image_id, number, r, g, b): a square of each colour with an outline. Texts are not drawn."""
+    placed = swatches(table).join(table.select("image_id", "number", "r", "g", "b"), ["image_id", "number"])
+    size = table.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).select("image_id", F.when(F.col("n") <= 18, 1).otherwise(2).alias("columns"), F.when(F.col("n") <= 18, F.col("n")).otherwise(F.ceil(F.col("n") / 2)).cast("int").alias("rows"))
+    ground = size.select("image_id", F.explode(F.sequence(F.lit(0), 2 * MARGIN + COLUMN * F.col("columns") - 1)).alias("x"), (2 * MARGIN + ROW * F.col("rows") - 1).alias("last")).select("image_id", "x", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("y"))
+    side = F.sequence(F.lit(0), F.lit(SWATCH))
+    cells = placed.select("image_id", "r", "g", "b", (MARGIN + F.col("sheet_column") * COLUMN).alias("x0"), (MARGIN + F.col("sheet_row") * ROW + DROP).alias("y0"), F.explode(side).alias("i")).select("*", F.explode(side).alias("j"))
+    line = (F.least("i", "j") < LINE) | (F.greatest("i", "j") > SWATCH - LINE)
+    drawn = cells.select("image_id", (F.col("x0") + F.col("i")).cast("int").alias("x"), (F.col("y0") + F.col("j")).cast("int").alias("y"), *[F.when(line, ink).otherwise(F.col(c)).alias(f"c{c}") for c, ink in zip("rgb", INK)])
+    return ground.join(drawn, ["image_id", "x", "y"], "left").select("image_id", "x", "y", *[F.coalesce(f"c{c}", F.lit(v)).cast("int").alias(c) for c, v in zip("rgb", SHEET)])
+
+
 def compact_labels(raster: DataFrame, palette: DataFrame) -> DataFrame:
     """image_id, label, new_label: used labels renumbered by falling count, then hue, saturation, value, old label."""
     h, s, v = C.hsv8(F.col("r"), F.col("g"), F.col("b"))

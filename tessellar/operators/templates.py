@@ -132,3 +132,22 @@ def text_origin(x: Column, y: Column, w: Column, h: Column, b: Column, margin: C
     sx = F.when(high_x < margin, F.greatest(F.lit(0), F.floor((width - w) / 2).cast("int"))).otherwise(F.least(F.greatest(x, margin), high_x))
     sy = F.when(high_y < low_y, F.least(F.greatest(h, F.floor((height + h - b) / 2).cast("int")), F.greatest(F.lit(0), height - b))).otherwise(F.least(F.greatest(y, low_y), high_y))
     return sx.cast("int"), sy.cast("int")
+
+
+# Width of a digit, height and depth of a number at scale 1, in pixels; limits of the scale by the longer side.
+DIGIT, TALL, DEEP = 20.0, 21.0, 9.0
+
+
+def number_labels(placed: DataFrame) -> DataFrame:
+    """placed (image_id, region_id, number, area, x, y, radius, width, height) with scale, text_x, text_y of the number at a region's place, and circle_scale, circle_x, circle_y, circle of one in a disc."""
+    longest = F.greatest("width", "height").cast("double")
+    low, high = F.least(F.lit(0.62), F.greatest(F.lit(0.42), longest / 2600.0)), F.least(F.lit(0.85), F.greatest(F.lit(0.62), longest / 1500.0))
+    w, h, b = F.char_length(F.col("number").cast("string")) * DIGIT, F.lit(TALL), F.lit(DEEP)
+    p = placed.withColumn("scale", text_scale(F.col("radius"), F.col("area"), w, h, low, high))
+    p = p.withColumn("scale", text_in_canvas(F.col("scale"), w, h, b, F.col("width"), F.col("height")))
+    t = _text(F.col("scale"), w, h, b)
+    x, y = text_origin(F.bround(F.col("x") - t["w"] / 2).cast("int"), F.bround(F.col("y") + t["h"] / 2).cast("int"), t["w"], t["h"], t["b"], t["margin"], F.col("width"), F.col("height"))
+    s, r = label_circle(F.col("scale"), F.col("radius"), w, h, b)
+    p = p.withColumns({"text_x": x, "text_y": y, "circle_scale": s, "_r": r})
+    cx, cy, r = within_canvas(F.col("x"), F.col("y"), F.col("_r"), F.col("width"), F.col("height"))
+    return p.withColumns({"circle_x": cx, "circle_y": cy, "circle": r}).drop("_r")

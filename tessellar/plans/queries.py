@@ -100,9 +100,27 @@ def palette_json(spark, sf_dir):
     return P.palette_json(P.palette_table(p, pal(spark)), S.image_sizes(p), "events", {"min_label_area": MIN_AREA, "auto_color_count": False, "smooth_sigma_color": 50.0, "number_mode": "numbers"}, {"template": "template.png"})
 
 
-@query("swatch_layout", f"WITH {_PAL} SELECT 'events' AS image_id, label + 1 AS number, 0 AS sheet_column, label AS sheet_row FROM pal")
+_SWATCHES = f"""WITH {_PX}, t AS (SELECT image_id, g // 8 + 1 AS number, arg_min(r, pid) AS r, arg_min(g, pid) AS g, arg_min(b, pid) AS b FROM px GROUP BY ALL), n AS (SELECT *, count(*) OVER () AS n FROM t),
+s AS (SELECT image_id, number, r, g, b, CASE WHEN n <= 18 THEN 0 ELSE ((number - 1) // ((n + 1) // 2))::INTEGER END AS sheet_column, CASE WHEN n <= 18 THEN number - 1 ELSE ((number - 1) % ((n + 1) // 2))::INTEGER END AS sheet_row, CASE WHEN n <= 18 THEN 1 ELSE 2 END AS cols, CASE WHEN n <= 18 THEN n ELSE (n + 1) // 2 END AS rows FROM n)"""
+
+
+def _swatch_table(spark, sf_dir):
+    """32 colours, enough for two columns: the first of each eighth of green."""
+    p = px(spark, sf_dir).groupBy("image_id", (F.floor(F.col("g") / 8) + 1).cast("int").alias("number"))
+    return p.agg(F.min_by(F.struct("r", "g", "b"), "pid").alias("c")).select("image_id", "number", "c.*")
+
+
+@query("swatch_layout", f"{_SWATCHES} SELECT image_id, number, sheet_column, sheet_row FROM s")
 def swatch_layout(spark, sf_dir):
-    return P.swatches(palette_table(spark, sf_dir))
+    return P.swatches(_swatch_table(spark, sf_dir))
+
+
+@query("swatch_sheet", f"""{_SWATCHES}, z AS (SELECT any_value(48 + 360 * cols) AS w, any_value(48 + 58 * rows) AS h FROM s), c AS (SELECT x::INTEGER AS x, y::INTEGER AS y FROM z, range(w) a(x), range(h) b(y)),
+d AS (SELECT s.*, 24 + 360 * sheet_column AS x0, 29 + 58 * sheet_row AS y0 FROM s)
+SELECT c.x, c.y, {", ".join(f"(CASE WHEN d.{k} IS NULL THEN {v} WHEN least(c.x - x0, c.y - y0) < 2 OR greatest(c.x - x0, c.y - y0) > 40 THEN 20 ELSE d.{k} END)::INTEGER AS {k}" for k, v in zip("rgb", (252, 250, 244)))}
+FROM c LEFT JOIN d ON c.x BETWEEN x0 AND x0 + 42 AND c.y BETWEEN y0 AND y0 + 42""")
+def swatch_sheet(spark, sf_dir):
+    return P.swatch_sheet(_swatch_table(spark, sf_dir)).select("x", "y", "r", "g", "b")
 
 
 @query("label_counts", f"WITH {_PX} SELECT image_id, label, count(*) AS pixel_count FROM px WHERE label >= 0 GROUP BY ALL")
@@ -164,9 +182,10 @@ def debug_colours(spark, sf_dir):
     return px(spark, sf_dir).select("pid", *[x.alias(c) for x, c in zip(C.debug_colour(F.col("pid")), "rgb")])
 
 
-@query("colour_distances", f"WITH {_PAL} SELECT a.label AS label1, b.label AS label2, round(sqrt(((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2)::DOUBLE), 6) AS distance FROM pal a JOIN pal b ON a.label <= b.label")
+@query("colour_distances", f"WITH {_PX}, all_{_PAL}, pal AS (SELECT * FROM all_pal SEMI JOIN px USING (label)) SELECT a.label AS label1, b.label AS label2, round(sqrt(((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2)::DOUBLE), 6) AS distance FROM pal a JOIN pal b ON a.label <= b.label")
 def colour_distances(spark, sf_dir):
-    return P.colour_distances(pal(spark))
+    """Of the colours that the raster has."""
+    return P.colour_distances(pal(spark).join(px(spark, sf_dir).select("label").distinct(), "label", "left_semi"))
 
 
 @query("snap_colours", f"""WITH {_PX}, {_PAL}, src AS (SELECT DISTINCT r, g, b, NULL AS label FROM px UNION ALL SELECT r, g, b, label FROM pal), {_LAB},
@@ -563,14 +582,46 @@ def marker_geometry(spark, sf_dir):
     return part.select("p_partkey", r.cast("int").alias("r"), x.alias("cx"), y.alias("cy"), M.marker_radius(w, h).alias("fixed"))
 
 
-@query("label_texts")
+# of each region that is large enough its label point, number and the image's size
+_PLACED = f"""{_DIST}, pt AS (SELECT region_id, label, x, y, sqrt(d2::DOUBLE) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY d2 DESC, y, x) AS rn FROM dist) WHERE rn = 1),
+t AS (SELECT pt.region_id, pt.label + 1 AS number, area, pt.x, pt.y, round(radius, 6) AS radius, w, h, (20 * length((pt.label + 1)::VARCHAR))::DOUBLE AS tw FROM pt JOIN regions USING (region_id), lim WHERE area >= {MIN_AREA})"""
+
+
+def _placed(spark, sf_dir):
+    p = _regions(spark, sf_dir)
+    table = R.label_worthy(R.region_table(p), MIN_AREA).select("image_id", "region_id", (F.col("color_index") + 1).alias("number"), "area")
+    return table.join(R.label_points(p), ["image_id", "region_id"]).join(S.image_sizes(px(spark, sf_dir)), "image_id")
+
+
+@query("region_markers", f"""WITH RECURSIVE {_PLACED}, m AS (SELECT *, least(least(greatest(3, least(5, round_even(greatest(w, h) / 300::DOUBLE, 0)::INTEGER)), greatest(1, floor(radius * 0.75)::INTEGER)), greatest(1, floor((least(w, h) - 2) / 2::DOUBLE)::INTEGER)) AS r FROM t)
+SELECT region_id, (CASE WHEN w - r - 2 < r + 1 THEN w // 2 ELSE least(greatest(x, r + 1), w - r - 2) END)::INTEGER AS marker_x, (CASE WHEN h - r - 2 < r + 1 THEN h // 2 ELSE least(greatest(y, r + 1), h - r - 2) END)::INTEGER AS marker_y, r::INTEGER AS marker_radius FROM m""")
+def region_markers(spark, sf_dir):
+    """The disc of each region that is large enough, at its label point."""
+    return M.markers(_placed(spark, sf_dir), F.col("width"), F.col("height")).select("region_id", "marker_x", "marker_y", "marker_radius")
+
+
+_WEIGHT = "greatest(1, round_even(s * 1.8::DOUBLE, 0)::INTEGER)"
+_FITS = f"(round_even(tw * s, 0) <= greatest(1, w - 2 * greatest(3, {_WEIGHT} + 2)) AND round_even(21 * s, 0) + round_even(9 * s, 0) <= greatest(1, h - 2 * greatest(3, {_WEIGHT} + 2)))"
+_CIRCLE = f"greatest(6, ceil(greatest(round_even(tw * s, 0), round_even(21 * s, 0) + round_even(9 * s, 0)) / 2 + greatest(4, {_WEIGHT} + 3))::INTEGER)"
+
+
+@query("label_texts", f"""WITH RECURSIVE {_PLACED}, o AS (SELECT *, least(0.62::DOUBLE, greatest(0.42::DOUBLE, greatest(w, h) / 2600::DOUBLE)) AS low, least(0.85::DOUBLE, greatest(0.62::DOUBLE, greatest(w, h) / 1500::DOUBLE)) AS high FROM t),
+s1(region_id, s, k) AS (SELECT region_id, least(high, greatest(low, least(sqrt(area::DOUBLE) / 95, greatest(radius * 0.075::DOUBLE, low)))), 0 FROM o UNION ALL SELECT s1.region_id, s * 0.88::DOUBLE, k + 1 FROM s1 JOIN o USING (region_id)
+  WHERE k < 20 AND s > 0.28 AND NOT (round_even(tw * s, 0) <= greatest(8, radius * 1.65::DOUBLE) AND round_even(21 * s, 0) <= greatest(8, radius * 1.35::DOUBLE))),
+e1 AS (SELECT region_id, greatest(0.28::DOUBLE, arg_max(s, k)) AS s FROM s1 GROUP BY region_id),
+s2(region_id, s, k) AS (SELECT region_id, s, 0 FROM e1 UNION ALL SELECT s2.region_id, s * 0.9::DOUBLE, k + 1 FROM s2 JOIN o USING (region_id) WHERE k < 24 AND s > 0.22 AND NOT {_FITS}), e2 AS (SELECT region_id, arg_max(s, k) AS s FROM s2 GROUP BY region_id),
+s3(region_id, s, k) AS (SELECT region_id, s, 0 FROM e2 UNION ALL SELECT s3.region_id, s * 0.9::DOUBLE, k + 1 FROM s3 JOIN o USING (region_id) WHERE k < 24 AND s > 0.22 AND NOT {_CIRCLE} <= greatest(1, radius * 0.82::DOUBLE)), e3 AS (SELECT region_id, arg_max(s, k) AS s FROM s3 GROUP BY region_id),
+c AS (SELECT region_id, s AS circle_scale, least(least({_CIRCLE}, greatest(1, floor(greatest(1, radius * 0.82::DOUBLE))::INTEGER)), greatest(1, floor((least(w, h) - 2) / 2::DOUBLE)::INTEGER)) AS r, x, y, w, h FROM e3 JOIN o USING (region_id)),
+g AS (SELECT region_id, s, x, y, w, h, round_even(tw * s, 0)::INTEGER AS bw, round_even(21 * s, 0)::INTEGER AS bh, round_even(9 * s, 0)::INTEGER AS bb, greatest(3, {_WEIGHT} + 2) AS margin FROM e2 JOIN o USING (region_id))
+SELECT region_id, round(s, 6) AS scale,
+  (CASE WHEN g.w - margin - bw < margin THEN greatest(0, (g.w - bw) // 2) ELSE least(greatest(round_even(g.x - bw / 2::DOUBLE, 0), margin), g.w - margin - bw) END)::INTEGER AS text_x,
+  (CASE WHEN g.h - margin - bb < margin + bh THEN least(greatest(bh, (g.h + bh - bb) // 2), greatest(0, g.h - bb)) ELSE least(greatest(round_even(g.y + bh / 2::DOUBLE, 0), margin + bh), g.h - margin - bb) END)::INTEGER AS text_y,
+  round(circle_scale, 6) AS circle_scale, r::INTEGER AS circle, (CASE WHEN c.w - r - 2 < r + 1 THEN c.w // 2 ELSE least(greatest(c.x, r + 1), c.w - r - 2) END)::INTEGER AS circle_x, (CASE WHEN c.h - r - 2 < r + 1 THEN c.h // 2 ELSE least(greatest(c.y, r + 1), c.h - r - 2) END)::INTEGER AS circle_y
+FROM g JOIN c USING (region_id)""")
 def label_texts(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    w, h, b, radius = F.lit(19.0), F.lit(22.0), F.lit(10.0), F.col("p_size").cast("double")
-    scale = M.text_in_canvas(M.text_scale(radius, F.col("p_size") * F.col("p_size") * 3, w, h, F.lit(0.42), F.lit(0.62)), w, h, b, F.lit(300), F.lit(200))
-    s, circle = M.label_circle(scale, radius, w, h, b)
-    x, y = M.text_origin((F.col("p_partkey") % 300).cast("int"), (F.col("p_partkey") % 200).cast("int"), F.lit(12), F.lit(14), F.lit(6), F.lit(3), F.lit(300), F.lit(200))
-    return part.select("p_partkey", F.round(scale, 6).alias("scale"), F.round(s, 6).alias("circle_scale"), circle.alias("circle"), x.alias("x"), y.alias("y"))
+    """Scale and origin of each region's number, alone and in a disc, at its label point."""
+    t = M.number_labels(_placed(spark, sf_dir))
+    return t.select("region_id", F.round("scale", 6).alias("scale"), "text_x", "text_y", F.round("circle_scale", 6).alias("circle_scale"), F.col("circle").cast("int").alias("circle"), "circle_x", "circle_y")
 
 
 @query("label_colours", f"WITH {_PX}, m AS (SELECT label, min(pid) AS p FROM px GROUP BY label) SELECT m.label, pal.r, pal.g, pal.b FROM m JOIN ({_PAL.join(['WITH ', ' SELECT * FROM pal'])}) pal USING (label)")

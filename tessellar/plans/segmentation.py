@@ -81,6 +81,11 @@ def markers(s: Segmentation, placed: DataFrame) -> DataFrame:
     return templates.markers(placed.join(s.sizes, "image_id"), F.col("width"), F.col("height")).join(colour, ["image_id", "number"])
 
 
+def number_labels(s: Segmentation, placed: DataFrame) -> DataFrame:
+    """placed with the scale and origin of each region's number, alone and in a disc."""
+    return templates.number_labels(placed.join(s.sizes, "image_id"))
+
+
 def template(s: Segmentation, mode: str, marked: DataFrame | None = None) -> DataFrame:
     """image_id, x, y, r, g, b of a template; with discs where the mode is one of discs alone."""
     layers = templates.template(s.pixels, painted_palette(s), mode)

@@ -17,7 +17,7 @@ from tessellar.sources import payloads as Y
 from tessellar.sources import raster as S
 from tessellar.streaming import progress as T
 
-FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points", "coloured_rims", "nearest_borders"]
+FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points", "coloured_rims", "nearest_borders", "swatch_layout", "swatch_sheet", "region_markers", "label_texts", "png_round_trip", "lanczos_raster", "colour_distances", "draw_order", "size_order"]
 
 
 def raster(spark, rows):
@@ -248,6 +248,11 @@ def two_images(spark):
     return spark.createDataFrame(rows, "image_id string, x int, y int, pid long, label int")
 
 
+def test_timings_as_a_map(spark):
+    e = spark.createDataFrame([("r", "a", 1.5), ("r", "b", 2.0), ("r", "a", 1.0), ("s", "a", 4.0)], "run string, stage string, ms double")
+    assert {r.run: r.ms for r in T.timings_map(e, "run").collect()} == {"r": {"a": 2.5, "b": 2.0}, "s": {"a": 4.0}}
+
+
 def test_an_image_without_labels(spark):
     px, colours = two_images(spark), S.palette(spark, [(0, 100, 100, 100), (1, 110, 110, 110)])
     once = K.strip_once(px, colours).collect()
