@@ -126,7 +126,7 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
         return counted, materialize(counted.groupBy("name").agg(F.count(F.lit(1)).alias("classes")).where(F.col("classes") > SPLIT).select("name"))
 
     classes, hot = named(members)
-    parts, spent = [], []
+    parts = []
     open_ = members.withColumns({c: F.lit(-1) for c in ("lo", "hi")})
     while not hot.isEmpty():
         parts.append((open_.join(hot, "name", "left_anti"), classes.join(hot, "name", "left_anti")))
@@ -135,14 +135,10 @@ def removed_windows(docs: DataFrame, size: int, units: Callable, anchors: Callab
         again = materialize(split.groupBy("name").count().where("count > 1").select("name"))
         open_ = materialize(split.join(again, "name", "left_semi"))
         release(split, again)
-        spent += [hot]
         classes, hot = named(open_)
-    if parts:
-        parts.append((open_, classes))
-        for blocks_of, classes_of in parts[1:]:
-            parts[0] = parts[0][0].unionByName(blocks_of), parts[0][1].unionByName(classes_of)
-        members, classes = materialize(parts[0][0].select("name", "ctx", "_k", "start", "nwin")), materialize(parts[0][1])
-    release(hot, *spent)
+    members = open_.select("name", "ctx", "_k", "start", "nwin")
+    for blocks_of, classes_of in parts:  # what wasn't hot in its round; read once, so not written again
+        members, classes = members.unionByName(blocks_of.select(members.columns)), classes.unionByName(classes_of)
 
     def wanted(of: DataFrame) -> DataFrame:
         """The texts that hold the first occurrence of contents, with the list of these."""
