@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators import outline as O
+from tessellar.sources import payloads as Y
+from tessellar.sources import raster as S
 from tessellar.sources.store import numbered
 from tessellar.streaming import progress as T
 
@@ -73,3 +76,23 @@ def test_svg_pieces(spark, tmp_path):
     )
     styles = {(f, s): O.svg_parts(facets(spark), sizes, 1.0, f, s).where("place = 0 AND piece = 0").first().text for f in (True, False) for s in (True, False)}
     assert 'stroke="rgb(255,0,10)" stroke-width="1" fill="rgb(255,0,10)"' in styles[True, False] and 'stroke="none" stroke-width="1" fill="none"' in styles[False, False] and 'stroke="#000" stroke-width="1" fill="none"' in styles[False, True]
+
+
+def test_output_folders(spark, tmp_path, monkeypatch):
+    """Neither the working directory, nor a root, nor a folder that holds the input may be cleared; others are."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(b"x")
+    monkeypatch.chdir(tmp_path)
+    for out, source in ((".", None), ("/", None), (str(tmp_path / "in"), str(tmp_path / "in" / "a.png"))):
+        with pytest.raises(ValueError):
+            S.safe_output(out, source)
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "old").write_text("x")
+    assert S.prepared_output(spark, "out", "in/a.png") == str(tmp_path / "out") and not list((tmp_path / "out").iterdir())
+
+
+def test_json_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    for _ in range(2):  # the second takes the place of the first
+        Y.write_json(rows, str(tmp_path / "j"))
+    assert sorted(map(tuple, spark.read.schema("k int, v string").json(str(tmp_path / "j")).collect())) == [(1, "a"), (2, None)]
