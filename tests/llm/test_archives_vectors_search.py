@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from tessellar.llm import lexical, warc, whitening
+from tessellar.llm import lexical, topk, warc, whitening
 
 BODY = "<html><body><p>The same page, word for word, " + "and more of it " * 30 + "</p></body></html>"
 PAGES = [
@@ -187,3 +187,24 @@ def test_max_tree_opens_little():
     best = np.lexsort((np.arange(size), -total))[:20]
     assert docs.tolist() == best.tolist() and scores.tolist() == total[best].tolist()
     assert sum(seen) * lexical.FANOUT < size / 4
+
+
+def test_top_k_odd_rows(spark):
+    """Repeated ids and vectors, vectors of another length, null and non-finite ones, further columns of clashing names, fewer rows than k, no rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (61, rows[3][1]), (62, [1.0, 2.0]), (63, [2.0, 1.0]), (64, None), (65, [1.0, None, 0.0, 0.0, 0.0]), (66, [float("nan")] * 5), (67, [])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, b string")
+    whole = [(i, tuple(math.floor(1024 * c) for c in v)) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    want = []
+    for q, x in sorted({r for r in whole if r[0] % 5 == 0 or r[0] in (7, 62)}):
+        others = list(whole)
+        others.remove((q, x))
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in others if len(y) == len(x))[:4]
+        want += [(q, i, -s) for s, i in best]
+    got = topk.top_k(df, df.where("vec_id % 5 = 0 OR vec_id IN (7, 62)"), 4, block=16)
+    by_query = Counter((r.query_id, r.vec_id, r.score) for r in got.collect())
+    once = [w for w in want if w[0] != 7]
+    assert {k: n for k, n in by_query.items() if k[0] != 7} == Counter(once)
+    assert len([1 for k in by_query if k[0] == 7]) > 0 and got.where("query_id = 62").count() == 1
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
