@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..sources.store import materialize, release
-from .graph import components
 from .regions import adjacency, region_map
 
 _NEXT = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -202,9 +201,11 @@ def _without_small(raster: DataFrame, palette: DataFrame, least: int, large_firs
             break
         ends = small.select("image_id", "region_id")
         beside = near.join(ends.withColumnRenamed("region_id", "src"), ["image_id", "src"], "left_semi").join(ends.withColumnRenamed("region_id", "dst"), ["image_id", "dst"], "left_semi")
-        joined = components(beside.select(F.struct("image_id", F.col("src").alias("id")).alias("a"), F.struct("image_id", F.col("dst").alias("id")).alias("b")))
-        named = joined.select(F.col("v.image_id").alias("image_id"), F.col("v.id").alias("region_id"), F.col("label.id").alias("patch"))
-        small_in = small.join(named, ["image_id", "region_id"], "left").withColumn("patch", F.coalesce("patch", "region_id"))
+        # patches of small facets that touch each other: regions of the mask of their pixels
+        mask = pixels.join(ends, ["image_id", "region_id"], "left_semi").withColumn("label", F.lit(0))
+        of = region_map(mask, 4).select("image_id", "pid", F.col("region_id").alias("patch")).join(mask.select("image_id", "pid", "region_id"), ["image_id", "pid"])
+        named = of.groupBy("image_id", "region_id").agg(F.min("patch").alias("patch"))
+        small_in = small.join(named, ["image_id", "region_id"])
         sizes = small_in.groupBy("image_id", "patch").agg(F.sum("area").alias("pixels"))
         patched = materialize(small_in.join(sizes, ["image_id", "patch"]))
 
