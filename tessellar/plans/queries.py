@@ -370,7 +370,10 @@ def expand_owner(spark, sf_dir):
     return K.expand_owner(p, 1).select("pid", "region_id")
 
 
-@query("bilateral")
+@query("bilateral", f"""WITH {_PX}, lim AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM px), o AS (SELECT dx, dy FROM range(-4, 5) a(dx), range(-4, 5) b(dy) WHERE dx * dx + dy * dy <= 16),
+n AS (SELECT a.image_id, a.x, a.y, a.r AS r0, a.g AS g0, a.b AS b0, dx * dx + dy * dy AS d, CASE WHEN a.x + dx < 0 THEN -(a.x + dx) WHEN a.x + dx >= w THEN 2 * w - 2 - a.x - dx ELSE a.x + dx END AS x2, CASE WHEN a.y + dy < 0 THEN -(a.y + dy) WHEN a.y + dy >= h THEN 2 * h - 2 - a.y - dy ELSE a.y + dy END AS y2 FROM px a, lim, o),
+v AS (SELECT n.*, q.r, q.g, q.b, abs(q.r - r0) + abs(q.g - g0) + abs(q.b - b0) AS far FROM n JOIN px q ON q.x = x2 AND q.y = y2), k AS (SELECT *, exp(-d / 5000::DOUBLE - far * far / 5000::DOUBLE) AS k FROM v)
+SELECT image_id, x, y, round_even(sum(k * r) / sum(k), 0)::INTEGER AS r, round_even(sum(k * g) / sum(k), 0)::INTEGER AS g, round_even(sum(k * b) / sum(k), 0)::INTEGER AS b FROM k GROUP BY image_id, x, y""")
 def bilateral(spark, sf_dir):
     return K.bilateral(px(spark, sf_dir))
 
@@ -459,6 +462,10 @@ def shoelace(spark, sf_dir):
     return _paths(px(spark, sf_dir)).select("y", O.shoelace(F.col("points")).alias("area"))
 
 
+_FAC = f"""{_PX}, nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy)), e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label),
+reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p), top AS (SELECT p, min(root) AS root FROM reach GROUP BY p), fac AS (SELECT px.*, dense_rank() OVER (ORDER BY root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p)"""
+
+
 def _facets(spark, sf_dir):
     from ..sources.store import materialize
 
@@ -469,7 +476,17 @@ def _height(pixels) -> int:
     return pixels.agg(F.max("y")).first()[0] + 1
 
 
-@query("border_paths")
+_WALLS = f"""{_FAC}, n AS (SELECT c.region_id, c.x, c.y, coalesce(l.region_id, -1) AS l, coalesce(u.region_id, -1) AS u, coalesce(r_.region_id, -1) AS r, coalesce(d.region_id, -1) AS d, coalesce(ul.region_id, -1) AS ul, coalesce(ur.region_id, -1) AS ur, coalesce(dl.region_id, -1) AS dl, coalesce(dr.region_id, -1) AS dr FROM fac c LEFT JOIN fac l ON l.x = c.x - 1 AND l.y = c.y + 0 LEFT JOIN fac u ON u.x = c.x + 0 AND u.y = c.y - 1 LEFT JOIN fac r_ ON r_.x = c.x + 1 AND r_.y = c.y + 0 LEFT JOIN fac d ON d.x = c.x + 0 AND d.y = c.y + 1 LEFT JOIN fac ul ON ul.x = c.x - 1 AND ul.y = c.y - 1 LEFT JOIN fac ur ON ur.x = c.x + 1 AND ur.y = c.y - 1 LEFT JOIN fac dl ON dl.x = c.x - 1 AND dl.y = c.y + 1 LEFT JOIN fac dr ON dr.x = c.x + 1 AND dr.y = c.y + 1),
+w AS MATERIALIZED (SELECT region_id, x, y, 0 AS side, l AS neighbour, CASE WHEN u != region_id THEN x WHEN ul != region_id THEN x + 0 ELSE x - 1 END AS nx, CASE WHEN u != region_id THEN y WHEN ul != region_id THEN y - 1 ELSE y - 1 END AS ny, CASE WHEN u != region_id THEN 1 WHEN ul != region_id THEN 0 ELSE 3 END AS ns FROM n WHERE l != region_id
+  UNION ALL SELECT region_id, x, y, 1 AS side, u AS neighbour, CASE WHEN r != region_id THEN x WHEN ur != region_id THEN x + 1 ELSE x + 1 END AS nx, CASE WHEN r != region_id THEN y WHEN ur != region_id THEN y + 0 ELSE y - 1 END AS ny, CASE WHEN r != region_id THEN 2 WHEN ur != region_id THEN 1 ELSE 0 END AS ns FROM n WHERE u != region_id
+  UNION ALL SELECT region_id, x, y, 2 AS side, r AS neighbour, CASE WHEN d != region_id THEN x WHEN dr != region_id THEN x + 0 ELSE x + 1 END AS nx, CASE WHEN d != region_id THEN y WHEN dr != region_id THEN y + 1 ELSE y + 1 END AS ny, CASE WHEN d != region_id THEN 3 WHEN dr != region_id THEN 2 ELSE 1 END AS ns FROM n WHERE r != region_id
+  UNION ALL SELECT region_id, x, y, 3 AS side, d AS neighbour, CASE WHEN l != region_id THEN x WHEN dl != region_id THEN x - 1 ELSE x - 1 END AS nx, CASE WHEN l != region_id THEN y WHEN dl != region_id THEN y + 0 ELSE y + 1 END AS ny, CASE WHEN l != region_id THEN 0 WHEN dl != region_id THEN 3 ELSE 2 END AS ns FROM n WHERE d != region_id)"""
+
+
+@query("border_paths", f"""WITH RECURSIVE {_WALLS}, first AS (SELECT region_id, arg_min(x, y * 1000000 + x) AS sx, min(y) AS sy FROM w WHERE side = 0 AND neighbour != region_id GROUP BY region_id),
+path AS (SELECT w.*, 0 AS place, sx, sy FROM w JOIN first ON w.region_id = first.region_id AND x = sx AND y = sy AND side = 0
+  UNION ALL SELECT w.*, place + 1, sx, sy FROM path JOIN w ON w.region_id = path.region_id AND w.x = path.nx AND w.y = path.ny AND w.side = path.ns WHERE NOT (path.nx = sx AND path.ny = sy AND path.ns = 0))
+SELECT region_id, place, x, y, side, neighbour FROM path""")
 def border_paths(spark, sf_dir):
     return B.border_paths(B.border_pixels(_facets(spark, sf_dir))).select("region_id", "place", "x", "y", "side", "neighbour")
 
@@ -508,10 +525,6 @@ def facet_reduction(spark, sf_dir):
     return D.reduce_facets(px(spark, sf_dir), pal(spark), MIN_AREA).select("pid", "label")
 
 
-_FAC = f"""{_PX}, nx AS (SELECT a.pid AS p, a.label, a.x + o.dx AS x, a.y + o.dy AS y FROM px a, (VALUES (0, -1), (-1, 0), (1, 0), (0, 1)) o(dx, dy)), e AS MATERIALIZED (SELECT n.p, b.pid AS q FROM nx n JOIN px b ON n.x = b.x AND n.y = b.y AND n.label = b.label),
-reach(p, root) AS (SELECT pid, pid FROM px UNION SELECT e.q, reach.root FROM reach JOIN e ON reach.p = e.p), top AS (SELECT p, min(root) AS root FROM reach GROUP BY p), fac AS (SELECT px.*, dense_rank() OVER (ORDER BY root)::BIGINT - 1 AS region_id FROM px JOIN top ON pid = p)"""
-
-
 @query("nearest_borders", f"""WITH RECURSIVE {_FAC}, {_PAL}, size AS (SELECT region_id, count(*) AS area FROM fac GROUP BY region_id HAVING count(*) < {MIN_AREA}),
 step AS (SELECT a.pid, a.region_id AS f, q.region_id AS t, q.x, q.y, q.label FROM fac a JOIN fac q ON q.x BETWEEN a.x - 1 AND a.x + 1 AND q.y BETWEEN a.y - 1 AND a.y + 1 AND abs(a.x - q.x) + abs(a.y - q.y) = 1 AND q.region_id != a.region_id),
 chosen AS (SELECT region_id FROM size WHERE region_id NOT IN (SELECT f FROM step JOIN size ON size.region_id = t WHERE f > t)),

@@ -17,7 +17,7 @@ from tessellar.sources import payloads as Y
 from tessellar.sources import raster as S
 from tessellar.streaming import progress as T
 
-FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points", "coloured_rims", "nearest_borders", "swatch_layout", "swatch_sheet", "region_markers", "label_texts", "png_round_trip", "lanczos_raster", "colour_distances", "draw_order", "size_order"]
+FAST = ["palette_table", "palette_json", "strip_cleanup_runs", "prune_protrusions", "colour_index", "compact_labels", "boundary", "border_points", "strip_cleanup", "opening", "expand_owner", "coverage_selection", "closest_pair", "regions", "merge_plan", "merge_apply", "base64_chunks", "chunk_assembly", "shoelace", "progress_throttle", "progress_overall", "paintability", "small_facets", "neighbours_of_facets", "merge_order", "template_layers", "marker_geometry", "payload_round_trip", "answer_images", "idea_texts", "analysis_raster", "strict_palette", "label_points", "coloured_rims", "nearest_borders", "swatch_layout", "swatch_sheet", "region_markers", "label_texts", "png_round_trip", "lanczos_raster", "colour_distances", "draw_order", "size_order", "bilateral", "border_paths"]
 
 
 def raster(spark, rows):
