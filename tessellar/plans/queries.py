@@ -418,8 +418,8 @@ def chunk_assembly(spark, sf_dir):
     return T.assemble(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("chunk_index"), F.col("turn").alias("seq"), total.alias("total_chunks"), F.col("text").alias("chunk")))
 
 
-@query("progress_overall", """WITH st(i, before, share) AS (VALUES (0, 0::DOUBLE, 0.06::DOUBLE), (1, 0.06, 0.24), (2, 0.30, 0.02), (3, 0.32, 0.16), (4, 0.48, 0.06), (5, 0.54, 0.14), (6, 0.68, 0.12), (7, 0.80, 0.10), (8, 0.90, 0.05), (9, 0.95, 0.05))
-SELECT event_id, floor(100 * round(before + share * least(1, greatest(0, value / 500)), 9) + 0.5)::INTEGER AS progress FROM events JOIN st ON event_id % 10 = i""")
+@query("progress_overall", """WITH st(i, before, share) AS (VALUES (0, 0::DOUBLE, 6::DOUBLE), (1, 6, 24), (2, 30, 2), (3, 32, 16), (4, 48, 6), (5, 54, 14), (6, 68, 12), (7, 80, 10), (8, 90, 5), (9, 95, 5))
+SELECT event_id, floor(least(1, greatest(0, value / 500)) * share + before + 0.5)::INTEGER AS progress FROM events JOIN st ON event_id % 10 = i""")
 def progress_overall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     stage = F.get(F.array(*[F.lit(n) for n, _ in T.STAGES]), (F.col("event_id") % 10).cast("int"))

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stages in order and their shares of the whole.
-STAGES = [("decode", 0.06), ("kmeans", 0.24), ("colorMap", 0.02), ("facetBuild", 0.16), ("narrowCleanup", 0.06), ("facetReduce", 0.14), ("borderTrace", 0.12), ("borderSegment", 0.10), ("labelPlacement", 0.05), ("svgRender", 0.05)]
+# Stages in order and their shares of the whole, in percent.
+STAGES = [("decode", 6), ("kmeans", 24), ("colorMap", 2), ("facetBuild", 16), ("narrowCleanup", 6), ("facetReduce", 14), ("borderTrace", 12), ("borderSegment", 10), ("labelPlacement", 5), ("svgRender", 5)]
 
 
 def overall(stage: Column, local: Column) -> Column:
-    """Percentage of the whole, from a stage and the share of it that is done."""
-    out, before = None, 0.0
+    """Percentage of the whole, a half up, from a stage and the share of it that is done. Percents are whole numbers, so that a half is one."""
+    out, before = None, 0
     for name, weight in STAGES:
         done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), local)) * weight + before
         out = F.when(stage == name, done) if out is None else out.when(stage == name, done)
         before += weight
-    return F.floor(100 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)) + 0.5).cast("int")
+    return F.floor(out + 0.5).cast("int")
 
 
 STEP, GAP_MS = 0.03, 150

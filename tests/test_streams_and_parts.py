@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessellar.operators import outline as O
+from tessellar.plans.queries import ORACLE_SQL
 from tessellar.sources import payloads as Y
 from tessellar.sources import raster as S
 from tessellar.sources.store import numbered
@@ -40,6 +42,18 @@ def test_stream_of_chunks(spark, tmp_path):
     ]
 
 
+def test_progress_of_halves(spark):
+    """Sums of shares in binary fractions fall beside a half; the query and its SQL round them up."""
+    rows = [(5, 125.0, 58), (1, 218.75, 17), (1, 343.75, 23), (0, 0.0, 0), (9, 500.0, 100), (9, 900.0, 100), (3, -5.0, 32), (7, 25.0, 81)]
+    e = spark.createDataFrame(rows, "stage int, value double, want int")
+    stage = F.get(F.array(*[F.lit(n) for n, _ in T.STAGES]), "stage")
+    assert [r.got for r in e.select(T.overall(stage, F.col("value") / 500).alias("got")).collect()] == [r[2] for r in rows]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (event_id BIGINT, value DOUBLE)")
+    con.executemany("INSERT INTO events VALUES (?, ?)", [(10 * k + stage, value) for k, (stage, value, _) in enumerate(rows)])
+    assert [p for _, p in sorted(con.execute(ORACLE_SQL["progress_overall"]).fetchall())] == [r[2] for r in rows]
+
+
 def test_numbers_by_ranges(spark):
     rnd = random.Random(2)
     rows = [("big" if rnd.random() < 0.9 else f"g{k % 5}", rnd.randrange(50), k) for k in range(3000)]
