@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import colour as C
 from ..sources.store import materialize, release
 from .palette import by
-from .regions import beside
+from .regions import beside_in_strip, in_strips
 
 HARD_EDGE = 26.0
 
@@ -17,8 +17,10 @@ def around(raster: DataFrame, diagonals: bool = True) -> DataFrame:
     """Labels of the neighbours: l, r, u, d and, of the rows above and below, ul, ur, dl, dr.
 
     A raster has a row for every pixel, label -1 or null where there is none: a diagonal is seen through the pixel beside it."""
-    p = raster.select("image_id", "x", "y", "pid", "label", beside("label", "x", -1).alias("l"), beside("label", "x", 1).alias("r"))
-    return p.select("*", beside("label", "y", -1).alias("u"), beside("label", "y", 1).alias("d"), *[beside(c, "y", step).alias(f"{n}{c}") for c in "lr" if diagonals for step, n in ((-1, "u"), (1, "d"))])
+    p = in_strips(raster.select("image_id", "x", "y", "pid", "label"))
+    p = p.select("*", beside_in_strip("label", "x", -1).alias("l"), beside_in_strip("label", "x", 1).alias("r"))
+    p = p.select("*", beside_in_strip("label", "y", -1).alias("u"), beside_in_strip("label", "y", 1).alias("d"), *[beside_in_strip(c, "y", step).alias(f"{n}{c}") for c in "lr" if diagonals for step, n in ((-1, "u"), (1, "d"))])
+    return p.where("own").drop("own", "_strip")
 
 
 def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
@@ -67,12 +69,12 @@ def opening(raster: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in "lrud":
         same &= F.coalesce(F.col(c) == F.col("label"), F.col(c).isNull())
-    e = p.select("image_id", "x", "y", "pid", "label", F.when(same, F.col("label")).alias("core"))
+    e = in_strips(p.select("image_id", "x", "y", "pid", "label", F.when(same, F.col("label")).alias("core")))
     near = F.coalesce(F.col("core") == F.col("label"), F.lit(False))
     for along in "xy":
         for step in (-1, 1):
-            near |= F.coalesce(beside("core", along, step) == F.col("label"), F.lit(False))
-    return e.select("image_id", "x", "y", "pid", "label", near.alias("opened"))
+            near |= F.coalesce(beside_in_strip("core", along, step) == F.col("label"), F.lit(False))
+    return e.select("own", "image_id", "x", "y", "pid", "label", near.alias("opened")).where("own").drop("own")
 
 
 def prune_protrusions(raster: DataFrame, steps: int = 12) -> DataFrame:
@@ -84,10 +86,11 @@ def prune_protrusions(raster: DataFrame, steps: int = 12) -> DataFrame:
         before, p_before = p.where("label < 0").count(), p
         if not before:
             break
+        p = in_strips(p, 2)  # a step looks up and down
         for along, step in (("y", -1), ("y", 1), ("x", -1), ("x", 1)):
-            p = p.withColumn("_n", F.coalesce(beside("label", along, step), F.lit(-1)))
+            p = p.withColumn("_n", F.coalesce(beside_in_strip("label", along, step), F.lit(-1)))
             p = p.withColumn("label", F.when((F.col("label") < 0) & (F.col("_n") >= 0), F.col("_n")).otherwise(F.col("label"))).drop("_n")
-        p, spent = materialize(p), p_before
+        p, spent = materialize(p.where("own").drop("own", "_strip")), p_before
         release(spent)
         if p.where("label < 0").count() == before:
             break
@@ -149,8 +152,9 @@ def _tile_in_place(pdf):
 def strip_in_place(raster: DataFrame, palette: DataFrame, tile: int = TILE) -> DataFrame:
     """The other cleanup: pixels in raster order, each seeing what was changed before it, above and to the left, and what is still to come, below and to the right.
 
-    Tiles wait for those above and to their left only: the tiles of one diagonal of all images are worked through together, from the last
-    rows and columns of the diagonal before, so an image takes as many rounds as it has diagonals of tiles. A pixel without a label stays as it is, and
+    All tiles are worked through at once, as if nothing changed above and to their left; then again those for which something did, from the last rows and
+    columns as they have become, until no tile is left. What a tile gives depends on those only, so the end is that of one pixel after the other, at the
+    latest after as many rounds as an image has diagonals of tiles. A pixel without a label stays as it is, and
     none becomes one; a label that the palette lacks is farther than any other.
     """
     rgb = palette.select("label", *[F.col(c).cast("double").alias(c) for c in "rgb"])
@@ -165,23 +169,32 @@ def strip_in_place(raster: DataFrame, palette: DataFrame, tile: int = TILE) -> D
         to += [F.struct("tx", "ty", F.lit(True).alias("own"))] * own
         return rows.select("image_id", "x", "y", "pid", "label", F.explode(F.filter(F.array(*to), lambda t: t.isNotNull())).alias("t")).select("image_id", "x", "y", "pid", "label", "t.*").where("tx >= 0 AND ty >= 0")
 
-    seen = beyond(base.withColumns(place), -1, own=True).withColumn("diagonal", F.col("tx") + F.col("ty"))
-    seen = materialize(seen.repartitionByRange("diagonal", "image_id", "tx").sortWithinPartitions("diagonal"))
-    schema = "image_id string, x int, y int, pid long, label long, tx int, ty int"
-    done = []
-    for diagonal in range((seen.where("own").agg(F.max("diagonal")).first()[0] or 0) + 1):
-        rows = seen.where(F.col("diagonal") == diagonal).drop("diagonal")
-        rows = rows.join(rows.where("own").select("image_id", "tx", "ty").distinct(), ["image_id", "tx", "ty"], "left_semi").select("image_id", "x", "y", "pid", "label", "tx", "ty", "own")
-        if done:
-            rows = rows.unionByName(beyond(done[-1], 1, own=False))
+    keys, schema = ["image_id", "tx", "ty"], "image_id string, x int, y int, pid long, label long, tx int, ty int"
+    laid = base.withColumns(place)
+    seen = materialize(beyond(laid, -1, own=True))
+    # what each tile sees above and to its left
+    tiles = seen.where("own").select(*keys).distinct()
+    edges = materialize(beyond(laid, 1, own=False).join(tiles, keys, "left_semi"))
+    open_ = materialize(tiles)
+    done = []  # (tiles, their pixels) of each round
+    while not open_.isEmpty():
+        rows = seen.select("image_id", "x", "y", "pid", "label", "tx", "ty", "own").unionByName(edges.select("image_id", "x", "y", "pid", "label", "tx", "ty", "own")).join(open_, keys, "left_semi")
         cells = rows.join(size, "image_id").join(rgb, "label", "left").withColumn("tile", F.lit(tile))
         cells = cells.select("image_id", "x", "y", "pid", "label", "tx", "ty", "own", "w", "h", "r", "g", "b", "tile")
-        out = cells.groupBy("image_id", "tx", "ty").applyInPandas(_tile_in_place, schema)
-        done.append(materialize(out))
-    release(seen)
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+        out = materialize(cells.groupBy(*keys).applyInPandas(_tile_in_place, schema))
+        done.append((open_, out))
+        now = beyond(out, 1, own=False).select("image_id", "x", "y", "tx", "ty", F.col("label").alias("now"))
+        spent, edges = edges, materialize(edges.join(now, ["image_id", "x", "y", "tx", "ty"], "left").select("image_id", "x", "y", "pid", F.coalesce("now", "label").alias("label"), "tx", "ty", "own", (F.col("now") != F.col("label")).alias("new")))
+        release(spent)
+        open_ = materialize(edges.where("new").select(*keys).distinct())
+    release(seen, edges, open_)
+    # of each tile the last time
+    out = later = None
+    for worked, part in reversed(done):
+        kept = part if later is None else part.join(later, keys, "left_anti")
+        out, later = (kept, worked) if out is None else (out.unionByName(kept), later.unionByName(worked))
+    if out is None:
+        out = laid
     return out.select("image_id", "x", "y", "pid", F.col("label").cast("int").alias("label"))
 
 

@@ -24,6 +24,27 @@ def beside(c: str, along: str, step: int):
     return F.when(f(along).over(w) == F.col(along) + step, f(c).over(w))
 
 
+#: Rows of an image that are laid side by side to look up neighbours in.
+STRIP = 64
+
+
+def in_strips(pixels: DataFrame, margin: int = 1) -> DataFrame:
+    """pixels in strips of rows, with _strip and own: a strip also has so many rows above and below it, which are not its own.
+
+    What beside() finds for own pixels is as in the whole image, if looked up in no more steps than margin along y. One shuffle serves both
+    axes, and a tall image has as many strips as a column of it has pixels for 64 rows, so no column is one task's.
+    """
+    at = lambda d: F.floor((F.col("y") + d) / STRIP).cast("int")
+    laid = pixels.withColumn("_strip", F.explode(F.array_distinct(F.array(at(0), at(-margin), at(margin))))).withColumn("own", F.col("_strip") == at(0))
+    return laid.repartition("image_id", "_strip")
+
+
+def beside_in_strip(c: str, along: str, step: int):
+    """beside() of pixels in_strips()."""
+    w, f = Window.partitionBy("image_id", "_strip", "y" if along == "x" else "x").orderBy(along), (F.lead if step > 0 else F.lag)
+    return F.when(f(along).over(w) == F.col(along) + step, f(c).over(w))
+
+
 #: Rows of an image that one task joins into regions.
 BAND = 256
 
@@ -80,10 +101,14 @@ def region_map(raster: DataFrame, connectivity: int = 8, band: int = BAND) -> Da
     above = inner.where(F.pmod(F.col("y"), F.lit(band)) == band - 1).select("image_id", "label", (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in offsets])).alias("x"), F.struct("image_id", "root").alias("a"))
     edges = top.join(above, ["image_id", "label", "x", "y"]).select("a", F.struct("image_id", "root").alias("b"))
     found = components(edges).select(F.col("v.image_id").alias("image_id"), F.col("v.root").alias("root"), F.col("label.root").alias("whole"))
-    root = inner.join(found, ["image_id", "root"], "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    found = materialize(found)
     order = ["label", "root"] if connectivity == 8 else ["root"]
-    ids = numbered(root.select("image_id", "label", "root").distinct(), "image_id", order, "region_id").withColumn("region_id", F.col("region_id") - 1)
-    return root.join(ids, ["image_id", "label", "root"]).select("image_id", "x", "y", "pid", "label", "region_id")
+    # a region has one pixel that is its root: those of bands without the ones that met a lower one
+    first = inner.where("pid = root").select("image_id", "label", "root").join(found.where("root != whole"), ["image_id", "root"], "left_anti")
+    ids = numbered(first.select("image_id", "label", "root"), "image_id", order, "region_id").select("image_id", "root", (F.col("region_id") - 1).alias("region_id"))
+    # numbers of the roots of bands, then of their pixels
+    joined = found.where("root != whole").join(ids.withColumnRenamed("root", "whole"), ["image_id", "whole"]).select("image_id", "root", "region_id")
+    return inner.join(ids.unionByName(joined), ["image_id", "root"]).select("image_id", "x", "y", "pid", "label", "region_id")
 
 
 def region_table(pixels: DataFrame) -> DataFrame:
@@ -93,24 +118,23 @@ def region_table(pixels: DataFrame) -> DataFrame:
 
 def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
     """src, dst, border_count in both directions: pairs of pixels side by side with different keys."""
-    pairs = None
-    for w, along in ((along_row(), "x"), (along_column(), "y")):
-        p = pixels.select("image_id", F.col(key).alias("a"), F.lead(key).over(w).alias("b"), (F.lead(along).over(w) == F.col(along) + 1).alias("next")).where("next AND a != b")
-        pairs = p if pairs is None else pairs.unionByName(p)
+    p = in_strips(pixels.select("image_id", "x", "y", F.col(key).alias("a")))
+    p = p.select("image_id", "own", "a", F.array(beside_in_strip("a", "x", 1), beside_in_strip("a", "y", 1)).alias("bs")).where("own")
+    pairs = p.select("image_id", "a", F.explode("bs").alias("b")).where("a != b")
     n = pairs.groupBy("image_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("border_count"))
     return n.unionByName(n.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "border_count"))
 
 
 def boundary_mask(pixels: DataFrame, key: str = "region_id") -> DataFrame:
     """Pixels whose right or lower neighbour has another key; null keys are no region."""
-    right, down = beside(key, "x", 1), beside(key, "y", 1)
-    return pixels.select("image_id", "x", "y", F.coalesce(right != F.col(key), F.lit(False)).alias("_r"), F.coalesce(down != F.col(key), F.lit(False)).alias("_d")).select("image_id", "x", "y", (F.col("_r") | F.col("_d")).alias("boundary"))
+    right, down = beside_in_strip(key, "x", 1), beside_in_strip(key, "y", 1)
+    return in_strips(pixels.select("image_id", "x", "y", key)).select("image_id", "x", "y", "own", F.coalesce(right != F.col(key), F.lit(False)).alias("_r"), F.coalesce(down != F.col(key), F.lit(False)).alias("_d")).where("own").select("image_id", "x", "y", (F.col("_r") | F.col("_d")).alias("boundary"))
 
 
 def border_points(pixels: DataFrame, key: str = "label") -> DataFrame:
     """Pixels that lack one of four neighbours of their key; the image's edge counts."""
-    same = [F.coalesce(beside(key, along, step) == F.col(key), F.lit(False)) for along in "xy" for step in (-1, 1)]
-    return pixels.select("image_id", "x", "y", F.col(key), (~(same[0] & same[1] & same[2] & same[3])).alias("border")).where("border").drop("border")
+    same = [F.coalesce(beside_in_strip(key, along, step) == F.col(key), F.lit(False)) for along in "xy" for step in (-1, 1)]
+    return in_strips(pixels.select("image_id", "x", "y", key)).select("image_id", "x", "y", "own", F.col(key), (~(same[0] & same[1] & same[2] & same[3])).alias("border")).where("own AND border").drop("own", "border")
 
 
 def thickness():

@@ -112,3 +112,38 @@ def test_in_place_equals_a_loop(spark):
     want = {(k, x, y): v for k, rows in images.items() for y, r in enumerate(in_place(rows, rgb)) for x, v in enumerate(r)}
     for tile in (3, K.TILE):
         assert {(r.image_id, r.x, r.y): r.label for r in K.strip_in_place(table(spark, images), palette, tile).collect()} == want
+
+
+def test_in_place_rounds_of_a_tall_image(spark, monkeypatch):
+    """Tiles don't wait for those above them: a tall image takes a few rounds, not one for each diagonal of tiles."""
+    rnd = random.Random(5)
+    px = spark.createDataFrame([("i", x, y, 4 * y + x, rnd.randrange(3)) for y in range(160) for x in range(4)], "image_id string, x int, y int, pid long, label int")
+    palette = spark.createDataFrame([(0, 0, 0, 0), (1, 9, 9, 9), (2, 200, 0, 0)], "label int, r int, g int, b int")
+    calls, write = [], K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df: calls.append(df) or write(df))
+    K.strip_in_place(px, palette, tile=4).count()
+    assert len(calls) < 40
+
+
+def test_pole_of_equal_shapes(monkeypatch):
+    """Facets of one shape are worked out once, wherever they lie."""
+    import numpy as np
+
+    calls, pole, known = [], B.pole, {}
+    monkeypatch.setattr(B, "pole", lambda p: calls.append(1) or pole(p))
+    square = np.array([(0.5, 0.0), (9.5, 0.0), (9.5, 4.25), (0.5, 4.0)])
+    hole = np.array([(2.0, 1.0), (3.0, 1.0), (3.0, 2.0)])
+    first = B.shape_pole(known, square, [hole])
+    for i, j in ((3, 7), (90, 360_000)):
+        got = B.shape_pole(known, square + [i, j], [hole + [i, j]])
+        assert np.allclose(got, np.add(first, [i, j, 0]), atol=1e-9)
+    assert np.allclose(first, pole([square, hole]), atol=1e-9) and len(calls) == 1
+
+
+def test_palettes_go_to_every_task(spark, monkeypatch):
+    """A join by label would give all pixels of a label to one task."""
+    from tessellar.sources import raster as S
+
+    px = spark.createDataFrame([("i", 0, 0, 0, 1)], "image_id string, x int, y int, pid long, label int")
+    plan = px.join(S.palette(spark).select("label", "r"), "label", "left")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
