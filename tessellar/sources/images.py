@@ -39,13 +39,15 @@ def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def unfiltered(kinds: np.ndarray, coded: np.ndarray) -> np.ndarray:
-    """Bytes of rows (rows x units x bytes of a unit) from their coded form, by each row's kind of filter.
+def unfiltered(kinds: np.ndarray, coded: np.ndarray, above: np.ndarray | None = None) -> np.ndarray:
+    """Bytes of rows (rows x units x bytes of a unit) from their coded form, by each row's kind of filter, and from the row above them, if there is one.
 
     A unit needs the one to its left and the two above these: all units of one diagonal are worked out together.
     """
     h, w, _ = coded.shape
     out = np.zeros((h + 1, w + 1, coded.shape[2]), np.int16)
+    if above is not None:
+        out[0, 1:] = above
     for step in range(w + h - 1):
         r = np.arange(max(0, step - w + 1), min(h - 1, step) + 1)
         x = step - r
@@ -59,19 +61,20 @@ def unfiltered(kinds: np.ndarray, coded: np.ndarray) -> np.ndarray:
     return out[1:, 1:]
 
 
-def _samples(raw: bytes, w: int, h: int, depth: int, channels: int) -> np.ndarray:
-    """Samples (h x w x channels) of filtered scan lines."""
+def _samples(raw: bytes, w: int, h: int, depth: int, channels: int, above: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Samples (h x w x channels) of filtered scan lines, and the last line's bytes, for those below it."""
     stride, unit = (w * depth * channels + 7) // 8, max(1, depth * channels // 8)
     lines = np.frombuffer(raw, np.uint8, h * (stride + 1)).reshape(h, stride + 1)
     if (lines[:, 0] > 4).any():
         raise ValueError("unknown filter of a PNG row")
-    flat = unfiltered(lines[:, 0], lines[:, 1:].reshape(h, stride // unit, unit).astype(np.int16)).reshape(h, stride).astype(np.uint8)
+    out = unfiltered(lines[:, 0], lines[:, 1:].reshape(h, stride // unit, unit).astype(np.int16), above)
+    flat = out.reshape(h, stride).astype(np.uint8)
     if depth == 16:
-        return flat.reshape(h, w, channels, 2).astype(np.int32) @ np.array([256, 1])
+        return flat.reshape(h, w, channels, 2).astype(np.int32) @ np.array([256, 1]), out[-1]
     if depth == 8:
-        return flat.reshape(h, w, channels).astype(np.int32)
+        return flat.reshape(h, w, channels).astype(np.int32), out[-1]
     bits = np.unpackbits(flat, axis=1)[:, : w * depth].reshape(h, w, 1, depth)
-    return bits.astype(np.int32) @ (1 << np.arange(depth - 1, -1, -1))
+    return bits.astype(np.int32) @ (1 << np.arange(depth - 1, -1, -1)), out[-1]
 
 
 def flattened(samples: np.ndarray, depth: int) -> np.ndarray:
@@ -84,37 +87,74 @@ def flattened(samples: np.ndarray, depth: int) -> np.ndarray:
     return np.floor(255 * (1 - alpha) + rgb * alpha + 0.5).astype(np.uint8)
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """height x width x 3 of a PNG of any colour type, depth and interlacing, over white."""
-    head, packed, palette, clear = None, [], None, None
+def _coloured(samples: np.ndarray, depth: int, colour: int, palette: np.ndarray | None, clear: bytes | None) -> np.ndarray:
+    """8-bit red, green and blue over white of samples of a colour type, with the file's palette and what it says of transparency."""
+    if colour == 3:
+        alpha = np.full(len(palette), 255, np.uint8)
+        alpha[: len(clear or b"")] = np.frombuffer(clear or b"", np.uint8)
+        return flattened(np.concatenate([palette, alpha[:, None]], 1)[samples[..., 0]].astype(np.int32), 8)
+    if clear is not None:  # one colour that is seen through
+        key = np.frombuffer(clear, ">u2")
+        solid = np.where((samples == key).all(2), 0, (1 << depth) - 1 if depth > 8 else 255)[..., None]
+        samples = samples * (255 // ((1 << depth) - 1)) if depth < 8 else samples
+        return flattened(np.concatenate([samples, solid], 2), depth)
+    return flattened(samples * (255 // ((1 << depth) - 1)) if depth < 8 else samples, depth)
+
+
+def png_bands(data: bytes, pixels: int = _BATCH) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows x width x 3) of a PNG of any colour type, depth and interlacing, over white, some rows of so many pixels at a time.
+
+    Rows are unpacked as they are needed, so what is held beside the file are the rows of one band; of an interlaced file, whose rows lie apart, all of them.
+    """
+    head, palette, clear, at, above = None, None, None, 0, None
+    unpack, raw, packed = zlib.decompressobj(), bytearray(), []
     for kind, body in png_chunks(data):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", body)
+            w, h, depth, colour, _, _, interlaced = head
+            channels = _CHANNELS[colour]
+            line, rows = (w * depth * channels + 7) // 8 + 1, max(1, pixels // w)
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
             clear = body
-        elif kind == b"IDAT":
+        elif kind == b"IDAT" and interlaced:
             packed.append(body)
-    w, h, depth, colour, _, _, interlaced = head
-    raw, channels = zlib.decompress(b"".join(packed)), _CHANNELS[colour]
-    samples = np.zeros((h, w, channels), np.int32)
-    at = 0
-    for x, y, dx, dy in _PASSES if interlaced else [(0, 0, 1, 1)]:
+        elif kind == b"IDAT":
+            while at < h and (body or len(raw) >= line * min(rows, h - at)):
+                take = min(rows, h - at)
+                raw += unpack.decompress(body, line * take - len(raw)) if len(raw) < line * take else b""
+                body = unpack.unconsumed_tail
+                if len(raw) < line * take:
+                    if not body:
+                        break
+                    continue
+                samples, above = _samples(bytes(raw), w, take, depth, channels, above)
+                raw = bytearray()
+                yield at, _coloured(samples, depth, colour, palette, clear)
+                at += take
+    if not interlaced:
+        if at < h:
+            raw += unpack.flush()
+            take = h - at
+            if len(raw) < line * take:
+                raise ValueError("a PNG cut short")
+            yield at, _coloured(_samples(bytes(raw), w, take, depth, channels, above)[0], depth, colour, palette, clear)
+        return
+    whole = zlib.decompress(b"".join(packed))
+    samples, at = np.zeros((h, w, channels), np.int32), 0
+    for x, y, dx, dy in _PASSES:
         pw, ph = -(-(w - x) // dx), -(-(h - y) // dy)
         if pw > 0 and ph > 0:
-            samples[y::dy, x::dx] = _samples(raw[at:], pw, ph, depth, channels)
+            samples[y::dy, x::dx] = _samples(whole[at:], pw, ph, depth, channels)[0]
             at += ph * ((pw * depth * channels + 7) // 8 + 1)
-    if colour == 3:
-        alpha = np.full(len(palette), 255, np.uint8)
-        alpha[: len(clear or b"")] = np.frombuffer(clear or b"", np.uint8)
-        return flattened(np.concatenate([palette, alpha[:, None]], 1)[samples[..., 0]].astype(np.int32), 8)
-    if clear is not None:  # one colour that is seen through
-        key = np.frombuffer(clear, ">u2")
-        solid = np.where((samples == key).all(2), 0, (1 << depth) - 1 if depth > 8 else 255)[..., None]
-        samples = samples * (255 // ((1 << depth) - 1)) if depth < 8 else samples
-        return flattened(np.concatenate([samples, solid], 2), depth)
-    return flattened(samples * (255 // ((1 << depth) - 1)) if depth < 8 else samples, depth)
+    for y in range(0, h, rows):
+        yield y, _coloured(samples[y : y + rows], depth, colour, palette, clear)
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """height x width x 3 of a PNG, over white."""
+    return np.concatenate([band for _, band in png_bands(data)])
 
 
 def _exif(body: bytes) -> int:
@@ -200,12 +240,8 @@ def png_pixels(files: DataFrame) -> DataFrame:
 
         for pdf in parts:
             for image, content in zip(pdf.image_id, pdf.content):
-                a = decode_png(bytes(content))
-                h, w = a.shape[:2]
-                rows = max(1, _BATCH // w)
-                for y in range(0, h, rows):
-                    part = a[y : y + rows]
-                    yy, xx = np.mgrid[y : y + len(part), 0:w]
+                for y, part in png_bands(bytes(content)):
+                    yy, xx = np.mgrid[y : y + len(part), 0 : part.shape[1]]
                     yield pd.DataFrame({"image_id": image, "x": xx.ravel().astype(np.int32), "y": yy.ravel().astype(np.int32), **{c: part[..., k].ravel().astype(np.int32) for k, c in enumerate("rgb")}})
 
     return files.select("image_id", "content").mapInPandas(run, _PIXELS)

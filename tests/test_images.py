@@ -142,3 +142,29 @@ def test_lanczos(spark):
     want = np.clip(np.floor(matrix(20, 6) @ step + 0.5), 0, 255)
     out = {(r.x, r.y): r for r in got if r.image_id == "i"}
     assert len(out) == 54 and all((r.r, r.g, r.b) == (want[y, x], 77, 0) for (x, y), r in out.items())
+
+
+def test_png_in_bands():
+    """A file is unpacked some rows at a time, filters reaching from one band into the next."""
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from tessellar.sources import images as I
+    from tessellar.sources import raster as S
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 256, (50, 7, 3)).astype(np.uint8)
+    coded, wide = np.zeros((50, 22), np.uint8), np.zeros((51, 24), np.int32)
+    wide[1:, 3:] = a.reshape(50, 21)
+    for y in range(50):  # each row by the one above it
+        coded[y, 0], coded[y, 1:] = 2, (wide[y + 1, 3:] - wide[y, 3:]) % 256
+    z = zlib.compress(coded.tobytes())
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    for cuts in ([0, len(z)], list(range(0, len(z), 5)) + [len(z)]):
+        file = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 50, 8, 2, 0, 0, 0)) + b"".join(chunk(b"IDAT", z[i:j]) for i, j in zip(cuts, cuts[1:])) + chunk(b"IEND", b"")
+        bands = list(I.png_bands(file, 28))
+        assert [(y, len(b)) for y, b in bands] == [(y, min(4, 50 - y)) for y in range(0, 50, 4)]
+        assert (np.concatenate([b for _, b in bands]) == a).all()
+    assert (I.decode_png(S.png_bytes(a)) == a).all()
