@@ -20,9 +20,14 @@ SPACES = ("rgb", "hsl", "lab")
 def sampled(pixels: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """size pixels of each image, or all if it has no more, with draw, their place in a random order: by rank of a hash of seed, image and pid.
 
-    Ranks are taken among parts of an image first, so that no task sorts all of a large one.
+    Counts of the hashes' first bits tell above which none is drawn, so only little more than what is drawn is ranked; ranks are taken among parts of an
+    image first, so that no task sorts all of it.
     """
-    p = pixels.withColumn("_h", F.xxhash64(F.lit(seed), "image_id", "pid"))
+    p = pixels.withColumn("_h", F.xxhash64(F.lit(seed), "image_id", "pid")).withColumn("_top", F.shiftright("_h", 48))
+    counts = p.groupBy("image_id", "_top").agg(F.count(F.lit(1)).alias("n"))
+    so_far = counts.withColumn("n", F.sum("n").over(Window.partitionBy("image_id").orderBy("_top")))  # of 65,536 values at most
+    enough = so_far.where(F.col("n") >= size).groupBy("image_id").agg(F.min("_top").alias("_most"))
+    p = p.join(enough, "image_id", "left").where("_most IS NULL OR _top <= _most").drop("_top", "_most")
     p = p.withColumn("_part", F.pmod("_h", F.lit(64)))
     for part in (["image_id", "_part"], ["image_id"]):
         p = p.withColumn("draw", F.row_number().over(Window.partitionBy(*part).orderBy("_h", "pid"))).where(F.col("draw") <= size)
