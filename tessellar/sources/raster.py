@@ -27,7 +27,8 @@ def raster_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def palette(spark: SparkSession, colours=EVENT_PALETTE) -> DataFrame:
-    return spark.createDataFrame(colours, "label int, r int, g int, b int")
+    """One row per label. Every task gets it: joined by label instead, all pixels of a label would be one task's."""
+    return F.broadcast(spark.createDataFrame(colours, "label int, r int, g int, b int"))
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
