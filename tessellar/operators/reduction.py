@@ -80,9 +80,11 @@ def _changed(pixels: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _in_order(least: int):
-    """New labels of one patch: its facets go one after the other, by a search outward from the pixels around each."""
+    """New labels of patches, as many as come at once: the facets of each go one after the other, by a search outward from the pixels around each.
 
-    def run(pdf):
+    Patches of an image don't touch each other, and the pixels around them stay, so that it is all one whether they are worked through together or alone."""
+
+    def work(pdf):
         import pandas as pd
 
         at = {(x, y): i for i, (x, y) in enumerate(zip(pdf.x.tolist(), pdf.y.tolist()))}
@@ -152,6 +154,24 @@ def _in_order(least: int):
         out = sorted(moved)
         return pd.DataFrame({"image_id": [pdf.image_id.iloc[0]] * len(out), "pid": pdf.pid.iloc[out].to_numpy(), "label": [label[i] for i in out]})
 
+    def run(parts):
+        import pandas as pd
+
+        held = []  # the patch that the rows so far end in
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            ends = ((pdf.patch == pdf.patch.iloc[-1]) & (pdf.image_id == pdf.image_id.iloc[-1])).to_numpy()
+            goes_on = held and ends.all() and held[-1].patch.iloc[-1] == pdf.patch.iloc[0] and held[-1].image_id.iloc[-1] == pdf.image_id.iloc[0]
+            if not goes_on:
+                whole = pd.concat([*held, pdf[~ends]])
+                for _, one in whole.groupby("image_id", sort=False):
+                    yield work(one.drop_duplicates(["x", "y"]).reset_index(drop=True))
+                held = []
+            held.append(pdf[ends])
+        if held:
+            yield work(pd.concat(held).drop_duplicates(["x", "y"]).reset_index(drop=True))
+
     return run
 
 
@@ -215,7 +235,8 @@ def _without_small(raster: DataFrame, palette: DataFrame, least: int, large_firs
         staying = pixels.join(ends, ["image_id", "region_id"], "left_anti").withColumn("patch", F.lit(None).cast("long"))
         around = _rim(inner, staying, "patch").withColumns({"k1": F.lit(0).cast("long"), "k2": F.lit(0).cast("long"), "small": F.lit(False)})
         cells = inner.unionByName(around.select(inner.columns)).join(rgb, "label", "left").drop("first")
-        new = cells.groupBy("image_id", "patch").applyInPandas(_in_order(least), "image_id string, pid long, label int")
+        cells = cells.repartition("image_id", "patch").sortWithinPartitions("image_id", "patch")
+        new = cells.mapInPandas(_in_order(least), "image_id string, pid long, label int")
 
         # of larger ones the facets beside which none can come to go earlier
         wide = patched.where(F.col("pixels") > patch)
