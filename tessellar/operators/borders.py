@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..sources.store import materialize, release
 from .groups import per_group
 from .outline import halve
-from .regions import adjacency, beside, region_table
+from .regions import adjacency, in_strips, region_table
+from .regions import beside_in_strip as beside
 
 #: Sides of a pixel as outward steps: left, top, right, bottom.
 SIDES = [(-1, 0), (0, -1), (1, 0), (0, 1)]
@@ -23,11 +24,12 @@ _POINTS = "array<struct<x:double,y:double,side:int>>"
 
 def border_pixels(pixels: DataFrame) -> DataFrame:
     """image_id, region_id, x, y, around of the pixels that touch another facet or the image's edge; -1 stands for outside."""
-    p = pixels.select("image_id", "x", "y", "region_id", beside("region_id", "x", -1).alias("l"), beside("region_id", "x", 1).alias("r"))
+    p = in_strips(pixels.select("image_id", "x", "y", "region_id"))
+    p = p.select("*", beside("region_id", "x", -1).alias("l"), beside("region_id", "x", 1).alias("r"))
     p = p.select("*", *[beside(c, "y", step).alias(n) for step, n4, n8 in ((-1, "u", "u"), (1, "d", "d")) for c, n in (("region_id", n4), ("l", n8 + "l"), ("r", n8 + "r"))])
     around = F.array(*[F.coalesce(c, F.lit(-1)).cast("long") for c in ("l", "u", "r", "d", "ul", "ur", "dl", "dr")])
     touches = F.exists(F.slice(around, 1, 4), lambda f: f != F.col("region_id"))
-    return p.select("image_id", "region_id", "x", "y", around.alias("around")).where(touches)
+    return p.where("own").select("image_id", "region_id", "x", "y", around.alias("around")).where(touches)
 
 
 #: Side of the tiles in which walls are joined to chains.
@@ -92,6 +94,7 @@ def border_paths(borders: DataFrame, tile: int = TILE) -> DataFrame:
     The order is that of a list: walls are joined to chains inside tiles, then each chain learns what follows it up to the border's end by pointer
     doubling over chains alone, in as many rounds as their number has bits. No facet is one task's work. Borders of holes never reach an end and are left out.
     """
+    borders = materialize(borders)
     w = walls(borders).withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
     schema = "image_id string, region_id long, x int, y int, side int, nx int, ny int, ns int, ends boolean, ex int, ey int, es int, spot long, last boolean"
     on = materialize(w.groupBy("image_id", "tx", "ty").applyInPandas(_chained(tile), schema))
@@ -99,16 +102,16 @@ def border_paths(borders: DataFrame, tile: int = TILE) -> DataFrame:
     chains = materialize(on.where("last").select(name("ex", "ey", "es").alias("chain"), F.when(~F.col("ends"), name("nx", "ny", "ns")).alias("to"), (F.col("spot") + 1).alias("rest")))
     while True:
         ahead = chains.select(F.col("chain").alias("to"), F.col("to").alias("further"), F.col("rest").alias("more"))
-        met = chains.where("to IS NOT NULL").join(ahead, "to").select("chain", F.col("further").alias("to"), (F.col("rest") + F.col("more")).alias("rest"))
+        met = chains.where("to IS NOT NULL").join(ahead.hint("merge"), "to").select("chain", F.col("further").alias("to"), (F.col("rest") + F.col("more")).alias("rest"))
         spent, chains = chains, materialize(chains.where("to IS NULL").unionByName(met))
         settled = [t.where("to IS NULL").count() for t in (spent, chains)]
         release(spent)
         if settled[0] == settled[1]:
             break
-    rest = chains.where("to IS NULL").select("chain", "rest")
+    rest = chains.where("to IS NULL").select("chain", "rest").hint("merge")  # files tell too little of their size to send them to every task
     facets = borders.groupBy("image_id", "region_id").agg(F.min(F.struct("y", "x")).alias("first")).select("region_id", F.struct("image_id", F.col("first.x").cast("int").alias("x"), F.col("first.y").cast("int").alias("y"), F.lit(0).alias("s")).alias("chain"))
     whole = facets.join(rest, "chain").select(F.col("chain.image_id").alias("image_id"), "region_id", F.col("rest").alias("whole"))
-    placed = on.select("image_id", "region_id", "x", "y", "side", "spot", name("ex", "ey", "es").alias("chain")).join(rest, "chain").join(whole, ["image_id", "region_id"])
+    placed = on.select("image_id", "region_id", "x", "y", "side", "spot", name("ex", "ey", "es").alias("chain")).join(rest, "chain").join(whole.hint("merge"), ["image_id", "region_id"])
     placed = placed.select("image_id", "region_id", "x", "y", "side", (F.col("whole") - F.col("rest") + F.col("spot")).cast("int").alias("place"))
     out = placed.join(borders.select("image_id", "region_id", "x", "y", "around"), ["image_id", "region_id", "x", "y"])
     return out.select("image_id", "region_id", "place", "x", "y", "side", F.get("around", F.col("side")).alias("neighbour"), "around")
@@ -122,11 +125,13 @@ def border_segments(paths: DataFrame) -> DataFrame:
     """
     facet = Window.partitionBy("image_id", "region_id")
     order = facet.orderBy("place")
-    corner = F.when((F.least("s0", "side") == 0) & (F.greatest("s0", "side") == 1), F.col("around")[4]).when((F.least("s0", "side") == 1) & (F.greatest("s0", "side") == 2), F.col("around")[5])
-    corner = corner.when((F.least("s0", "side") == 0) & (F.greatest("s0", "side") == 3), F.col("around")[6]).when((F.least("s0", "side") == 2) & (F.greatest("s0", "side") == 3), F.col("around")[7])
-    p = paths.select("*", *[F.lag(c).over(order).alias(f"{c[0]}0") for c in ("x", "y", "side", "neighbour")])
+    # the corners of a side with the one before it and with the one after it: between 0 and 1, 1 and 2, 2 and 3, 3 and 0
+    corners = F.array(*[F.col("around")[k] for k in (4, 5, 7, 6)])
+    p = paths.select("image_id", "region_id", "place", "x", "y", "side", "neighbour", F.get(corners, (F.col("side") + 3) % 4).alias("_c0"), F.get(corners, F.col("side")).alias("_c1"))
+    p = p.select("*", *[F.lag(c).over(order).alias(f"{c[0]}0") for c in ("x", "y", "side", "neighbour")])
+    corner = F.when(F.col("s0") == (F.col("side") + 3) % 4, F.col("_c0")).when(F.col("s0") == (F.col("side") + 1) % 4, F.col("_c1"))
     turn = (F.col("n0") != F.col("neighbour")) | ((F.col("n0") != -1) & (F.col("x") == F.col("x0")) & (F.col("y") == F.col("y0")) & F.coalesce(corner != F.col("n0"), F.lit(False)))
-    p = p.withColumn("cut", F.coalesce(turn, F.lit(False))).withColumn("s", F.sum(F.col("cut").cast("int")).over(order).cast("int"))
+    p = p.withColumn("cut", F.coalesce(turn, F.lit(False))).drop("_c0", "_c1", "s0", "x0", "y0").withColumn("s", F.sum(F.col("cut").cast("int")).over(order).cast("int"))
     whole = facet.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     p = p.select("*", F.max("s").over(facet).alias("last"), F.count(F.lit(1)).over(facet).alias("n"), F.first("neighbour").over(whole).alias("first_n"), F.last("neighbour").over(whole).alias("last_n"), F.last("cut").over(whole).alias("ends"))
     # a cut belongs to the segment it ends and to the one it begins
