@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.store import materialize, release
 from .groups import per_group
 from .outline import halve
-from .regions import adjacency, in_strips, region_table
-from .regions import beside_in_strip as beside
+from .regions import STEPS, adjacency, region_table, with_beside
 
 #: Sides of a pixel as outward steps: left, top, right, bottom.
 SIDES = [(-1, 0), (0, -1), (1, 0), (0, 1)]
@@ -24,12 +23,10 @@ _POINTS = "array<struct<x:double,y:double,side:int>>"
 
 def border_pixels(pixels: DataFrame) -> DataFrame:
     """image_id, region_id, x, y, around of the pixels that touch another facet or the image's edge; -1 stands for outside."""
-    p = in_strips(pixels.select("image_id", "x", "y", "region_id"))
-    p = p.select("*", beside("region_id", "x", -1).alias("l"), beside("region_id", "x", 1).alias("r"))
-    p = p.select("*", *[beside(c, "y", step).alias(n) for step, n4, n8 in ((-1, "u", "u"), (1, "d", "d")) for c, n in (("region_id", n4), ("l", n8 + "l"), ("r", n8 + "r"))])
+    p = with_beside(pixels.select("image_id", "x", "y", "region_id"), "region_id", tuple(STEPS))
     around = F.array(*[F.coalesce(c, F.lit(-1)).cast("long") for c in ("l", "u", "r", "d", "ul", "ur", "dl", "dr")])
     touches = F.exists(F.slice(around, 1, 4), lambda f: f != F.col("region_id"))
-    return p.where("own").select("image_id", "region_id", "x", "y", around.alias("around")).where(touches)
+    return p.select("image_id", "region_id", "x", "y", around.alias("around")).where(touches)
 
 
 #: Side of the tiles in which walls are joined to chains.

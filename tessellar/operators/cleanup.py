@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import colour as C
 from ..sources.store import materialize, release
 from .palette import by
-from .regions import beside_in_strip, in_strips
+from .regions import STEPS, in_tiles, places_beside, with_beside
 
 HARD_EDGE = 26.0
 
@@ -17,17 +18,38 @@ def around(raster: DataFrame, diagonals: bool = True) -> DataFrame:
     """Labels of the neighbours: l, r, u, d and, of the rows above and below, ul, ur, dl, dr.
 
     A raster has a row for every pixel, label -1 or null where there is none: a diagonal is seen through the pixel beside it."""
-    p = in_strips(raster.select("image_id", "x", "y", "pid", "label"))
-    p = p.select("*", beside_in_strip("label", "x", -1).alias("l"), beside_in_strip("label", "x", 1).alias("r"))
-    p = p.select("*", beside_in_strip("label", "y", -1).alias("u"), beside_in_strip("label", "y", 1).alias("d"), *[beside_in_strip(c, "y", step).alias(f"{n}{c}") for c in "lr" if diagonals for step, n in ((-1, "u"), (1, "d"))])
-    return p.where("own").drop("own", "_strip")
+    return with_beside(raster.select("image_id", "x", "y", "pid", "label"), "label", tuple(STEPS) if diagonals else ("l", "r", "u", "d"))
 
 
-def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
-    """One synchronous run: interior pixels between two or three equal neighbours of a near enough colour take the commonest of them.
+def _between(raster: DataFrame) -> DataFrame:
+    """Pixels with t0 to t3: the label, if it is another one, on both sides along the row, the column, and the two diagonals; null for none, and at the edge.
 
-    The patterns are tried in a fixed order; of equal counts the earlier pattern wins.
+    Three equal neighbours are two opposite ones and one more: they would say the same.
     """
+
+    def run(table, own, at):
+        import numpy as np
+        import pyarrow as pa
+
+        column = table.column("label")
+        # one more place, for none: unknown labels and absent pixels are no label to take
+        label = column.fill_null(-1).to_numpy()
+        label = np.append(label, label.dtype.type(-1))
+        known = np.append(column.is_valid().to_numpy(), False)
+        l, r, u, d, ul, ur, dl, dr = places_beside(table, own, at, ("l", "r", "u", "d", "ul", "ur", "dl", "dr"))
+        inside = known[l] & known[r] & known[u] & known[d] & known[own]
+        mine = table.take(own)
+        for k, (p, q) in enumerate(((l, r), (u, d), (ul, dr), (ur, dl))):
+            t = label[p]
+            mine = mine.append_column(f"t{k}", pa.array(t, mask=~(inside & (t >= 0) & (t == label[q]) & (t != label[own]))))
+        return mine
+
+    p = raster.select("image_id", "x", "y", "pid", "label")
+    return in_tiles(p, run, StructType([*p.schema.fields, *[StructField(f"t{k}", p.schema["label"].dataType) for k in range(4)]]))
+
+
+def _stripped(raster: DataFrame, palette: DataFrame) -> DataFrame:
+    """What strip_once() gives, with old, the label before."""
     lab = palette.select(*by(palette, "label"), F.array(*C.lab8(F.col("r"), F.col("g"), F.col("b"))).alias("lab"))
     counts = raster.where("label >= 0").groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("n"))
     n = counts.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("ns"))
@@ -35,31 +57,37 @@ def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
     other = lab.select(*by(palette), F.col("label").alias("to"), F.col("lab").alias("lab2"))
     met = lab.join(other, by(palette)) if by(palette) else lab.join(other)
     near = met.where(C.euclidean(F.col("lab"), F.col("lab2")) <= HARD_EDGE).groupBy(*by(palette, "label")).agg(F.collect_set("to").alias("near"))
-    p = around(raster).join(near, by(palette, "label"), "left").join(n, "image_id", "left")
-    groups = [("l", "r"), ("u", "d"), ("ul", "dr"), ("ur", "dl"), ("l", "u", "d"), ("r", "u", "d"), ("u", "l", "r"), ("d", "l", "r")]
+    near = near if by(palette) else F.broadcast(near)  # by label alone, all pixels of a label would be one task's
+    p = _between(raster).join(near, by(palette, "label"), "left").join(n, "image_id", "left")
     options = []
-    inside = F.expr("l IS NOT NULL AND r IS NOT NULL AND u IS NOT NULL AND d IS NOT NULL")
-    for k, g in enumerate(groups):
-        t = F.col(g[0])
-        equal = inside & (t >= 0) & (t != F.col("label"))
-        for c in g[1:]:
-            equal &= F.col(c) == t
-        allowed = equal & F.coalesce(F.array_contains("near", t), F.lit(False))
-        options.append(F.when(allowed, F.struct(F.try_element_at("ns", t).alias("n"), F.lit(-k).alias("k"), t.alias("t"))))
-    best = F.array_max(F.array(*options))
-    return p.select("image_id", "x", "y", "pid", F.coalesce(best.t, "label").alias("label"))
+    for k in range(4):
+        t = F.col(f"t{k}")
+        options.append(F.when(t.isNotNull() & F.coalesce(F.array_contains("near", t), F.lit(False)), F.struct(F.try_element_at("ns", t).alias("n"), F.lit(-k).alias("k"), t.alias("t"))))
+    some = F.coalesce(*[F.col(f"t{k}") for k in range(4)]).isNotNull()
+    best = F.when(some, F.array_max(F.array(*options)))
+    return p.select("image_id", "x", "y", "pid", F.coalesce(best.t, "label").alias("label"), F.col("label").alias("old"))
+
+
+def strip_once(raster: DataFrame, palette: DataFrame) -> DataFrame:
+    """One synchronous run: interior pixels between two or three equal neighbours of a near enough colour take the commonest of them.
+
+    The patterns are tried in a fixed order; of equal counts the earlier pattern wins.
+    """
+    return _stripped(raster, palette).drop("old")
 
 
 def strip_cleanup(raster: DataFrame, palette: DataFrame, runs: int) -> DataFrame:
     """Runs of strip_once until nothing changes."""
     raster = raster.select("image_id", "x", "y", "pid", "label")
-    for k in range(runs):
-        new = materialize(strip_once(raster, palette))
-        same = raster.select("pid", "image_id", F.col("label").alias("old")).join(new, ["image_id", "pid"]).where("NOT (old <=> label)").isEmpty()
-        release(*[raster] * (k > 0))
-        raster = new
-        if same:
+    held = None
+    for _ in range(runs):
+        new = materialize(_stripped(raster, palette))
+        release(*[held] * (held is not None))
+        raster, held = new.drop("old"), new
+        if new.where("NOT (old <=> label)").isEmpty():
             break
+    if held is not None:
+        raster._written_at = held._written_at
     return raster
 
 
@@ -69,35 +97,54 @@ def opening(raster: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in "lrud":
         same &= F.coalesce(F.col(c) == F.col("label"), F.col(c).isNull())
-    e = in_strips(p.select("image_id", "x", "y", "pid", "label", F.when(same, F.col("label")).alias("core")))
+    e = with_beside(p.select("image_id", "x", "y", "pid", "label", F.when(same, F.col("label")).alias("core")), "core", ("l", "r", "u", "d"))
     near = F.coalesce(F.col("core") == F.col("label"), F.lit(False))
-    for along in "xy":
-        for step in (-1, 1):
-            near |= F.coalesce(beside_in_strip("core", along, step) == F.col("label"), F.lit(False))
-    return e.select("own", "image_id", "x", "y", "pid", "label", near.alias("opened")).where("own").drop("own")
+    for c in "lrud":
+        near |= F.coalesce(F.col(c) == F.col("label"), F.lit(False))
+    return e.select("image_id", "x", "y", "pid", "label", near.alias("opened"))
 
 
 def prune_protrusions(raster: DataFrame, steps: int = 12) -> DataFrame:
     """Labels whose opening is not empty lose what it removes; these and all unlabelled pixels fill from above, below, left, right in turn, so many times at most. Unfilled pixels have label -1."""
     opened = materialize(opening(raster.withColumn("label", F.coalesce("label", F.lit(-1)))))
     o = opened.join(opened.groupBy("image_id", "label").agg(F.max("opened").alias("has")), ["image_id", "label"])
-    p = materialize(o.select("image_id", "x", "y", "pid", F.when(F.col("has") & ~F.col("opened"), -1).otherwise(F.col("label")).alias("label")))
-    for _ in range(steps):
-        before, p_before = p.where("label < 0").count(), p
-        if not before:
-            break
-        p = in_strips(p, 2)  # a step looks up and down
-        for along, step in (("y", -1), ("y", 1), ("x", -1), ("x", 1)):
-            p = p.withColumn("_n", F.coalesce(beside_in_strip("label", along, step), F.lit(-1)))
-            p = p.withColumn("label", F.when((F.col("label") < 0) & (F.col("_n") >= 0), F.col("_n")).otherwise(F.col("label"))).drop("_n")
-        p, spent = materialize(p.where("own").drop("own", "_strip")), p_before
-        release(spent)
-        if p.where("label < 0").count() == before:
-            break
+    p = o.select("image_id", "x", "y", "pid", F.when(F.col("has") & ~F.col("opened"), -1).otherwise(F.col("label")).alias("label"))
+    for done in range(0, max(1, steps), FILL):
+        p, n = materialize(_filled(p, min(FILL, steps - done))), p
+        release(*[n] * (done > 0))
     release(opened)
     return p
 
 
+#: Steps of filling that are worked through at once.
+FILL = 16
+
+
+def _filled(raster: DataFrame, steps: int) -> DataFrame:
+    """raster, where pixels with label -1 have taken one from above, below, left and right in turn, so many times."""
+
+    def run(table, own, at):
+        import numpy as np
+        import pyarrow as pa
+
+        label = table.column("label").to_numpy()
+        label = np.append(label, label.dtype.type(-1))[at]
+        for _ in range(steps):
+            before = label.copy()
+            for dx, dy in ((0, -1), (0, 1), (-1, 0), (1, 0)):
+                beside = np.roll(label, (-dy, -dx), (0, 1))  # what comes in over the edge is rim, -1
+                label = np.where((at >= 0) & (label < 0) & (beside >= 0), beside, label)
+            if (label == before).all():
+                break
+        out = np.empty(table.num_rows, label.dtype)
+        out[at[at >= 0]] = label[at >= 0]
+        mine = table.take(own)
+        return mine.set_column(mine.column_names.index("label"), "label", pa.array(out[own]))
+
+    # a step looks up and down, left and right: two pixels each way
+    return in_tiles(raster, run, raster.schema, 2 * steps) if steps > 0 else raster
+
+
 def expand_owner(pixels: DataFrame, steps: int) -> DataFrame:
     """Unknown region_id (null) taken from the eight neighbours, all at once per step, in a fixed order of directions."""
     for _ in range(steps):

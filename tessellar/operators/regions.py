@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import colour as C
 from ..sources.store import materialize, numbered, release
@@ -24,25 +27,58 @@ def beside(c: str, along: str, step: int):
     return F.when(f(along).over(w) == F.col(along) + step, f(c).over(w))
 
 
-#: Rows of an image that are laid side by side to look up neighbours in.
-STRIP = 64
+#: Rows and columns of the tiles that neighbours are looked up in.
+TILE_ROWS, TILE_COLUMNS = 256, 1024
+STEPS = {"l": (-1, 0), "r": (1, 0), "u": (0, -1), "d": (0, 1), "ul": (-1, -1), "ur": (1, -1), "dl": (-1, 1), "dr": (1, 1)}
 
 
-def in_strips(pixels: DataFrame, margin: int = 1) -> DataFrame:
-    """pixels in strips of rows, with _strip and own: a strip also has so many rows above and below it, which are not its own.
+def in_tiles(pixels: DataFrame, work: Callable, schema: str | StructType, margin: int = 1) -> DataFrame:
+    """work(table, own, at) -> table of schema, for the pixels of each tile of an image and those up to margin beyond it.
 
-    What beside() finds for own pixels is as in the whole image, if looked up in no more steps than margin along y. One shuffle serves both
-    axes, and a tall image has as many strips as a column of it has pixels for 64 rows, so no column is one task's.
+    own are the places in table of the tile's own pixels; at is a grid of the places of all, -1 where there is none, with a rim of margin -1. A grid
+    is as large as a tile, so neither a tall nor a wide image is one task's work.
     """
-    at = lambda d: F.floor((F.col("y") + d) / STRIP).cast("int")
-    laid = pixels.withColumn("_strip", F.explode(F.array_distinct(F.array(at(0), at(-margin), at(margin))))).withColumn("own", F.col("_strip") == at(0))
-    return laid.repartition("image_id", "_strip")
 
+    def to(c, n):
+        k = F.floor(F.col(c) / n).cast("int")
+        return F.when(F.pmod(c, F.lit(n)) < margin, F.array(k - 1, k)).when(F.pmod(c, F.lit(n)) >= n - margin, F.array(k, k + 1)).otherwise(F.array(k))
 
-def beside_in_strip(c: str, along: str, step: int):
-    """beside() of pixels in_strips()."""
-    w, f = Window.partitionBy("image_id", "_strip", "y" if along == "x" else "x").orderBy(along), (F.lead if step > 0 else F.lag)
-    return F.when(f(along).over(w) == F.col(along) + step, f(c).over(w))
+    def run(table):
+        import numpy as np
+
+        x, y = (table.column(c).to_numpy() for c in "xy")
+        tx, ty = (table.column(c)[0].as_py() for c in ("_tx", "_ty"))
+        low_x, low_y = x.min(), y.min()
+        at = np.full((y.max() - low_y + 1 + 2 * margin, x.max() - low_x + 1 + 2 * margin), -1)
+        at[y - low_y + margin, x - low_x + margin] = np.arange(len(x))
+        return work(table.drop_columns(["_tx", "_ty"]), np.flatnonzero((x // TILE_COLUMNS == tx) & (y // TILE_ROWS == ty)), at)
+
+    laid = pixels.select("*", F.explode(to("y", TILE_ROWS)).alias("_ty")).select("*", F.explode(to("x", TILE_COLUMNS)).alias("_tx"))
+    return laid.groupBy("image_id", "_tx", "_ty").applyInArrow(run, schema)
+
+
+def places_beside(table, own, at, names) -> list:
+    """Of each own pixel the places of those beside it (names of STEPS), -1 for none. A diagonal is seen through the pixel above or below."""
+    import numpy as np
+
+    x, y = (table.column(c).to_numpy() for c in "xy")
+    i, j = (v[own] - v.min() + 1 for v in (y, x))
+    found = {n: at[i + STEPS[n][1], j + STEPS[n][0]] for n in {*names, *(n[0] for n in names)}}
+    return [found[n] if len(n) == 1 else np.where(found[n[0]] >= 0, found[n], -1) for n in names]
+
+
+def with_beside(pixels: DataFrame, key: str, names: tuple[str, ...]) -> DataFrame:
+    """pixels with key of the pixels beside each, in columns of these names (of STEPS); null where there is none."""
+
+    def run(table, own, at):
+        import pyarrow as pa
+
+        mine, keys = table.take(own), table.column(key)
+        for n, place in zip(names, places_beside(table, own, at, names)):
+            mine = mine.append_column(n, keys.take(pa.array(place, mask=place < 0)))
+        return mine
+
+    return in_tiles(pixels, run, StructType([*pixels.schema.fields, *[StructField(n, pixels.schema[key].dataType) for n in names]]))
 
 
 #: Rows of an image that one task joins into regions.
@@ -52,13 +88,14 @@ BAND = 256
 def _band_roots(connectivity: int):
     """Pixels of one band of rows with root, the least pid that is connected to each inside the band."""
 
-    def run(pdf):
+    def run(table):
         import numpy as np
+        import pyarrow as pa
 
-        x, y = (pdf[c].to_numpy() - pdf[c].min() for c in "xy")
+        x, y, label, pid = (table.column(c).to_numpy() for c in ("x", "y", "label", "pid"))
+        x, y = x - x.min(), y - y.min()
         at = np.full((y.max() + 1, x.max() + 1), -1)
-        at[y, x] = np.arange(len(pdf))
-        label, pid = pdf.label.to_numpy(), pdf.pid.to_numpy()
+        at[y, x] = np.arange(len(x))
         pairs = []
         for dy, dx in [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * (connectivity == 8):
             h, w = at.shape
@@ -83,7 +120,7 @@ def _band_roots(connectivity: int):
                 least = further
             open_ = least[p] != least[q]
             p, q = p[open_], q[open_]
-        return pdf.assign(root=pid[order[least]])[["image_id", "x", "y", "pid", "label", "root"]]
+        return table.drop_columns(["band"]).append_column("root", pa.array(pid[order[least]]))
 
     return run
 
@@ -95,7 +132,7 @@ def region_map(raster: DataFrame, connectivity: int = 8, band: int = BAND) -> Da
     those edges alone. Numbers are given to regions, not to pixels, by ranges of their order. Pixels without a label have no region.
     """
     px = raster.where("label >= 0").select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col("pid").cast("long").alias("pid"), F.col("label").cast("int").alias("label"), F.floor(F.col("y") / band).cast("int").alias("band"))
-    inner = materialize(px.groupBy("image_id", "band").applyInPandas(_band_roots(connectivity), "image_id string, x int, y int, pid long, label int, root long"))
+    inner = materialize(px.groupBy("image_id", "band").applyInArrow(_band_roots(connectivity), "image_id string, x int, y int, pid long, label int, root long"))
     top = inner.where(F.pmod(F.col("y"), F.lit(band)) == 0)
     offsets = [0] if connectivity == 4 else [-1, 0, 1]
     above = inner.where(F.pmod(F.col("y"), F.lit(band)) == band - 1).select("image_id", "label", (F.col("y") + 1).alias("y"), F.explode(F.array(*[F.col("x") + d for d in offsets])).alias("x"), F.struct("image_id", "root").alias("a"))
@@ -118,23 +155,40 @@ def region_table(pixels: DataFrame) -> DataFrame:
 
 def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
     """src, dst, border_count in both directions: pairs of pixels side by side with different keys."""
-    p = in_strips(pixels.select("image_id", "x", "y", F.col(key).alias("a")))
-    p = p.select("image_id", "own", "a", F.array(beside_in_strip("a", "x", 1), beside_in_strip("a", "y", 1)).alias("bs")).where("own")
-    pairs = p.select("image_id", "a", F.explode("bs").alias("b")).where("a != b")
-    n = pairs.groupBy("image_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("border_count"))
+
+    def counted(table, own, at):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, known = table.column("a").fill_null(0).to_numpy(), table.column("a").is_valid().to_numpy()
+        beside = places_beside(table, own, at, ("r", "d"))
+        p, q = np.concatenate([own, own]), np.concatenate(beside)
+        met = (q >= 0) & known[p] & known[q] & (keys[p] != keys[q])
+        a, b = keys[p[met]], keys[q[met]]
+        src, dst = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((dst, src))
+        src, dst = src[order], dst[order]
+        first = np.flatnonzero(np.append(True, (np.diff(src) != 0) | (np.diff(dst) != 0))[: len(src)])
+        n = np.diff(np.append(first, len(src))).astype(np.int64)
+        image = pa.array([table.column("image_id")[0].as_py()] * len(n), pa.string())
+        return pa.table({"image_id": image, "src": src[first], "dst": dst[first], "n": n})
+
+    p = pixels.select("image_id", "x", "y", F.col(key).alias("a"))
+    kind = p.schema["a"].dataType.simpleString()
+    n = in_tiles(p, counted, f"image_id string, src {kind}, dst {kind}, n bigint").groupBy("image_id", "src", "dst").agg(F.sum("n").alias("border_count"))
     return n.unionByName(n.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "border_count"))
 
 
 def boundary_mask(pixels: DataFrame, key: str = "region_id") -> DataFrame:
     """Pixels whose right or lower neighbour has another key; null keys are no region."""
-    right, down = beside_in_strip(key, "x", 1), beside_in_strip(key, "y", 1)
-    return in_strips(pixels.select("image_id", "x", "y", key)).select("image_id", "x", "y", "own", F.coalesce(right != F.col(key), F.lit(False)).alias("_r"), F.coalesce(down != F.col(key), F.lit(False)).alias("_d")).where("own").select("image_id", "x", "y", (F.col("_r") | F.col("_d")).alias("boundary"))
+    other = [F.coalesce(F.col(n) != F.col(key), F.lit(False)) for n in "rd"]
+    return with_beside(pixels.select("image_id", "x", "y", key), key, ("r", "d")).select("image_id", "x", "y", (other[0] | other[1]).alias("boundary"))
 
 
 def border_points(pixels: DataFrame, key: str = "label") -> DataFrame:
     """Pixels that lack one of four neighbours of their key; the image's edge counts."""
-    same = [F.coalesce(beside_in_strip(key, along, step) == F.col(key), F.lit(False)) for along in "xy" for step in (-1, 1)]
-    return in_strips(pixels.select("image_id", "x", "y", key)).select("image_id", "x", "y", "own", F.col(key), (~(same[0] & same[1] & same[2] & same[3])).alias("border")).where("own AND border").drop("own", "border")
+    same = [F.coalesce(F.col(n) == F.col(key), F.lit(False)) for n in "lrud"]
+    return with_beside(pixels.select("image_id", "x", "y", key), key, ("l", "r", "u", "d")).where(~(same[0] & same[1] & same[2] & same[3])).select("image_id", "x", "y", key)
 
 
 def thickness():
@@ -187,9 +241,10 @@ def merged_regions(raster: DataFrame, palette: DataFrame, min_area: int | DataFr
         plan = materialize(merge_plan(regions, adjacency(pixels), palette, F.col("min_area")))
         merged = raster if plan.isEmpty() else materialize(apply_merges(pixels, regions, plan).unionByName(raster.where("label < 0")))
         cleaned = strip_cleanup(merged, palette, 4)
-        before = raster.select("image_id", "pid", F.col("label").alias("old"))
-        changed = not cleaned.join(before, ["image_id", "pid"]).where("label != old").isEmpty()
         done = plan.isEmpty()
+        before = raster.select("image_id", "pid", F.col("label").alias("old"))
+        # a plan goes on to the next pass whatever changed
+        changed = not done or not cleaned.join(before, ["image_id", "pid"]).where("label != old").isEmpty()
         release(pixels, regions, plan, *[] if done else [merged], *[raster] * (k > 0 and not done))
         raster = cleaned
         if not changed and done:

@@ -132,3 +132,19 @@ def test_palettes_go_to_every_task(spark, monkeypatch):
     px = spark.createDataFrame([("i", 0, 0, 0, 1)], "image_id string, x int, y int, pid long, label int")
     plan = px.join(S.palette(spark).select("label", "r"), "label", "left")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_neighbours_across_tiles(spark, monkeypatch):
+    rnd = random.Random(3)
+    t = table(spark, {k: random_raster(rnd, 23) for k in ("a", "b")}).where("pid % 11 != 5")
+    ids = R.region_map(t, 4)
+    ways = [lambda: B.border_pixels(ids), lambda: R.adjacency(ids), lambda: R.boundary_mask(ids), lambda: K.around(t), lambda: K.opening(t), lambda: K.prune_protrusions(t, 20), lambda: K.strip_cleanup(t, PALETTE(spark), 3)]
+    want = [sorted(map(repr, w().collect())) for w in ways]
+    monkeypatch.setattr(R, "TILE_ROWS", 7)
+    monkeypatch.setattr(R, "TILE_COLUMNS", 5)
+    monkeypatch.setattr(K, "FILL", 1)
+    assert [sorted(map(repr, w().collect())) for w in ways] == want
+
+
+def PALETTE(spark):
+    return spark.createDataFrame([(0, 90, 90, 90), (1, 94, 94, 94), (2, 99, 99, 99)], "label int, r int, g int, b int")
