@@ -7,6 +7,7 @@ border carries the facets around it, so that each wall knows the next one, and a
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,10 +213,23 @@ def _signed(px, py, polygon):
     return np.where(crosses.sum(1) % 2 == 1, far, -far)
 
 
-def pole(polygon, precision: float = 1.0) -> tuple[float, float, float]:
+def _centroid(ring):
+    import numpy as np
+
+    nxt = np.roll(ring, -1, 0)
+    cross = ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1]
+    return ((ring + nxt) * cross[:, None]).sum(0) / (3 * cross.sum()) if cross.sum() else ring[0]
+
+
+#: Distances that differ by less may be told apart by rounding alone.
+TIE = 1e-6
+
+
+def pole(polygon, precision: float = 1.0, near: list | None = None) -> tuple[float, float, float]:
     """The inner point farthest from the edges of a polygon (arrays of points: outer ring, then holes), within the precision.
 
-    Squares over the box are halved, the most promising first; the centroid and the box's middle are the first guesses.
+    Squares over the box are halved, the most promising first; the centroid and the box's middle are the first guesses. All but the centroid are
+    exact; near, if given, learns of each choice whether it hangs on the centroid's last digits.
     """
     import numpy as np
 
@@ -225,13 +239,15 @@ def pole(polygon, precision: float = 1.0) -> tuple[float, float, float]:
     cell = size.min()
     if cell == 0:
         return float(low[0]), float(low[1]), 0.0
-    nxt = np.roll(outer, -1, 0)
-    cross = outer[:, 0] * nxt[:, 1] - nxt[:, 0] * outer[:, 1]
-    centre = ((outer + nxt) * cross[:, None]).sum(0) / (3 * cross.sum()) if cross.sum() else outer[0]
+    centre = _centroid(outer)
     guesses = np.array([centre, low + size / 2])
     d = _signed(guesses[:, 0], guesses[:, 1], polygon)
     k = 1 if d[1] > d[0] else 0
     best = float(guesses[k][0]), float(guesses[k][1]), float(d[k])
+    rounded = bool((centre * 2**20 % 1).any())
+    near = [] if near is None else near
+    near.append(rounded and abs(d[1] - d[0]) < TIE)
+    rounded = rounded and k == 0  # of the best so far
     grid = [(x, y) for x in np.arange(low[0], low[0] + size[0], cell) + cell / 2 for y in np.arange(low[1], low[1] + size[1], cell) + cell / 2]
     heap, n = [], 0
 
@@ -244,14 +260,44 @@ def pole(polygon, precision: float = 1.0) -> tuple[float, float, float]:
     put(grid, cell / 2)
     while heap:
         most, _, x, y, half, d = heapq.heappop(heap)
+        near.append(rounded and min(abs(d - best[2]), abs(-most - best[2] - precision)) < TIE)
         if d > best[2]:
-            best = float(x), float(y), d
+            best, rounded = (float(x), float(y), d), False
         if -most - best[2] > precision:
             half /= 2
             put([(x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)], half)
+    near.append(rounded)
     return best
 
 
+#: Shapes of facets whose poles a worker keeps, and the points up to which a shape is kept.
+SHAPES, SHAPE_POINTS = 1 << 16, 128
+
+
+@lru_cache(SHAPES)
+def _pole_of_shape(shape: bytes) -> tuple[float, float, float, bool] | None:
+    """The pole of a ring whose box begins at (0, 0), and whether it is the centroid, in more digits than there are; None where it hangs on the rounding of the centroid, and so on where in the picture it lies."""
+    import numpy as np
+
+    ring, near = np.frombuffer(shape).reshape(-1, 2), []
+    x, y, d = pole([ring], near=near)
+    return None if any(near[:-1]) or d <= TIE else (x, y, d, bool(near and near[-1]))
+
+
+def _placed_pole(rings) -> tuple[float, float, float]:
+    """The pole of a facet (arrays of points: its ring, then those of facets in its box), as pole() gives it. Facets of one shape are worked out once, if where they lie does not matter."""
+    outer, *others = rings
+    if not others and len(outer) <= SHAPE_POINTS:
+        low = outer.min(0)
+        found = _pole_of_shape((outer - low).tobytes())
+        if found and found[3]:
+            x, y = map(float, _centroid(outer))
+            return x, y, float(_signed(x, y, [outer])[0])
+        if found:
+            return found[0] + float(low[0]), found[1] + float(low[1]), found[2]
+    return pole([outer, *[r for r in others if (_signed(r[:, 0], r[:, 1], [outer]) >= 0).all()]])
+
+
 def label_bounds(pixels: DataFrame, boundary: DataFrame) -> DataFrame:
     """image_id, region_id, x, y, distance and the box of each facet's label, around its pole of inaccessibility.
 
@@ -261,27 +307,31 @@ def label_bounds(pixels: DataFrame, boundary: DataFrame) -> DataFrame:
     ring = rings(boundary, walls=True)
     box = region_table(pixels).select("image_id", "region_id", *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     ends = {c: f for c, f in (("lx", F.array_min(F.transform("points", lambda p: p.x))), ("ly", F.array_min(F.transform("points", lambda p: p.y))), ("hx", F.array_max(F.transform("points", lambda p: p.x))), ("hy", F.array_max(F.transform("points", lambda p: p.y))))}
-    other = ring.select("image_id", F.col("region_id").alias("dst"), F.col("points").alias("hole"), *[f.alias(c) for c, f in ends.items()])
-    near = adjacency(pixels).select("image_id", F.col("src").alias("region_id"), "dst").join(box, ["image_id", "region_id"]).join(other, ["image_id", "dst"])
-    inside = near.where("lx >= x1 AND hx <= x2 - 1 AND ly >= y1 AND hy <= y2 - 1").select("image_id", "region_id", "hole")
-    rows = ring.select("image_id", "region_id", F.lit(0).alias("kind"), "points").unionByName(inside.select("image_id", "region_id", F.lit(1).alias("kind"), F.col("hole").alias("points")))
-
-    def work(key, rows):
+    other = ring.select("image_id", F.col("region_id").alias("dst"), *[f.alias(c) for c, f in ends.items()])
+    # points go only to the few facets that a neighbour may lie in
+    wide = box.where("x2 - x1 > 2 AND y2 - y1 > 2")
+    near = adjacency(pixels).select("image_id", F.col("src").alias("region_id"), "dst").join(wide, ["image_id", "region_id"]).join(other, ["image_id", "dst"])
+    inside = near.where("lx >= x1 AND hx <= x2 - 1 AND ly >= y1 AND hy <= y2 - 1").select("image_id", "region_id", "dst")
+    inside = inside.join(ring.select("image_id", F.col("region_id").alias("dst"), "points"), ["image_id", "dst"])
+    rows = ring.join(inside.groupBy("image_id", "region_id").agg(F.collect_list("points").alias("others")), ["image_id", "region_id"], "left")
+
+    def run(batches):
         import numpy as np
-
-        outer, holes = None, []
-        for kind, points in rows:
-            ring = np.array([(p["x"], p["y"]) for p in points], float)
-            if kind:
-                holes.append(ring)
-            else:
-                outer = ring
-        holes = [r for r in holes if (_signed(r[:, 0], r[:, 1], [outer]) >= 0).all()]
-        x, y, d = pole([outer, *holes])
-        pad = 2 * max(0.0, 2 * d) ** 0.5
-        return [(*key, x, y, d, x - pad, y - pad, x + pad, y + pad)]
-
-    return per_group(rows, ["image_id", "region_id"], work, "image_id string, region_id long, x double, y double, distance double, min_x double, min_y double, max_x double, max_y double")
+        import pyarrow as pa
+
+        pairs = lambda points: np.column_stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")])
+        for batch in batches:
+            image, region, points, others = (batch.column(c) for c in ("image_id", "region_id", "points", "others"))
+            off, xy = points.offsets.to_pylist(), pairs(points.values)
+            rings = [[xy[i:j]] for i, j in zip(off, off[1:])]
+            for i in np.flatnonzero(others.is_valid().to_numpy(zero_copy_only=False)):
+                rings[i] += [pairs(r.values) for r in others[i].values]
+            x, y, d = np.array([_placed_pole(r) for r in rings]).reshape(-1, 3).T
+            pad = np.array([2 * max(0.0, 2 * v) ** 0.5 for v in d.tolist()])
+            found = {"image_id": image, "region_id": region} | {n: pa.array(c) for n, c in (("x", x), ("y", y), ("distance", d), ("min_x", x - pad), ("min_y", y - pad), ("max_x", x + pad), ("max_y", y + pad))}
+            yield pa.RecordBatch.from_pydict(found)
+
+    return rows.select("image_id", "region_id", "points", "others").mapInArrow(run, "image_id string, region_id long, x double, y double, distance double, min_x double, min_y double, max_x double, max_y double")
 
 
 def facet_outlines(pixels: DataFrame, width: int, height: int, times: int = 2) -> DataFrame:

@@ -134,6 +134,21 @@ def test_palettes_go_to_every_task(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_poles_of_a_shape_are_found_once_and_as_anywhere():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    shapes = [np.array(s, float) / 4 for s in ([(0, 2), (2, 0), (4, 2), (2, 4)], [(0, 2), (2, 0), (6, 1), (8, 6), (3, 7)], [(0, 0), (4, 0), (4, 4), (0, 4), (1, 2)])]
+    shapes += [rnd.integers(0, 30, (int(n), 2)) / 4 for n in rnd.integers(3, 14, 40)]
+    B._pole_of_shape.cache_clear()
+    for s in shapes:
+        for at in ((0, 0), (17.5, 3.25), (93, 951.75)):
+            ring = s + np.array(at)
+            assert B._placed_pole([ring]) == B.pole([ring])
+    kept = B._pole_of_shape.cache_info()
+    assert kept.misses <= len(shapes) and kept.hits >= 2 * len(shapes)
+
+
 def test_neighbours_across_tiles(spark, monkeypatch):
     rnd = random.Random(3)
     t = table(spark, {k: random_raster(rnd, 23) for k in ("a", "b")}).where("pid % 11 != 5")
