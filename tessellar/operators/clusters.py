@@ -143,35 +143,55 @@ def detect_colours(raster: DataFrame, hint: int = 48, max_side: int = 480, dista
     return out.select("image_id", detected.alias("detected"), "sample_size", "exploratory_k", "before_merge", "after_merge", F.coalesce("clusters", F.array().cast(out.schema["clusters"].dataType)).alias("clusters"))
 
 
+def _sums(batches):
+    """Of each batch of points and each image in it, k, dim, xw, w: sums of the points that are nearest to centre k, of equals the smaller one."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        parts = []
+        for image in pc.unique(b.column("image_id")):
+            rows = b.filter(pc.equal(b.column("image_id"), image))
+            x, weight = (pc.list_flatten(rows.column("v")).to_numpy().reshape(len(rows), -1), rows.column("weight").to_numpy())
+            ks, centres = (np.array(rows.column(c)[0].as_py()) for c in ("_ks", "_cs"))
+            of = np.empty(len(x), np.int64)
+            for at in range(0, len(x), 1 << 16):
+                of[at : at + (1 << 16)] = np.sqrt(((x[at : at + (1 << 16), None] - centres.reshape(len(ks), -1)) ** 2).sum(2)).argmin(1)
+            used, dims = np.unique(of), x.shape[1]
+            xw = np.stack([np.bincount(of, x[:, d] * weight, len(ks)) for d in range(dims)], 1)[used]
+            w = np.bincount(of, weight, len(ks))[used]
+            columns = [np.repeat(ks[used], dims), np.tile(np.arange(dims), len(used)), xw.ravel(), np.repeat(w, dims)]
+            parts.append(pa.table([pa.array([image.as_py()] * xw.size, pa.string()), *map(pa.array, columns)], ["image_id", "k", "dim", "xw", "w"]))
+        for part in parts:
+            yield from part.cast(pa.schema([("image_id", pa.string()), ("k", pa.int32()), ("dim", pa.int32()), ("xw", pa.float64()), ("w", pa.float64())])).to_batches()
+
+
 def grouped_lloyd(points: DataFrame, k: int, seed: int, delta: float = 1.0) -> DataFrame:
     """image_id, k, c: centres of each image's points (image_id, i from 1 on without gaps, v, weight).
 
     Each image begins with k of its points, drawn with repeats by the seeded generator. A step sends points to the nearest centre of their image, of equals
     the smaller k, and centres to the weighted mean of theirs, to six places; a centre without points stays. An image is through when its centres together
-    have moved by delta or less; the others go on.
+    have moved by delta or less; the others go on. A step is one pass over the points, of which sums go on, and one table written.
     """
     spark = points.sparkSession
     n = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     draws = spark.range(1).select(F.posexplode(C.seeded_random(F.lit(seed), k)).alias("k", "u"))
     first = n.join(draws).select("image_id", "k", (F.floor(F.col("n") * F.col("u")) + 1).alias("i"))
-    open_ = materialize(first.join(points.select("image_id", "i", "v"), ["image_id", "i"]).select("image_id", "k", F.col("v").alias("c")))
-    done = []
+    state = materialize(first.join(points.select("image_id", "i", "v"), ["image_id", "i"]).select("image_id", "k", F.col("v").alias("c"), F.lit(None).cast("double").alias("moved")))
     while True:
-        near = assigned(points.select("image_id", "v", "weight"), open_).select("image_id", "k", "weight", F.posexplode("v").alias("dim", "x"))
-        means = near.groupBy("image_id", "k", "dim").agg(F.round(F.sum(F.col("x") * F.col("weight")) / F.sum("weight"), 6).alias("mean"))
+        open_ = state.where(F.col("moved").isNull() | (F.col("moved") > delta))
+        if open_.isEmpty():
+            return state.select("image_id", "k", "c")
+        in_order = F.array_sort(F.collect_list(F.struct("k", "c")))
+        listed = open_.groupBy("image_id").agg(in_order.alias("_l")).select("image_id", F.col("_l.k").alias("_ks"), F.flatten("_l.c").alias("_cs"))
+        sums = points.select("image_id", "v", "weight").join(listed, "image_id").mapInArrow(_sums, "image_id string, k int, dim int, xw double, w double")
+        means = sums.groupBy("image_id", "k", "dim").agg(F.round(F.sum("xw") / F.sum("w"), 6).alias("mean"))
         moved = means.groupBy("image_id", "k").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("m"))
         new = open_.join(moved, ["image_id", "k"], "left").select("image_id", "k", F.coalesce(F.transform("m", lambda s: s.mean), "c").alias("c"), F.coalesce(C.euclidean(F.col("c"), F.transform("m", lambda s: s.mean)), F.lit(0.0)).alias("by"))
-        after = materialize(new.withColumn("moved", F.sum("by").over(Window.partitionBy("image_id"))))
-        release(open_)
-        done.append(materialize(after.where(F.col("moved") <= delta).select("image_id", "k", "c")))
-        open_ = materialize(after.where(F.col("moved") > delta).select("image_id", "k", "c"))
-        release(after)
-        if open_.isEmpty():
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        after = new.select("image_id", "k", "c", F.sum("by").over(Window.partitionBy("image_id")).alias("moved"))
+        spent, state = state, materialize(after.unionByName(state.where(F.col("moved") <= delta)))
+        release(spent)
 
 
 def colour_points(raster: DataFrame, space: str = "rgb") -> DataFrame:
@@ -182,7 +202,8 @@ def colour_points(raster: DataFrame, space: str = "rgb") -> DataFrame:
     image = Window.partitionBy("image_id")  # of 64 ** 3 colours at most
     own = [F.col(c) for c in "rgb"]
     v = F.array(*[c.cast("double") for c in {"rgb": lambda *c: c, "hsl": C.rgb_to_hsl, "lab": C.rgb_to_lab}[space](*own)])
-    return g.select("image_id", *"rgb", F.row_number().over(image.orderBy("first_pid")).cast("long").alias("i"), v.alias("v"), (F.col("n") / F.sum("n").over(image)).alias("weight"))
+    g = g.withColumn("v", v)
+    return g.select("image_id", *"rgb", F.row_number().over(image.orderBy("first_pid")).cast("long").alias("i"), "v", (F.col("n") / F.sum("n").over(image)).alias("weight"))
 
 
 def clustered_raster(raster: DataFrame, k: int, seed: int, delta: float = 1.0, space: str = "rgb", allowed: list | None = None, aliases: dict[str, tuple] | None = None) -> DataFrame:
@@ -195,8 +216,8 @@ def clustered_raster(raster: DataFrame, k: int, seed: int, delta: float = 1.0, s
         named = [tuple(aliases[c]) if isinstance(c, str) else tuple(c) for c in allowed]
         lab = lambda cols: F.array(*C.rgb_to_lab(*cols))
         options = [F.struct(C.euclidean(lab([F.col(c) for c in ("cr", "cg", "cb")]), lab([F.lit(int(x)) for x in c])).alias("d"), F.lit(j).alias("j"), F.array(*[F.lit(int(x)) for x in c]).alias("to")) for j, c in enumerate(named)]
-        best = F.array_min(F.array(*options)).to
-        colour = colour.select("image_id", "k", *[best[i].alias(n) for i, n in enumerate(("cr", "cg", "cb"))])
+        to = materialize(colour).select("image_id", "k", F.array_min(F.array(*options)).to.alias("to"))
+        colour = to.select("image_id", "k", *[F.col("to")[i].alias(n) for i, n in enumerate(("cr", "cg", "cb"))])
     painted = assigned(points, centres).join(colour, ["image_id", "k"]).select("image_id", *[F.col(c).alias(f"{c}6") for c in "rgb"], "cr", "cg", "cb")
     p = raster.select("image_id", "x", "y", "pid", *[C.coarse(F.col(c)).alias(f"{c}6") for c in "rgb"])
     return p.join(painted, ["image_id", "r6", "g6", "b6"]).select("image_id", "x", "y", "pid", *[F.col(f"c{c}").alias(c) for c in "rgb"])

@@ -660,7 +660,9 @@ def cluster_merge(spark, sf_dir):
 
 @query("weighted_kmeans")
 def weighted_kmeans(spark, sf_dir):
-    centres = U.grouped_lloyd(U.colour_points(px(spark, sf_dir)), 4, 7, 8.0)
+    from ..sources.store import materialize
+
+    centres = U.grouped_lloyd(materialize(U.colour_points(px(spark, sf_dir))), 4, 7, 8.0)
     return centres.select("image_id", "k", F.posexplode("c").alias("dim", "mean"))
 
 

@@ -85,6 +85,23 @@ def test_lloyd_equals_plain(spark):
         assert np.allclose([got[image, k] for k in range(5)], centres, atol=2e-6)
 
 
+def test_a_lloyd_step_writes_one_table(spark, monkeypatch):
+    """Two groups far apart, both drawn points in the lower one: steps until nothing moves, each with one write, and the two means at the end."""
+    values = [0.0, 1.0, 2.0, 90.0, 91.0, 92.0, 93.0]
+    table = spark.createDataFrame([("a", i + 1, [v], 1.0) for i, v in enumerate(values)], "image_id string, i long, v array<double>, weight double")
+    draws = [math.sin(s) * 10_000 - math.floor(math.sin(s) * 10_000) for s in range(200)]
+    seed = next(s for s in range(199) if sorted(int(7 * u) for u in draws[s : s + 2]) == [0, 1])
+    centres, steps, moved = [values[int(7 * u)] for u in draws[seed : seed + 2]], 0, 1.0
+    while moved > 0:
+        of = [min((0, 1), key=lambda k: (abs(v - centres[k]), k)) for v in values]
+        new = [round(sum(v for v, j in zip(values, of) if j == k) / of.count(k), 6) for k in (0, 1)]
+        moved, centres, steps = sum(abs(a - b) for a, b in zip(new, centres)), new, steps + 1
+    written = []
+    monkeypatch.setattr(U, "materialize", lambda df, real=U.materialize: written.append(1) or real(df))
+    assert [r.c for r in U.grouped_lloyd(table, 2, seed, 0.0).orderBy("k").collect()] == [[c] for c in centres]
+    assert sorted(centres) == [1.0, 91.5] and len(written) == 1 + steps
+
+
 def test_allowed_colours_and_names(spark):
     px = spark.createDataFrame(A, RASTER)
     out = U.clustered_raster(px, 3, 5, 1.0, "hsl", ["red", (0, 255, 0), (0, 0, 255)], {"red": (255, 0, 0)})
