@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour as C
 from ..sources.store import materialize, release
-from .regions import adjacency, region_map
+from .regions import adjacency, border_pairs, region_map, region_table
 
 _NEXT = [(-1, 0), (1, 0), (0, -1), (0, 1)]
 #: Pixels of a patch of small facets that one task works through; larger patches go in rounds, with the same result.
@@ -30,25 +30,41 @@ def facet_neighbours(pixels: DataFrame) -> DataFrame:
     return pixels.select("image_id", "region_id").distinct().join(near, ["image_id", "region_id"], "left").select("image_id", "region_id", F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
-def _rim(own: DataFrame, pixels: DataFrame, key: str) -> DataFrame:
-    """own's key with each pixel beside own that has another one: image_id, key, x, y and the other columns of pixels but key."""
+def _rim(own: DataFrame, pixels: DataFrame, key: str, *held: Column) -> DataFrame:
+    """own's key, and what is held of all its pixels alike, with each pixel beside own that has another one: image_id, key, x, y and the other columns of pixels but key."""
     steps = F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in _NEXT]))
-    touching = own.select("image_id", F.col(key).alias("_own"), steps.alias("s")).select("image_id", "_own", "s.x", "s.y").distinct()
+    touching = own.select("image_id", F.col(key).alias("_own"), *held, steps.alias("s")).select("*", "s.x", "s.y").drop("s").distinct()
     return touching.join(pixels, ["image_id", "x", "y"]).where(~F.col(key).eqNullSafe(F.col("_own"))).drop(key).withColumnRenamed("_own", key)
 
 
+def lowest_small(pixels: DataFrame, least: int) -> DataFrame:
+    """Pixels of the facets of fewer than least pixels beside which no such one has a lower number.
+
+    Tables of facets grow with the image, so they meet by sorting: written out, they look small enough to be sent to every task, and no task may hold one.
+    """
+    own = ["image_id", "region_id"]
+    small = small_facets(region_table(pixels.select(*own, "label", "x", "y")), least).select(*own)
+    few = materialize(pixels.join(small.hint("merge"), own, "left_semi"))
+    later = border_pairs(few).select("image_id", F.col("dst").alias("region_id")).distinct()
+    return materialize(few.join(later.hint("merge"), own, "left_anti"))
+
+
 def nearest_border(pixels: DataFrame, chosen: DataFrame, palette: DataFrame) -> DataFrame:
-    """image_id, pid, label, distance: the new labels of the pixels of chosen facets (image_id, region_id), no two of them side by side.
+    """given_away() of the pixels of chosen facets (image_id, region_id), no two of them side by side."""
+    return given_away(pixels.join(chosen.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi"), pixels, palette)
+
+
+def given_away(own: DataFrame, pixels: DataFrame, palette: DataFrame) -> DataFrame:
+    """image_id, pid, label, distance: the new labels of own, the pixels of some facets, no two of them side by side.
 
     Each pixel takes the label of the nearest pixel around its facet, by steps along rows and columns; of equals that of the nearest
     colour, then the lower label. The shortest way never leaves the facet, so one scan along its rows and one along its columns, each in both
     directions and carrying (distance, colour, label), finds it. Rows are the facet's pixels and its rim, whatever its size.
     """
-    own = pixels.join(chosen.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi").select("image_id", "region_id", "x", "y", "pid", "label")
-    rim = _rim(own, pixels.select("image_id", "x", "y", "region_id", F.col("label").alias("to")), "region_id")
-    from_ = own.select("image_id", "region_id", F.col("label").alias("of")).distinct()
+    own = own.select("image_id", "region_id", "x", "y", "pid", "label")
+    rim = _rim(own, pixels.select("image_id", "x", "y", "region_id", F.col("label").alias("to")).hint("merge"), "region_id", F.col("label").alias("of"))
     rgb = palette.select("label", F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("c"))
-    rim = rim.join(from_, ["image_id", "region_id"]).join(rgb.select(F.col("label").alias("of"), F.col("c").alias("c1")), "of", "left").join(rgb.select(F.col("label").alias("to"), F.col("c").alias("c2")), "to", "left")
+    rim = rim.join(rgb.select(F.col("label").alias("of"), F.col("c").alias("c1")), "of", "left").join(rgb.select(F.col("label").alias("to"), F.col("c").alias("c2")), "to", "left")
     rim = rim.select("image_id", "region_id", "x", "y", F.lit(None).cast("long").alias("pid"), F.struct(F.coalesce(C.euclidean(F.col("c1"), F.col("c2")), F.lit(float("inf"))).alias("far"), F.col("to").cast("int").alias("to")).alias("s"))
     both = own.select("image_id", "region_id", "x", "y", "pid", F.lit(None).cast(rim.schema["s"].dataType).alias("s")).unionByName(rim)
 

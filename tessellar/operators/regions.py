@@ -153,8 +153,8 @@ def region_table(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id", "region_id").agg(F.min("label").alias("color_index"), F.count(F.lit(1)).alias("area"), F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"))
 
 
-def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
-    """src, dst, border_count in both directions: pairs of pixels side by side with different keys."""
+def border_pairs(pixels: DataFrame, key: str = "region_id") -> DataFrame:
+    """src, dst, border_count, src the smaller one: pairs of pixels side by side with different keys."""
 
     def counted(table, own, at):
         import numpy as np
@@ -175,8 +175,14 @@ def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
 
     p = pixels.select("image_id", "x", "y", F.col(key).alias("a"))
     kind = p.schema["a"].dataType.simpleString()
-    n = in_tiles(p, counted, f"image_id string, src {kind}, dst {kind}, n bigint").groupBy("image_id", "src", "dst").agg(F.sum("n").alias("border_count"))
-    return n.unionByName(n.select("image_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "border_count"))
+    return in_tiles(p, counted, f"image_id string, src {kind}, dst {kind}, n bigint").groupBy("image_id", "src", "dst").agg(F.sum("n").alias("border_count"))
+
+
+def adjacency(pixels: DataFrame, key: str = "region_id") -> DataFrame:
+    """src, dst, border_count in both directions: pairs of pixels side by side with different keys, looked up once."""
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = F.explode(F.array(ends("src", "dst"), ends("dst", "src"))).alias("e")
+    return border_pairs(pixels, key).select("image_id", both, "border_count").select("image_id", "e.src", "e.dst", "border_count")
 
 
 def boundary_mask(pixels: DataFrame, key: str = "region_id") -> DataFrame:

@@ -533,14 +533,8 @@ far AS (SELECT fac.pid, rim.label, abs(fac.x - rim.x) + abs(fac.y - rim.y) AS di
 SELECT pid, label, distance::BIGINT AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY distance, colour, label) AS rn FROM far) WHERE rn = 1""")
 def nearest_borders(spark, sf_dir):
     """Small facets beside which no small one has a lower number give their pixels away."""
-    from ..sources.store import materialize
-
     p = _facets(spark, sf_dir)
-    small = materialize(D.small_facets(R.region_table(p), MIN_AREA).select("image_id", "region_id"))
-    ends = lambda c: small.withColumnRenamed("region_id", c)
-    later = R.adjacency(p).where("src > dst").join(ends("src"), ["image_id", "src"], "left_semi").join(ends("dst"), ["image_id", "dst"], "left_semi")
-    chosen = small.join(later.select("image_id", F.col("src").alias("region_id")), ["image_id", "region_id"], "left_anti")
-    return D.nearest_border(p, chosen, pal(spark)).select("pid", "label", "distance")
+    return D.given_away(D.lowest_small(p, MIN_AREA), p, pal(spark)).select("pid", "label", "distance")
 
 
 @query("small_facets", f"WITH RECURSIVE {_FAC} SELECT region_id, count(*) AS area FROM fac GROUP BY region_id HAVING count(*) < {MIN_AREA}")

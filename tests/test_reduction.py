@@ -120,3 +120,15 @@ def test_nearest_border(spark):
             if (k, n) in chosen:
                 want |= {(k, y * len(rows[0]) + x): (d, to) for (x, y), (d, _, to) in given_away(label, facet).items()}
     assert got == want
+
+
+def test_tables_of_facets_are_not_sent_to_every_task(spark, sf, monkeypatch):
+    """Tables of facets or pixels meet by sorting in nearest_borders, even where their files are small; what every task gets is the palette."""
+    from tessellar.plans import queries as Q
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    monkeypatch.setattr(D, "materialize", lambda df, real=D.materialize: plans.append(plan(df)) or real(df))
+    plans.append(plan(Q.nearest_borders(spark, sf)))
+    joins = [line for p in plans for line in p.splitlines() if "Join" in line]
+    assert any("SortMergeJoin" in j for j in joins) and not [j for j in joins if "Broadcast" in j and "image_id" in j]
