@@ -32,7 +32,7 @@ TILE_ROWS, TILE_COLUMNS = 256, 1024
 STEPS = {"l": (-1, 0), "r": (1, 0), "u": (0, -1), "d": (0, 1), "ul": (-1, -1), "ur": (1, -1), "dl": (-1, 1), "dr": (1, 1)}
 
 
-def in_tiles(pixels: DataFrame, work: Callable, schema: str | StructType, margin: int = 1) -> DataFrame:
+def in_tiles(pixels: DataFrame, work: Callable, schema: str | StructType, margin: int = 1, rows: int = TILE_ROWS, columns: int = TILE_COLUMNS) -> DataFrame:
     """work(table, own, at) -> table of schema, for the pixels of each tile of an image and those up to margin beyond it.
 
     own are the places in table of the tile's own pixels; at is a grid of the places of all, -1 where there is none, with a rim of margin -1. A grid
@@ -51,9 +51,9 @@ def in_tiles(pixels: DataFrame, work: Callable, schema: str | StructType, margin
         low_x, low_y = x.min(), y.min()
         at = np.full((y.max() - low_y + 1 + 2 * margin, x.max() - low_x + 1 + 2 * margin), -1)
         at[y - low_y + margin, x - low_x + margin] = np.arange(len(x))
-        return work(table.drop_columns(["_tx", "_ty"]), np.flatnonzero((x // TILE_COLUMNS == tx) & (y // TILE_ROWS == ty)), at)
+        return work(table.drop_columns(["_tx", "_ty"]), np.flatnonzero((x // columns == tx) & (y // rows == ty)), at)
 
-    laid = pixels.select("*", F.explode(to("y", TILE_ROWS)).alias("_ty")).select("*", F.explode(to("x", TILE_COLUMNS)).alias("_tx"))
+    laid = pixels.select("*", F.explode(to("y", rows)).alias("_ty")).select("*", F.explode(to("x", columns)).alias("_tx"))
     return laid.groupBy("image_id", "_tx", "_ty").applyInArrow(run, schema)
 
 
@@ -85,6 +85,25 @@ def with_beside(pixels: DataFrame, key: str, names: tuple[str, ...]) -> DataFram
 BAND = 256
 
 
+def least_joined(n: int, p, q):
+    """Of each of n places the least that it is joined to by the pairs (p, q), whole arrays at a time."""
+    import numpy as np
+
+    least = np.arange(n)
+    while len(p):
+        low = np.minimum(least[p], least[q])
+        for end in (p, q):  # only the first place of a tree is hung on another: every other one stays with it
+            np.minimum.at(least, least[end], low)
+        while True:
+            further = least[least]
+            if (further == least).all():
+                break
+            least = further
+        open_ = least[p] != least[q]
+        p, q = p[open_], q[open_]
+    return least
+
+
 def _band_roots(connectivity: int):
     """Pixels of one band of rows with root, the least pid that is connected to each inside the band."""
 
@@ -108,19 +127,8 @@ def _band_roots(connectivity: int):
         order = np.argsort(pid, kind="stable")
         rank = np.empty(len(pid), np.int64)
         rank[order] = np.arange(len(pid))
-        least = rank.copy()  # by pixel: the least rank that it is known to be connected to
-        while len(p):
-            low = np.minimum(least[p], least[q])
-            for end in (p, q):  # only the first pixel of a tree is hung on another: every other one stays with it
-                np.minimum.at(least, order[least[end]], low)
-            while True:
-                further = least[order[least]]
-                if (further == least).all():
-                    break
-                least = further
-            open_ = least[p] != least[q]
-            p, q = p[open_], q[open_]
-        return table.drop_columns(["band"]).append_column("root", pa.array(pid[order[least]]))
+        least = least_joined(len(pid), rank[p], rank[q])
+        return table.drop_columns(["band"]).append_column("root", pa.array(pid[order[least[rank]]]))
 
     return run
 

@@ -89,6 +89,43 @@ def test_reduction_equals_one_by_one(spark, patch, large_first, most):
     assert {k: one_by_one(rows, 4, most, large_first) for k, rows in images.items()} == got
 
 
+@pytest.mark.parametrize("large_first", [True, False])
+def test_windows_equal_one_window(spark, monkeypatch, large_first):
+    """Facets beside the edges of windows wait, and go as in a window that holds the whole image."""
+    rnd = random.Random(5)
+    images = {f"i{k}": [[rnd.randrange(4) for _ in range(130 // k)] for _ in range(110)] for k in (1, 2, 10)}
+    got = []
+    for window in (D.WINDOW, (48, 48)):
+        monkeypatch.setattr(D, "WINDOW", window)
+        out = D.reduce_facets(table(spark, images), spark.createDataFrame(PALETTE, "label int, r int, g int, b int"), 4, large_first=large_first)
+        got.append({(r.image_id, r.pid): r.label for r in out.collect()})
+    assert got[0] == got[1] and len(got[0]) == 110 * (130 + 65 + 13)
+
+
+def test_windows_know_what_stays_beyond_their_edge(spark, monkeypatch):
+    """Of a facet of four pixels one lies in the next window, which sees two of them."""
+    monkeypatch.setattr(D, "WINDOW", (36, 36))
+    rows = [[1 if 33 <= x <= 36 else 0 for x in range(60)]]
+    out = D.reduce_facets(table(spark, {"i": rows}), spark.createDataFrame(PALETTE, "label int, r int, g int, b int"), 3)
+    assert [r.label for r in out.orderBy("x").collect()] == rows[0]
+
+
+def test_large_patches_take_few_rounds(spark, monkeypatch):
+    """Small facets that touch each other all over an image, more than a task takes, don't take a round for each link of their chains."""
+    written = []
+
+    def counted(df, real=D.materialize):
+        written.append(df)
+        assert len(written) < 20
+        return real(df)
+
+    monkeypatch.setattr(D, "materialize", counted)
+    monkeypatch.setattr(D, "WINDOW", (36, 36), raising=False)
+    px = spark.range(6000).selectExpr("'i' AS image_id", "cast(id % 100 AS int) AS x", "cast(id div 100 AS int) AS y", "id AS pid", "cast(pmod(xxhash64(id), 5) AS int) AS label")
+    out = D.reduce_facets(px, spark.createDataFrame([*PALETTE, (4, 90, 90, 90)], "label int, r int, g int, b int"), 3, patch=36 * 36)
+    assert out.count() == 6000 and R.region_table(R.region_map(out, 4)).where("area < 3").isEmpty()
+
+
 def test_most_leaves_as_many(spark):
     """One deletion that joins no more than it must is enough."""
     px = table(spark, {"i": [[0, 0, 1, 0, 0, 1, 0, 0]]})
